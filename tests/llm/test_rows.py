@@ -1,0 +1,151 @@
+"""Operators that judge each row by itself or by counts: url rules, PII, quality, sharding."""
+
+import random
+import re
+import zlib
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from roomloom.llm import pii, quality, sharding, urlrules
+from roomloom.llm.queries import URL_RULES
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, kept string"
+CASES = [
+    None,
+    "",
+    " \t\n\x0b",
+    "mail a.b@c.d_e@f.g @@ a@b x@y.z. 1.2.3.4 999.1.1.1 01.002.3.255.7 1.2.3.4.5.6.7.8",
+    "card 4111 1111 1111 1111 or 4111111111111112, 5500-0000-0000-0004 é +49 (30) 123456-78. +1 +12345678 x",
+    "iban DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432 bad DE89370400440532013001 ssn 123-45-6789 part 123-45-6789",
+    "😀 a@b.co 😀 +4930123456 4" + "1" * 30_000,
+    "a." * 40_000 + "@",
+    "7" * 50_000 + ".1",
+    "x y z a b x y z a b x y z a b q",
+    "one two three four five six seven eight nine ten\nsame line\n same line \nsame line\n\n# $ %",
+]
+
+
+def frame(spark, texts, sources=None):
+    rows = [(i if i % 7 else None if i else 0, t, "en", (sources or ["s"] * len(texts))[i], 1, 5, "clash") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+# ---------------------------------------------------------------- personal data
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+BRUTE = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x[-9:]) < 256 and not x[:-9].strip("0") for x in m.split("."))),
+    "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(d := re.sub("[^0-9]", "", m)) <= 19 and luhn(d)),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(re.sub("[^0-9]", "", m)) <= 15),
+}
+
+
+def brute_spans(text):
+    return [f"{k}:{m.start()}:{m.end()}" for k, (p, ok) in BRUTE.items() for m in re.finditer(p, text or "") if ok(m[0])]
+
+
+def test_pii_base_spans_match_brute_force(spark):
+    rng = random.Random(5)
+    pool = ["a@b.c", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "+49 30 1234567", ".", "_", "-", " ", "é", "@", "7", "+", "😀", "x.y"]
+    texts = [t for t in CASES if not t or len(t) < 30_000] + ["".join(rng.choices(pool, k=rng.randrange(1, 40))) for _ in range(300)]
+    rows = pii.find_pii(frame(spark, texts)).select("text", pii.span_list(F.col("pii"), pii.BASE_KINDS).alias("s")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.s == ",".join(brute_spans(r.text)), r.text
+
+
+def test_pii_long_runs_checksums_and_context(spark):
+    rows = {(r.text or "")[:20]: r.s for r in pii.find_pii(frame(spark, CASES)).select("text", pii.span_list(F.col("pii")).alias("s")).collect()}
+    assert rows["a." * 10] == "" and rows["7" * 20] == ""
+    assert rows[CASES[5][:20]].split(",") == ["iban:5:32", "iban:37:59", "ssn:91:102"]
+    assert rows[CASES[6][:20]].split(",") == ["email:2:8"]  # the digits run on, past 15
+
+
+def test_pii_masks(spark):
+    df = pii.find_pii(frame(spark, ["hi a@b.co, +4930123456!", None, "none"]))
+    out = [r.m for r in df.select(pii.masked(F.coalesce("text", F.lit("")), F.col("pii")).alias("m")).collect()]
+    assert out == ["hi [EMAIL], [PHONE]!", "", "none"]
+    assert pii.find_pii(df.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- quality
+def brute_base(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    n = Counter(grams)
+    cover = {k for i, g in enumerate(grams) if n[g] > 1 for k in range(i, i + 5)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(cover)
+
+
+def test_quality_base_counts(spark):
+    rng = random.Random(3)
+    texts = CASES + [rng.choice(" \n\t").join(rng.choices("a b c d é #x 😀".split(), k=rng.randrange(1, 30))) for _ in range(200)]
+    rows = quality.judge(frame(spark, texts)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_base(r.text), r.text
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
+
+
+def test_quality_common_lines(spark):
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(20))
+    texts = [f"Menu 12  home\n{own(i)}" for i in range(30)]  # the line is common, the rest stays
+    texts += ["menu 34 HOME\nmenu 56 home and " + f"v{i}" for i in range(2)]  # depleted
+    texts += [own(99)] * 40  # copies are one text: its line is not common
+    rows = quality.judge(frame(spark, texts, ["s", None] * 36)).collect()
+    by = {r.text: r for r in rows}
+    assert by[texts[0]].kept and by[texts[0]].n_left_words == 20 and by[texts[0]].clean_text == own(0)
+    assert by[own(99)].kept and by[own(99)].n_left_words == 20
+    few = quality.judge(frame(spark, ["menu 1 home\n" + own(i)[:8] + " b c d e f g h" for i in range(30)])).collect()
+    assert not any(r.kept for r in few) and not any(r.base_failed for r in few)
+    assert quality.judge(frame(spark, [])).count() == 0
+
+
+# ---------------------------------------------------------------- sharding
+def test_shards_are_even_gapless_and_keep_copies_together(spark):
+    rng = random.Random(1)
+    texts = ["x" * rng.randrange(400) + str(i) for i in range(3000)] + [None, "", "é"] + ["copy of a text"] * 1500 + ["pair"] * 2
+    docs = frame(spark, texts)
+    rows = sharding.shard(docs, shards=16, tolerance=0.02).collect()
+    assert sorted(r.text_crc32 for r in rows) == sorted(zlib.crc32((t or "").encode()) for t in texts)
+    size, slots = Counter(), {}
+    for r in rows:
+        size[r.shard] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    mean = sum(size.values()) / 16
+    assert len(size) == 16 and max(abs(v - mean) for v in size.values()) < 0.04 * mean + 800
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert len({r.shard for r in rows if r.text_crc32 == zlib.crc32(b"pair")}) == 1
+    assert sharding.shard(docs.limit(0)).count() == 0
+
+
+def test_shards_of_one_hot_text(spark):
+    rows = sharding.shard(frame(spark, ["same"] * 1000), shards=4).collect()
+    assert sorted(Counter(r.shard for r in rows)) == [0, 1, 2, 3]
+
+
+# ---------------------------------------------------------------- urls
+URLS = [
+    None, "", "no scheme", "http://", "HTTP://A.ORG/x", "http://org", "http://org/", "http://x.example.org/es/1?q", "http://example.org/es",
+    "http://example.org/en/12#f", "http://notexample.org/en/12", "http://a.com/fr/", "http://a.com/fr?/", "http://com/de/x", "a://b://c/d", "http://org./", "http://.org/",
+]
+
+
+def test_url_trie_equals_the_join_and_plain_search(spark):
+    rng = random.Random(2)
+    label = lambda: rng.choice(["a", "b", "org", "com", ""])
+    rules = [*URL_RULES] + [(rng.choice(["allow", "block"]), ".".join(label() for _ in range(rng.randrange(1, 4))), "/".join(["", *(label() for _ in range(rng.randrange(3)))])) for _ in range(60)]
+    urls = URLS + ["http://" + ".".join(label() for _ in range(rng.randrange(1, 5))) + "/".join(["", *(label() for _ in range(rng.randrange(4)))]) for _ in range(400)]
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    by_trie = urlrules.judge_urls(pages, rules).collect()
+    by_join = urlrules.judge_urls(pages, rules, max_broadcast_rules=0).collect()
+    assert sorted(by_trie, key=lambda r: r.page_id) == sorted(by_join, key=lambda r: r.page_id) and len(by_trie) == len(urls)
+    for r in by_trie:
+        fits = [(len(h.split(".")), len(p), a == "block", h + p, a) for a, h, p in rules if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        assert (r.rule, r.verdict) == (max(fits)[3:] if fits else (None, "allow")), r
+    assert urlrules.judge_urls(pages.limit(0), rules).count() == 0
