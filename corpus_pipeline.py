@@ -38,7 +38,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
-    return _only(docs, neardup.near_duplicates(docs).filter("not kept"), "left_anti")
+    return _only(docs, neardup.near_duplicates(docs).filter("not kept and doc_id is not null"), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
