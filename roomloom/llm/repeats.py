@@ -30,6 +30,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,8 +76,8 @@ def runs_of(data: np.ndarray, bounds: np.ndarray, size: int, gram: int) -> tuple
         return empty, empty, empty, np.empty(0, _U)
     least = sliding_min(gram_hashes(data, gram), size - gram + 1)
     starts = np.arange(len(least))
-    doc = np.searchsorted(bounds, starts, "right") - 1
-    inside = starts + size <= bounds[doc + 1]
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(least)]
+    inside = starts + size <= bounds[1:][doc]
     change = np.ones(len(least), bool)
     change[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(change & inside)
@@ -177,7 +178,7 @@ def least_owners(pieces: list[bytes], documents: np.ndarray, size: int) -> list[
     text = np.frombuffer(b"\xff".join(pieces) + b"\xff", np.uint8) + np.uint8(1)
     ends = np.cumsum(lengths + 1)
     order = suffix_array(text, size)
-    piece = np.searchsorted(ends, order, "right")
+    piece = np.repeat(np.arange(len(pieces)), lengths + 1)[order]
     begins = order + size < ends[piece]
     order, piece = order[begins], piece[begins]
     group = np.concatenate([[0], np.cumsum(~common_prefix(text, order, size))])
@@ -187,6 +188,29 @@ def least_owners(pieces: list[bytes], documents: np.ndarray, size: int) -> list[
     return [owner[e - n - 1 : e - size] for e, n in zip(ends, lengths, strict=True)]
 
 
+def _packed(*columns: np.ndarray | bytes) -> bytes:
+    """Columns of whole numbers, their bytes of equal weight side by side, compressed."""
+    parts = []
+    for c in columns:
+        raw = c if isinstance(c, bytes) else np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes()
+        parts += [len(raw).to_bytes(4, "little"), raw]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+
+
+def _unpacked(data: bytes, *kinds: str) -> list:
+    """The columns again; kind ``bytes`` or a numpy type."""
+    raw, at, out = memoryview(zstandard.ZstdDecompressor().decompress(data)), 0, []
+    for kind in kinds:
+        n = int.from_bytes(raw[at : at + 4], "little")
+        part, at = raw[at + 4 : at + 4 + n], at + 4 + n
+        if kind == "bytes":
+            out.append(bytes(part))
+        else:
+            width = np.dtype(kind).itemsize
+            out.append(np.ascontiguousarray(np.frombuffer(part, np.uint8).reshape(width, -1).T).view(kind).ravel())
+    return out
+
+
 def _ranges(covered: np.ndarray, start: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal (document, from, to) of neighbouring covered starts."""
     where = np.flatnonzero(covered)
@@ -217,9 +241,12 @@ def remove_repeats(
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lowest = -(1 << 63)
     rows = docs.select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("key"), F.xxhash64(text_col).alias("hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+        F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("key"), (F.pmod(F.xxhash64(text_col), F.lit(1 << 15))).cast("short").alias("mark"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
 
+    def bucket_of_id(ids: np.ndarray) -> np.ndarray:
+        return (mixed(ids.astype(np.int64).view(_U)) % _U(4 * parts)).astype(np.int64)
+
     def deal(keys: np.ndarray) -> np.ndarray:
         return ((keys >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
 
@@ -325,22 +352,14 @@ def remove_repeats(
                         s, n, d = start[own], count[own], doc[own]
                         distinct: dict[bytes, int] = {}
                         which = [distinct.setdefault(view[x : x + c + size - 1], len(distinct)) for x, c in zip(s.tolist(), n.tolist(), strict=True)]
-                        keys = np.empty(len(distinct), _U)
-                        keys[which] = key[own]
+                        keys = np.empty(len(distinct), "<u4")
+                        keys[which] = key[own] & _U(0xFFFFFFFF)
                         pieces = list(distinct)
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array([int(bucket[i])], pa.int32()),
-                                pa.array([b"".join(pieces)], pa.binary()),
-                                pa.array([np.array([len(p) for p in pieces], "<u4").tobytes()], pa.binary()),
-                                pa.array([keys.tobytes()], pa.binary()),
-                                pa.array([np.array(which, "<u4").tobytes()], pa.binary()),
-                                pa.array([ids[d].astype("<i8").tobytes()], pa.binary()),
-                                pa.array([marks[d].astype("<i8").tobytes()], pa.binary()),
-                                pa.array([(s - bounds[d]).astype("<u4").tobytes()], pa.binary()),
-                            ],
-                            names=["bucket", "pieces", "lengths", "keys", "which", "ids", "marks", "starts"],
-                        )
+                        body = _packed(
+                            b"".join(pieces), np.array([len(p) for p in pieces], "<u4"), keys, np.array(which, "<u4"),
+                            ids[d].astype("<i8"), marks[d].astype("<i2"), (s - bounds[d]).astype("<u4"),
+                        )
+                        yield pa.RecordBatch.from_arrays([pa.array([int(bucket[i])], pa.int32()), pa.array([body], pa.binary())], names=["bucket", "body"])
 
         return run
 
@@ -348,22 +367,21 @@ def remove_repeats(
         pieces: list[bytes] = []
         keys, which, ids, marks, starts = [], [], [], [], []
         for batch in batches:
-            for r in zip(*batch.columns[1:], strict=True):
-                data, lengths, key, own, doc, mark, start = (x.as_buffer() for x in r)
-                ends = np.cumsum(np.frombuffer(lengths, "<u4").astype(np.int64))
-                view = data.to_pybytes()
-                which.append(np.frombuffer(own, "<u4").astype(np.int64) + len(pieces))
-                pieces += [view[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-                keys.append(np.frombuffer(key, _U))
-                ids.append(np.frombuffer(doc, "<i8"))
-                marks.append(np.frombuffer(mark, "<i8"))
-                starts.append(np.frombuffer(start, "<u4").astype(np.int64))
+            for body in batch.column(1):
+                data, lengths, key, own, doc, mark, start = _unpacked(body.as_py(), "bytes", "<u4", "<u4", "<u4", "<i8", "<i2", "<u4")
+                ends = np.cumsum(lengths.astype(np.int64))
+                which.append(own.astype(np.int64) + len(pieces))
+                pieces += [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+                keys.append(key)
+                ids.append(doc)
+                marks.append(mark)
+                starts.append(start.astype(np.int64))
         if not pieces:
             return
         encoded = pa.array(pieces, pa.large_binary()).dictionary_encode()
         distinct, code = encoded.dictionary, encoded.indices.to_numpy().astype(np.int64)
         del pieces, encoded
-        piece_key = np.empty(len(distinct), _U)
+        piece_key = np.empty(len(distinct), "<u4")
         piece_key[code] = np.concatenate(keys)
         piece, doc, mark, start = code[np.concatenate(which)], np.concatenate(ids), np.concatenate(marks), np.concatenate(starts)
         least = np.full(len(distinct), np.iinfo(np.int64).max)
@@ -396,46 +414,86 @@ def remove_repeats(
                 row = np.repeat(np.arange(len(c)), c)
                 covered = owner < doc[at][row]
                 r, s, e = _ranges(covered, start[at][row] + step, row, size)
-                if len(r):
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[at][r]), pa.array(mark[at][r]), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["key", "hash", "s", "e"])
+                if not len(r):
+                    continue
+                d, m = doc[at][r], mark[at][r]
+                home = bucket_of_id(d)
+                order = np.argsort(home, kind="stable")
+                d, m, s, e, home = d[order], m[order], s[order], e[order], home[order]
+                edges = np.flatnonzero(np.diff(home, prepend=-1))
+                for p, q in zip(edges, [*edges[1:], len(home)], strict=True):
+                    body = _packed(d[p:q], m[p:q], s[p:q].astype("<u4"), (e[p:q] - s[p:q]).astype("<u4"))
+                    yield pa.RecordBatch.from_arrays([pa.array([int(home[p])], pa.int32()), pa.array([body], pa.binary())], names=["home", "body"])
             i = k
 
-    blobs = "bucket int, pieces binary, lengths binary, keys binary, which binary, ids binary, marks binary, starts binary"
     ranges = reduce(
         DataFrame.unionByName,
         [
-            rows.select("key", "hash", "text").mapInArrow(send_runs(bitmap(r), r), blobs).repartition(parts, "bucket").mapInArrow(compare, "key long, hash long, s int, e int")
+            rows.select("key", "mark", "text").mapInArrow(send_runs(bitmap(r), r), "bucket int, body binary").repartition(parts, "bucket").mapInArrow(compare, "home int, body binary")
             for r in range(rounds)
         ],
     )
-    own = ranges.groupBy("key", "hash").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+    # Documents meet their ranges by a hash of the id; texts travel compressed.
     kind = dict(docs.dtypes)[id_col]
 
+    def send_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            home = bucket_of_id(batch.column(1).to_numpy(zero_copy_only=False))
+            texts = [squeeze.compress(t) for t in batch.column(3).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(texts, pa.binary()), *batch.columns[:3]], names=["home", "body", "id", "key", "mark"])
+
+    texts = rows.select("id", "key", "mark", "text").mapInArrow(send_texts, f"home int, body binary, id {kind}, key long, mark short")
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ranges of a home come before its texts."""
+        now, held, found = None, [], {}
+        grow = zstandard.ZstdDecompressor()
+        list_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+        def by_document() -> dict:
+            """(id, mark) -> its merged ranges' starts and ends."""
+            if not held:
+                return {}
+            d, m, s, n = (np.concatenate(c) for c in zip(*(_unpacked(x, "<i8", "<i2", "<u4", "<u4") for x in held), strict=True))
+            order = np.lexsort((s, m, d))
+            d, m, s = d[order], m[order], s[order].astype(np.int64)
+            e = s + n[order]
+            edges = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (m[1:] != m[:-1])]))
+            out = {}
+            for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(d)], strict=True):
+                far = np.maximum.accumulate(e[i:j])
+                new = np.concatenate([[True], s[i + 1 : j] > far[:-1]])
+                last = np.append(np.flatnonzero(new)[1:], j - i) - 1
+                out[int(d[i]), int(m[i])] = (s[i:j][new].tolist(), far[last].tolist())
+            return out
+
         for batch in batches:
-            lists = batch.column(2)
-            removed, kept, sizes = [], [], []
-            for text, pairs in zip(batch.column(1).cast(pa.binary()).to_pylist(), lists, strict=True):
-                out, left, at = [], [], 0
-                if pairs.is_valid:
-                    s, e = (np.asarray(pairs.values.field(k)) for k in (0, 1))
-                    order = np.argsort(s)
-                    s, e = s[order], np.maximum.accumulate(e[order])
-                    new = np.concatenate([[True], s[1:] > e[:-1]])
-                    last = np.append(np.flatnonzero(new)[1:], len(s)) - 1
-                    out = list(zip(s[new].tolist(), e[last].tolist(), strict=True))
-                for x, y in out:
-                    left.append(text[at:x])
-                    at = y
-                left.append(text[at:])
-                removed.append([{"start": x, "end": y} for x, y in out])
-                kept.append(b"".join(left))
+            ids, sizes, removed, kept = [], [], [], []
+            for i, (home, is_text, body, key, mark) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4, 5)), strict=True)):
+                if home != now:
+                    now, held, found = home, [], None
+                if not is_text:
+                    held.append(body)
+                    continue
+                if found is None:
+                    found, held = by_document(), []
+                text = grow.decompress(body)
+                starts, ends = found.get((key, mark), ((), ()))
+                edges = [0, *(x for pair in zip(starts, ends, strict=True) for x in pair), len(text)]
+                ids.append(i)
                 sizes.append(len(text))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
-                names=["id", "n_bytes", "removed", "kept"],
-            )
-
-    joined = rows.join(own, ["key", "hash"], "left").select("id", "text", "ranges")
-    out = joined.mapInArrow(cut, f"id {kind}, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
+                removed.append([{"start": a, "end": b} for a, b in zip(starts, ends, strict=True)])
+                kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+            if ids:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(3).take(pa.array(ids)), pa.array(sizes, pa.int64()), pa.array(removed, list_type), pa.array(kept, pa.binary())],
+                    names=["id", "n_bytes", "removed", "kept"],
+                )
+
+    nothing = lambda t: F.lit(None).cast(t)
+    both = texts.select("home", F.lit(True).alias("is_text"), "body", "id", "key", "mark").unionByName(
+        ranges.select("home", F.lit(False).alias("is_text"), "body", nothing(kind).alias("id"), nothing("long").alias("key"), nothing("short").alias("mark"))
+    )
+    out = both.repartition(parts, "home").sortWithinPartitions("home", "is_text").mapInArrow(cut, f"id {kind}, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
     return out.withColumnRenamed("id", id_col) if id_col != "id" else out

@@ -38,7 +38,7 @@ def test_removed_bytes_equal_brute_force(spark):
     word = lambda: rng.choice(["é", "the ", "of ", "ab", "x", "tion ", "\n", "\x00", "ÿ"])
     text = lambda n: "".join(word() for _ in range(n))
     passages = [text(rng.randrange(20, 60)) for _ in range(8)]
-    rows = [(None, passages[0]), (0, None), (1, ""), (2, "short"), (3, "short"), (4, "a" * 400), (5, "a" * 300), (6, "b" + "a" * 49), (7, "a" * 49)]
+    rows = [(None, passages[0]), (0, None), (1, ""), (2, "short"), (3, "short"), (4, "a" * 70_000), (5, "a" * 66_000), (6, "b" + "a" * 49), (7, "a" * 49)]
     for d in range(10, 150):
         parts = [text(rng.randrange(30)) for _ in range(rng.randrange(1, 5))]
         for _ in range(rng.randrange(3)):
