@@ -142,7 +142,7 @@ def near_duplicates(
     shingle: int = 5,
     threshold: int = 75,
     sketch_floor: float = 0.5,
-    block: int = 64,
+    block: int = 1024,
     max_broadcast: int = 500_000,
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row.
