@@ -229,7 +229,7 @@ def remove_repeats(
     id_col: str = "doc_id",
     text_col: str = "text",
     bitmap_bits: int = 27,
-    slice_bytes: int = 2_000_000,
+    slice_bytes: int = 1_200_000,
 ) -> DataFrame:
     """(id, n_bytes, removed: array of (start, end) in bytes, kept: binary) for every row.
 
@@ -239,6 +239,7 @@ def remove_repeats(
     spark = docs.sparkSession
     small_arrow_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fine = 2 * parts
     lowest = -(1 << 63)
     rows = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("key"), (F.pmod(F.xxhash64(text_col), F.lit(1 << 15))).cast("short").alias("mark"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
@@ -248,7 +249,7 @@ def remove_repeats(
         return (mixed(ids.astype(np.int64).view(_U)) % _U(4 * parts)).astype(np.int64)
 
     def deal(keys: np.ndarray) -> np.ndarray:
-        return ((keys >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+        return ((keys >> _U(32)) * _U(fine) >> _U(32)).astype(np.int64)
 
     def send_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,7 +294,7 @@ def remove_repeats(
                 yield pa.RecordBatch.from_arrays([pa.array(good[i : i + 50_000].view(np.int64))], names=["key"])
 
     hashes = rows.select("key", "text").mapInArrow(send_hashes, "bucket int, keys binary, twice binary")
-    found = written(hashes.repartition(parts, "bucket").mapInArrow(repeated, "key long"))
+    found = written(hashes.repartition(fine, "bucket").mapInArrow(repeated, "key long"))
     # A bitmap of 2 ** bitmap_bits bits serves an eighth as many hashes.
     rounds = max(1, -(-found.count() >> (bitmap_bits - 3)))
 
@@ -364,21 +365,23 @@ def remove_repeats(
         return run
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: list[bytes] = []
+        pieces: list[pa.Array] = []
+        n_pieces = 0
         keys, which, ids, marks, starts = [], [], [], [], []
         for batch in batches:
             for body in batch.column(1):
                 data, lengths, key, own, doc, mark, start = _unpacked(body.as_py(), "bytes", "<u4", "<u4", "<u4", "<i8", "<i2", "<u4")
-                ends = np.cumsum(lengths.astype(np.int64))
-                which.append(own.astype(np.int64) + len(pieces))
-                pieces += [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+                ends = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))])
+                which.append(own.astype(np.int64) + n_pieces)
+                pieces.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(data)]))
+                n_pieces += len(lengths)
                 keys.append(key)
                 ids.append(doc)
                 marks.append(mark)
                 starts.append(start.astype(np.int64))
         if not pieces:
             return
-        encoded = pa.array(pieces, pa.large_binary()).dictionary_encode()
+        encoded = pa.concat_arrays(pieces).dictionary_encode()
         distinct, code = encoded.dictionary, encoded.indices.to_numpy().astype(np.int64)
         del pieces, encoded
         piece_key = np.empty(len(distinct), "<u4")
@@ -386,7 +389,7 @@ def remove_repeats(
         piece, doc, mark, start = code[np.concatenate(which)], np.concatenate(ids), np.concatenate(marks), np.concatenate(starts)
         least = np.full(len(distinct), np.iinfo(np.int64).max)
         np.minimum.at(least, piece, doc)
-        # Groups of pieces with equal hash are compared, about a million bytes at a time.
+        # Groups of pieces with equal hash are compared, some hundred thousand bytes at a time.
         by_key = np.argsort(piece_key, kind="stable")
         lengths = np.diff(np.frombuffer(distinct.buffers()[1], np.int64, len(distinct) + 1, 8 * distinct.offset))
         new_key = np.flatnonzero(np.diff(piece_key[by_key], prepend=~piece_key[by_key[0]]))
@@ -398,15 +401,15 @@ def remove_repeats(
         spot = place[piece]
         i = 0
         while i < len(by_key):
-            k = np.searchsorted(sums, sums[i] + 1_000_000)
+            k = np.searchsorted(sums, sums[i] + 400_000)
             k = new_key[np.searchsorted(new_key, k)] if k <= new_key[-1] else len(by_key)
             own = by_key[i:k]
             owners = least_owners(distinct.take(pa.array(own)).to_pylist(), least[own], size)
             flat, n = np.concatenate(owners), np.array([len(o) for o in owners])
             begin = np.cumsum(n) - n
             lo, hi = np.searchsorted(spot, [i, k])
-            for x in range(lo, hi, 50_000):
-                at = slice(x, min(x + 50_000, hi))
+            for x in range(lo, hi, 20_000):
+                at = slice(x, min(x + 20_000, hi))
                 which_piece = spot[at] - i
                 c = n[which_piece]
                 step = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
@@ -429,7 +432,7 @@ def remove_repeats(
     ranges = reduce(
         DataFrame.unionByName,
         [
-            rows.select("key", "mark", "text").mapInArrow(send_runs(bitmap(r), r), "bucket int, body binary").repartition(parts, "bucket").mapInArrow(compare, "home int, body binary")
+            rows.select("key", "mark", "text").mapInArrow(send_runs(bitmap(r), r), "bucket int, body binary").repartition(fine, "bucket").mapInArrow(compare, "home int, body binary")
             for r in range(rounds)
         ],
     )
