@@ -69,7 +69,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def runs_of(data: np.ndarray, bounds: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs_of(data: np.ndarray, bounds: np.ndarray, size: int, gram: int, most: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, first start, number of starts, hash) of the runs of all strings of ``size`` bytes."""
     empty = np.empty(0, np.int64)
     if len(data) < size:
@@ -86,7 +86,12 @@ def runs_of(data: np.ndarray, bounds: np.ndarray, size: int, gram: int) -> tuple
     # A run ends where the next begins, or at the last string of its document.
     edges = np.flatnonzero(change | ~inside)
     stop = np.append(edges, len(least))[np.searchsorted(edges, first, "right")]
-    return doc[first], first, stop - first, least[first]
+    count = stop - first
+    # Runs grow long only where text repeats itself; cut evenly, its pieces are alike.
+    pieces = -(-count // most)
+    step = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first, count = np.repeat(first, pieces) + most * step, np.repeat(count, pieces) - most * step
+    return doc[first], first, np.minimum(count, most), least[first]
 
 
 def _is_smaller(text: np.ndarray) -> np.ndarray:
