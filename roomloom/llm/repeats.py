@@ -91,7 +91,8 @@ def runs_of(data: np.ndarray, bounds: np.ndarray, size: int, gram: int, most: in
     pieces = -(-count // most)
     step = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     first, count = np.repeat(first, pieces) + most * step, np.repeat(count, pieces) - most * step
-    return doc[first], first, np.minimum(count, most), least[first]
+    # Least hashes are small numbers; mixed again they spread over all partitions.
+    return doc[first], first, np.minimum(count, most), mixed(least[first])
 
 
 def _is_smaller(text: np.ndarray) -> np.ndarray:
