@@ -45,21 +45,26 @@ def best_cuts(points: list[int], penalties: list[float], length: int) -> list[in
     n = len(points)
     cost = [0.0] * n
     back = [0] * n
-    place = {p: k for k, p in enumerate(points)}
-    powers = [1 << b for b in range(length.bit_length()) if 1 << b <= length]
+    # All (point, earlier point) at a power of two from each other, by point.
+    at = np.array(points)
+    place = np.full(points[-1] + 1, -1)
+    place[at] = np.arange(n)
+    found = [(k := np.flatnonzero(at >= p), place[at[k] - p]) for p in (1 << b for b in range(length.bit_length())) if p <= length]
+    later, earlier = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+    later, earlier = later[earlier >= 0], earlier[earlier >= 0]
+    order = np.argsort(later, kind="stable")
+    earlier = earlier[order].tolist()
+    bounds = np.searchsorted(later[order], np.arange(n + 1)).tolist()
     queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # f(i) + i ascending, position, index
-    get = place.get
     for k in range(1, n):
         j = points[k]
         while queue[0][1] < j - length:
             queue.popleft()
         head = queue[0]
         best, source = head[0] + length - j, head[2]
-        if best > 0:
-            for p in powers:
-                i = get(j - p)
-                if i is not None and cost[i] < best:
-                    best, source = cost[i], i
+        for i in earlier[bounds[k] : bounds[k + 1]]:
+            if cost[i] < best:
+                best, source = cost[i], i
         best += penalties[k]
         cost[k], back[k] = best, source
         value = best + j

@@ -31,7 +31,7 @@ class PieceEncoder:
     the pieces met afterwards are encoded again.
     """
 
-    def __init__(self, tokenizer_path: str, max_pieces: int = 600_000):
+    def __init__(self, tokenizer_path: str, max_pieces: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -136,7 +136,7 @@ def encoder(tokenizer_path: str) -> PieceEncoder:
     return _encoders[tokenizer_path]
 
 
-def slices(texts: pa.Array, size: int = 3_000_000):
+def slices(texts: pa.Array, size: int = 8_000_000):
     """Index ranges of consecutive texts with about ``size`` bytes each."""
     lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
