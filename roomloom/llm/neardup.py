@@ -5,12 +5,15 @@ samples a set give 32 bands of 4 (a pair at similarity 0.75 shares no band once
 in 200,000), and are folded into an odd sketch: a bitmap of 512 bits in which
 every (place, sample) flips one bit.  The XOR of two sketches has a bit for every
 sample that differs, so its population count estimates high similarities
-closely, and drops candidates far below the threshold.  Survivors are confirmed
-on their full sets.
-
-Equal sets are one node.  In a bucket (documents with an equal band) every node
-first meets the bucket's smallest node only, and of these its smallest candidate
-is confirmed first.  Only buckets that still hold several components are then
+closely, and drops candidates far below the threshold.  A second odd sketch, of
+1024 bits, folds the shingles themselves: its XOR counts those that only one of
+two sets holds.  With the sets' sizes that tells small sets of similarity 0.7
+from those of 0.75; for sets of many thousands it fills up and drops nothing.
+Survivors are confirmed on their full sets.
+
+Equal sets are one node.  Every node first meets one other only: of the smallest
+nodes of its buckets (documents with an equal band) the one that most of them
+name.  Only buckets that still hold several components are then
 searched for links between those: in blocks of about ``block`` nodes, sketches
 against sketches, and what passes is confirmed as before.  No links are lost and
 no bucket is multiplied out.
@@ -37,7 +40,7 @@ from .components import components
 from .hashing import mixed, numbers, shingles, word_hashes, word_table
 from .tokens import slices
 
-SAMPLES, ROWS, BITS = 128, 4, 512
+SAMPLES, ROWS, BITS, SET_BITS = 128, 4, 512, 1024
 BANDS = SAMPLES // ROWS
 
 _U = np.uint64
@@ -69,6 +72,13 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
     return np.packbits(parity.reshape(n, BITS), axis=1, bitorder="little").view(np.int64)
 
 
+def set_sketch(own: np.ndarray) -> np.ndarray:
+    """Parity bitmap of the set itself, as a row of longs."""
+    at = (mixed(own + numbers(15, 1)) % _U(SET_BITS)).astype(np.int64)
+    parity = np.bincount(at, minlength=SET_BITS).astype(np.uint8) & 1
+    return np.packbits(parity, bitorder="little").view(np.int64)
+
+
 def most_bits(similarity: float) -> int:
     """Expected population count of the XOR of two sketches at a similarity."""
     flips = 2 * SAMPLES * (1 - similarity)
@@ -85,7 +95,7 @@ def _digest(own: np.ndarray) -> bytes | None:
 
 
 def fingerprints(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, digest, bands, sketch) a row; the last three are null for an empty set."""
+    """(id, n, digest, bands, sketch, whole) a row; the last four are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,17 +103,46 @@ def fingerprints(docs: DataFrame, size: int, id_col: str, text_col: str) -> Data
                 sets = _sets(batch.column(1)[a:b], size)
                 samples = np.stack([minhashes(s) for s in sets])
                 bands, sketch, empty = band_keys(samples), odd_sketches(samples), np.array([not len(s) for s in sets])
+                whole = np.stack([set_sketch(s) for s in sets])
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()), mask=pa.array(empty))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), lists(bands), lists(sketch)],
-                    names=["id", "n", "digest", "bands", "sketch"],
+                    [batch.column(0)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), lists(bands), lists(sketch), lists(whole)],
+                    names=["id", "n", "digest", "bands", "sketch", "whole"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, digest binary, bands array<long>, sketch array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, digest binary, bands array<long>, sketch array<long>, whole array<long>")
+
+
+def flat(nodes: DataFrame) -> DataFrame:
+    """(id, n, s0.., w0..): a column for each long of the sketches, so that ``alike`` is compiled small."""
+    return nodes.select("id", "n", *(F.col(c)[k].alias(f"{c[0]}{k}") for c, bits in (("sketch", BITS), ("whole", SET_BITS)) for k in range(bits // 64)))
+
 
+def differing_bits(x: str, y: str, kind: str, bits: int) -> Column:
+    return sum((F.bit_count(F.col(f"{x}.{kind}{k}").bitwiseXOR(F.col(f"{y}.{kind}{k}"))) for k in range(bits // 64)), F.lit(0))
 
-def differing_bits(a: Column, b: Column) -> Column:
-    return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(BITS // 64)), F.lit(0))
+
+def most_set_bits(both_sizes: Column, threshold: int) -> Column:
+    """What the XOR of two sets' sketches may count where the sets reach the threshold.
+
+    Such sets differ in at most (100 - t) / (100 + t) of the sum of their sizes.
+    The count never exceeds that number d; where many of d share a bit, seven
+    standard deviations above the mean count of d is the smaller bound.
+    """
+    d, b = F.floor(both_sizes * (100 - threshold) / (100 + threshold)), SET_BITS
+    one, two = F.pow(F.lit(1 - 2 / b), d), F.pow(F.lit(1 - 4 / b), d)
+    variance = F.greatest((b + b * (b - 1) * two - b * b * one * one) / 4, F.lit(0.0))
+    return F.least(d.cast("double"), b / 2 * (1 - one) + 7 * F.sqrt(variance))
+
+
+def alike(x: str, y: str, limit: int, threshold: int) -> Column:
+    """Whether the sizes and sketches of two flat tables' nodes leave room for the threshold."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return (
+        (100 * F.least(n, m) >= threshold * F.greatest(n, m))
+        & (differing_bits(x, y, "s", BITS) <= limit)
+        & (differing_bits(x, y, "w", SET_BITS) <= most_set_bits(n + m, threshold))
+    )
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, threshold: int, size: int, id_col: str, text_col: str, max_broadcast: int) -> DataFrame:
@@ -157,41 +196,42 @@ def near_duplicates(
     prints = written(fingerprints(docs, shingle, id_col, text_col))
     # One node for each distinct set, named by its smallest id.
     nodes = written(
-        prints.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).filter("id is not null")
+        prints.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "bands", "sketch", "whole"))).filter("id is not null")
     )
     banded = nodes.select("id", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("id").alias("least"), F.count("*").alias("members")).filter("members > 1")
     members = written(banded.join(shared, "band"))
 
-    sketches = nodes.select("id", "sketch")
-    stars = members.filter("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
-    near = written(
-        stars.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a")
-        .join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
-        .filter(differing_bits(F.col("x"), F.col("y")) <= limit).select("a", "b")
+    sketches = flat(nodes)
+    # One star a node: the least id that it meets in most buckets.
+    stars = (
+        members.filter("id <> least").groupBy(F.col("id").alias("a"), F.col("least").alias("b")).agg(F.count("*").alias("bands"))
+        .groupBy("a").agg(F.max_by("b", F.struct("bands", -F.col("b"))).alias("b"))
+    )
+    x, y = sketches.alias("x"), sketches.alias("y")
+    first = written(
+        stars.join(x, F.col("a") == F.col("x.id")).join(y, (F.col("b") == F.col("y.id")) & alike("x", "y", limit, threshold)).select("a", "b")
     )
     check = lambda pairs: written(confirm(pairs, docs, nodes, threshold, shingle, id_col, text_col, max_broadcast))
-    first = near.groupBy("a").agg(F.min("b").alias("b"))
-    links = check(written(first))
+    links = check(first)
     labels = components(links)
 
-    # What the stars left apart: other stars, and blocks of buckets with several components.
+    # What the stars left apart: blocks of buckets with several components.
     label = lambda df, c: df.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")), c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))
-    apart = label(label(near, "a"), "b").filter("a_label <> b_label").select("a", "b")
     labelled = label(members.select("band", "members", "id"), "id")
     open_bands = labelled.groupBy("band").agg(F.min("id_label").alias("lo"), F.max("id_label").alias("hi")).filter("lo <> hi").select("band")
     pending = labelled.join(open_bands, "band").join(sketches, "id")
     blocks = F.ceil(F.col("members") / block).cast("int")
     dealt = pending.withColumn("k", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("band", F.least("k", "other").alias("p"), F.greatest("k", "other").alias("q"), "k", "id", "id_label", "sketch")
+    dealt = dealt.select("band", F.least("k", "other").alias("p"), F.greatest("k", "other").alias("q"), "k", "id_label", *sketches.columns)
     x, y = dealt.alias("x"), dealt.alias("y")
     met = x.join(
         y,
         (F.col("x.band") == F.col("y.band")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
         & ((F.col("x.p") == F.col("x.q")) | (F.col("x.k") != F.col("y.k"))) & (F.col("x.id") > F.col("y.id")) & (F.col("x.id_label") != F.col("y.id_label"))
-        & (differing_bits(F.col("x.sketch"), F.col("y.sketch")) <= limit),
+        & alike("x", "y", limit, threshold),
     ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    rest = written(apart.unionByName(met).distinct().join(first, ["a", "b"], "left_anti"))
+    rest = written(met.distinct().join(first, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
         labels = components(links.unionByName(check(rest)))
 
