@@ -53,8 +53,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens."""
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), length=2048)
+    """Pieces of sequences of at most 2048 tokens.
+
+    The executors still hold what the stages before took, so the workers get less memory.
+    """
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), length=2048, max_pieces=200_000, slice_bytes=1_000_000)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -100,19 +100,24 @@ def pack(
     sentence_penalty: float = 2.0,
     other_penalty: float = 32.0,
     stretch: int = 500_000,
+    max_pieces: int = 1_200_000,
+    slice_bytes: int = 8_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row a piece: (id, start, length, ids, doc_tokens, sequence_id, offset).
 
     ``ids`` are little-endian unsigned 32-bit; the pieces of a ``sequence_id`` in
-    order of ``offset`` are the sequence.  No row is shuffled.
+    order of ``offset`` are the sequence.  No row is shuffled.  ``max_pieces`` (the
+    encoder's cache) and ``slice_bytes`` (texts encoded at once) set a worker's
+    memory against its time; the first changes no row, the second only where a
+    stretch ends.
     """
     small_arrow_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(tokenizer_path)
+        tokens = encoder(tokenizer_path, max_pieces)
         vocabulary = tokens.tokenizer.get_vocab_size()
         decoded = tokens.tokenizer.decode_batch([[i] for i in range(vocabulary)])
         sentence = np.fromiter((x.endswith(SENTENCE_ENDS) for x in decoded), bool, vocabulary)
@@ -148,7 +153,7 @@ def pack(
             number += len(cuts) - 1
 
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), slice_bytes):
                 own.append(batch.column(0)[a:b])
                 ids += tokens.encode(batch.column(1)[a:b])
                 held += sum(map(len, ids[-(b - a):]))

@@ -50,14 +50,18 @@ class PieceEncoder:
         self.counts = np.zeros(1, np.int64)
 
     def _learn(self, pieces: list[str]) -> None:
-        encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        ids = [e.ids for e in encoded]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        # In steps: an encoding holds far more memory than its ids.
+        all_counts, all_ids = [], []
+        for i in range(0, len(pieces), 8192):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[i : i + 8192], add_special_tokens=False)]
+            all_counts.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            all_ids.append(np.fromiter((x for row in ids for x in row), np.uint32, int(all_counts[-1].sum())))
+        counts, new = np.concatenate(all_counts), np.concatenate(all_ids)
         used = int(self.starts[-1])
-        need = used + int(counts.sum())
+        need = used + len(new)
         if need > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty(max(need, len(self.flat)), np.uint32)])
-        self.flat[used:need] = np.fromiter((x for row in ids for x in row), np.uint32, need - used)
+        self.flat[used:need] = new
         self.starts = np.concatenate([self.starts, used + np.cumsum(counts)])
         self.counts = np.concatenate([self.counts, counts])
         base = len(self.codes)
@@ -125,15 +129,16 @@ class PieceEncoder:
         return out
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def encoder(tokenizer_path: str) -> PieceEncoder:
+def encoder(tokenizer_path: str, max_pieces: int = 1_200_000) -> PieceEncoder:
     """The worker's encoder for a vocabulary; Python workers serve many tasks."""
-    if tokenizer_path not in _encoders:
+    key = tokenizer_path, max_pieces
+    if key not in _encoders:
         _encoders.clear()
-        _encoders[tokenizer_path] = PieceEncoder(tokenizer_path)
-    return _encoders[tokenizer_path]
+        _encoders[key] = PieceEncoder(tokenizer_path, max_pieces)
+    return _encoders[key]
 
 
 def slices(texts: pa.Array, size: int = 8_000_000):
