@@ -70,3 +70,8 @@ def trace_id(candidate: Column) -> Column:
 def client_ip(cloud: Column, forwarded: Column, real: Column, host: Column) -> Column:
     some = lambda c: F.nullif(F.trim(c), F.lit(""))
     return F.coalesce(some(cloud), some(F.split(forwarded, ",")[0]), some(real), some(host), F.lit("unknown"))
+
+
+def suspicious(max_capacity: Column, price: Column, large: int = 20) -> Column:
+    """A dear room for one, or a cheap one for many."""
+    return ((max_capacity == 1) & (price > 15000)) | ((max_capacity >= large) & (price < 10000))

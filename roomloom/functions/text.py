@@ -146,3 +146,8 @@ def cascade(name: Column, desc: Column, response: Column) -> Column:
 def unfenced(response: Column) -> Column:
     """A model's answer without the code fence around it."""
     return strip(F.regexp_replace(F.regexp_replace(strip(response), "^```(?:json)?", ""), "```$", ""))
+
+
+def needs_model(desc: Column) -> Column:
+    """Whether the patterns are likely to miss the capacity of a description."""
+    return ~F.coalesce(desc, F.lit("")).rlike(r"최대\s*\d+|\d+[~\-]\d+인")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from roomloom.functions import checks, masking, text
-from roomloom.operators import merge
+from roomloom.operators import collection, merge
 from roomloom.plans import queries as market
 from roomloom.sources import payloads
 from roomloom.streaming import jobs
@@ -97,6 +97,25 @@ def test_streams_equal_batches(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "fav/1")).collect()] == [("e", "b", "i")]
 
 
+def test_export_adds_once_a_day(spark, tmp_path):
+    folder = str(tmp_path / "unresolved")
+    schema = "business_id string, biz_item_id string, max_capacity int"
+    first = spark.createDataFrame([("b", "1", None), ("b", "2", 100), ("b", "3", 4)], schema)
+    collection.export_unresolved(first, folder, "2024-06-15")
+    collection.export_unresolved(first.unionByName(spark.createDataFrame([("b", "4", None)], schema)), folder, "2024-06-15")
+    collection.export_unresolved(first, folder, "2024-06-16")
+    got = spark.read.json(folder).select("export_date", "biz_item_id", "failure_reason").collect()
+    day = lambda d: {(d, "1", "no_capacity_info"), (d, "2", "manual_review_flag")}
+    assert len(got) == 5
+    assert {(int(r[0]), r[1], r[2]) for r in got} == day(20240615) | {(20240615, "4", "no_capacity_info")} | day(20240616)
+
+
+def test_flags_of_texts(spark):
+    df = spark.createDataFrame([("최대 10인", 1, 15001), ("4~6인", 20, 9999), ("넓은 방", 1, 15000), (None, 20, 10000)], "t string, n int, p int")
+    got = df.select(text.needs_model(F.col("t")).alias("m"), checks.suspicious(F.col("n"), F.col("p")).alias("s")).collect()
+    assert [tuple(r) for r in got] == [(False, True), (False, True), (True, False), (True, False)]
+
+
 def plain(v):
     if v is None or isinstance(v, (bool, str)):
         return v
