@@ -23,7 +23,7 @@ from .common import ascii_lower
 
 Rule = tuple[str, str, str]
 
-_RULE, _PATHS = "", "/"  # keys of a node that no label or segment can equal
+_RULE, _PATHS = "//", "/"  # keys of a node that no label or segment can equal, empty ones included
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
