@@ -10,9 +10,10 @@ Reader: Spark's text source splits archives into byte ranges and delivers what
 lies between gzip magics; a task owns what starts in its range and reads past the
 end for its last piece.  A magic can occur inside compressed data, so each piece
 is a candidate: it starts a record if its gzip header is sound and what it
-decompresses to starts with a WARC version.  A piece that does not start one
-continues the piece before it; the few that continue over a range's end are put
-together by file afterwards.
+decompresses to starts with a WARC version.  A piece that does not start one, or
+is too short to tell, continues the piece before it; where a member ends inside
+the joined bytes, the next candidate starts.  The few that continue over a
+range's end are put together by file afterwards.
 
 Archives must not be named ``.gz``: Hadoop decompresses such files as a whole,
 and they cannot be split.
@@ -104,14 +105,15 @@ def starts_record(piece: bytes) -> bool:
         return False
 
 
-def whole_member(data: bytes) -> bytes | None:
-    """The decompressed member at the start of ``data``, or None if it does not end there."""
+def whole_member(data: bytes) -> tuple[bytes, bytes] | None:
+    """The decompressed member at the start of ``data`` and what follows it; the
+    member is empty if it does not end there, and None stands for damage."""
     unpacker = zlib.decompressobj(31)
     try:
         out = unpacker.decompress(data) + unpacker.flush()
     except zlib.error:
         return None
-    return out if unpacker.eof else None
+    return (out, unpacker.unused_data) if unpacker.eof else (b"", data)
 
 
 def parse_record(record: bytes) -> tuple:
@@ -125,22 +127,39 @@ def parse_record(record: bytes) -> tuple:
     return number("WARC-Record-ID"), fields.get("WARC-Target-URI"), payload if kind == "response" else None, size, fields.get("WARC-Payload-Digest", "").removeprefix("sha1:"), kind, number("WARC-Refers-To")
 
 
-def stitched(pieces: Iterator[bytes]) -> Iterator[tuple[bytes | None, bytes]]:
-    """(member or None, bytes) of consecutive pieces: one that starts no record is
-    added to the one before it."""
-    held: list[bytes] = []
+def members(data: bytes) -> Iterator[tuple[bytes | None, bytes]]:
+    """(member or None, bytes) of joined pieces.
+
+    A piece too short to tell what it is has been joined to the one before it: what
+    follows a member's end is the next candidate.  Behind bytes that start no
+    record or are damaged, the next candidate is the next magic that starts one.
+    """
+    while data:
+        found = whole_member(data) if starts_record(data) else None
+        if found and not found[0]:
+            yield None, data  # its end lies in the next range
+            return
+        if found:
+            at = data.find(_MAGIC, len(data) - len(found[1]))
+            yield found[0], data[: at if at >= 0 else len(data)]
+        else:
+            at = data.find(_MAGIC, 1)
+            while at >= 0 and not starts_record(data[at : at + 4096]):
+                at = data.find(_MAGIC, at + 1)
+            yield None, data[: at if at >= 0 else len(data)]
+        data = data[at:] if at >= 0 else b""
 
-    def joined() -> tuple[bytes | None, bytes]:
-        data = b"".join(held)
-        return (whole_member(data) if starts_record(data) else None), data
 
+def stitched(pieces: Iterator[bytes]) -> Iterator[tuple[bytes | None, bytes]]:
+    """(member or None, bytes) of consecutive pieces: one that starts no record, or
+    cannot yet be told to, is added to the one before it."""
+    held: list[bytes] = []
     for piece in pieces:
         if held and starts_record(piece):
-            yield joined()
+            yield from members(b"".join(held))
             held = []
         held.append(piece)
-    if held:
-        yield joined()
+    yield from members(b"".join(held))
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Token files, packing and WARC: exact round trips and brute force."""
 
+import base64
 import random
 import zlib
 
@@ -152,3 +153,39 @@ def test_pieces_with_a_magic_inside_are_put_together():
     pieces = [b"\x1f\x8b\x08" + x for x in data.split(b"\x1f\x8b\x08")[1:]]
     assert len(pieces) == 5
     assert [m is not None for m, _ in warc.stitched(iter(pieces))] == [True] * 3
+
+
+#: A member of level 6 that holds a magic at byte 29, before zlib gives any output.
+EARLY = base64.b64decode(
+    "H4sIAAAAAAAAA02PTW+CQBiE7yT8BxAqBbLAwi4fiwiNXkx6aIyNTW+ru4BWwcLaVn99bWMbkzm8mcwzk3f5MJ+40IGytLxcYHE6cKJ0vD+0Tc+v5pyv246B2ZQoo2PXkAOtOAm9MMAJ"
+    "guM/knYVF+B5PiNKLcSBuG672XxiuuU7uj+3H/G2dlBVJc77G4rO7wk7uvWVnVJxWYVJ5AEPXrTwPPKr12vgiZ52LWVguql4L4jS1xSSVVD6JVzBEOMQ+0G85hiFrIwTihjDIWUeZQyW"
+    "SJZe/gseeVOJmihJLEuTthG8EdefBf8Sbi32u1RZ17TruciOogQ3uVtWlrAJCy3Xs2Eaac7YUU0DDgsX5UGQpgM7R1mWjorQAbbvRQaygAlT7MFIs7U71R6bhQHiXFf9kepbMPGHup4Y"
+    "rqWpxv1oEPqmpWb5z8o3MjfeK58BAAA="
+)
+
+
+def test_a_magic_before_the_first_output_of_a_member_loses_no_record(spark, tmp_path):
+    named = bytearray(warc.build_record(5, "u", b"n", "d", None))  # a magic in the header's file name
+    named[3:10] = b"\x08" + named[4:10] + b"\x1f\x8b\x08.\0"
+    other = [warc.build_record(i, "u", b"k" * 40, "d", None) for i in range(3)]
+    data = b"".join([other[0], EARLY, EARLY, other[1], bytes(named), other[2], EARLY])
+    pieces = [b"\x1f\x8b\x08" + x for x in data.split(b"\x1f\x8b\x08")[1:]]
+    assert len(pieces) == 11 and not warc.starts_record(EARLY[:29])
+    for i in range(12):
+        for j in range(i, 12):
+            parts = [x for own in (pieces[:i], pieces[i:j], pieces[j:]) for x in warc.stitched(iter(own))]
+            torn = warc.stitched(d for m, d in parts if m is None)
+            assert len([m for m, _ in [*parts, *torn] if m is not None]) == 7, (i, j)
+    # A damaged record takes none of those behind it along.
+    broken = other[0][:-12] + bytes(12) + EARLY + other[1]
+    pieces = [b"\x1f\x8b\x08" + x for x in broken.split(b"\x1f\x8b\x08")[1:]]
+    assert len([m for m, _ in warc.stitched(iter(pieces)) if m is not None]) == 2
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc").write_bytes(data)
+    for size in ("100", "700", "1m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = warc.read_warc(spark, str(tmp_path / "w")).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert len(rows) == 7 and len({r.id for r in rows}) == 5
