@@ -2,10 +2,13 @@
 
 Each distinct text of a host gives its distinct normalised lines, as hashes; a
 line is common when it occurs in at least ``min_docs`` distinct texts of a host
-and in more than ``max_share`` of them.  Copies of a text count once: they are
-the business of near-dedup.  By the second limit a host has at most
-(mean distinct lines a text) / ``max_share`` common lines, so these fit in one
-array a host, and texts are judged in place: no text is shuffled.
+and in more than ``max_share`` of them, or in at least ``max_docs`` of them: that
+limit does not grow with the host.  Copies of a text count once: they are the
+business of near-dedup.  Up to ``max_broadcast_lines`` common lines in all, they
+are broadcast in buckets of about 32 a host, and texts are judged in place: no
+text is shuffled.  Beyond, each distinct text is joined with its own common
+lines, by host and line with the texts dealt over salts, and the documents with
+the result by host and text.
 
 A document is rejected when it fails the base rules or is depleted: it has
 common lines and, without them, fewer than ``min_words`` words or less than
@@ -22,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, words, written
+from .common import SPACE, if_small, let, words, written
 
 #: Fixed value: the characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -82,21 +85,43 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]", "0"), SPACE, " "))
 
 
-def common_lines(docs: DataFrame, host_col: str, text_col: str, max_share: float, min_docs: int) -> DataFrame:
-    """(host, common): the hashes of each host's common lines."""
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(text_col, F.length(text_col))
+
+
+def distinct_texts(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
+    """(host, text_hash, lines): each distinct text of a host with its distinct lines' hashes."""
     lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), normalised), lambda x: x != "")
-    texts = docs.select(
-        F.col(host_col).alias("host"), F.xxhash64(text_col, F.length(text_col)).alias("text_hash"), F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x))).alias("lines")
+    return docs.select(
+        F.col(host_col).alias("host"), text_hash(text_col).alias("text_hash"), F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x))).alias("lines")
     ).groupBy("host", "text_hash").agg(F.first("lines").alias("lines"))
-    texts = written(texts)
-    n_texts = texts.groupBy("host").agg(F.count("*").alias("n_texts"))
+
+
+def common_lines(texts: DataFrame, max_share: float, min_docs: int, max_docs: int | None) -> DataFrame:
+    """(host, line): the hashes of the hosts' common lines."""
+    n_texts = if_small(written(texts.groupBy("host").agg(F.count("*").alias("n_texts"))), 100_000)
     counted = texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
-    return (
-        counted.alias("c").join(n_texts.alias("t"), F.col("c.host").eqNullSafe(F.col("t.host")))
-        .filter(F.col("n") > max_share * F.col("n_texts"))
-        .groupBy("c.host").agg(F.collect_list("line").alias("common"))
-        .select("host", "common")
-    )
+    common = F.col("n") > max_share * F.col("n_texts")
+    if max_docs is not None:
+        common |= F.col("n") >= max_docs
+    return counted.alias("c").join(n_texts.alias("t"), F.col("c.host").eqNullSafe(F.col("t.host"))).filter(common).select("c.host", "line")
+
+
+def bucketed(common: DataFrame) -> DataFrame:
+    """(host, common): a host's lines in an array of buckets, by the hash modulo their number."""
+    sizes = common.groupBy("host").agg(F.ceil(F.count("*") / 32).cast("long").alias("n"))
+    placed = common.alias("c").join(sizes.alias("s"), F.col("c.host").eqNullSafe(F.col("s.host"))).select("c.host", F.pmod("line", "n").alias("bucket"), "line")
+    every = sizes.select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("bucket"), F.lit(None).cast("long").alias("line"))
+    buckets = placed.unionByName(every).groupBy("host", "bucket").agg(F.collect_list("line").alias("own"))
+    return buckets.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("bucket", "own"))).alias("all")).select("host", F.transform("all", lambda x: x["own"]).alias("common"))
+
+
+def own_lines(texts: DataFrame, common: DataFrame, salts: int = 32) -> DataFrame:
+    """(host, text_hash, common): those common lines that a text holds, in one bucket."""
+    lines = texts.select("host", "text_hash", F.explode("lines").alias("line"), F.pmod("text_hash", F.lit(salts)).alias("salt")).alias("l")
+    spread = common.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).alias("c")
+    held = lines.join(spread, F.col("l.host").eqNullSafe(F.col("c.host")) & (F.col("l.line") == F.col("c.line")) & (F.col("l.salt") == F.col("c.salt")))
+    return held.groupBy("l.host", "text_hash").agg(F.array(F.collect_list("l.line")).alias("common"))
 
 
 def judge(
@@ -105,27 +130,36 @@ def judge(
     text_col: str = "text",
     max_share: float = 0.05,
     min_docs: int = 10,
+    max_docs: int | None = 50,
     min_words: int = 10,
     max_repeat_percent: int = 20,
     min_left: float = 0.3,
     max_broadcast_hosts: int = 20_000,
+    max_broadcast_lines: int = 1_000_000,
 ) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, n_left_words (outside common lines), clean_text (without them) and kept.
 
-    The table of common lines is broadcast up to ``max_broadcast_hosts`` hosts
-    with any, and joined by host beyond.
+    ``max_docs`` of None leaves the share as the only upper limit.  Common lines are
+    broadcast up to ``max_broadcast_hosts`` hosts with any and
+    ``max_broadcast_lines`` lines, and joined by host and text beyond.
     """
-    common = written(common_lines(docs, host_col, text_col, max_share, min_docs))
-    hosts = common.withColumnRenamed("host", "_host").withColumnRenamed("common", "_common")
-    if hosts.count() <= max_broadcast_hosts:
-        hosts = F.broadcast(hosts)
+    texts = written(distinct_texts(docs, host_col, text_col))
+    common = written(common_lines(texts, max_share, min_docs, max_docs))
+    size = common.agg(F.count("*").alias("lines"), F.count_distinct(F.struct("host")).alias("hosts")).first()
+    same = F.col(host_col).eqNullSafe(F.col("_host"))
+    if size.lines <= max_broadcast_lines and size.hosts <= max_broadcast_hosts:
+        hosts = F.broadcast(written(bucketed(common)).withColumnsRenamed({"host": "_host", "common": "_common"}))
+    else:
+        hosts = written(own_lines(texts, common)).withColumnsRenamed({"host": "_host", "text_hash": "_hash", "common": "_common"})
+        same &= text_hash(text_col) == F.col("_hash")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    left_lines = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("_common"), F.xxhash64(normalised(x))))
+    among = lambda h: F.array_contains(F.get("_common", F.pmod(h, F.size("_common").cast("long")).cast("int")), h)
+    left_lines = F.filter(F.split(text, "\n"), lambda x: ~let(F.xxhash64(normalised(x)), among))
     new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left_words", "clean_text", "kept")
     old = [F.col(f"`{c}`") for c in docs.columns if c not in new]
     counted = docs.withColumn("_base", base_counts(F.col(text_col)))
-    joined = counted.join(hosts, F.col(host_col).eqNullSafe(F.col("_host")), "left")
+    joined = counted.join(hosts, same, "left")
     judged = joined.withColumn("_clean", F.when(F.col("_common").isNull(), text).otherwise(F.array_join(left_lines, "\n")))
     left = F.when(F.col("_clean") == text, F.col("_base.n_words")).otherwise(F.size(words(F.col("_clean")))).cast("long")
     judged = judged.select(*old, "_base.*", F.col("_clean").alias("clean_text"), left.alias("n_left_words")).withColumn(

@@ -7,6 +7,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from roomloom.llm import pii, quality, sharding, urlrules
 from roomloom.llm.queries import URL_RULES
 
@@ -107,6 +108,29 @@ def test_quality_common_lines(spark):
     assert quality.judge(frame(spark, [])).count() == 0
 
 
+def test_quality_common_lines_of_large_hosts(spark):
+    letters = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    own = lambda i: " ".join(f"{letters(i)}w{chr(97 + k)}" for k in range(20))
+    shared = "\n".join(f"footer line {letters(k)}x" for k in range(70))
+    large = [f"{shared}\n{own(i)}" if i < 60 else own(i) for i in range(2000)]  # in 3 % of the texts
+    small = [f"{shared}\n{own(i)}" for i in range(3000, 3060)]
+    rare = [f"seen in few\n{own(i)}" for i in range(4000, 4049)]
+    texts = [*large, *small, *rare]
+    docs = frame(spark, texts, ["big"] * 2000 + [None] * 60 + ["big"] * 49)
+    in_place = sorted(map(str, (rows := quality.judge(docs).collect())))
+    by = {r.text: r for r in rows}
+    assert len(rows) == len(texts)
+    for i in range(60):
+        assert by[large[i]].clean_text == own(i) and by[small[i]].clean_text == own(3000 + i)
+    assert all(by[t].clean_text == t for t in [*large[60:], *rare])
+    for limit in ({"max_broadcast_lines": 0}, {"max_broadcast_hosts": 1}):
+        assert sorted(map(str, quality.judge(docs, **limit).collect())) == in_place
+    share = {r.text: r for r in quality.judge(docs, max_docs=None).collect()}
+    assert share[large[0]].clean_text == large[0] and share[small[0]].clean_text == own(3000)
+    kept = [r.text for r in corpus_pipeline.quality_rules(spark, docs, "").collect()]
+    assert not any("footer" in t for t in kept)
+
+
 # ---------------------------------------------------------------- sharding
 def test_shards_are_even_gapless_and_keep_copies_together(spark):
     rng = random.Random(1)
