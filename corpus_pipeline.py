@@ -25,10 +25,14 @@ def _with_text(docs: DataFrame, text: str) -> DataFrame:
     return docs.select("doc_id", changed.alias("text"), "lang", "source", F.length(changed).cast("long").alias("n_chars"))
 
 
-def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """``docs`` with (``left_semi``) or without (``left_anti``) some ids, null ones included."""
-    ids = if_small(written(ids.select(F.col("doc_id").alias("_id")).distinct()), 2_000_000)
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), how).select(*COLUMNS)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a written key of each row, as ids may be null or repeated."""
+    return written(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` without the rows of these keys."""
+    return docs.join(if_small(written(rows.select("_row").distinct()), 2_000_000), "_row", "left_anti").select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +41,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return _only(docs, neardup.near_duplicates(docs).filter("not kept and doc_id is not null"), "left_anti")
+    """Of each group of near copies one row stays: the one with the smallest id, null last."""
+    docs = _numbered(docs)
+    groups = written(neardup.near_duplicates(docs, id_col="_row").select("_row", "component_id").join(docs.select("_row", "doc_id"), "_row"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    stays = groups.groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
+    return _without(docs, groups.join(stays, "_row", "left_anti"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return _only(docs, leaks.find_leaks(docs, table(spark, sf_dir, "benchmark")), "left_anti")
+    """Documents that hold a benchmark item go, and no others that share their id."""
+    docs = _numbered(docs)
+    return _without(docs, leaks.find_leaks(docs, table(spark, sf_dir, "benchmark"), id_col="_row"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

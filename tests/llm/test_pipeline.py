@@ -57,3 +57,15 @@ def test_stages_take_empty_tables(spark, tmp_path, name):
     out = stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
     assert out.count() == 0
     assert name == "packing" or tuple(out.columns) == corpus_pipeline.COLUMNS
+
+
+def test_rows_with_null_or_repeated_ids_are_judged_each_by_itself(spark, tmp_path):
+    p = [prose(20 + i, 60) for i in range(8)]
+    leak = [f"{prose(40 + i, 40)} {ITEM}" for i in range(2)]
+    rows = [(None, leak[0]), (None, p[0]), (5, leak[1]), (5, p[1]), (6, p[2]), (6, p[2]), (None, p[3]), (None, p[3]), (None, p[4]), (8, p[4]), (7, p[4]), (9, p[5]), (9, p[6])]
+    folder = tables(spark, tmp_path, [(i, t, None, "web", None) for i, t in rows])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    ends = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    assert ends(corpus_pipeline.decontamination(spark, docs, folder)) == sorted((r for r in rows if r[1] not in leak), key=str)
+    want = [*rows[:5], (None, p[3]), (7, p[4]), *rows[11:]]
+    assert ends(corpus_pipeline.near_dedup(spark, docs, folder)) == sorted(want, key=str)
