@@ -14,7 +14,8 @@ words.
 
 Items beyond ``index_items`` go to further indexes of that size, and the
 documents are searched with each: what is broadcast is bounded, and no item is
-left out.
+left out.  Weights come from counts over all items, so that scores do not depend
+on the number of indexes.
 
 Defined cases: null or empty texts and items match nothing, nor do items under
 three words; equal items each match; repeated rows of a document give one row;
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_arrow_batches
+from .common import small_arrow_batches, written
 from .hashing import shingles, word_hashes, word_table
 from .tokens import slices
 
@@ -73,8 +74,32 @@ class Index:
     answer: list
 
 
-def build_index(rows: list[tuple], block: int = 32, k1: float = 1.2, b: float = 0.75) -> Index | None:
-    """The index of (item id, text) rows; None if no item has a term."""
+@dataclass
+class Counts:
+    """Over all indexes: the number of items with a term, their mean number of terms,
+    and of sorted terms the number of items that hold them."""
+
+    n_items: int
+    mean: float
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def item_terms(items: DataFrame) -> DataFrame:
+    """(part, n_terms, terms) of the items (text, part) that have a term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [_words(t or "") for t in batch.column(0).to_pylist()]
+            own = [np.unique(shingles(w, _TERM)).view(np.int64) if len(w) >= _TERM else [] for w in words]
+            columns = [batch.column(1), pa.array([max(len(w) - _TERM + 1, 0) for w in words], pa.int64()), pa.array(own, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "n_terms", "terms"])
+
+    return items.select("text", F.col("part").cast("long").alias("part")).mapInArrow(run, "part long, n_terms long, terms array<long>").filter("n_terms > 0")
+
+
+def build_index(rows: list[tuple], block: int = 32, k1: float = 1.2, b: float = 0.75, overall: Counts | None = None) -> Index | None:
+    """The index of (item id, text) rows, weighed by ``overall`` or else by themselves; None if no item has a term."""
     rows = [(i, t, _words(t)) for i, t in rows if t]
     rows = [r for r in rows if len(r[2]) >= _TERM]
     if not rows:
@@ -85,9 +110,10 @@ def build_index(rows: list[tuple], block: int = 32, k1: float = 1.2, b: float =
     item = np.repeat(np.arange(len(own)), [len(t) for t, _ in own])
     tf = np.concatenate([c for _, c in own]).astype(float)
     n_terms = np.array([c.sum() for _, c in own], float)
-    df = np.bincount(term)
-    idf = np.log(1 + (len(own) - df + 0.5) / (df + 0.5))
-    weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * (n_terms / n_terms.mean())[item]))
+    overall = overall or Counts(len(own), n_terms.mean(), terms, np.bincount(term))
+    df = overall.df[np.searchsorted(overall.terms, terms)]
+    idf = np.log(1 + (overall.n_items - df + 0.5) / (df + 0.5))
+    weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * (n_terms / overall.mean)[item]))
     weight /= np.bincount(item, weight)[item]
     order = np.lexsort((item, term))
     term, item, weight = term[order], item[order], weight[order]
@@ -165,8 +191,19 @@ def find_leaks(
     schema = f"id {kind}, item long, score double, question_overlap double, answer_overlap double"
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = [spark.createDataFrame([], schema)]
+    if n_indexes > 1:
+        terms = written(item_terms(items.withColumn("part", part)))
+        each = terms.select("part", F.explode("terms").alias("term"))
+        counts = written(each.distinct().join(each.groupBy("term").agg(F.count("*").alias("df")), "term"))
+        total = terms.agg(F.count("*").alias("n"), F.avg("n_terms").alias("mean")).first()
     for k in range(n_indexes):
-        index = build_index([tuple(r) for r in items.filter(part == k).collect()])  # about index_items rows
+        overall = None
+        if n_indexes > 1:
+            own = counts.filter(F.col("part") == k).select("term", "df").toArrow()
+            term, df = own["term"].to_numpy().view(_U), own["df"].to_numpy()
+            order = np.argsort(term)
+            overall = Counts(total.n, total.mean, term[order], df[order])
+        index = build_index([tuple(r) for r in items.filter(part == k).collect()], overall=overall)  # about index_items rows
         if index is None:
             continue
         shared = spark.sparkContext.broadcast(index)

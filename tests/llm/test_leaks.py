@@ -69,3 +69,11 @@ def test_question_and_answer():
     assert leaks.question_and_answer("Is it so? Yes.\nNo, it is.") == ("Is it so? Yes.\n", "No, it is.")
     assert leaks.question_and_answer("one") == ("one", "one")
     assert len(leaks._words("Ab, cd-ef")) == 3 and pa.array(["x"])[0].as_py() == "x"
+
+
+def test_scores_do_not_depend_on_the_number_of_indexes(spark):
+    item = lambda i: f"What is the long river number {i} called in the {i % 3} old land of the far north. It is called the blue river {i * 7}."
+    items = spark.createDataFrame([(i, item(i)) for i in range(40)] + [(50, None), (51, "two words")], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before {item(i).rsplit(' ', 1)[0]} after") for i in range(40)], "doc_id long, text string")
+    found = [sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in leaks.find_leaks(docs, items, index_items=n).collect()) for n in (100, 7)]
+    assert len(found[0]) >= 40 and found[0] == found[1]
