@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,11 +19,13 @@ _own_folder: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is unset, as in local tests, a temporary folder of
-    this machine serves.
+    Where that setting is unset, a temporary folder of this machine serves a local
+    master, as in tests; a cluster must name its folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = _own_folder.setdefault("base", tempfile.mkdtemp(prefix="spark-"))
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -39,16 +42,30 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def small_arrow_batches(spark: SparkSession, size: str = "8m") -> None:
-    """Bound what one batch brings into a Python worker, however long the texts are."""
+    """Bound what one batch brings into a Python worker, however long the texts are.
+
+    A setting of the session, read when a query runs: an application sets it, as the
+    queries and the pipeline do; operators leave the session alone.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` marked for broadcast when it has at most ``max_rows`` rows, else as it is.
+def stored_bytes(df: DataFrame) -> int:
+    """About what the rows take in memory: their strings and arrays as they are, 16 bytes for any other value."""
+    def width(name: str, kind: str) -> Column:
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(name), F.lit(0)) + 16
+        return F.greatest(F.size(name), F.lit(0)) * 16 + 16 if kind.startswith("array") else F.lit(16)
+
+    return df.agg(F.sum(sum((width(f"`{n}`", k) for n, k in df.dtypes), F.lit(0)).cast("long")).alias("n")).first().n or 0
+
+
+def if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """``df`` marked for broadcast when it has at most ``max_bytes``, else as it is.
 
-    Use it on written tables only: it counts the rows.
+    Use it on written tables of plain columns only: it reads them.
     """
-    return F.broadcast(df) if df.count() <= max_rows else df
+    return F.broadcast(df) if stored_bytes(df) <= max_bytes else df
 
 
 def let(value: Column, body) -> Column:

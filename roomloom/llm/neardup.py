@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import if_small, small_arrow_batches, written
+from .common import if_small, written
 from .components import components
 from .hashing import mixed, numbers, shingles, word_hashes, word_table
 from .tokens import slices
@@ -145,10 +145,10 @@ def alike(x: str, y: str, limit: int, threshold: int) -> Column:
     )
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, threshold: int, size: int, id_col: str, text_col: str, max_broadcast: int) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, threshold: int, size: int, id_col: str, text_col: str, max_broadcast_bytes: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets reach the threshold."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = if_small(written(wanted.join(nodes.select("id", "digest"), "id")), max_broadcast)
+    wanted = if_small(written(wanted.join(nodes.select("id", "digest"), "id")), max_broadcast_bytes)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +182,7 @@ def near_duplicates(
     threshold: int = 75,
     sketch_floor: float = 0.5,
     block: int = 1024,
-    max_broadcast: int = 500_000,
+    max_broadcast_bytes: int = 64 << 20,
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row.
 
@@ -191,7 +191,6 @@ def near_duplicates(
     is the estimated similarity below which a candidate is not confirmed, some
     six standard deviations under the default threshold.
     """
-    small_arrow_batches(docs.sparkSession)
     limit = most_bits(sketch_floor)
     prints = written(fingerprints(docs, shingle, id_col, text_col))
     # One node for each distinct set, named by its smallest id.
@@ -212,7 +211,7 @@ def near_duplicates(
     first = written(
         stars.join(x, F.col("a") == F.col("x.id")).join(y, (F.col("b") == F.col("y.id")) & alike("x", "y", limit, threshold)).select("a", "b")
     )
-    check = lambda pairs: written(confirm(pairs, docs, nodes, threshold, shingle, id_col, text_col, max_broadcast))
+    check = lambda pairs: written(confirm(pairs, docs, nodes, threshold, shingle, id_col, text_col, max_broadcast_bytes))
     links = check(first)
     labels = components(links)
 

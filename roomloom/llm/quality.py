@@ -99,7 +99,7 @@ def distinct_texts(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
 
 def common_lines(texts: DataFrame, max_share: float, min_docs: int, max_docs: int | None) -> DataFrame:
     """(host, line): the hashes of the hosts' common lines."""
-    n_texts = if_small(written(texts.groupBy("host").agg(F.count("*").alias("n_texts"))), 100_000)
+    n_texts = if_small(written(texts.groupBy("host").agg(F.count("*").alias("n_texts"))))
     counted = texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
     common = F.col("n") > max_share * F.col("n_texts")
     if max_docs is not None:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import leaks, neardup, packing, pii, quality, repeats, sharding, tokenfile, urlrules, warc
-from .common import shared_folder
+from .common import shared_folder, small_arrow_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ URL_RULES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_arrow_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -61,7 +62,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark)
-    tokenfile.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), vocabulary=49_408)
+    tokenfile.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
     read = tokenfile.read_tokens(spark, path)
     return read.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
