@@ -29,7 +29,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_arrow_batches
 from .tokens import encoder, slices
 
 #: Marks that end a sentence.
@@ -100,7 +99,7 @@ def pack(
     sentence_penalty: float = 2.0,
     other_penalty: float = 32.0,
     stretch: int = 500_000,
-    max_pieces: int = 1_200_000,
+    max_pieces: int = 800_000,
     slice_bytes: int = 8_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -113,7 +112,6 @@ def pack(
     memory against its time; the first changes no row, the second only where a
     stretch ends.
     """
-    small_arrow_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
