@@ -1,14 +1,17 @@
 """Sharding by histogram sort.
 
-Rows are ordered by the key (128-bit text hash as two longs, id), so equal
-texts lie side by side.  The driver keeps, for every wanted cut, an interval of
+Rows are ordered by the key (64-bit text hash, id), so equal texts lie side by side.  The driver keeps, for every wanted cut, an interval of
 keys that must contain it.  In each round it spreads probes over the open
 intervals; every partition counts bytes and rows between probes, the counts are
 summed, and each interval shrinks to the piece that holds its cut.  When all
 cuts are within tolerance, the rows are exchanged once.
 
-A cut falls between two different texts if one lies within ``tolerance`` of the
-wanted place; otherwise, as inside a large group of copies, between two ids.
+A cut falls between two different texts, so that copies stay together, if such a
+place lies within ``tolerance``, or no further off than the largest text's size;
+otherwise, as inside a large group of copies, between two ids.
+
+Rows are numbered in ranges that both these cuts and even cuts by the number of rows
+bound, so that no task holds many of either bytes or rows.
 
 Defined cases: a null text has no bytes (size 1, crc32 of nothing); a null id
 sorts before all others; rows with equal text and id cannot be cut apart and
@@ -25,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_arrow_batches, written
+from .common import written
 
 _TOP = 1 << 63
 _SPAN = 1 << 64
+_LAST = _SPAN * _SPAN - 1
 
 
 def _split(keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -42,8 +46,11 @@ def bucket_of(hashes: np.ndarray, ids: np.ndarray, at: tuple[np.ndarray, np.ndar
     """How many of the sorted boundaries ``at`` are not above each row's key."""
     low = np.searchsorted(at[0], hashes, "left")
     high = np.searchsorted(at[0], hashes, "right")
-    for i in np.flatnonzero(low < high) if (low < high).any() else ():
-        low[i] += np.searchsorted(at[1][low[i] : high[i]], ids[i], "right")
+    tied = np.flatnonzero(low < high)
+    first = low[tied]
+    for k in np.unique(first).tolist():  # boundaries inside one text, side by side
+        own = tied[first == k]
+        low[own] = k + np.searchsorted(at[1][k : high[own[0]]], ids[own], "right")
     return low
 
 
@@ -95,21 +102,25 @@ def find_cuts(rows: DataFrame, parts: int, tolerance: float, probes: int = 24, r
     size, number, lowest, highest = total[0]
     goals = [size * i / parts for i in range(1, parts)]
     slack = tolerance * size / parts
+    largest = rows.agg(F.max("size")).first()[0]
     # For each goal: keys lo < cut <= hi, with the exact bytes and rows below both.
-    spans = [[lowest, 0, 0, highest + 1, size, number] for _ in goals]
+    spans = [[lowest // _SPAN * _SPAN, 0, 0, min((highest // _SPAN + 1) * _SPAN, _LAST), size, number] for _ in goals]
     cuts: list[tuple[int, int] | None] = [None] * len(goals)
 
     def settle(i: int) -> None:
         lo, below, rows_below, hi, upto, rows_upto = spans[i]
         goal = goals[i]
         options = [(abs(below - goal), lo, rows_below), (abs(upto - goal), hi, rows_upto)]
-        whole = [o for o in options if o[0] <= slack and o[1] % _SPAN == 0]
-        near = [o for o in options if o[0] <= slack]
+        between_texts = [o for o in options if o[1] % _SPAN == 0]
         # Where one text's rows fill the span, only its ids can be cut apart.
         one_text = lo // _SPAN == (hi - 1) // _SPAN
-        if whole or near and one_text or hi - lo <= 1 or rows_upto - rows_below <= 1:
-            _, key, before = min(whole or options)
-            cuts[i] = (key, before)
+        found = [o for o in between_texts if o[0] <= (max(slack, largest) if one_text else slack)]
+        if not found and one_text:
+            found = [o for o in options if o[0] <= slack]
+        if not found and (hi - lo <= 1 or rows_upto - rows_below <= 1):
+            found = between_texts or options
+        if found:
+            cuts[i] = min(found)[1:]
 
     for _ in range(rounds):
         wanted: set[int] = set()
@@ -135,9 +146,11 @@ def find_cuts(rows: DataFrame, parts: int, tolerance: float, probes: int = 24, r
                 edges.append((keys[b - 1], below, rows_below))
             if b in counts:
                 s, n, low, high = counts[b]
-                edges.append((low, below, rows_below))
+                # The same rows lie below any key from the probe on to the first row; best is one between texts.
+                edges.append((max(keys[b - 1], low // _SPAN * _SPAN) if b else low // _SPAN * _SPAN, below, rows_below))
                 below, rows_below = below + s, rows_below + n
-                edges.append((high + 1, below, rows_below))
+                after = min((high // _SPAN + 1) * _SPAN, _LAST)
+                edges.append((min(keys[b], after) if b < len(keys) else after, below, rows_below))
         edges.sort()
         for i, cut in enumerate(cuts):
             if cut is None:
@@ -169,7 +182,6 @@ def shard(
     its range in the shard plus its place in the range.
     """
     spark = docs.sparkSession
-    small_arrow_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = written(
         docs.select(
@@ -180,27 +192,25 @@ def shard(
             F.crc32(text.cast("binary")).alias("text_crc32"),
         )
     )
-    ranges = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards))
-    cuts, before = find_cuts(rows, shards * ranges, tolerance)
-    at = spark.sparkContext.broadcast(_split(cuts))
+    cuts, before = find_cuts(rows, shards, tolerance)
+    finer = find_cuts(rows.withColumn("size", F.lit(1).cast("long")), max(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))), 0.2)
+    first_rows = {0: 0} | dict(zip(finer[0], finer[1][1:], strict=True)) | dict(zip(cuts, before[1:], strict=True))
+    shard_of = np.searchsorted(np.array(cuts, object), list(sorted(first_rows)), "right").tolist() if cuts else [0]
+    shard_rows = dict(enumerate(before))
+    # Of each range: its shard, and the rows before it within its shard.
+    base = [first_rows[k] - shard_rows[s] for k, s in zip(sorted(first_rows), shard_of, strict=True)]
+    at = spark.sparkContext.broadcast((_split(sorted(first_rows)[1:]), np.array(shard_of), np.array(base)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, d = (batch.column(batch.schema.names.index(c)).to_numpy(zero_copy_only=False) for c in ("hash", "key_id"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bucket_of(h, d, at.value), pa.int64())], names=[*batch.schema.names, "range"])
+            cuts, shard_of, base = at.value
+            k = bucket_of(h, d, cuts)
+            new = [pa.array(k, pa.int64()), pa.array(shard_of[k], pa.int32()), pa.array(base[k], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "range", "shard", "base"])
 
     kind = dict(rows.dtypes)["id"]
-    placed = rows.mapInArrow(place, f"id {kind}, key_id long, hash long, size long, text_crc32 long, range long")
+    placed = rows.mapInArrow(place, f"id {kind}, key_id long, hash long, size long, text_crc32 long, range long, shard int, base long")
     order = Window.partitionBy("range").orderBy("hash", "key_id")
-    # Rows before each range within its shard.
-    base = [n - before[i - i % ranges] for i, n in enumerate(before)]
-    return (
-        placed.withColumn("place", F.row_number().over(order) - 1)
-        .select(
-            F.col("id").alias(id_col),
-            "size",
-            "text_crc32",
-            F.floor(F.col("range") / ranges).cast("int").alias("shard"),
-            (F.col("place") + F.array(*(F.lit(n).cast("long") for n in base))[F.col("range").cast("int")]).alias("slot"),
-        )
-    )
+    slot = (F.col("base") + F.row_number().over(order) - 1).alias("slot")
+    return placed.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", slot)

@@ -146,6 +146,8 @@ def test_shards_are_even_gapless_and_keep_copies_together(spark):
     assert len(size) == 16 and max(abs(v - mean) for v in size.values()) < 0.04 * mean + 800
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
     assert len({r.shard for r in rows if r.text_crc32 == zlib.crc32(b"pair")}) == 1
+    few = sharding.shard(frame(spark, ["z" * 700 + str(i // 2) for i in range(64)]), shards=16).collect()  # each cut lies near a pair
+    assert all(len({r.shard for r in few if r.text_crc32 == c}) == 1 for c in {r.text_crc32 for r in few})
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
@@ -154,6 +156,31 @@ def test_shards_of_one_hot_text(spark):
     assert sorted(Counter(r.shard for r in rows)) == [0, 1, 2, 3]
 
 
+def test_shards_equal_a_plain_deal_of_the_sorted_rows(spark):
+    rng = random.Random(12)
+    for case in range(4):
+        texts = ["y" * rng.randrange(900) + str(rng.randrange(500)) for _ in range(1200)] + ["copy"] * rng.choice([2, 300, 2000]) + [None, ""] * 150
+        docs = frame(spark, texts).withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
+        hashed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.octet_length(F.coalesce("text", F.lit(""))).alias("n")).collect()
+        rows = sorted((r.h, r.doc_id, r.n + 1) for r in hashed)
+        before = [0]  # bytes before each row
+        for r in rows:
+            before.append(before[-1] + r[2])
+        shards, slack, largest = 5, 0.02 * before[-1] / 5, max(r[2] for r in rows)
+        got = sorted((r.shard, r.slot, r.doc_id) for r in sharding.shard(docs, shards=shards, tolerance=0.02).collect())
+        assert [r[2] for r in got if r[2] >= 0] == [r[1] for r in rows if r[1] >= 0]
+        counts = Counter(r[0] for r in got)
+        assert [r[1] for r in got] == [i for s in range(shards) for i in range(counts[s])]
+        between = [i for i in range(len(rows) + 1) if i in (0, len(rows)) or rows[i - 1][0] != rows[i][0]]
+        for s in range(1, shards):
+            cut, goal = sum(counts[k] for k in range(s)), before[-1] * s / shards
+            nearest = min(abs(before[i] - goal) for i in between)
+            if nearest <= max(slack, largest):
+                assert cut in between and abs(before[cut] - goal) <= max(slack, largest)
+            else:
+                assert abs(before[cut] - goal) <= max(slack, largest)
+
+
 # ---------------------------------------------------------------- urls
 URLS = [
     None, "", "no scheme", "http://", "HTTP://A.ORG/x", "http://org", "http://org/", "http://x.example.org/es/1?q", "http://example.org/es",
