@@ -3,8 +3,8 @@
 Writer: each record is a gzip member of its own; of equal payloads of
 ``min_revisit`` bytes or more, the record with the largest id is a response and
 the others are revisits that refer to it and carry no payload.  An archive is
-one row of Spark's text writer, a file of its own; that writer adds one zero
-byte at its end, which gzip allows as padding.
+one row of Spark's text writer, a file of its own; that writer's line end is set to
+a zero byte, which gzip allows as padding.
 
 Reader: Spark's text source splits archives into byte ranges and delivers what
 lies between gzip magics; a task owns what starts in its range and reads past the
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import if_small, small_arrow_batches, written
+from .common import if_small, written
 
 #: Fixed values of the formats.
 _MAGIC = b"\x1f\x8b\x08"
@@ -45,7 +45,7 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _RECORD = "id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def with_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_revisit: int = 1000) -> DataFrame:
+def with_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_revisit: int = 1000, salts: int = 16, max_broadcast_bytes: int = 64 << 20) -> DataFrame:
     """(id, url, payload, digest, refers_to): ``refers_to`` is null for a response."""
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
@@ -54,8 +54,10 @@ def with_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, mi
         .groupBy("digest").agg(F.max("id").alias("largest"), F.count("*").alias("n"))
         .filter("n > 1").select("digest", "largest")
     )
-    groups = if_small(written(groups), 200_000)
-    return rows.join(groups, "digest", "left").select("id", "url", "payload", "digest", F.when(F.col("id").isNull() | (F.col("id") < F.col("largest")), F.col("largest")).alias("refers_to"))
+    # Beyond the bound of a broadcast, the rows of a payload meet their group in as many tasks as there are salts.
+    groups = if_small(written(groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))), max_broadcast_bytes)
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(salts)).cast("int"))
+    return rows.join(groups, ["digest", "salt"], "left").select("id", "url", "payload", "digest", F.when(F.col("id").isNull() | (F.col("id") < F.col("largest")), F.col("largest")).alias("refers_to"))
 
 
 def build_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, level: int = 6) -> bytes:
@@ -75,7 +77,6 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, digest: s
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = 1000, archive_bytes: int = 4_000_000) -> None:
     """Write archives of about ``archive_bytes`` compressed bytes under ``path``."""
-    small_arrow_batches(pages.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -92,7 +93,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
             yield pack()
 
     rows = with_revisits(pages, id_col, url_col, html_col, min_revisit)
-    rows.mapInArrow(write, "value binary").select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
+    rows.mapInArrow(write, "value binary").select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).option("lineSep", "\0").text(path)
 
 
 def starts_record(piece: bytes) -> bool:
@@ -164,7 +165,6 @@ def stitched(pieces: Iterator[bytes]) -> Iterator[tuple[bytes | None, bytes]]:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Every record under ``path``: the columns of ``_RECORD``; revisits have no payload."""
-    small_arrow_batches(spark)
     meta = F.col("_metadata")
     pieces = (
         spark.read.option("lineSep", _MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
