@@ -2,8 +2,8 @@
 
 Every id takes the least number of bits that hold the vocabulary.  A file is
 
-    magic ``TOKB`` | u8 bits | u8 0 | u16 ids in a block / 8 | u64 part | u64 file in part
-    u64 documents | u64 ids | u64 blocks
+    magic ``TOKB`` | u8 bits | u8 0 | u16 ids in a block / 8 | u64 part
+    u64 ids of the part before the file | u64 documents | u64 ids | u64 blocks
     i64 doc ids | u8 null marks | u64 first id of each document
     u64 byte offset of each block | blocks
 
@@ -11,16 +11,17 @@ all little-endian; a block holds ``block_ids`` ids (the last one fewer), lowest
 bit first, and starts on a byte.  Any id can be read from its block alone, and a
 block unpacks as one numpy operation.
 
-Documents are laid out in ascending id over parts and files; the ids before a
-file are the sum over the files before it.
+Documents are laid out in ascending id over parts and files.  Each part (one write
+task) ends with a file of 20 bytes, ``TOKT`` | u64 part | u64 ids, so that readers
+learn where parts begin from these alone, and where files begin from their heads.
 
 Files are written by Spark's text writer, one file a row, so they can lie in any
-store that Spark writes to; that writer adds one byte behind the last block,
+store that Spark writes to; that writer adds a line feed behind the last block,
 which readers ignore.
 
 Defined cases: a null or empty text is the end id alone; a null document id sorts
-first; rows with equal id keep together in any order; an empty table gives files
-without documents or no file.  Extra columns are not carried.
+first; rows with equal id keep together in any order; an id that the vocabulary does
+not have is an error; an empty table gives no file.  Extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -34,12 +35,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_arrow_batches
 from .tokens import encoder, slices
 
 _MAGIC = b"TOKB"
 _HEAD = "<4sBBHQQQQQ"
 _HEAD_SIZE = struct.calcsize(_HEAD)
+_PART_MAGIC = b"TOKT"
+_PART = "<4sQQ"
+#: More than a part's last file, less than a file with a document.
+_SHORT = _HEAD_SIZE + 8
 
 
 def bits_for(vocabulary: int) -> int:
@@ -48,6 +52,8 @@ def bits_for(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """``bits`` bits for each id, lowest first."""
+    if bits < 32 and len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {ids.max()} does not fit {bits} bits")
     if bits in (8, 16, 32):
         return ids.astype(f"<u{bits // 8}").tobytes()
     spread = (ids.astype("<u4")[:, None] >> np.arange(bits, dtype=np.uint32)) & 1
@@ -61,23 +67,48 @@ def unpack(data: bytes | memoryview, count: int, bits: int) -> np.ndarray:
     return (spread.astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(1, dtype=np.uint32)
 
 
-def build_file(part: int, number: int, doc_ids: list[int | None], ids: list[np.ndarray], bits: int, block_ids: int) -> bytes:
-    flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-    firsts = np.concatenate([[0], np.cumsum([len(x) for x in ids])])[:-1] if ids else np.empty(0)
-    blocks = [pack(flat[i : i + block_ids], bits) for i in range(0, len(flat), block_ids)]
-    head = struct.pack(_HEAD, _MAGIC, bits, 0, block_ids // 8, part, number, len(doc_ids), len(flat), len(blocks))
-    start = len(head) + 17 * len(doc_ids) + 8 * len(blocks)
-    offsets = start + np.concatenate([[0], np.cumsum([len(b) for b in blocks])])[:-1] if blocks else np.empty(0)
-    return b"".join(
-        [
-            head,
-            np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
-            np.array([d is None for d in doc_ids], "u1").tobytes(),
-            firsts.astype("<u8").tobytes(),
-            offsets.astype("<u8").tobytes(),
-            *blocks,
-        ]
-    )
+class FileBuilder:
+    """Collects documents and packs their ids block by block."""
+
+    def __init__(self, bits: int, block_ids: int):
+        self.bits, self.block_ids = bits, block_ids
+        self.doc_ids: list[int | None] = []
+        self.firsts: list[int] = []
+        self.blocks: list[bytes] = []
+        self.open: list[np.ndarray] = []
+        self.n_ids = self.n_open = 0
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.doc_ids.append(doc_id)
+        self.firsts.append(self.n_ids)
+        self.open.append(ids)
+        self.n_ids += len(ids)
+        self.n_open += len(ids)
+        if self.n_open >= 64 * self.block_ids:
+            self._pack(self.n_open - self.n_open % self.block_ids)
+
+    def _pack(self, n: int) -> None:
+        flat = np.concatenate(self.open) if self.open else np.empty(0, np.uint32)
+        self.blocks += [pack(flat[i : min(i + self.block_ids, n)], self.bits) for i in range(0, n, self.block_ids)]
+        self.open = [flat[n:].copy()]
+        self.n_open = len(flat) - n
+
+    def build(self, part: int, before: int) -> bytes:
+        """The file's bytes; ``before`` counts the ids of the part's earlier files."""
+        self._pack(self.n_open)
+        head = struct.pack(_HEAD, _MAGIC, self.bits, 0, self.block_ids // 8, part, before, len(self.doc_ids), self.n_ids, len(self.blocks))
+        sizes = np.array([len(b) for b in self.blocks], np.int64)
+        offsets = len(head) + 17 * len(self.doc_ids) + 8 * len(sizes) + np.cumsum(sizes) - sizes
+        return b"".join(
+            [
+                head,
+                np.array([d or 0 for d in self.doc_ids], "<i8").tobytes(),
+                np.array([d is None for d in self.doc_ids], "u1").tobytes(),
+                np.array(self.firsts, "<u8").tobytes(),
+                offsets.astype("<u8").tobytes(),
+                *self.blocks,
+            ]
+        )
 
 
 class TokenFile:
@@ -85,7 +116,7 @@ class TokenFile:
 
     def __init__(self, data: bytes):
         self.data = memoryview(data)
-        magic, self.bits, _, eighth, self.part, self.number, n, self.n_ids, blocks = struct.unpack_from(_HEAD, data)
+        magic, self.bits, _, eighth, self.part, self.before, n, self.n_ids, blocks = struct.unpack_from(_HEAD, data)
         if magic != _MAGIC:
             raise ValueError("not a token file")
         self.block_ids = eighth * 8
@@ -115,38 +146,34 @@ def write_tokens(
     docs: DataFrame,
     path: str,
     tokenizer_path: str,
-    vocabulary: int,
     id_col: str = "doc_id",
     text_col: str = "text",
     block_ids: int = 4096,
-    file_ids: int = 2_000_000,
+    file_ids: int = 4_000_000,
 ) -> None:
-    """Encode every text and write the files under ``path``, documents in ascending id."""
+    """Encode every text and write the files under ``path``, documents in ascending id.
+
+    The tokenizer's vocabulary sets the bits of an id.  A file ends with the document
+    that brings it to ``file_ids`` ids.
+    """
     spark = docs.sparkSession
-    small_arrow_batches(spark)
-    bits = bits_for(vocabulary)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part = encoder(tokenizer_path), TaskContext.get().partitionId()
-        doc_ids: list = []
-        ids: list[np.ndarray] = []
-        held = number = 0
-
-        def flush() -> pa.RecordBatch:
-            data = build_file(part, number, doc_ids, ids, bits, block_ids)
-            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["value"])
-
+        bits = bits_for(tokens.tokenizer.get_vocab_size())
+        row = lambda data: pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["value"])
+        file, before = FileBuilder(bits, block_ids), 0
         for batch in batches:
             for a, b in slices(batch.column(1)):
-                doc_ids += batch.column(0)[a:b].to_pylist()
-                new = tokens.encode(batch.column(1)[a:b])
-                ids += new
-                held += sum(map(len, new))
-                if held >= file_ids:
-                    yield flush()
-                    doc_ids, ids, held, number = [], [], 0, number + 1
-        if ids:
-            yield flush()
+                for doc_id, ids in zip(batch.column(0)[a:b].to_pylist(), tokens.encode(batch.column(1)[a:b]), strict=True):
+                    file.add(doc_id, ids)
+                    if file.n_ids >= file_ids:
+                        yield row(file.build(part, before))
+                        file, before = FileBuilder(bits, block_ids), before + file.n_ids
+        if file.n_ids:
+            yield row(file.build(part, before))
+        if before + file.n_ids:
+            yield row(struct.pack(_PART, _PART_MAGIC, part, before + file.n_ids))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (
@@ -162,27 +189,24 @@ def write_tokens(
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(id, start, n_tokens, ids) of every document: ``ids`` little-endian unsigned
     32-bit, ``start`` the ids of all documents before it."""
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") > 1)
-    heads = files.select(F.substring("content", 1, _HEAD_SIZE).alias("head"))
+    files = spark.read.format("binaryFile").load(path)
+    ends = files.filter(F.col("length").between(2, _SHORT)).select("content")
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [struct.unpack(_HEAD, x.as_py()) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (4, 5, 7)], names=["part", "number", "n"])
-
-    # One row for each file: its place, and from that the ids before it.
-    counted = sorted(tuple(r) for r in heads.mapInArrow(totals, "part long, number long, n long").collect())
-    before, total = {}, 0
-    for part, k, n in counted:
-        before[part, k] = total
-        total += n
+            rows = [struct.unpack_from(_PART, x.as_py()) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2)], names=["part", "n"])
+
+    # One row for each write task, two numbers each: the ids before each part.
+    counted = sorted(tuple(r) for r in ends.mapInArrow(totals, "part long, n long").collect())
+    before = dict(zip([p for p, _ in counted], np.cumsum([0, *(n for _, n in counted)]).tolist(), strict=False))
     shared = spark.sparkContext.broadcast(before)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                file = TokenFile(content.as_py())
-                start = file.firsts + shared.value[file.part, file.number]
+                file = TokenFile(content.as_buffer())
+                start = file.firsts + shared.value[file.part] + file.before
                 for a in range(0, len(start), 512):
                     n = min(512, len(start) - a)
                     ids = [file.document(i).astype("<u4") for i in range(a, a + n)]
@@ -196,4 +220,4 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                         names=["id", "start", "n_tokens", "ids"],
                     )
 
-    return files.select("content").mapInArrow(read, "id long, start long, n_tokens long, ids binary")
+    return files.filter(F.col("length") > _SHORT).select("content").mapInArrow(read, "id long, start long, n_tokens long, ids binary")

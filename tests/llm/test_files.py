@@ -1,19 +1,33 @@
 """Token files, packing and WARC: exact round trips and brute force."""
 
 import base64
+import gzip
+import hashlib
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from roomloom.llm import packing, tokenfile, warc
+from roomloom.llm import packing, tokenfile, tokens, warc
 
 DOCS = "doc_id long, text string, id string, ids string, start string"
-TEXTS = [None, "", "a  b", "  x\n y \n", "don't stop. Now, é́ 😀!", "\x1c b \x1c!", "<|endoftext|> a", "w. " * 900, " ", "one. two. three.\n" * 300, "x" * 3000]
+TEXTS = [None, "", "a  b", "  x\n y \n", "don't stop. Now, é́ 😀!", "\x1c b \x1c!", "hello <|endoftext|> world", "A<|EndOfText|>b", "İ, É.\n\u0958!", "w. " * 900, " ", "one. two. three.\n" * 300, "x" * 3000]
+
+
+def test_words_are_encoded_as_in_their_texts():
+    rng = random.Random(1)
+    pool = ["a", "B", "é", "İ", "ß", "'s", "don't", " ", "  ", "\n", "\n\n", "\t", "\u3000", "\x1c", ".", ",", "|", "<|endoftext|>", "<|", "12", "½", "😀", "\u0301", "中文", "\u0958", "---", "\r\n", "ﬁ"]
+    texts = [*TEXTS, *("".join(rng.choices(pool, k=rng.randrange(25))) for _ in range(3000))]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        plain = Tokenizer.from_file(public_tokenizers.path(name))
+        own = tokens.PieceEncoder(public_tokenizers.path(name), max_pieces=500)
+        got = [ids.tolist() for i in range(0, len(texts), 200) for ids in own.encode(pa.array(texts[i : i + 200], pa.string()))]
+        assert got == [[*plain.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
 
 
 def frame(spark, texts):
@@ -22,7 +36,6 @@ def frame(spark, texts):
 
 def encode(name, text):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
@@ -35,15 +48,21 @@ def test_bits_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1001, dtype=np.uint32)
     assert len(tokenfile.pack(ids, bits)) == -(-1001 * bits // 8)
     assert (tokenfile.unpack(tokenfile.pack(ids, bits), 1001, bits) == ids).all()
-    file = tokenfile.TokenFile(tokenfile.build_file(0, 0, [3, None], [ids[:900], ids[900:]], bits, 64) + b"\n")
+    built = tokenfile.FileBuilder(bits, 8)
+    built.add(3, ids[:900])
+    built.add(None, ids[900:])
+    file = tokenfile.TokenFile(built.build(0, 0) + b"\n")
     assert (file.document(1) == ids[900:]).all() and (file.ids(63, 131) == ids[63:131]).all()
     assert file.nulls.tolist() == [False, True]
+    if bits < 32:
+        with pytest.raises(ValueError):
+            tokenfile.pack(np.array([1 << bits]), bits)
 
 
 def test_token_files_round_trip(spark, tmp_path):
     docs = frame(spark, TEXTS * 3).withColumn("doc_id", F.col("doc_id") * 10)
     path = str(tmp_path / "t")
-    tokenfile.write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"), 49_408, file_ids=500)
+    tokenfile.write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"), file_ids=500)
     rows = sorted(tokenfile.read_tokens(spark, path).collect(), key=lambda r: r.start)
     order = sorted(((None if i == 5 else i * 10), t) for i, t in enumerate(TEXTS * 3) if i != 5)
     order = [(None, TEXTS[5]), *order]
@@ -53,7 +72,7 @@ def test_token_files_round_trip(spark, tmp_path):
         assert (r.id, r.start, r.n_tokens, zlib.crc32(r.ids)) == (doc_id, at, len(ids), crc(ids))
         at += len(ids)
     empty = str(tmp_path / "e")
-    tokenfile.write_tokens(docs.limit(0), empty, public_tokenizers.path("word_bpe_49k.json"), 49_408)
+    tokenfile.write_tokens(docs.limit(0), empty, public_tokenizers.path("word_bpe_49k.json"))
     assert tokenfile.read_tokens(spark, empty).count() == 0
 
 
@@ -129,8 +148,8 @@ def test_warc_round_trip(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(rows) == len(htmls)
-    import hashlib
-
+    archives = [gzip.decompress(f.read_bytes()) for f in tmp_path.glob("w/part-*")]
+    assert sum(x.count(b"WARC/1.1\r\n") for x in archives) == len(htmls)
     last = {}
     for i, h in enumerate(htmls):
         if i != 4:
