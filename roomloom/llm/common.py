@@ -68,6 +68,17 @@ def if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
     return F.broadcast(df) if stored_bytes(df) <= max_bytes else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for new columns, those given with underscores behind them until no column of ``df`` has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once for a row, however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]

@@ -1,10 +1,12 @@
 """Quality rules: cross-document line frequency, in DataFrame functions only.
 
-Each distinct text of a host gives its distinct normalised lines, as hashes; a
-line is common when it occurs in at least ``min_docs`` distinct texts of a host
-and in more than ``max_share`` of them, or in at least ``max_docs`` of them: that
-limit does not grow with the host.  Copies of a text count once: they are the
-business of near-dedup.  Up to ``max_broadcast_lines`` common lines in all, they
+Each document gives its distinct normalised lines, as hashes, and for each host the
+documents that hold a line are counted.  A line is common when it occurs in at least
+``min_docs`` documents and either more than ``max_share`` of the host's or at least
+``max_docs``: that limit does not grow with the host.  It must also stand in at
+least ``min_texts`` different texts, as the lines of one text that was copied many
+times are no boilerplate: copies are the business of near-dedup.  Copies are counted
+together before lines are taken apart.  Up to ``max_broadcast_lines`` common lines in all, they
 are broadcast in buckets of about 32 a host, and texts are judged in place: no
 text is shuffled.  Beyond, each distinct text is joined with its own common
 lines, by host and line with the texts dealt over salts, and the documents with
@@ -15,7 +17,7 @@ common lines and, without them, fewer than ``min_words`` words or less than
 ``min_left`` of its words.
 
 Defined cases: a null text is empty and fails (no words); a null host is a host
-of its own; repeated rows are judged alike, each on its own; an empty table
+of its own; repeated rows are documents of their own, judged alike; an empty table
 gives no rows; columns of the input are kept, except that they are replaced by
 an output column of the same name.
 """
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, if_small, let, words, written
+from .common import SPACE, fresh, if_small, let, words, written
 
 #: Fixed value: the characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -90,21 +92,20 @@ def text_hash(text_col: str) -> Column:
 
 
 def distinct_texts(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
-    """(host, text_hash, lines): each distinct text of a host with its distinct lines' hashes."""
+    """(host, text_hash, lines, copies): each distinct text of a host with its distinct lines' hashes and its documents."""
     lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), normalised), lambda x: x != "")
     return docs.select(
         F.col(host_col).alias("host"), text_hash(text_col).alias("text_hash"), F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x))).alias("lines")
-    ).groupBy("host", "text_hash").agg(F.first("lines").alias("lines"))
+    ).groupBy("host", "text_hash").agg(F.first("lines").alias("lines"), F.count("*").alias("copies"))
 
 
-def common_lines(texts: DataFrame, max_share: float, min_docs: int, max_docs: int | None) -> DataFrame:
+def common_lines(texts: DataFrame, max_share: float, min_docs: int, max_docs: int, min_texts: int) -> DataFrame:
     """(host, line): the hashes of the hosts' common lines."""
-    n_texts = if_small(written(texts.groupBy("host").agg(F.count("*").alias("n_texts"))))
-    counted = texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
-    common = F.col("n") > max_share * F.col("n_texts")
-    if max_docs is not None:
-        common |= F.col("n") >= max_docs
-    return counted.alias("c").join(n_texts.alias("t"), F.col("c.host").eqNullSafe(F.col("t.host"))).filter(common).select("c.host", "line")
+    hosts = if_small(written(texts.groupBy("host").agg(F.sum("copies").alias("n_docs"))))
+    counted = texts.select("host", "copies", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("texts"), F.sum("copies").alias("n"))
+    often = counted.filter((F.col("texts") >= min_texts) & (F.col("n") >= min_docs))
+    common = (F.col("n") > max_share * F.col("n_docs")) | (F.col("n") >= max_docs)
+    return often.alias("c").join(hosts.alias("h"), F.col("c.host").eqNullSafe(F.col("h.host"))).filter(common).select("c.host", "line")
 
 
 def bucketed(common: DataFrame) -> DataFrame:
@@ -117,11 +118,14 @@ def bucketed(common: DataFrame) -> DataFrame:
 
 
 def own_lines(texts: DataFrame, common: DataFrame, salts: int = 32) -> DataFrame:
-    """(host, text_hash, common): those common lines that a text holds, in one bucket."""
+    """(host, text_hash, common): those common lines that a text holds, in buckets of about 32."""
     lines = texts.select("host", "text_hash", F.explode("lines").alias("line"), F.pmod("text_hash", F.lit(salts)).alias("salt")).alias("l")
     spread = common.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).alias("c")
     held = lines.join(spread, F.col("l.host").eqNullSafe(F.col("c.host")) & (F.col("l.line") == F.col("c.line")) & (F.col("l.salt") == F.col("c.salt")))
-    return held.groupBy("l.host", "text_hash").agg(F.array(F.collect_list("l.line")).alias("common"))
+    own = held.groupBy("l.host", "text_hash").agg(F.collect_list("l.line").alias("own"))
+    n = F.ceil(F.size("own") / 32).cast("long")
+    in_bucket = lambda k: F.filter("own", lambda x: F.pmod(x, n) == k)
+    return own.select("host", "text_hash", F.transform(F.sequence(F.lit(0).cast("long"), n - 1), in_bucket).alias("common"))
 
 
 def judge(
@@ -130,7 +134,8 @@ def judge(
     text_col: str = "text",
     max_share: float = 0.05,
     min_docs: int = 10,
-    max_docs: int | None = 50,
+    max_docs: int = 50,
+    min_texts: int = 10,
     min_words: int = 10,
     max_repeat_percent: int = 20,
     min_left: float = 0.3,
@@ -140,29 +145,29 @@ def judge(
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, n_left_words (outside common lines), clean_text (without them) and kept.
 
-    ``max_docs`` of None leaves the share as the only upper limit.  Common lines are
-    broadcast up to ``max_broadcast_hosts`` hosts with any and
+    Common lines are broadcast up to ``max_broadcast_hosts`` hosts with any and
     ``max_broadcast_lines`` lines, and joined by host and text beyond.
     """
     texts = written(distinct_texts(docs, host_col, text_col))
-    common = written(common_lines(texts, max_share, min_docs, max_docs))
+    common = written(common_lines(texts, max_share, min_docs, max_docs, min_texts))
     size = common.agg(F.count("*").alias("lines"), F.count_distinct(F.struct("host")).alias("hosts")).first()
-    same = F.col(host_col).eqNullSafe(F.col("_host"))
+    base, host, hashed, found, clean = fresh(docs, "_base", "_host", "_hash", "_common", "_clean")
+    same = F.col(host_col).eqNullSafe(F.col(host))
     if size.lines <= max_broadcast_lines and size.hosts <= max_broadcast_hosts:
-        hosts = F.broadcast(written(bucketed(common)).withColumnsRenamed({"host": "_host", "common": "_common"}))
+        hosts = F.broadcast(written(bucketed(common)).withColumnsRenamed({"host": host, "common": found}))
     else:
-        hosts = written(own_lines(texts, common)).withColumnsRenamed({"host": "_host", "text_hash": "_hash", "common": "_common"})
-        same &= text_hash(text_col) == F.col("_hash")
+        hosts = written(own_lines(texts, common)).withColumnsRenamed({"host": host, "text_hash": hashed, "common": found})
+        same &= text_hash(text_col) == F.col(hashed)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    among = lambda h: F.array_contains(F.get("_common", F.pmod(h, F.size("_common").cast("long")).cast("int")), h)
+    among = lambda h: F.array_contains(F.get(found, F.pmod(h, F.size(found).cast("long")).cast("int")), h)
     left_lines = F.filter(F.split(text, "\n"), lambda x: ~let(F.xxhash64(normalised(x)), among))
     new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left_words", "clean_text", "kept")
     old = [F.col(f"`{c}`") for c in docs.columns if c not in new]
-    counted = docs.withColumn("_base", base_counts(F.col(text_col)))
+    counted = docs.withColumn(base, base_counts(F.col(text_col)))
     joined = counted.join(hosts, same, "left")
-    judged = joined.withColumn("_clean", F.when(F.col("_common").isNull(), text).otherwise(F.array_join(left_lines, "\n")))
-    left = F.when(F.col("_clean") == text, F.col("_base.n_words")).otherwise(F.size(words(F.col("_clean")))).cast("long")
-    judged = judged.select(*old, "_base.*", F.col("_clean").alias("clean_text"), left.alias("n_left_words")).withColumn(
+    judged = joined.withColumn(clean, F.when(F.col(found).isNull(), text).otherwise(F.array_join(left_lines, "\n")))
+    left = F.when(F.col(clean) == text, F.col(f"{base}.n_words")).otherwise(F.size(words(F.col(clean)))).cast("long")
+    judged = judged.select(*old, f"{base}.*", F.col(clean).alias("clean_text"), left.alias("n_left_words")).withColumn(
         "base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     )
     depleted = (F.col("n_left_words") < F.col("n_words")) & ((F.col("n_left_words") < min_words) | (F.col("n_left_words") < min_left * F.col("n_words")))

@@ -56,7 +56,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(table(spark, sf_dir, "documents"), max_docs=None)  # the SQL's rule: the share alone
+    judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -149,9 +149,9 @@ lw AS (SELECT r, source, text, line, regexp_replace(line, '[\x20\x09-\x0D]+', ''
               len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n
        FROM lines),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM lw WHERE has_word GROUP BY r),
-hosts AS (SELECT source, count(DISTINCT text) AS n_texts FROM d GROUP BY source),
-common AS (SELECT l.source, l.norm FROM (SELECT source, norm, count(DISTINCT text) AS n FROM lw WHERE norm <> '' GROUP BY source, norm) l
-           JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source WHERE l.n >= 10 AND l.n > 0.05 * h.n_texts),
+hosts AS (SELECT source, count(*) AS n_docs FROM d GROUP BY source),
+common AS (SELECT l.source, l.norm FROM (SELECT source, norm, count(DISTINCT text) AS n_texts, count(DISTINCT r) AS n FROM lw WHERE norm <> '' GROUP BY source, norm) l
+           JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source WHERE l.n_texts >= 10 AND l.n >= 10 AND (l.n > 0.05 * h.n_docs OR l.n >= 50)),
 gone AS (SELECT lw.r, sum(lw.n) AS n FROM lw JOIN common c ON lw.source IS NOT DISTINCT FROM c.source AND lw.norm = c.norm GROUP BY lw.r),
 judged AS (
   SELECT b.*, coalesce(dup.n_dup_lines, 0) AS n_dup_lines, b.n_words - coalesce(gone.n, 0) AS n_left,

@@ -125,8 +125,16 @@ def test_quality_common_lines_of_large_hosts(spark):
     assert all(by[t].clean_text == t for t in [*large[60:], *rare])
     for limit in ({"max_broadcast_lines": 0}, {"max_broadcast_hosts": 1}):
         assert sorted(map(str, quality.judge(docs, **limit).collect())) == in_place
-    share = {r.text: r for r in quality.judge(docs, max_docs=None).collect()}
+    share = {r.text: r for r in quality.judge(docs, max_docs=10**9).collect()}
     assert share[large[0]].clean_text == large[0] and share[small[0]].clean_text == own(3000)
+    clash = docs.withColumns({c: F.lit(c) for c in ("_host", "_common", "_base", "_clean", "_hash")})
+    again = quality.judge(clash).collect()
+    assert sorted(map(str, (r.clean_text for r in again))) == sorted(str(r.clean_text) for r in rows) and again[0]._host == "_host"
+    # Copies count as documents, for lines that other texts hold too.
+    pages = [f"site notice here\n{own(5000 + i % 12)}" for i in range(48)]
+    few = {r.text: r for r in quality.judge(frame(spark, [*pages, *(own(6000 + i) for i in range(1500))])).collect()}
+    many = {r.text: r for r in quality.judge(frame(spark, [*pages, *pages[:2], *(own(6000 + i) for i in range(1500))])).collect()}
+    assert all(few[t].clean_text == t and many[t].clean_text == t.split("\n")[1] for t in pages)
     kept = [r.text for r in corpus_pipeline.quality_rules(spark, docs, "").collect()]
     assert not any("footer" in t for t in kept)
 
