@@ -13,15 +13,17 @@ Survivors are confirmed on their full sets.
 
 Equal sets are one node.  Every node first meets one other only: of the smallest
 nodes of its buckets (documents with an equal band) the one that most of them
-name.  Only buckets that still hold several components are then
-searched for links between those: in blocks of about ``block`` nodes, sketches
-against sketches, and what passes is confirmed as before.  No links are lost and
-no bucket is multiplied out.
+name.  Only buckets that still hold several components are then searched for links
+between those: the members of each component but the bucket's largest one are dealt
+to all cells of the bucket, of about ``block`` nodes each, and meet there what
+belongs to other components.  So the largest component never meets itself, and no
+links are lost.
 
 Defined cases: a text without words has an empty set and is linked with nothing;
-rows that share an id are one document for links, and each keeps its own set
-size; a null id gets a null component where no other id is reachable, and is kept
-then; an empty table gives no rows; extra columns are not carried.
+rows that share an id are one document for links (what either links is linked), and
+each keeps its own set size; rows without id link others like any row, and get a null
+component, being kept then, only where no id is reachable; an empty table gives no
+rows; extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -94,28 +96,32 @@ def _digest(own: np.ndarray) -> bytes | None:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+
+
 def fingerprints(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, digest, bands, sketch, whole) a row; the last four are null for an empty set."""
+    """(id, h, n, digest, bands, sketch, whole) a row, ``h`` a hash of its text; the last four are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1), 1_000_000):
-                sets = _sets(batch.column(1)[a:b], size)
+            for a, b in slices(batch.column(2), 1_000_000):
+                sets = _sets(batch.column(2)[a:b], size)
                 samples = np.stack([minhashes(s) for s in sets])
                 bands, sketch, empty = band_keys(samples), odd_sketches(samples), np.array([not len(s) for s in sets])
                 whole = np.stack([set_sketch(s) for s in sets])
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()), mask=pa.array(empty))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), lists(bands), lists(sketch), lists(whole)],
-                    names=["id", "n", "digest", "bands", "sketch", "whole"],
+                    [batch.column(0)[a:b], batch.column(1)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), lists(bands), lists(sketch), lists(whole)],
+                    names=["id", "h", "n", "digest", "bands", "sketch", "whole"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, digest binary, bands array<long>, sketch array<long>, whole array<long>")
+    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, h long, n long, digest binary, bands array<long>, sketch array<long>, whole array<long>")
 
 
 def flat(nodes: DataFrame) -> DataFrame:
-    """(id, n, s0.., w0..): a column for each long of the sketches, so that ``alike`` is compiled small."""
-    return nodes.select("id", "n", *(F.col(c)[k].alias(f"{c[0]}{k}") for c, bits in (("sketch", BITS), ("whole", SET_BITS)) for k in range(bits // 64)))
+    """(node, n, s0.., w0..): a column for each long of the sketches, so that ``alike`` is compiled small."""
+    return nodes.select("node", "n", *(F.col(c)[k].alias(f"{c[0]}{k}") for c, bits in (("sketch", BITS), ("whole", SET_BITS)) for k in range(bits // 64)))
 
 
 def differing_bits(x: str, y: str, kind: str, bits: int) -> Column:
@@ -145,21 +151,30 @@ def alike(x: str, y: str, limit: int, threshold: int) -> Column:
     )
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, threshold: int, size: int, id_col: str, text_col: str, max_broadcast_bytes: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = if_small(written(wanted.join(nodes.select("id", "digest"), "id")), max_broadcast_bytes)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
+def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, threshold: int, size: int, id_col: str, text_col: str, max_broadcast_bytes: int, spread: int = 1024) -> DataFrame:
+    """Those of ``pairs`` (a, b) of nodes whose full sets reach the threshold.
+
+    A node's set is made anew from one of its texts.  Where many pairs share a ``b``,
+    as at the hub of a star, they meet it in several places of ``spread`` pairs.
+    """
+    places = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / spread).cast("int").alias("places")))
+    ends = pairs.select(F.col("a").alias("node"), F.lit(1).alias("places")).unionByName(places.select(F.col("b").alias("node"), "places"))
+    wanted = ends.groupBy("node").agg(F.max("places").alias("places")).join(nodes.select("node", "id", "h", "digest"), "node")
+    wanted = if_small(written(wanted), max_broadcast_bytes).alias("w")
+    rows = _rows(docs, id_col, text_col).alias("r")
+    texts = rows.join(wanted, (F.col("r.h") == F.col("w.h")) & F.col("r.id").eqNullSafe(F.col("w.id"))).select("node", "places", "text", "digest")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1), 1_000_000):
-                own = _sets(batch.column(1)[a:b], size)
-                # Of rows that share an id, the node's own text.
-                same = [i for i, s in enumerate(own) if _digest(s) == batch.column(2)[a + i].as_py()]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].take(pa.array(same, pa.int64())), pa.array([own[i].tobytes() for i in same], pa.binary())], names=["id", "own"])
+            for a, b in slices(batch.column(2), 1_000_000):
+                own = _sets(batch.column(2)[a:b], size)
+                # Texts of equal hash are told apart by their sets.
+                same = [i for i, s in enumerate(own) if _digest(s) == batch.column(3)[a + i].as_py()]
+                at = pa.array(same, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].take(at), batch.column(1)[a:b].take(at), pa.array([own[i].tobytes() for i in same], pa.binary())], names=["node", "places", "own"])
 
-    own = texts.select("id", "text", "digest").mapInArrow(sets, "id long, own binary")
+    # Repeated rows, and those without id, may give a node's text more than once.
+    own = texts.mapInArrow(sets, "node long, places int, own binary").dropDuplicates(["node"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,8 +185,21 @@ def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, threshold: int,
                 ok.append(100 * both >= threshold * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left, right = own.select(F.col("id").alias("a"), F.col("own").alias("x")), own.select(F.col("id").alias("b"), F.col("own").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
+    left = own.select(F.col("node").alias("a"), F.col("own").alias("x"))
+    right = own.select(F.col("node").alias("b"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.col("own").alias("y"))
+    dealt = pairs.join(places, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("places")).cast("int").alias("place"))
+    return dealt.join(left, "a").join(right, ["b", "place"]).select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
+
+
+def same_documents(prints: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """Edges (a, b) between the nodes that rows of one id name; None if every id names one."""
+    named = prints.filter("n > 0 and id is not null").select("id", "digest").distinct()
+    several = written(named.groupBy("id").agg(F.count("*").alias("n"), F.min("digest").alias("least")).filter("n > 1"))
+    if not several.limit(1).count():
+        return None
+    number = lambda c: nodes.select(F.col("digest").alias(c), F.col("node").alias(f"{c}_node"))
+    own = named.join(several, "id").filter("digest <> least").join(number("digest"), "digest").join(number("least"), "least")
+    return own.select(F.col("digest_node").alias("a"), F.col("least_node").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -193,48 +221,52 @@ def near_duplicates(
     """
     limit = most_bits(sketch_floor)
     prints = written(fingerprints(docs, shingle, id_col, text_col))
-    # One node for each distinct set, named by its smallest id.
-    nodes = written(
-        prints.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "bands", "sketch", "whole"))).filter("id is not null")
-    )
-    banded = nodes.select("id", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("id").alias("least"), F.count("*").alias("members")).filter("members > 1")
+    # One numbered node for each distinct set, with its smallest id and the text of that row.
+    witness = F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("w")
+    grouped = prints.filter("n > 0").groupBy("digest").agg(witness, *(F.first(c).alias(c) for c in ("n", "bands", "sketch", "whole")))
+    nodes = written(grouped.select(F.monotonically_increasing_id().alias("node"), "w.id", "w.h", "digest", "n", "bands", "sketch", "whole"))
+    banded = nodes.select("node", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("members")).filter("members > 1")
     members = written(banded.join(shared, "band"))
 
     sketches = flat(nodes)
-    # One star a node: the least id that it meets in most buckets.
+    # One star a node: the least node that it meets in most buckets.
     stars = (
-        members.filter("id <> least").groupBy(F.col("id").alias("a"), F.col("least").alias("b")).agg(F.count("*").alias("bands"))
+        members.filter("node <> least").groupBy(F.col("node").alias("a"), F.col("least").alias("b")).agg(F.count("*").alias("bands"))
         .groupBy("a").agg(F.max_by("b", F.struct("bands", -F.col("b"))).alias("b"))
     )
     x, y = sketches.alias("x"), sketches.alias("y")
     first = written(
-        stars.join(x, F.col("a") == F.col("x.id")).join(y, (F.col("b") == F.col("y.id")) & alike("x", "y", limit, threshold)).select("a", "b")
+        stars.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & alike("x", "y", limit, threshold)).select("a", "b")
     )
     check = lambda pairs: written(confirm(pairs, docs, nodes, threshold, shingle, id_col, text_col, max_broadcast_bytes))
     links = check(first)
+    if (shared_ids := same_documents(prints, nodes)) is not None:
+        links = written(links.unionByName(shared_ids))
     labels = components(links)
 
-    # What the stars left apart: blocks of buckets with several components.
-    label = lambda df, c: df.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")), c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))
-    labelled = label(members.select("band", "members", "id"), "id")
-    open_bands = labelled.groupBy("band").agg(F.min("id_label").alias("lo"), F.max("id_label").alias("hi")).filter("lo <> hi").select("band")
-    pending = labelled.join(open_bands, "band").join(sketches, "id")
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    dealt = pending.withColumn("k", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("band", F.least("k", "other").alias("p"), F.greatest("k", "other").alias("q"), "k", "id_label", *sketches.columns)
-    x, y = dealt.alias("x"), dealt.alias("y")
+    # What the stars left apart: buckets with several components.
+    known = labels.select("node", "label")
+    labelled = members.select("band", "members", "node").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    by_label = labelled.groupBy("band", "label").agg(F.count("*").alias("size"))
+    largest = by_label.groupBy("band").agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.count("*").alias("labels")).filter("labels > 1").select("band", "largest")
+    pending = written(labelled.join(largest, "band").select("band", "members", "node", "label", (F.col("label") != F.col("largest")).alias("travels")))
+    cells = F.ceil(F.col("members") / block).cast("int")
+    seen = pending.join(sketches, "node")
+    y = seen.withColumn("cell", F.pmod(F.xxhash64("node"), cells).cast("int")).alias("y")
+    x = seen.filter("travels").withColumn("cell", F.explode(F.sequence(F.lit(0), cells - 1))).alias("x")
     met = x.join(
         y,
-        (F.col("x.band") == F.col("y.band")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
-        & ((F.col("x.p") == F.col("x.q")) | (F.col("x.k") != F.col("y.k"))) & (F.col("x.id") > F.col("y.id")) & (F.col("x.id_label") != F.col("y.id_label"))
-        & alike("x", "y", limit, threshold),
-    ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    rest = written(met.distinct().join(first, ["a", "b"], "left_anti"))
+        (F.col("x.band") == F.col("y.band")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.label") != F.col("y.label"))
+        & (~F.col("y.travels") | (F.col("x.node") > F.col("y.node"))) & alike("x", "y", limit, threshold),
+    ).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
+    rest = written(met.distinct().join(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if rest.limit(1).count():
         labels = components(links.unionByName(check(rest)))
 
-    node_labels = nodes.select("digest", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("label", "id").alias("component_id"))
+    placed = nodes.select("digest", "node", "id").join(labels, "node", "left").select("digest", "id", F.coalesce("label", "node").alias("label"))
+    least = placed.groupBy("label").agg(F.min("id").alias("component_id"))
+    node_labels = placed.join(least, "label").select("digest", "component_id")
     out = prints.select("id", "n", "digest").join(node_labels, "digest", "left")
-    component = F.coalesce("component_id", "id")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

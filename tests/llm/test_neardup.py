@@ -65,6 +65,56 @@ def test_rows_without_ids_and_repeated_ids(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def brute_rows(rows):
+    """Components of (id, text) rows whose ids may be null or repeated."""
+    sets = [shingle_set(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, (d, _) in enumerate(rows):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            linked = both and 100 * both >= 75 * len(sets[i] | sets[j])
+            if linked or sets[i] and sets[j] and d is not None and d == rows[j][0]:
+                root[find(i)] = find(j)
+    out = []
+    for i, (d, _) in enumerate(rows):
+        ids = [e for j, (e, _) in enumerate(rows) if find(j) == find(i) and e is not None]
+        c = min(ids, default=None) if sets[i] else d
+        out.append((d, len(sets[i]), c, c == d))
+    return sorted(out, key=str)
+
+
+def test_null_and_repeated_ids_equal_brute_force(spark):
+    rng = random.Random(11)
+    rows = [(2, "t u v w x"), (3, "t u v w x"), (3, "k l m n o"), (5, "k l m n o"), (3, ""), (None, None)]
+    for case in range(3):
+        for _ in range(10):
+            base = [f"w{rng.randrange(300)}" for _ in range(rng.randrange(6, 60))]
+            for _ in range(rng.randrange(1, 6)):
+                rows.append((rng.choice([None, None, rng.randrange(60)]), " ".join(base)))
+                base[rng.randrange(len(base))] = f"w{rng.randrange(300)}"
+        df = spark.createDataFrame([(d, t, 1, "d", 2) for d, t in rows], DOCS).repartition(3)
+        assert sorted(map(tuple, neardup.near_duplicates(df, block=8).collect()), key=str) == brute_rows(rows)
+
+
+def test_a_large_group_does_not_meet_itself_for_a_few_strays(spark):
+    """Strays share buckets with the group and links with none; the plan's joins stay far from its square."""
+    base = [f"w{k}" for k in range(60)]
+    group = [" ".join([*base, f"x{i}", f"y{i}"]) for i in range(3000)]
+    strays = [" ".join([*base, *(f"s{i}z{k}" for k in range(24))]) for i in range(5)]
+    got = run(spark, [*group, *strays])
+    assert {r[2] for r in got[:3000]} == {0}
+    for i, r in enumerate(got[3000:]):
+        mine = shingle_set(strays[i])
+        both = len(mine & shingle_set(group[0]))
+        assert r[2] == (0 if 100 * both >= 75 * len(mine | shingle_set(group[0])) else 3000 + i)
+
+
 def test_components_of_a_long_path(spark):
     ids = list(range(200))
     random.Random(1).shuffle(ids)
