@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomloom.llm import leaks, neardup, packing, pii, quality
-from roomloom.llm.common import if_small, written
+from roomloom.llm.common import if_small, small_arrow_batches, written
 from roomloom.llm.queries import table, tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -32,7 +32,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``docs`` without the rows of these keys."""
-    return docs.join(if_small(written(rows.select("_row").distinct()), 2_000_000), "_row", "left_anti").select(*COLUMNS)
+    return docs.join(if_small(written(rows.select("_row").distinct())), "_row", "left_anti").select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,6 +42,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies one row stays: the one with the smallest id, null last."""
+    small_arrow_batches(spark)
     docs = _numbered(docs)
     groups = written(neardup.near_duplicates(docs, id_col="_row").select("_row", "component_id").join(docs.select("_row", "doc_id"), "_row"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
@@ -66,7 +67,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The executors still hold what the stages before took, so the workers get less memory.
     """
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), length=2048, max_pieces=200_000, slice_bytes=1_000_000)
+    small_arrow_batches(spark)
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), length=2048, max_pieces=200_000, slice_bytes=2_000_000)
 
 
 STAGES: list[tuple[str, Stage]] = [
