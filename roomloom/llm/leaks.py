@@ -1,36 +1,42 @@
 """Benchmark decontamination: a BM25 index of the test items, searched with block-max WAND.
 
 Terms are runs of three lower-cased words, so that ordinary prose meets few
-postings.  The index keeps for each term its postings in item order, cut into
-blocks of ``block`` items, and with every block the largest weight in it.
-Weights are divided by the item's own score, so that one threshold serves all
-items.  Every passage of every document is a query: windows of ``passage`` words,
-at least twice the longest item, each starting half a window after the last, so
-that any item lies whole in one.  A (passage, block) whose block maxima do not
-add up to the threshold is skipped, and the others are scored.  All items above
-the threshold are verified: the question is the item without its last sentence,
-the answer is that sentence, and both are sought in the passage as runs of five
-words.
-
-Items beyond ``index_items`` go to further indexes of that size, and the
-documents are searched with each: what is broadcast is bounded, and no item is
-left out.  Weights come from counts over all items, so that scores do not depend
-on the number of indexes.
-
-Defined cases: null or empty texts and items match nothing, nor do items under
-three words; equal items each match; repeated rows of a document give one row;
-null ids are kept; an empty table gives no rows; extra columns are not carried.
+postings; an item of one or two words is one run of its own length.  The index keeps
+for each term its postings in item order, cut into blocks of ``block`` items, with
+the largest weight of every block and of the whole list.  Weights are divided by the
+item's own score, so that one threshold serves all items.  Every passage of every
+document is a query: windows of ``passage`` words, at least twice the longest item,
+each starting half a window after the last, so that any item lies whole in one.
+
+Passages whose terms' upper bounds do not add up to the threshold are done.  In the
+others a pivot is found, the first item at which the upper bounds of the lists so far
+reach the threshold; if the maxima of the pivot's blocks do not, all these lists skip
+behind the block, else they move to the pivot and it is scored.  All items at or above
+the threshold are verified: the question is the item without its last sentence, the
+answer is that sentence, and both are sought in the passage as runs of five words.
+
+Up to ``index_items`` items the index is broadcast.  More are dealt into parts of that
+size by hash: the documents are read once, their passages that may hold a term (a
+bitmap of fixed size tells) are joined by term with the parts that have it, and each
+part's index is built by the tasks that search it.  Weights come from counts over all
+items, so that scores do not depend on the number of parts.
+
+Defined cases: null or empty texts and items match nothing; items under ``min_words``
+words are left out, none by default; equal items each match; repeated rows of a
+document give one row; null ids are kept; an empty table gives no rows; extra columns
+are not carried.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +63,8 @@ def _words(text: str) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Postings of all terms in a row: term ``t`` owns ``starts[t]:starts[t+1]``."""
+    """Postings of all terms in a row: term ``t`` owns ``starts[t]:starts[t+1]``, and
+    of the blocks ``block_starts[t]:block_starts[t+1]``."""
 
     item_ids: list
     terms: np.ndarray
@@ -67,8 +74,10 @@ class Index:
     block_starts: np.ndarray
     blocks: np.ndarray
     block_max: np.ndarray
+    term_max: np.ndarray
     block: int
     longest: int
+    sizes: list
     whole: list
     question: list
     answer: list
@@ -85,27 +94,33 @@ class Counts:
     df: np.ndarray
 
 
+def _terms(words: np.ndarray) -> np.ndarray:
+    """The runs of an item's words that are its terms."""
+    return shingles(words, _TERM)
+
+
 def item_terms(items: DataFrame) -> DataFrame:
-    """(part, n_terms, terms) of the items (text, part) that have a term."""
+    """(part, item, text, n_words, n_terms, terms) of the items (part, item, text) with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [_words(t or "") for t in batch.column(0).to_pylist()]
-            own = [np.unique(shingles(w, _TERM)).view(np.int64) if len(w) >= _TERM else [] for w in words]
-            columns = [batch.column(1), pa.array([max(len(w) - _TERM + 1, 0) for w in words], pa.int64()), pa.array(own, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["part", "n_terms", "terms"])
+            words = [_words(t or "") for t in batch.column(2).to_pylist()]
+            runs = [_terms(w) for w in words]
+            numbers = [pa.array([len(x) for x in each], pa.int64()) for each in (words, runs)]
+            own = pa.array([np.unique(r).view(np.int64) for r in runs], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *numbers, own], names=["part", "item", "text", "n_words", "n_terms", "terms"])
 
-    return items.select("text", F.col("part").cast("long").alias("part")).mapInArrow(run, "part long, n_terms long, terms array<long>").filter("n_terms > 0")
+    found = items.select("part", "item", "text").mapInArrow(run, "part int, item long, text string, n_words long, n_terms long, terms array<long>")
+    return found.filter("n_terms > 0")
 
 
 def build_index(rows: list[tuple], block: int = 32, k1: float = 1.2, b: float = 0.75, overall: Counts | None = None) -> Index | None:
     """The index of (item id, text) rows, weighed by ``overall`` or else by themselves; None if no item has a term."""
-    rows = [(i, t, _words(t)) for i, t in rows if t]
-    rows = [r for r in rows if len(r[2]) >= _TERM]
+    rows = [(i, t, w) for i, t in rows if t and len(w := _words(t))]
     if not rows:
         return None
     words = [r[2] for r in rows]
-    own = [np.unique(shingles(w, _TERM), return_counts=True) for w in words]
+    own = [np.unique(_terms(w), return_counts=True) for w in words]
     terms, term = np.unique(np.concatenate([t for t, _ in own]), return_inverse=True)
     item = np.repeat(np.arange(len(own)), [len(t) for t, _ in own])
     tf = np.concatenate([c for _, c in own]).astype(float)
@@ -123,38 +138,77 @@ def build_index(rows: list[tuple], block: int = 32, k1: float = 1.2, b: float =
     sets = lambda ws: [(min(len(w), _SHINGLE), np.unique(shingles(w, _SHINGLE))) for w in ws]
     split = [question_and_answer(r[1]) for r in rows]
     return Index(
-        [r[0] for r in rows], terms, count(term), item, weight, count(term[first]), item[first] // block, np.maximum.reduceat(weight, first), block,
-        max(map(len, words)), sets(words), sets([_words(q) for q, _ in split]), sets([_words(a) for _, a in split]),
+        [r[0] for r in rows], terms, count(term), item, weight, count(term[first]), item[first] // block, np.maximum.reduceat(weight, first),
+        np.maximum.reduceat(weight, count(term)[:-1]), block, max(map(len, words)), sorted({min(len(w), _TERM) for w in words}), sets(words), sets([_words(q) for q, _ in split]), sets([_words(a) for _, a in split]),
     )
 
 
-def _expand(starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions ``starts[t]:starts[t+1]`` for each t of ``at``, and which t each is of."""
-    n = starts[at + 1] - starts[at]
-    ends = np.cumsum(n)
-    return np.repeat(starts[at] - (ends - n), n) + np.arange(int(n.sum())), np.repeat(np.arange(len(at)), n)
-
-
-def search(index: Index, passage: np.ndarray, term: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class _List:
+    """A place in the postings of one term."""
+
+    __slots__ = ("at", "block_end", "block_start", "end", "index", "item", "term")
+
+    def __init__(self, index: Index, term: int):
+        self.index, self.term = index, term
+        self.at, self.end = int(index.starts[term]), int(index.starts[term + 1])
+        self.block_start, self.block_end = int(index.block_starts[term]), int(index.block_starts[term + 1])
+        self.item = int(index.items[self.at])
+
+    def move_to(self, item: int) -> bool:
+        """To the first posting at or behind ``item``; whether there is one."""
+        self.at = bisect_left(self.index.items, item, self.at, self.end)
+        if self.at < self.end:
+            self.item = int(self.index.items[self.at])
+        return self.at < self.end
+
+    def max_in(self, block: int) -> float:
+        k = self.block_start = bisect_left(self.index.blocks, block, self.block_start, self.block_end)
+        return float(self.index.block_max[k]) if k < self.block_end and self.index.blocks[k] == block else 0.0
+
+
+def block_max_wand(index: Index, terms: list[int], threshold: float) -> Iterator[tuple[int, float]]:
+    """(item, score) of the items that score ``threshold`` or more for the distinct ``terms``."""
+    lists = [_List(index, t) for t in terms]
+    bound = {t: float(index.term_max[t]) for t in terms}
+    while lists:
+        lists.sort(key=lambda x: x.item)
+        reach, k = 0.0, 0
+        while k < len(lists) and (reach := reach + bound[lists[k].term]) < threshold:
+            k += 1
+        if k == len(lists):
+            return
+        pivot = lists[k].item
+        while k + 1 < len(lists) and lists[k + 1].item == pivot:
+            k += 1
+        near, far = lists[: k + 1], lists[k + 1 :]
+        block = pivot // index.block
+        if sum(x.max_in(block) for x in near) < threshold:
+            # Nothing before the next list's item, or the block's end, can reach it.
+            goal = min((block + 1) * index.block, far[0].item if far else (block + 1) * index.block)
+        else:
+            goal = pivot
+            if near[0].item == pivot:
+                score = sum(float(index.weights[x.at]) for x in near)
+                if score >= threshold:
+                    yield pivot, score
+                goal = pivot + 1
+        lists = [x for x in near if x.move_to(goal)] + far
+
+
+def search(index: Index, passage: np.ndarray, term: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
     """(passage, item, score) of all scores at or above ``threshold``, for queries
-    given as distinct (passage, term) pairs."""
-    at, of = _expand(index.block_starts, term)
-    n_blocks = len(index.item_ids) // index.block + 1
-    key, place = np.unique(passage[of] * n_blocks + index.blocks[at], return_inverse=True)
-    bound = np.bincount(place, index.block_max[at], len(key))
-    alive = bound >= threshold - 1e-9
-    # Only terms with a block that is still alive are read in full.
-    use = np.unique(of[alive[place]])
-    at, of = _expand(index.starts, term[use])
-    owner = passage[use][of]
-    slot = np.searchsorted(key, owner * n_blocks + index.items[at] // index.block)
-    keep = alive[slot]
-    at, owner = at[keep], owner[keep]
-    n = len(index.item_ids)
-    pair, place = np.unique(owner * n + index.items[at], return_inverse=True)
-    score = np.bincount(place, index.weights[at], len(pair))
-    good = score >= threshold - 1e-9
-    return pair[good] // n, pair[good] % n, score[good]
+    given as distinct (passage, term) pairs, sorted."""
+    threshold -= 1e-9
+    found: list[tuple[int, int, float]] = []
+    if not len(passage):
+        return found
+    first = np.flatnonzero(np.diff(passage, prepend=passage[0] - 1))
+    reach = np.add.reduceat(index.term_max[term], first)
+    last = np.append(first[1:], len(passage))
+    for k in np.flatnonzero(reach >= threshold).tolist():
+        own = term[first[k] : last[k]].tolist()
+        found += [(int(passage[first[k]]), item, score) for item, score in block_max_wand(index, own, threshold)]
+    return found
 
 
 def _share(part: tuple[int, np.ndarray], words: np.ndarray) -> float:
@@ -165,6 +219,175 @@ def _share(part: tuple[int, np.ndarray], words: np.ndarray) -> float:
     return float(np.isin(wanted, shingles(words, size)).mean()) if len(words) >= size else 0.0
 
 
+def _bits(terms: np.ndarray, bits: int) -> np.ndarray:
+    return terms >> _U(64 - bits)
+
+
+def term_places(words: np.ndarray, bounds: np.ndarray, sizes: list[int], known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, document, term) of the runs of ``sizes`` words inside documents whose bit is set in ``known``."""
+    bits, places, terms, docs = len(known).bit_length() - 1, [], [], []
+    for size in sizes:
+        if len(words) < size:
+            continue
+        runs = shingles(words, size)
+        at = np.flatnonzero(known[_bits(runs, bits)])
+        doc = np.searchsorted(bounds, at, "right") - 1
+        inside = at + size <= bounds[doc + 1]
+        places.append(at[inside])
+        docs.append(doc[inside])
+        terms.append(runs[at[inside]])
+    if not places:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, _U)
+    return np.concatenate(places), np.concatenate(docs), np.concatenate(terms)
+
+
+def windows_of(at: np.ndarray, doc: np.ndarray, bounds: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(window, which of ``at`` it holds, most): window ``doc * (most + 1) + k`` starts ``k * step`` words into its document."""
+    half = (at - bounds[doc]) // step
+    most = int(half.max()) + 1
+    window = doc * (most + 1) + half
+    # A word lies in the window that starts at its half and in the one before.
+    return np.concatenate([window, window[half > 0] - 1]), np.concatenate([np.arange(len(at)), np.flatnonzero(half > 0)]), most
+
+
+def held_items(index: Index, known: np.ndarray, words: np.ndarray, bounds: np.ndarray, width: int, threshold: float, overlap: float) -> dict[tuple[int, int], tuple[float, float, float]]:
+    """(document, item) -> its best score and overlaps, of the verified items."""
+    at, doc, run = term_places(words, bounds, index.sizes, known)
+    term = np.searchsorted(index.terms, run)
+    hit = index.terms[np.minimum(term, len(index.terms) - 1)] == run
+    at, term, doc = at[hit], term[hit], doc[hit]
+    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    if not len(at):
+        return best
+    step = width // 2
+    window, which, most = windows_of(at, doc, bounds, step)
+    query = np.unique(window * len(index.terms) + term[which])
+    for w, i, score in search(index, query // len(index.terms), query % len(index.terms), threshold):
+        d, k = divmod(w, most + 1)
+        start = bounds[d] + k * step
+        held = words[start : min(start + width, bounds[d + 1])]
+        asked, answered = _share(index.question[i], held), _share(index.answer[i], held)
+        if asked >= overlap and (answered >= overlap or _share(index.whole[i], held) >= overlap):
+            best[d, i] = max(best.get((d, i), (0.0,)), (score, asked, answered))
+    return best
+
+
+def known_bits(terms: np.ndarray) -> np.ndarray:
+    """A bitmap of some 32 places for each term."""
+    bits = max(16, len(terms).bit_length() + 5)
+    known = np.zeros(1 << bits, bool)
+    known[_bits(terms, bits)] = True
+    return known
+
+
+def _found(ids: pa.Array, index: Index, best: dict[tuple[int, int], tuple[float, float, float]]) -> pa.RecordBatch:
+    columns = [pa.array([v[k] for v in best.values()], pa.float64()) for k in range(3)]
+    keys = [ids.take(pa.array([k[0] for k in best])), pa.array([index.item_ids[k[1]] for k in best], pa.int64())]
+    return pa.RecordBatch.from_arrays([*keys, *columns], names=["id", "item", "score", "question_overlap", "answer_overlap"])
+
+
+def by_broadcast(texts: DataFrame, items: DataFrame, schema: str, threshold: float, overlap: float, passage: int) -> DataFrame:
+    """All found pairs of ``texts`` (id, text), with one index that every worker holds."""
+    spark = texts.sparkSession
+    index = build_index([tuple(r) for r in items.select("item", "text").collect()])  # index_items rows at most
+    if index is None:
+        return spark.createDataFrame([], schema)
+    shared = spark.sparkContext.broadcast(index)
+    width = max(passage, 2 * index.longest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        known = known_bits(index.terms)
+        for batch in batches:
+            for a, b in slices(batch.column(1), 1_000_000):
+                words, bounds = word_hashes(batch.column(1)[a:b], word_table(marks=True))
+                if best := held_items(index, known, words, bounds, width, threshold, overlap):
+                    yield _found(batch.column(0)[a:b], index, best)
+
+    return texts.mapInArrow(run, schema)
+
+
+def term_bitmap(terms: DataFrame, bits: int = 27) -> np.ndarray:
+    """One bit for each value of the terms' first ``bits``: of fixed size, and put together in pieces of 4,096."""
+    slot = F.shiftrightunsigned("term", 64 - bits)
+    pieces = terms.select(F.shiftright(slot, 12).alias("piece"), slot.bitwiseAND(F.lit(4095)).cast("int").alias("bit")).groupBy("piece").agg(F.collect_set("bit").alias("own"))
+    known = np.zeros(1 << bits, bool)
+    for r in pieces.toLocalIterator():
+        known[(r.piece << 12) + np.array(r.own)] = True
+    return known
+
+
+def by_parts(texts: DataFrame, items: DataFrame, n_parts: int, schema: str, threshold: float, overlap: float, passage: int, salts: int = 16) -> DataFrame:
+    """The same with the items in ``n_parts`` indexes; one reading of ``texts``."""
+    spark = texts.sparkSession
+    part = F.pmod(F.xxhash64("item", "text"), F.lit(n_parts)).cast("int")
+    items = written(item_terms(items.withColumn("part", part)))
+    total = items.agg(F.count("*").alias("n"), F.avg("n_terms").alias("mean"), F.max("n_words").alias("longest")).first()
+    if not total.n:
+        return spark.createDataFrame([], schema)
+    each = items.select("part", "item", "text", F.explode("terms").alias("term"))
+    df = written(each.groupBy("term").agg(F.count("*").alias("df")))
+    shared = spark.sparkContext.broadcast(np.packbits(term_bitmap(df)))
+    width = max(passage, 2 * total.longest)
+    sizes = sorted(r[0] for r in items.select(F.least("n_words", F.lit(_TERM))).distinct().collect())  # 1 to 3
+    kind = dict(texts.dtypes)["id"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(shared.value).astype(bool)
+        number = TaskContext.get().partitionId() << 40
+        step = width // 2
+        for batch in batches:
+            for a, b in slices(batch.column(1), 1_000_000):
+                words, bounds = word_hashes(batch.column(1)[a:b], word_table(marks=True))
+                at, doc, run = term_places(words, bounds, sizes, known)
+                if not len(at):
+                    continue
+                window, which, most = windows_of(at, doc, bounds, step)
+                order = np.argsort(window, kind="stable")
+                window, run = window[order], run[which[order]]
+                first = np.flatnonzero(np.diff(window, prepend=-1))
+                own = np.split(run, first[1:])
+                d, k = np.divmod(window[first], most + 1)
+                start = bounds[d] + k * step
+                held = [words[i:j].tobytes() for i, j in zip(start, np.minimum(start + width, bounds[d + 1]), strict=True)]
+                columns = [batch.column(0)[a:b].take(pa.array(d)), pa.array(number + np.arange(len(first))), pa.array(held, pa.binary()), pa.array([np.unique(x).view(np.int64) for x in own], pa.list_(pa.int64()))]
+                number += len(first)
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "window", "words", "terms"])
+
+    windows = written(texts.mapInArrow(cut, f"id {kind}, window long, words binary, terms array<long>"))
+    routes = windows.select("window", F.explode("terms").alias("term")).join(each.select("term", "part").distinct(), "term").select("window", "part").distinct()
+    asked = windows.select("id", "window", "words").join(routes, "window").select("part", F.pmod(F.xxhash64("window"), F.lit(salts)).cast("int").alias("salt"), "id", "words")
+    counts = each.join(df, "term").groupBy("part", "item", "text").agg(F.collect_list(F.struct("term", "df")).alias("counts"))  # an item's own terms
+    dealt = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    none = lambda t: F.lit(None).cast(t)
+    both = dealt.select("part", "salt", F.lit(False).alias("asks"), "item", "text", "counts", none(kind).alias("id"), none("binary").alias("words")).unionByName(
+        asked.select("part", "salt", F.lit(True).alias("asks"), none("long").alias("item"), none("string").alias("text"), none("array<struct<term:long,df:long>>").alias("counts"), "id", "words")
+    )
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The items of a part and salt come before its passages."""
+        now, index, known, rows, terms = None, None, None, [], {}
+        for batch in batches:
+            part, salt, asks, item, text, counts = (batch.column(k).to_pylist() for k in range(6))
+            for i in range(len(part)):
+                if (part[i], salt[i]) != now:
+                    now, index, rows, terms = (part[i], salt[i]), None, [], {}
+                if not asks[i]:
+                    rows.append((item[i], text[i]))
+                    terms.update((c["term"], c["df"]) for c in counts[i])
+                    continue
+                if index is None:
+                    keys = np.array(list(terms), np.int64).view(_U)
+                    order = np.argsort(keys)
+                    index = build_index(rows, overall=Counts(total.n, total.mean, keys[order], np.array(list(terms.values()))[order]))
+                    known = known_bits(index.terms)
+                words = np.frombuffer(batch.column(7)[i].as_buffer(), _U)
+                if best := held_items(index, known, words, np.array([0, len(words)]), width, threshold, overlap):
+                    yield _found(batch.column(6)[i : i + 1], index, best)
+
+    return both.repartition("part", "salt").sortWithinPartitions("part", "salt", "asks").mapInArrow(ask, schema)
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -175,6 +398,7 @@ def find_leaks(
     threshold: float = 0.4,
     overlap: float = 0.75,
     passage: int = 128,
+    min_words: int = 1,
     index_items: int = 20_000,
 ) -> DataFrame:
     """(id, item id, score, question_overlap, answer_overlap): the items a document holds.
@@ -182,75 +406,16 @@ def find_leaks(
     A scored item is verified when ``overlap`` of the question's runs of five
     words are in the passage, and as many of the answer's or of the whole item's.
     """
-    spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
-    n_indexes = max(1, -(-items.count() // index_items))
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(n_indexes))
-    kind = dict(docs.dtypes)[id_col]
-    schema = f"id {kind}, item long, score double, question_overlap double, answer_overlap double"
+    if min_words > 1:
+        long_enough = written(item_terms(items.withColumn("part", F.lit(0)))).filter(F.col("n_words") >= min_words)
+        items = long_enough.select("item", "text")
+    n_parts = max(1, -(-items.count() // index_items))
+    schema = f"id {dict(docs.dtypes)[id_col]}, item long, score double, question_overlap double, answer_overlap double"
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = [spark.createDataFrame([], schema)]
-    if n_indexes > 1:
-        terms = written(item_terms(items.withColumn("part", part)))
-        each = terms.select("part", F.explode("terms").alias("term"))
-        counts = written(each.distinct().join(each.groupBy("term").agg(F.count("*").alias("df")), "term"))
-        total = terms.agg(F.count("*").alias("n"), F.avg("n_terms").alias("mean")).first()
-    for k in range(n_indexes):
-        overall = None
-        if n_indexes > 1:
-            own = counts.filter(F.col("part") == k).select("term", "df").toArrow()
-            term, df = own["term"].to_numpy().view(_U), own["df"].to_numpy()
-            order = np.argsort(term)
-            overall = Counts(total.n, total.mean, term[order], df[order])
-        index = build_index([tuple(r) for r in items.filter(part == k).collect()], overall=overall)  # about index_items rows
-        if index is None:
-            continue
-        shared = spark.sparkContext.broadcast(index)
-        width = max(passage, 2 * index.longest)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, width=width) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            bits = max(16, len(index.terms).bit_length() + 5)
-            known = np.zeros(1 << bits, bool)
-            known[index.terms >> _U(64 - bits)] = True
-            step = width // 2
-            for batch in batches:
-                for a, b in slices(batch.column(1), 1_000_000):
-                    words, bounds = word_hashes(batch.column(1)[a:b], word_table(marks=True))
-                    if len(words) < _TERM:
-                        continue
-                    runs = shingles(words, _TERM)
-                    at = np.flatnonzero(known[runs >> _U(64 - bits)])
-                    term = np.searchsorted(index.terms, runs[at])
-                    hit = index.terms[np.minimum(term, len(index.terms) - 1)] == runs[at]
-                    at, term = at[hit], term[hit]
-                    doc = np.searchsorted(bounds, at, "right") - 1
-                    inside = at + _TERM <= bounds[doc + 1]
-                    at, term, doc = at[inside], term[inside], doc[inside]
-                    if not len(at):
-                        continue
-                    # A word lies in the window that starts at its half and in the one before.
-                    half = (at - bounds[doc]) // step
-                    most = int(half.max()) + 1
-                    window = doc * (most + 1) + half
-                    own = np.concatenate([window, window[half > 0] - 1])
-                    query = np.unique(own * len(index.terms) + np.concatenate([term, term[half > 0]]))
-                    where, item, score = search(index, query // len(index.terms), query % len(index.terms), threshold)
-                    best: dict[tuple[int, int], tuple] = {}
-                    for w, i, s in zip(where.tolist(), item.tolist(), score.tolist(), strict=True):
-                        d, h = divmod(w, most + 1)
-                        start = bounds[d] + h * step
-                        held = words[start : min(start + width, bounds[d + 1])]
-                        asked, answered = _share(index.question[i], held), _share(index.answer[i], held)
-                        if asked >= overlap and (answered >= overlap or _share(index.whole[i], held) >= overlap):
-                            best[d, i] = max(best.get((d, i), (0.0,)), (s, asked, answered))
-                    if best:
-                        where = [k[0] for k in best]
-                        columns = [pa.array([v[k] for v in best.values()], pa.float64()) for k in range(3)]
-                        ids = [batch.column(0)[a:b].take(pa.array(where)), pa.array([index.item_ids[k[1]] for k in best], pa.int64())]
-                        yield pa.RecordBatch.from_arrays([*ids, *columns], names=["id", "item", "score", "question_overlap", "answer_overlap"])
-
-        found.append(texts.mapInArrow(run, schema))
-    pairs = reduce(DataFrame.unionByName, found)
+    if n_parts == 1:
+        pairs = by_broadcast(texts, items, schema, threshold, overlap, passage)
+    else:
+        pairs = by_parts(texts, items, n_parts, schema, threshold, overlap, passage)
     best = pairs.groupBy("id", "item").agg(*(F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")))
     return best.withColumnsRenamed({"id": id_col, "item": item_col})
