@@ -51,9 +51,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go, and no others that share their id."""
+    """Documents that hold a benchmark item of three words or more go, and no others that share their id."""
     docs = _numbered(docs)
-    return _without(docs, leaks.find_leaks(docs, table(spark, sf_dir, "benchmark"), id_col="_row"))
+    return _without(docs, leaks.find_leaks(docs, table(spark, sf_dir, "benchmark"), id_col="_row", min_words=3))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
