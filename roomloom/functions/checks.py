@@ -46,6 +46,26 @@ def room_error(*keys: Column) -> Column:
     return out
 
 
+def request_error(slots: Column, box: tuple[Column, Column, Column, Column], date: Column, rooms: Column, incomplete: Column, as_of: str, now: str) -> Column:
+    """The first of a request's errors: hours, box, date, hours that are past or not in a
+    row, no rooms, rooms without a required field.
+
+    ``rooms`` counts the rooms found, ``incomplete`` those of them that lack a field;
+    ``now`` is ``yyyy-MM-dd HH:mm``.
+    """
+    hours = F.filter(F.transform(slots, lambda s: hour_error(s, date, now)), lambda e: e.isNotNull())
+    return F.coalesce(
+        F.when(slots.isNull(), "slot_order"), box_error(*box), date_error(date, as_of), F.get(hours, 0), continuity_error(slots),
+        F.when(F.coalesce(rooms, F.lit(0)) == 0, "Room-003"), F.when(incomplete > 0, "Room-001"),
+    )
+
+
+def day_bounds(date: Column) -> Column:
+    """Struct (start, end): the first and the last second of a day, as the schedules are asked for."""
+    day = F.date_format(date, "yyyy-MM-dd")
+    return F.struct(F.concat(day, F.lit("T00:00:00")).alias("start"), F.concat(day, F.lit("T23:59:59")).alias("end"))
+
+
 def coordinate_error(x: Column, y: Column) -> Column:
     """Why a place's text coordinates cannot be used: missing, not numbers, outside the city."""
     numeric = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"

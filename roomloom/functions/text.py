@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,7 +26,15 @@ NAME_PARTS = (
     r"\s*\(?\s*최대\s*\d+\s*(?:인|명)\s*\)?",
     r"\s*\(\s*-\s*\d+\s*(?:인|명)\s*\)",
 )
+#: Full-width digits, marks of the kinds of days, and what asks for a call on the day itself.
 _WIDE = "０１２３４５６７８９"
+WEEKDAY_MARKS = ("[평일]", "(평일)")
+WEEKEND_MARKS = ("[주말]", "(주말)", "주말/공휴일")
+WEEKEND_PARTS = r"\[주말[^\]]*\]|\(주말[^)]*\)|\[주말/공휴일\]"
+SAME_DAY, CALL_WORDS = "당일", ("전화", "문의")
+#: What shows that the patterns will find a capacity, and the bounds of a valid result.
+CLEAR_CAPACITY = r"최대\s*\d+|\d+[~\-]\d+인"
+CAPACITY_BOUNDS, CHARGE_BOUNDS = (1, 50), (0, 50000)
 
 
 def strip(c: Column) -> Column:
@@ -54,16 +65,15 @@ def size_from_name(name: Column) -> Column:
 
 
 def day_type(name: Column) -> Column:
-    return F.when(name.contains("[평일]") | name.contains("(평일)"), "weekday").when(
-        name.contains("[주말]") | name.contains("(주말)") | name.contains("주말/공휴일"), "weekend"
-    )
+    has = lambda marks: reduce(or_, map(name.contains, marks))
+    return F.when(has(WEEKDAY_MARKS), "weekday").when(has(WEEKEND_MARKS), "weekend")
 
 
 def clean_name(name: Column) -> Column:
     day = day_type(name)
     out = (
         F.when(day == "weekday", strip(F.regexp_replace(name, r"\[평일\]|\(평일\)", "")))
-        .when(day == "weekend", strip(F.regexp_replace(name, r"\[주말[^\]]*\]|\(주말[^)]*\)|\[주말/공휴일\]", "")))
+        .when(day == "weekend", strip(F.regexp_replace(name, WEEKEND_PARTS, "")))
         .otherwise(name)
     )
     for pattern in NAME_PARTS:
@@ -115,7 +125,7 @@ def parse_room(name: Column, desc: Column) -> Column:
             F.when(set_(c["max"]) & ~set_(c["rec"]), default).otherwise(c["rec"]).alias("recommend_capacity"),
             number(desc, BASE).alias("base_capacity"),
             F.replace(F.regexp_extract(desc, EXTRA, 1), F.lit(","), F.lit("")).try_cast("int").alias("extra_charge"),
-            (desc.contains("당일") & (desc.contains("전화") | desc.contains("문의"))).alias("requires_call"),
+            (desc.contains(SAME_DAY) & reduce(or_, map(desc.contains, CALL_WORDS))).alias("requires_call"),
         )
 
     both = F.struct(capacity(desc).alias("desc"), capacity(name).alias("name"))
@@ -126,7 +136,7 @@ def valid_result(r: Column) -> Column:
     """Whether a parsed struct is usable."""
     within = lambda c, lo, hi: F.coalesce(c.between(lo, hi), F.lit(True))
     return (
-        r["clean_name"].isNotNull() & within(r["max_capacity"], 1, 50) & within(r["recommend_capacity"], 1, 50) & within(r["extra_charge"], 0, 50000)
+        r["clean_name"].isNotNull() & within(r["max_capacity"], *CAPACITY_BOUNDS) & within(r["recommend_capacity"], *CAPACITY_BOUNDS) & within(r["extra_charge"], *CHARGE_BOUNDS)
         & F.coalesce(r["day_type"].isin("weekday", "weekend"), F.lit(True))
     )
 
@@ -150,4 +160,4 @@ def unfenced(response: Column) -> Column:
 
 def needs_model(desc: Column) -> Column:
     """Whether the patterns are likely to miss the capacity of a description."""
-    return ~F.coalesce(desc, F.lit("")).rlike(r"최대\s*\d+|\d+[~\-]\d+인")
+    return ~F.coalesce(desc, F.lit("")).rlike(CLEAR_CAPACITY)

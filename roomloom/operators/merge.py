@@ -51,8 +51,19 @@ def kept_price(c: str) -> Column:
 
 
 def merge_rooms(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """All columns of ``existing`` that ``incoming`` has, by their rules: capacities and price
+    keep manual values, a call is required only if the news say so, images are never
+    null, and the rest is overwritten, nulls included.  ``can_reserve_one_hour`` is not
+    part of the news: it stays, and is true for new rooms."""
     rules = {"max_capacity": kept_capacity("max_capacity"), "recommend_capacity": kept_capacity("recommend_capacity"), "price_per_hour": kept_price("price_per_hour")}
-    return upsert(existing, incoming, ["business_id", "biz_item_id"], rules)
+    if "requires_call" in incoming.columns:
+        rules["requires_call"] = F.coalesce("new.requires_call", F.lit(False))
+    if "image_urls" in incoming.columns:
+        rules["image_urls"] = F.coalesce("new.image_urls", F.array().cast("array<string>"))
+    merged = upsert(existing, incoming, ["business_id", "biz_item_id"], rules)
+    if "can_reserve_one_hour" in merged.columns:
+        merged = merged.withColumn("can_reserve_one_hour", F.coalesce("can_reserve_one_hour", F.lit(True)))
+    return merged
 
 
 def sync_coordinates(branches: DataFrame, places: DataFrame) -> DataFrame:
@@ -70,3 +81,8 @@ def current_favorites(changes: DataFrame) -> DataFrame:
 
 def unresolved_reason(max_capacity: Column) -> Column:
     return F.when(max_capacity.isNull(), "no_capacity_info").when(max_capacity == UNKNOWN, "manual_review_flag")
+
+
+def write_snapshot(table: DataFrame, folder: str) -> None:
+    """The merged table in a new folder: never over the one it was read from."""
+    table.write.mode("errorifexists").parquet(folder)

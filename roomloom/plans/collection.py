@@ -9,7 +9,7 @@ from ..operators import availability as av
 from ..operators import collection as co
 from ..operators import merge
 from ..sources import payloads
-from ..sources.domain import domain, with_clause
+from ..sources.domain import CITIES, DISTRICTS, SOUGHT, domain, search_queries, with_clause
 from .queries import _PARSED, _parsed, mrg4, query
 
 _WN4 = "b AS (SELECT *, cast(floor((row_number() OVER (PARTITION BY business_id ORDER BY room_id) - 1) / 5) AS BIGINT) AS batch FROM room_text)"
@@ -81,12 +81,21 @@ def src3(spark, d):
     return read.select("business_id", "biz_item_id", "price_per_hour", F.size("image_urls").alias("images"))
 
 
-@query("html2_cells", "SELECT l_orderkey, l_linenumber, l_linenumber % 2 = 0 AS is_free FROM lineitem")
+@query(
+    "html2_cells",
+    """WITH p AS (SELECT l_orderkey, string_agg(concat('<div id="reserve_time_', l_partkey, '_', 9 + l_linenumber, '" class="cell', CASE WHEN l_quantity > 25 THEN ' reserve_time_off' ELSE '' END, '">x</div>'), '' ORDER BY l_linenumber, l_partkey, l_quantity) AS html FROM lineitem GROUP BY 1)
+    SELECT l_orderkey, l_partkey, h AS hour, coalesce(contains(regexp_extract(html, concat('<div id="reserve_time_', l_partkey, '_', h, '"[^>]*>')), 'reserve_time_off'), false) AS is_free
+    FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) JOIN p USING (l_orderkey), (SELECT unnest([10, 11, 12, 20]) AS h)""",
+)
 def html2(spark, d):
-    line = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey")
-    item, hour = F.col("l_partkey").cast("string"), F.col("l_linenumber") + 9
-    html = F.concat(F.lit('<div id="reserve_time_'), item, F.lit("_"), hour.cast("string"), F.lit('" class="cell'), F.when(F.col("l_linenumber") % 2 == 0, " reserve_time_off").otherwise(""), F.lit('">x</div>'))
-    return line.select("l_orderkey", "l_linenumber", payloads.cell_free(html, item, hour).alias("is_free"))
+    """The page of an order has a cell for each line; each of its items is asked for at four hours."""
+    line = spark.read.parquet(f"{d}/lineitem.parquet")
+    off = F.when(F.col("l_quantity") > 25, " reserve_time_off").otherwise("")
+    cell = F.concat(F.lit('<div id="reserve_time_'), "l_partkey", F.lit("_"), 9 + F.col("l_linenumber"), F.lit('" class="cell'), off, F.lit('">x</div>'))
+    page = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", cell.alias("c")))), lambda x: x["c"]), "")
+    pages = line.groupBy("l_orderkey").agg(page.alias("html"), F.collect_set("l_partkey").alias("items"))
+    asked = pages.select("l_orderkey", "html", F.explode("items").alias("l_partkey")).withColumn("hour", F.explode(F.array(*map(F.lit, (10, 11, 12, 20)))))
+    return asked.select("l_orderkey", "l_partkey", "hour", payloads.cell_free(F.col("html"), F.col("l_partkey").cast("string"), F.col("hour")).alias("is_free"))
 
 
 @query("flt8_hour_errors", f"{with_clause('raw_request')} SELECT request_id, CASE WHEN length(start_hour) < 5 THEN 'Hour-001' WHEN date = '1998-06-15' AND start_hour <= '14:00' THEN 'Hour-002' END AS error FROM raw_request")
@@ -136,10 +145,64 @@ def flt19(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", checks.client_ip(*given).alias("ip"))
 
 
-@query("snk5_log_lines", """SELECT event_id AS pos, concat('{"timestamp":"', strftime(ts, '%Y-%m-%dT%H:%M:%S'), '","level":"', event_type, '","trace_id":null,"message":"user ', user_id, ' token=***"}') AS line FROM events""")
+@query(
+    "snk5_log_lines",
+    """SELECT event_id AS pos, concat('{"timestamp":"', strftime(ts, '%Y-%m-%dT%H:%M:%S'), '","level":"', event_type, '","logger":"app.search","trace_id":', CASE WHEN event_id % 3 = 0 THEN 'null' ELSE concat('"t', event_id % 50, '"') END,
+    ',"message":"user ', user_id, ' token=***"', CASE WHEN event_id % 4 = 0 THEN ',"phone": "***", "pos": ' || event_id ELSE '' END, '}') AS line FROM events""",
+)
 def snk5(spark, d):
-    log = domain(spark, d, "request_log").withColumn("trace_id", F.lit(None).cast("string"))
-    return co.log_lines(log.withColumn("body", F.concat(F.lit("user "), "ip", F.lit(" token=t"), "ip")), "body")
+    """A quarter of the records have extra fields, a secret one among them."""
+    log = domain(spark, d, "request_log").withColumn("trace_id", F.when(F.col("pos") % 3 != 0, F.col("trace_id")))
+    extras = F.when(F.col("pos") % 4 == 0, F.to_json(F.struct(F.lit("010").alias("phone"), "pos")))
+    return co.log_lines(log.withColumn("body", F.concat(F.lit("user "), "ip", F.lit(" token=t"), "ip")).withColumn("extras", extras), "body", "extras")
+
+
+@query("flt20_log_search", f"{with_clause('request_log')} SELECT pos FROM request_log WHERE coalesce(path, '') <> '/ping' AND trace_id = 't7' UNION ALL SELECT -pos FROM request_log WHERE coalesce(path, '') <> '/ping' AND level = 'error'")
+def flt20(spark, d):
+    log = domain(spark, d, "request_log")
+    return co.log_search(log, trace_id="t7").select("pos").unionByName(co.log_search(log, level="error").select((-F.col("pos")).alias("pos")))
+
+
+_REGIONS = ", ".join(f"({i}, '{name} {SOUGHT}')" for i, name in enumerate((*DISTRICTS, *CITIES)))
+
+
+@query("src8_search_queries", f"{with_clause('place')}, q(region_order, query) AS (VALUES {_REGIONS}) SELECT q.region_order, q.query, count(p.pos) AS places FROM q LEFT JOIN place p USING (region_order) GROUP BY 1, 2")
+def src8(spark, d):
+    """The places that each of the searches found."""
+    found = domain(spark, d, "place").groupBy("region_order").agg(F.count("*").alias("places"))
+    return search_queries(spark).join(found, "region_order", "left").select("region_order", "query", F.coalesce("places", F.lit(0).cast("long")).alias("places"))
+
+
+@query("so2_region_slice", f"{with_clause('place')} SELECT pos, region_order FROM place WHERE region_order >= 5 AND region_order < 12")
+def so2(spark, d):
+    """The places of a slice of the searches."""
+    return domain(spark, d, "place").join(F.broadcast(search_queries(spark, 5, 12)), "region_order").select("pos", "region_order")
+
+
+@query("dt4_day_bounds", """SELECT strftime(ts, '%Y-%m-%dT00:00:00') AS start, strftime(ts, '%Y-%m-%dT23:59:59') AS "end", count(*) AS n FROM events GROUP BY 1, 2""")
+def dt4(spark, d):
+    """The records between the bounds of their day."""
+    log = domain(spark, d, "request_log").withColumn("b", checks.day_bounds(F.col("ts")))
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    return log.filter(stamp.between(F.col("b.start"), F.col("b.end"))).groupBy("b.start", "b.end").agg(F.count("*").alias("n"))
+
+
+@query(
+    "mp1_slot_lookup",
+    f"""{with_clause('slot')}, l AS (SELECT *, row_number() OVER (PARTITION BY business_id, biz_item_id, day, hour ORDER BY pos DESC) AS k FROM slot)
+    SELECT business_id, biz_item_id, day, bool_or(hour = 10 AND unit_booking_count < unit_stock) AS at_ten, bool_or(hour = 20 AND unit_booking_count < unit_stock) AS at_twenty FROM l WHERE k = 1 GROUP BY 1, 2, 3""",
+)
+def mp1(spark, d):
+    look = lambda h: av.slot_status(F.col("slots"), F.lit(h))
+    return av.slot_maps(domain(spark, d, "slot")).select("business_id", "biz_item_id", "day", look("10:00").alias("at_ten"), look("20:00").alias("at_twenty"))
+
+
+@query("st1_union_pages", f"{with_clause('place')} SELECT business_id, region_order, pos FROM (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY region_order, pos) AS k FROM place) WHERE k = 1")
+def st1(spark, d):
+    """The pages of all searches together, each business where it was first seen."""
+    p = domain(spark, d, "place").select("business_id", "region_order", "pos")
+    pages = [p.filter(F.col("region_order") < 25), p.filter(F.col("region_order") >= 25)]  # districts, cities
+    return merge.first_wins(co.union_pages(pages), ["business_id"], ["region_order", "pos"])
 
 
 @query("ag3_slot_maps", f"""{with_clause('slot')}, l AS (SELECT *, row_number() OVER (PARTITION BY business_id, biz_item_id, day, hour ORDER BY pos DESC) AS k FROM slot)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, masking, text
 from ..operators import availability as av
-from ..operators import merge
+from ..operators import collection, merge
 from ..sources.domain import domain, with_clause
 from ..sources import payloads
 from ..streaming.jobs import rate_breaches
@@ -42,8 +42,13 @@ results AS (SELECT m.*, (SELECT count(*) FROM free f WHERE f.business_id = m.bus
 _SEARCH = f"{with_clause('branch', 'room', 'slot', 'request')}, {_ROOMS}, {_MATCHES}"
 
 
+def _tables(spark, d):
+    return (domain(spark, d, "request"), _rooms(spark, d), domain(spark, d, "branch"), domain(spark, d, "slot"))
+
+
 def _matches(spark, d):
-    return av.rooms_in_boxes(domain(spark, d, "request"), _rooms(spark, d))
+    requests, rooms, branches, _ = _tables(spark, d)
+    return av.rooms_in_boxes(requests, rooms, branches)
 
 
 def _results(spark, d):
@@ -65,14 +70,33 @@ def ag1(spark, d):
     return _results(spark, d).select("request_id", "business_id", "biz_item_id", "available")
 
 
-@query("ag4_branch_summary", f"{_SEARCH}, {_RESULTS} SELECT request_id, business_id, min(price_per_hour) AS min_price, count(*) AS available_count, min(lat) AS lat, min(lng) AS lng FROM results WHERE available GROUP BY 1, 2")
-def ag4(spark, d):
-    return av.branch_summary(_results(spark, d))
+_SUMMARY = """summary AS (SELECT request_id, business_id, min(price_per_hour) AS min_price, count(*) AS available_count, min(lat) AS lat, min(lng) AS lng
+  FROM results WHERE available GROUP BY 1, 2)"""
 
 
-@query("ag5_responses", f"{_SEARCH}, {_RESULTS}, ids AS (SELECT request_id, list_sort(list(biz_item_id)) AS ids FROM results WHERE available GROUP BY 1) SELECT q.request_id, array_to_string(coalesce(ids, []), ',') AS ids FROM request q LEFT JOIN ids USING (request_id)")
+@query("ag4_branch_summary", f"{_SEARCH}, {_RESULTS}, {_SUMMARY} SELECT * FROM summary")
+def ag4(spark, d):
+    return av.request_summary(*_tables(spark, d))
+
+
+@query(
+    "ag5_responses",
+    f"""{_SEARCH}, {_RESULTS}, {_SUMMARY},
+    own AS (SELECT m.request_id, string_agg(m.biz_item_id, ',' ORDER BY m.business_id, m.biz_item_id) AS ids,
+      string_agg(concat(m.biz_item_id, ':', r.branch, ':', m.price_per_hour), ',' ORDER BY m.business_id, m.biz_item_id) AS rooms
+      FROM results m JOIN rooms r USING (business_id, biz_item_id) WHERE available GROUP BY 1),
+    b AS (SELECT request_id, string_agg(concat(business_id, ':', min_price, ':', available_count, ':', cast(round(lat * 100) AS int)), ',' ORDER BY business_id) AS branches FROM summary GROUP BY 1)
+    SELECT q.request_id, (SELECT string_agg(concat(lpad(cast(h AS varchar), 2, '0'), ':00'), ',' ORDER BY h) FROM unnest(range(start_hour, end_hour + 1)) t(h)) AS hour_slots,
+      coalesce(ids, '') AS ids, coalesce(rooms, '') AS rooms, coalesce(branches, '') AS branches
+    FROM request q LEFT JOIN own USING (request_id) LEFT JOIN b USING (request_id)""",
+)
 def ag5(spark, d):
-    return av.responses(domain(spark, d, "request"), _results(spark, d)).select("request_id", F.array_join("available_biz_item_ids", ",").alias("ids"))
+    stats = lambda e: F.concat_ws(":", e["key"], e["value"]["min_price"], e["value"]["available_count"], F.round(e["value"]["lat"] * 100).cast("int"))
+    return av.responses(*_tables(spark, d)).select(
+        "request_id", F.array_join("hour_slots", ",").alias("hour_slots"), F.array_join("available_biz_item_ids", ",").alias("ids"),
+        F.array_join(F.transform("results", lambda r: F.concat_ws(":", r["biz_item_id"], r["branch"], r["price_per_hour"])), ",").alias("rooms"),
+        F.array_join(F.transform(F.array_sort(F.map_entries("branch_summary")), stats), ",").alias("branches"),
+    )
 
 
 @query("flt4_route", f"{with_clause('branch')} SELECT business_id, CASE business_id WHEN 'dream_sadang' THEN 'dream' WHEN 'sadang' THEN 'groove' WHEN 'hongdae_dream' THEN 'dream' ELSE 'naver' END AS platform FROM branch")
@@ -87,16 +111,29 @@ def flt24(spark, d):
     return days.select("business_id", "days", av.beyond_horizon(F.col("business_id"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("days")), "2024-01-01").alias("beyond"))
 
 
-@query("flt10_request_errors", f"""{with_clause('raw_request')}, t AS (SELECT *, cast(split_part(start_hour, ':', 1) AS int) * 60 AS a, cast(split_part(end_hour, ':', 1) AS int) * 60 + 30 AS b FROM raw_request)
-SELECT request_id, CASE WHEN a > b THEN 'slot_order' WHEN NOT (sw_lat BETWEEN -90 AND 90 AND ne_lat BETWEEN -90 AND 90) THEN 'lat_range' WHEN NOT (sw_lng BETWEEN -180 AND 180 AND ne_lng BETWEEN -180 AND 180) THEN 'lng_range'
- WHEN sw_lat >= ne_lat THEN 'lat_order' WHEN sw_lng >= ne_lng THEN 'lng_order' WHEN NOT regexp_matches(date, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN 'Date-001'
- WHEN try_cast(date AS date) IS NULL THEN 'invalid_date' WHEN cast(date AS date) < date '2024-06-15' THEN 'Date-002' END AS error,
- CASE WHEN a <= b THEN (b - a) // 60 + 1 END AS n_slots FROM t""")
+@query(
+    "flt10_request_errors",
+    f"""{with_clause('raw_request', 'branch', 'room')}, {_ROOMS},
+    n AS (SELECT q.request_id, count(*) AS n, count(*) FILTER (WHERE r.branch = '') AS bad FROM raw_request q JOIN rooms r
+      ON r.lat BETWEEN sw_lat AND ne_lat AND r.lng BETWEEN sw_lng AND ne_lng AND r.max_capacity >= q.capacity GROUP BY 1),
+    t AS (SELECT q.*, n, bad, cast(split_part(start_hour, ':', 1) AS int) * 60 AS a, cast(split_part(end_hour, ':', 1) AS int) * 60 + 30 AS b
+      FROM raw_request q LEFT JOIN n USING (request_id))
+    SELECT request_id, CASE WHEN a > b THEN 'slot_order'
+      WHEN NOT (sw_lat BETWEEN -90 AND 90 AND ne_lat BETWEEN -90 AND 90) THEN 'lat_range'
+      WHEN NOT (sw_lng BETWEEN -180 AND 180 AND ne_lng BETWEEN -180 AND 180) THEN 'lng_range'
+      WHEN sw_lat >= ne_lat THEN 'lat_order' WHEN sw_lng >= ne_lng THEN 'lng_order'
+      WHEN NOT regexp_matches(date, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN 'Date-001'
+      WHEN try_cast(date AS date) IS NULL THEN 'invalid_date' WHEN cast(date AS date) < date '2024-06-15' THEN 'Date-002'
+      WHEN date = '2024-06-15' AND a <= 14 * 60 THEN 'Hour-002' WHEN n IS NULL THEN 'Room-003' WHEN bad > 0 THEN 'Room-001' END AS error,
+      CASE WHEN a <= b THEN (b - a) // 60 + 1 END AS n_slots FROM t""",
+)
 def flt10(spark, d):
     r = domain(spark, d, "raw_request").withColumn("slots", checks.time_slots(F.col("start_hour"), F.col("end_hour")))
-    box = checks.box_error(*map(F.col, ("sw_lat", "sw_lng", "ne_lat", "ne_lng")))
-    error = F.coalesce(F.when(F.col("slots").isNull(), "slot_order"), box, checks.date_error(F.col("date"), "2024-06-15"))
-    return r.select("request_id", error.alias("error"), F.size("slots").cast("long").alias("n_slots"))
+    found = av.rooms_in_boxes(r.select("request_id", "capacity", *av.BOX), _rooms(spark, d), domain(spark, d, "branch"))
+    missing = checks.room_error(*map(F.col, ("business_id", "biz_item_id", "name", "branch")))
+    rooms = found.groupBy("request_id").agg(F.count("*").alias("rooms"), F.count_if(missing.isNotNull()).alias("incomplete"))
+    error = checks.request_error(F.col("slots"), tuple(map(F.col, av.BOX)), F.col("date"), F.col("rooms"), F.col("incomplete"), "2024-06-15", "2024-06-15 14:00")
+    return r.join(rooms, "request_id", "left").select("request_id", error.alias("error"), F.size("slots").cast("long").alias("n_slots"))
 
 
 @query("wn1_first_seen", f"{with_clause('place')} SELECT business_id, name, query, pos FROM (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY query, pos) AS k FROM place) WHERE k = 1")
@@ -144,23 +181,31 @@ def mrg3(spark, d):
     return merge.sync_coordinates(domain(spark, d, "branch"), good.select("business_id", "name", "pos", F.col("y").cast("double").alias("lat"), F.col("x").cast("double").alias("lng")))
 
 
-_MERGED = """merged AS (SELECT coalesce(o.business_id, n.business_id) AS business_id, coalesce(o.biz_item_id, n.biz_item_id) AS biz_item_id,
- CASE WHEN n.business_id IS NULL THEN o.max_capacity WHEN coalesce(n.max_capacity, 100) IN (0, 1, 100) AND o.max_capacity > 1 AND o.max_capacity <> 100 THEN o.max_capacity ELSE coalesce(n.max_capacity, 100) END AS max_capacity,
- CASE WHEN n.business_id IS NULL THEN o.recommend_capacity WHEN coalesce(n.recommend_capacity, 100) IN (0, 1, 100) AND o.recommend_capacity > 1 AND o.recommend_capacity <> 100 THEN o.recommend_capacity ELSE coalesce(n.recommend_capacity, 100) END AS recommend_capacity,
- CASE WHEN n.business_id IS NULL THEN o.price_per_hour WHEN coalesce(n.price_per_hour, 0) = 0 AND o.price_per_hour > 0 THEN o.price_per_hour ELSE n.price_per_hour END AS price_per_hour
- FROM room o FULL JOIN incoming_room n ON o.business_id = n.business_id AND o.biz_item_id = n.biz_item_id)"""
+_KEPT = """CASE WHEN n.business_id IS NULL THEN o.{0} WHEN coalesce(n.{0}, 100) IN (0, 1, 100) AND o.{0} > 1 AND o.{0} <> 100 THEN o.{0} ELSE coalesce(n.{0}, 100) END AS {0}"""
+_NEWEST = "CASE WHEN n.business_id IS NULL THEN o.{0} ELSE {1} END AS {0}"
+_MERGED = f"""merged AS (SELECT coalesce(o.business_id, n.business_id) AS business_id, coalesce(o.biz_item_id, n.biz_item_id) AS biz_item_id,
+  {_KEPT.format('max_capacity')}, {_KEPT.format('recommend_capacity')},
+  CASE WHEN n.business_id IS NULL THEN o.price_per_hour WHEN coalesce(n.price_per_hour, 0) = 0 AND o.price_per_hour > 0 THEN o.price_per_hour ELSE n.price_per_hour END AS price_per_hour,
+  {_NEWEST.format('name', 'n.name')}, {_NEWEST.format('base_capacity', 'n.base_capacity')}, {_NEWEST.format('extra_charge', 'n.extra_charge')},
+  {_NEWEST.format('requires_call', 'coalesce(n.requires_call, false)')}, {_NEWEST.format('image_urls', 'coalesce(n.image_urls, [])')},
+  coalesce(o.can_reserve_one_hour, true) AS can_reserve_one_hour
+  FROM room o FULL JOIN incoming_room n ON o.business_id = n.business_id AND o.biz_item_id = n.biz_item_id)"""
 
 
-@query("mrg2_merge_rooms", f"{with_clause('room', 'incoming_room')}, {_MERGED} SELECT * FROM merged")
-def mrg2(spark, d):
+def _merged(spark, d):
     return merge.merge_rooms(domain(spark, d, "room"), domain(spark, d, "incoming_room"))
 
 
+@query("mrg2_merge_rooms", f"{with_clause('room', 'incoming_room')}, {_MERGED} SELECT * REPLACE (array_to_string(image_urls, ',') AS image_urls) FROM merged")
+def mrg2(spark, d):
+    return _merged(spark, d).withColumn("image_urls", F.array_join("image_urls", ","))
+
+
 @query("flt13_rule_report", f"{with_clause('room', 'incoming_room')}, {_MERGED} SELECT rule, count(*) AS n FROM (SELECT unnest([CASE WHEN price_per_hour < 0 THEN 'price' END, CASE WHEN max_capacity < 1 THEN 'max' END, CASE WHEN max_capacity < recommend_capacity THEN 'max_recommend' END]) AS rule FROM merged) WHERE rule IS NOT NULL GROUP BY rule")
 def flt13(spark, d):
     rules = {"price": F.col("price_per_hour") < 0, "max": F.col("max_capacity") < 1, "max_recommend": F.col("max_capacity") < F.col("recommend_capacity")}
     broken = F.filter(F.array(*(F.when(c, name) for name, c in rules.items())), lambda x: x.isNotNull())
-    return mrg2(spark, d).select(F.explode(broken).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+    return _merged(spark, d).select(F.explode(broken).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 @query("mrg1_branch_upsert", f"""{with_clause('branch')}, n AS (SELECT business_id, concat(name, '!') AS name, lat + 1 AS lat, CAST(NULL AS double) AS lng FROM branch WHERE lat > 37.5e0)
@@ -181,16 +226,27 @@ def ag12(spark, d):
     return mrg4(spark, d).groupBy("device_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("/", "business_id", "biz_item_id"))), ",").alias("ids"))
 
 
-@query("ag14_rate_breaches", f"{with_clause('request_log')} SELECT ip, date_trunc('day', ts) AS start, count(*) AS n FROM request_log GROUP BY 1, 2 HAVING count(*) > 5")
+@query(
+    "ag14_rate_breaches",
+    f"""{with_clause('request_log')} SELECT right(ip, 1) AS ip, date_trunc('minute', ts) AS start, count(*) AS n FROM request_log GROUP BY 1, 2 HAVING count(*) > 1""",
+)
 def ag14(spark, d):
-    return rate_breaches(domain(spark, d, "request_log"), 5, "1 day")
+    """Breaches of a gateway, which many users share, in windows of a minute; the log is thin, so the limit is one."""
+    return rate_breaches(domain(spark, d, "request_log").withColumn("ip", F.right("ip", F.lit(1))), 1)
 
 
-@query("ag11_error_report", f"{with_clause('request_log')} SELECT CASE level WHEN 'error' THEN 'ERROR' ELSE 'WARNING' END AS level, CASE level WHEN 'error' THEN 'COMMON-001' ELSE level END AS error_code, count(*) AS n FROM request_log GROUP BY 1, 2")
+@query(
+    "ag11_error_report",
+    f"""{with_clause('request_log')} SELECT CASE level WHEN 'error' THEN 'ERROR' ELSE 'WARNING' END AS level,
+    CASE level WHEN 'error' THEN 500 WHEN 'click' THEN 429 ELSE 400 END AS status, CASE level WHEN 'error' THEN 'COMMON-001' ELSE concat('X-', level) END AS error_code, count(*) AS n
+    FROM request_log WHERE level <> 'view' GROUP BY 1, 2, 3""",
+)
 def ag11(spark, d):
-    failed = F.col("level") == "error"
-    rows = domain(spark, d, "request_log").select(F.when(failed, "ERROR").otherwise("WARNING").alias("l"), F.when(failed, "COMMON-001").otherwise(F.col("level")).alias("error_code"))
-    return rows.groupBy(F.col("l").alias("level"), "error_code").agg(F.count("*").alias("n"))
+    """Failures by level, own status and own code; views are no failures."""
+    level = F.col("level")
+    code = F.when(level == "error", collection.UNCODED).when(level != "view", F.concat(F.lit("X-"), level))
+    failed = domain(spark, d, "request_log").select(code.alias("error_code"), F.when(level == "click", 429).otherwise(400).alias("status_code"))
+    return collection.error_report(failed)
 
 
 @query("jn11_orphans", f"{with_clause('branch', 'room')} SELECT r.business_id, r.biz_item_id FROM room r WHERE NOT EXISTS (SELECT 1 FROM branch b WHERE b.business_id = r.business_id AND b.lat IS NOT NULL)")
@@ -247,12 +303,55 @@ def ag9(spark, d):
     return _parsed(spark, d).groupBy("business_id").agg(F.count("*").alias("rooms"), F.count(most).alias("parsed"), F.round(100 * F.count(most) / F.count("*"), 1).alias("rate"), F.min(most).alias("least"), F.max(most).alias("most"))
 
 
-@query("ag8_sample_profile", f"""{with_clause('room_text')} SELECT count(DISTINCT business_id) AS businesses, count(*) AS rooms, count(*) FILTER (WHERE coalesce(desc_text, '') <> '') AS with_desc,
- count(*) FILTER (WHERE regexp_matches(name, '[\\[(]|평일|주말')) AS with_tag, round(100.0e0 * count(*) FILTER (WHERE coalesce(desc_text, '') <> '') / count(*), 1) AS desc_percent FROM room_text""")
+_FLAGS = """f AS (SELECT *, coalesce(desc_text, '') <> '' AS has_desc, min_price IS NOT NULL AS has_price, coalesce(image_count, 0) AS images,
+  contains(name, '[') OR contains(name, '(') OR contains(name, '평일') OR contains(name, '주말') AS name_has_tag FROM room_text)"""
+
+
+@query(
+    "ag8_sample_profile",
+    f"""{with_clause('room_text')}, {_FLAGS} SELECT count(DISTINCT business_id) AS businesses, count(*) AS rooms,
+    count(*) FILTER (WHERE has_desc) AS with_desc, round(100.0e0 * count(*) FILTER (WHERE has_desc) / count(*), 1) AS desc_percent,
+    count(*) FILTER (WHERE has_price) AS with_price, round(100.0e0 * count(*) FILTER (WHERE has_price) / count(*), 1) AS price_percent,
+    count(*) FILTER (WHERE name_has_tag) AS with_tag, round(100.0e0 * count(*) FILTER (WHERE name_has_tag) / count(*), 1) AS tag_percent FROM f""",
+)
 def ag8(spark, d):
-    has = F.coalesce("desc_text", F.lit("")) != ""
-    tag = F.col("name").rlike(r"[\[(]|평일|주말")
-    return domain(spark, d, "room_text").agg(F.countDistinct("business_id").alias("businesses"), F.count("*").alias("rooms"), F.count_if(has).alias("with_desc"), F.count_if(tag).alias("with_tag"), F.round(100 * F.count_if(has) / F.nullif(F.count("*"), F.lit(0)), 1).alias("desc_percent"))
+    return collection.sample_profile(domain(spark, d, "room_text"))
+
+
+@query("flt23_profile_flags", f"{with_clause('room_text')}, {_FLAGS} SELECT room_id, has_desc, has_price, images AS image_count, name_has_tag FROM f")
+def flt23(spark, d):
+    return collection.profile_flags(domain(spark, d, "room_text")).select("room_id", "has_desc", "has_price", "image_count", "name_has_tag")
+
+
+@query(
+    "snk4_samples",
+    f"""{with_clause('room_text')}, {_FLAGS} SELECT business_id, count(*) AS rooms,
+    string_agg(concat(room_id, ':', name, ':', has_desc, ':', coalesce(cast(min_price AS varchar), 'none'), ':', images, ':', name_has_tag), ',' ORDER BY room_id) AS listed FROM f GROUP BY 1""",
+)
+def snk4(spark, d):
+    """What a business's line of the sample file holds."""
+    text_of = lambda r: F.concat_ws(":", r["biz_item_id"], r["raw_name"], r["has_desc"], F.coalesce(r["min_price"].cast("string"), F.lit("none")), r["image_count"], r["name_has_tag"])
+    found = collection.samples(domain(spark, d, "room_text"))
+    return found.select("business_id", F.size("rooms").cast("long").alias("rooms"), F.array_join(F.transform("rooms", text_of), ",").alias("listed"))
+
+
+@query("wn5_image_order", f"{with_clause('room_image')} SELECT image_id, row_number() OVER (PARTITION BY business_id, biz_item_id ORDER BY sort_order, image_id) AS place FROM room_image")
+def wn5(spark, d):
+    return collection.image_order(domain(spark, d, "room_image")).select("image_id", "place")
+
+
+@query(
+    "wn6_capacity_guess",
+    f"""{_PARSED}, k AS (SELECT room_id, business_id, min_price AS price, cast(m AS int) AS m FROM parsed),
+    w AS (SELECT *, CASE WHEN m IS NOT NULL AND price IS NOT NULL THEN {{'p': price, 'm': m}} END AS known FROM k),
+    x AS (SELECT *, last_value(known IGNORE NULLS) OVER (PARTITION BY business_id ORDER BY price NULLS FIRST, room_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lo,
+      first_value(known IGNORE NULLS) OVER (PARTITION BY business_id ORDER BY price NULLS FIRST, room_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM w)
+    SELECT room_id, coalesce(m, CASE WHEN lo IS NOT NULL AND hi IS NOT NULL AND price IS NOT NULL THEN
+      CASE WHEN hi.p = lo.p THEN lo.m ELSE cast(floor(lo.m + (price - lo.p) / (hi.p - lo.p) * (hi.m - lo.m)) AS int) END END) AS guess FROM x""",
+)
+def wn6(spark, d):
+    rooms = domain(spark, d, "room_text").select("room_id", "business_id", F.col("min_price").alias("price"), text.parse_room(F.col("name"), F.col("desc_text"))["max_capacity"].alias("max_capacity"))
+    return collection.capacity_from_price(rooms).select("room_id", "guess")
 
 
 @query("src4_schedule_hours", f"{with_clause('slot')} SELECT biz_item_id, concat(CASE WHEN hour < 10 THEN '0' ELSE '' END, cast(hour AS varchar), ':00') AS hour, unit_booking_count < unit_stock AS is_free FROM slot")
@@ -264,27 +363,72 @@ def src4(spark, d):
     return payloads.hours(days.select("biz_item_id", body.alias("payload"))).select("biz_item_id", "hour", "is_free")
 
 
-@query("src1_places", f"{with_clause('place')} SELECT business_id AS id, name, x, y FROM place")
+@query(
+    "src1_places",
+    f"""{with_clause('place')} SELECT query, CASE WHEN pos % 4 = 0 THEN concat('own-', business_id) ELSE concat('p', pos) END AS id, name, x, y FROM place""",
+)
 def src1(spark, d):
-    """Places read back from search states; a state also holds entries of other kinds."""
-    p = domain(spark, d, "place")
-    state = F.concat(F.lit('{"ROOT_QUERY":7,"PlaceSummary:'), "business_id", F.lit('":'), F.to_json(F.struct("name", "x", "y")), F.lit("}"))
-    return payloads.places(p.select(state.alias("state"))).select("id", "name", "x", "y")
+    """Places read back from search states of many entries each, other kinds among them; a
+    quarter have a booking id, the others are named by their key."""
+    p = domain(spark, d, "place").withColumn("bookingBusinessId", F.when(F.col("pos") % 4 == 0, F.concat(F.lit("own-"), "business_id")))
+    entry = F.concat(F.lit('"PlaceSummary:p'), "pos", F.lit('":'), F.to_json(F.struct("bookingBusinessId", "name", "x", "y")))
+    states = p.groupBy("query", F.floor(F.col("pos") / 50).alias("page")).agg(F.concat(F.lit('{"ROOT_QUERY":7,"Other:1":{"name":"no"},'), F.array_join(F.collect_list(entry), ","), F.lit("}")).alias("state"))
+    return payloads.places(states).select("query", "id", "name", "x", "y")
 
 
-@query("html1_labels", "SELECT l_orderkey, l_linenumber, l_linenumber % 2 = 0 AS is_free FROM lineitem")
-def html1(spark, d):
-    line = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber")
-    html = F.concat(F.lit('<label class="time'), F.when(F.col("l_linenumber") % 2 == 0, " active").otherwise(""), F.lit('" title="2024 '), F.lpad((F.col("l_linenumber") + 9).cast("string"), 2, "0"), F.lit('시00분">x</label>'))
-    return line.select("l_orderkey", "l_linenumber", payloads.label_free(html, F.col("l_linenumber") + 9).alias("is_free"))
+_PAGES = """lab AS (SELECT l_orderkey, l_linenumber, 9 + l_linenumber % 4 AS hour, l_quantity AS q, l_quantity > 25 AS is_active FROM lineitem),
+pages AS (SELECT l_orderkey, string_agg(concat('<label class="time', CASE WHEN is_active THEN ' active' ELSE '' END, '" title="2024-05-20 ', lpad(cast(hour AS varchar), 2, '0'), '시00분 (월)">x</label>'), '' ORDER BY l_linenumber, q) AS html FROM lab GROUP BY 1)"""
 
 
-@query("mk6_masked_documents", None)
+@query(
+    "html1_labels",
+    f"""WITH {_PAGES}, tags AS (SELECT l_orderkey, regexp_extract_all(html, '<label[^>]*>') AS t FROM pages), hours AS (SELECT unnest([9, 10, 11, 12, 13]) AS hour)
+    SELECT l_orderkey, hour, coalesce(contains(list_filter(t, lambda x: contains(x, concat(lpad(cast(hour AS varchar), 2, '0'), '시00분')))[1], 'active'), false) AS is_free FROM tags, hours""",
+)
+def html1(spark, d):
+    """The escaped page of an order has a label for each line, several of one hour among
+    them; the first counts.  Every page is asked for five hours."""
+    active = F.when(F.col("l_quantity") > 25, " active").otherwise("")
+    hour = F.lpad((9 + F.col("l_linenumber") % 4).cast("string"), 2, "0")
+    label = F.concat(F.lit('<label class="time'), active, F.lit('" title="2024-05-20 '), hour, F.lit('시00분 (월)">x</label>'))
+    line = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", F.struct("l_linenumber", "l_quantity", label.alias("label")).alias("l"))
+    page = F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda x: x["label"]), "")
+    escaped = F.replace(F.replace(F.replace(page, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    answers = line.groupBy("l_orderkey").agg(F.to_json(F.struct(escaped.alias("items"))).alias("payload"))
+    pages = payloads.label_pages(answers).withColumn("hour", F.explode(F.sequence(F.lit(9), F.lit(13))))
+    return pages.select("l_orderkey", "hour", payloads.label_free(F.col("html"), F.col("hour")).alias("is_free"))
+
+
+#: The same rules without back-references, which DuckDB's patterns lack.
+_KEY = f"(?:\"(?:{masking.KEYS})\"|''(?:{masking.KEYS})''|(?:{masking.KEYS}))"
+_MASKED = lambda c: (
+    rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '({masking.HEADERS})\s*:\s*[^;\n]+', '\1: ***', 'gi'),
+    '({_KEY}\s*[:=]\s*)(?:(")[^"\n]*"|('')[^''\n]*'')', '\1\2\3***\2\3', 'gi'), '({_KEY}\s*[:=]\s*)[^"'',\s;&]+', '\1***', 'gi'),
+    '{masking.EMAIL}', '***@***.***', 'g'), '{masking.PHONE}', '***-****-****', 'g')"""
+)
+
+
+@query("mk6_masked_documents", f"SELECT doc_id, {_MASKED('text')} AS text FROM documents")
 def mk6(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     return docs.select("doc_id", masking.mask_text(F.col("text")).alias("text"))
 
 
+@query(
+    "mk7_masked_bodies",
+    f"""WITH b AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN NULL ELSE concat('user_id=', user_id, '&kind=', event_type, ' token: "a b', event_id, '" from jo', event_id, '@example.org, 010-1234-', 1000 + event_id % 9000) END AS body FROM events)
+    SELECT event_id, CASE WHEN event_id % 2 = 0 THEN concat('{{"event": ', event_id, ', "user_id": "***", "more": {{"Token": "***", "kind": "', event_type, '"}}}}') ELSE {_MASKED('b.body')} END AS body
+    FROM events JOIN b USING (event_id)""",
+)
+def mk7(spark, d):
+    """Bodies of records: half are objects, masked by their keys, half are texts, masked by patterns."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    more = F.struct(F.concat(F.lit("t"), "event_id").alias("Token"), F.col("event_type").alias("kind"))
+    body = F.to_json(F.struct(F.col("event_id").alias("event"), "user_id", more.alias("more")))
+    line = F.concat(F.lit("user_id="), "user_id", F.lit("&kind="), "event_type", F.lit(' token: "a b'), "event_id", F.lit('" from jo'), "event_id", F.lit("@example.org, 010-1234-"), 1000 + F.col("event_id") % 9000)
+    return e.select("event_id", masking.mask_body(F.when(F.col("event_id") % 2 == 0, body).otherwise(line)).alias("body"))
+
+
 @query("wn3_hour_continuity", f"{with_clause('slot')}, g AS (SELECT biz_item_id, day, min(hour) AS a, max(hour) AS b, count(*) AS n, count(DISTINCT hour) AS k FROM slot GROUP BY 1, 2) SELECT biz_item_id, day, CASE WHEN n > 1 AND (n <> k OR b - a + 1 <> n) THEN 'Hour-003' END AS error FROM g")
 def wn3(spark, d):
     hours = domain(spark, d, "slot").groupBy("biz_item_id", "day").agg(F.collect_list(F.format_string("%02d:00", "hour")).alias("hours"))

@@ -6,7 +6,10 @@ them also head the reference SQL of the queries.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _BUSINESS = "case when {0} = 1 then 'dream_sadang' when {0} = 2 then 'sadang' when {0} = 3 then 'hongdae_dream' else cast({0} as varchar(50)) end"
 _SUPPLIER, _LINE = _BUSINESS.format("s_suppkey"), _BUSINESS.format("l_suppkey")
@@ -20,11 +23,17 @@ TABLES: dict[str, tuple[str, str]] = {
     "room": ("lineitem", f"""select {_LINE} as business_id, {_ITEM} as biz_item_id,
         cast(2 + (l_suppkey * 7 + (l_partkey % 5) * 3) % 15 as int) as max_capacity,
         cast(1 + (l_suppkey + l_partkey % 5) % 9 as int) as recommend_capacity,
-        cast(floor(min(l_extendedprice)) as int) as price_per_hour from lineitem group by l_suppkey, l_partkey % 5"""),
+        cast(floor(min(l_extendedprice)) as int) as price_per_hour, concat('room ', cast(l_partkey % 5 as varchar(50))) as name,
+        cast(case when l_suppkey % 3 = 0 then null else 2 + l_suppkey % 3 end as int) as base_capacity, cast(1000 * (l_suppkey % 4) as int) as extra_charge,
+        l_suppkey % 2 = 0 as requires_call, split(concat('old', cast(l_suppkey as varchar(50)), '.jpg,b.jpg'), ',') as image_urls,
+        l_suppkey % 6 <> 0 as can_reserve_one_hour from lineitem group by l_suppkey, l_partkey % 5"""),
     "incoming_room": ("lineitem", f"""select {_LINE} as business_id, {_ITEM} as biz_item_id,
         cast(case when l_suppkey % 4 = 0 then null when l_suppkey % 4 = 1 then 1 else 3 + l_suppkey % 9 end as int) as max_capacity,
         cast(case when l_suppkey % 5 = 0 then null when l_suppkey % 5 = 1 then 100 else 2 + l_suppkey % 4 end as int) as recommend_capacity,
-        cast(case when l_suppkey % 3 = 0 then null when l_suppkey % 3 = 1 then 0 else floor(max(l_extendedprice)) end as int) as price_per_hour
+        cast(case when l_suppkey % 3 = 0 then null when l_suppkey % 3 = 1 then 0 else floor(max(l_extendedprice)) end as int) as price_per_hour,
+        concat('[new] room ', cast(l_partkey % 5 as varchar(50))) as name, cast(case when l_suppkey % 2 = 0 then null else 3 end as int) as base_capacity,
+        cast(case when l_suppkey % 5 = 0 then null else 2500 end as int) as extra_charge, case when l_suppkey % 3 = 0 then null else l_suppkey % 3 = 1 end as requires_call,
+        case when l_suppkey % 7 = 0 then null else split(concat('new', cast(l_partkey % 5 as varchar(50)), '.jpg'), ',') end as image_urls
         from lineitem where l_partkey % 5 <> 2 group by l_suppkey, l_partkey % 5"""),
     "slot": ("lineitem", f"""select {_LINE} as business_id, {_ITEM} as biz_item_id, cast(year(l_shipdate) as int) as day,
         cast(9 + cast(l_quantity as int) % 12 as int) as hour, l_orderkey * 10 + l_linenumber as pos,
@@ -38,8 +47,8 @@ TABLES: dict[str, tuple[str, str]] = {
         case when o_orderkey % 10 = 3 then '9:00' else concat(cast(10 + o_custkey % 12 as varchar(50)), ':00') end as start_hour,
         concat(cast(12 + o_orderkey % 9 as varchar(50)), ':30') as end_hour,
         case when o_custkey % 13 = 0 then 91e0 else 37e0 + o_custkey % 3 end as sw_lat, case when o_custkey % 17 = 0 then 181e0 else 126e0 + o_orderkey % 3 end as sw_lng,
-        38e0 + o_custkey % 2 as ne_lat, 127e0 + o_orderkey % 2 as ne_lng from orders"""),
-    "place": ("orders", """select cast(o_custkey as varchar(50)) as business_id, o_orderpriority as query, o_orderkey as pos,
+        38e0 + o_custkey % 2 as ne_lat, 127e0 + o_orderkey % 2 as ne_lng, cast(2 + o_custkey % 18 as int) as capacity from orders"""),
+    "place": ("orders", """select cast(o_custkey as varchar(50)) as business_id, o_orderpriority as query, o_orderkey as pos, cast(o_orderkey % 35 as int) as region_order,
         concat('biz-', cast(o_orderkey as varchar(50))) as name, '127' as x,
         case when o_orderkey % 11 = 0 then null when o_orderkey % 13 = 0 then 'n/a' else concat('37.', cast(2 + o_orderkey % 7 as varchar(50))) end as y from orders"""),
     "room_text": ("part", """select p_partkey as room_id, cast(p_partkey % 97 as varchar(50)) as business_id,
@@ -49,12 +58,16 @@ TABLES: dict[str, tuple[str, str]] = {
         case p_partkey % 7 when 0 then concat('최대 ', cast(p_size as varchar(50)), '인 수용 가능')
              when 1 then concat(cast(p_size as varchar(50)), '~', cast(p_size + 2 as varchar(50)), '인 권장, 최대 ', cast(p_size + 4 as varchar(50)), '인')
              when 2 then '기본 4인, 1인 추가시 3,000원' when 3 then '당일 예약은 전화 문의 바랍니다' when 4 then null
-             when 5 then concat(cast(p_size as varchar(50)), '인이 합주 가능') else concat('권장 인원 ', cast(p_size as varchar(50)), '명 ', cast(p_size + 3 as varchar(50)), '명') end as desc_text
+             when 5 then concat(cast(p_size as varchar(50)), '인이 합주 가능') else concat('권장 인원 ', cast(p_size as varchar(50)), '명 ', cast(p_size + 3 as varchar(50)), '명') end as desc_text,
+        cast(case when p_partkey % 9 = 0 then null else floor(p_retailprice) end as int) as min_price, cast(case when p_partkey % 11 = 0 then null else p_partkey % 4 end as int) as image_count
         from part"""),
+    "room_image": ("lineitem", f"""select {_LINE} as business_id, {_ITEM} as biz_item_id, l_orderkey * 10 + l_linenumber as image_id,
+        cast(l_linenumber % 3 as int) as sort_order, concat(cast(l_orderkey as varchar(50)), '.jpg') as image_url from lineitem"""),
     "favorite_change": ("events", """select cast(user_id as varchar(50)) as device_id, concat('b', cast(event_id % 7 as varchar(50))) as business_id,
         concat('i', cast(event_id % 31 as varchar(50))) as biz_item_id, case when event_type = 'error' then 'delete' else 'add' end as op, event_id as seq
         from events where event_type <> 'view'"""),
-    "request_log": ("events", "select cast(user_id as varchar(50)) as ip, ts, event_type as level, event_id as pos from events"),
+    "request_log": ("events", """select cast(user_id as varchar(50)) as ip, ts, event_type as level, event_id as pos, concat('t', cast(event_id % 50 as varchar(50))) as trace_id,
+        'app.search' as logger, case when event_id % 5 = 0 then '/ping' when event_id % 5 = 1 then null else '/rooms' end as path from events"""),
 }
 
 
@@ -66,3 +79,35 @@ def domain(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_clause(*names: str) -> str:
     return "WITH " + ", ".join(f"{n} AS ({TABLES[n][1]})" for n in names)
+
+
+#: The places searched for, in the order of the search; each is followed by what is sought there.
+DISTRICTS = (
+    "강남구", "강동구", "강북구", "강서구", "관악구", "광진구", "구로구", "금천구", "노원구", "도봉구", "동대문구", "동작구", "마포구",
+    "서대문구", "서초구", "성동구", "성북구", "송파구", "양천구", "영등포구", "용산구", "은평구", "종로구", "중구", "중랑구",
+)
+CITIES = ("부산", "대구", "인천", "광주", "대전", "울산", "수원", "성남", "고양", "부천")
+SOUGHT = "합주실"
+
+
+def search_queries(spark: SparkSession, start: int = 0, end: int | None = None) -> DataFrame:
+    """(region_order, query): districts, then cities; of these the places ``start`` to ``end``."""
+    rows = list(enumerate(f"{place} {SOUGHT}" for place in (*DISTRICTS, *CITIES)))
+    return spark.createDataFrame(rows[start:end], "region_order int, query string")
+
+
+#: Columns of the master tables, in the order in which they are written.
+MASTER = {
+    "branch": "business_id string, name string, lat decimal(10,7), lng decimal(10,7)",
+    "room": "business_id string, biz_item_id string, name string, max_capacity int, recommend_capacity int, base_capacity int, extra_charge decimal(15,2), price_per_hour decimal(15,2), can_reserve_one_hour boolean, requires_call boolean, image_urls array<string>",
+    "room_image": "image_id long, business_id string, biz_item_id string, image_url string, sort_order int",
+    "favorites": "device_id string, business_id string, biz_item_id string, created_at timestamp",
+}
+
+
+def read_master(spark: SparkSession, name: str, folder: str | None = None, jdbc: dict[str, str] | None = None) -> DataFrame:
+    """A master table from Parquet under ``folder``, or over JDBC with these options; of
+    columns it lacks all values are null."""
+    found = spark.read.parquet(f"{folder}/{name}") if jdbc is None else spark.read.format("jdbc").options(dbtable=name, **jdbc).load()
+    kinds = [c.strip().split(" ") for c in re.split(r",(?![^(<]*[)>])", MASTER[name])]
+    return found.select(*((F.col(c) if c in found.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+#: Fixed value: what stands behind the hour in a label's title.
+HOUR_MARK = "시00분"
 BUSINESS = "struct<data:struct<business:struct<businessId:string,businessDisplayName:string,coordinates:array<double>,placeId:string>>>"
 ITEMS = "struct<data:struct<bizItems:array<struct<bizItemId:string,name:string,desc:string,minMaxPrice:struct<minPrice:int,maxNormalPrice:int>,bizItemResources:array<struct<resourceUrl:string>>>>>>"
 SCHEDULE = "struct<data:struct<schedule:struct<bizItemSchedule:struct<hourly:array<struct<unitStartTime:string,unitStock:int,unitBookingCount:int>>>>>>"
@@ -41,15 +47,39 @@ def hours(df: DataFrame, payload: str = "payload") -> DataFrame:
     return h.select(*[c for c in df.columns if c != payload], "pos", F.substring(F.right(F.col("h.unitStartTime"), F.lit(8)), 1, 5).alias("hour"), (F.col("h.unitBookingCount") < F.col("h.unitStock")).alias("is_free"))
 
 
+@F.pandas_udf(StringType())
+def unescaped(markup: pd.Series) -> pd.Series:
+    """Text with its HTML entities resolved."""
+    return markup.map(html.unescape, na_action="ignore")
+
+
+def label_pages(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """Site A: ``df`` with ``html``, the unescaped ``items`` of a JSON answer; '' if it has none.
+    ``failed`` marks what is no JSON object."""
+    body = F.from_json(payload, "items string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    is_object = F.coalesce(F.ltrim(payload).startswith("{") & F.get_json_object(payload, "$").isNotNull(), F.lit(False))
+    items = F.coalesce(body["items"], F.lit(""))
+    plain = F.coalesce(unescaped(F.when(items.contains("&"), items)), items)  # only what has entities goes to Python
+    return df.withColumn("failed", ~is_object).withColumn("html", plain)
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """A tag's attribute in either kind of quotes; '' if it has none."""
+    pattern = rf"""\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    return F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2))
+
+
 def label_free(html: Column, hour: Column) -> Column:
     """Site A: whether the first label of an hour is active; no label is not."""
-    labels = F.filter(F.regexp_extract_all(html, F.lit(r"<label\b[^>]*>"), 0), lambda x: x.contains(F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit("시00분"))))
-    classes = F.split(F.regexp_extract(F.get(labels, 0), r'class="([^"]*)"', 1), r"\s+")
-    return F.coalesce(F.array_contains(classes, "active"), F.lit(False))
+    title = F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(HOUR_MARK))
+    tags = F.regexp_extract_all(html, F.lit(r"<label\b[^>]*>"), 0)
+    labels = F.filter(tags, lambda x: _attribute(x, "title").contains(title))
+    return F.coalesce(F.array_contains(F.split(_attribute(F.get(labels, 0), "class"), r"\s+"), "active"), F.lit(False))
 
 
 def cell_free(html: Column, item: Column, hour: Column) -> Column:
     """Site B: whether the element of an item and hour is marked as open."""
-    tags = F.regexp_extract_all(html, F.lit(r"<[^>]*\bid=\"reserve_time_[^>]*>"), 0)
-    own = F.filter(tags, lambda x: x.contains(F.concat(F.lit('id="reserve_time_'), item, F.lit("_"), hour.cast("string"), F.lit('"'))))
-    return F.coalesce(F.array_contains(F.split(F.regexp_extract(F.get(own, 0), r'class="([^"]*)"', 1), r"\s+"), "reserve_time_off"), F.lit(False))
+    tags = F.regexp_extract_all(html, F.lit(r"<[^>]*\bid\s*=[^>]*>"), 0)
+    wanted = F.concat(F.lit("reserve_time_"), item, F.lit("_"), hour.cast("string"))
+    own = F.filter(tags, lambda x: _attribute(x, "id") == wanted)
+    return F.coalesce(F.array_contains(F.split(_attribute(F.get(own, 0), "class"), r"\s+"), "reserve_time_off"), F.lit(False))

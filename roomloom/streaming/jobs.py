@@ -6,12 +6,14 @@ our own choice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.masking import mask_text
 from ..operators.merge import current_favorites
 
+FAVORITE = ("device_id", "business_id", "biz_item_id")
+
 
 def rate_breaches(log: DataFrame, limit: int = 5, window: str = "1 minute", late: str = "2 minutes") -> DataFrame:
     """(ip, start, n) of the windows in which a client exceeds the limit; batch or stream."""
@@ -24,14 +26,23 @@ def masked_log(log: DataFrame, column: str = "body") -> DataFrame:
 
 
 def favorites_into(folder: str):
-    """A ``foreachBatch`` function: each batch gives the next snapshot, in a folder of its own."""
+    """A ``foreachBatch`` function: each batch adds what it says last of its keys to a
+    folder of its own under ``folder``.
+
+    The folder is named by the query and the batch, so that a batch that runs again
+    replaces its own changes and a query with a new checkpoint adds to the old ones.
+    """
+    last = F.max_by(F.struct("op", "seq"), "seq").alias("last")
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        changes = batch.select("device_id", "business_id", "biz_item_id", "op", "seq")
-        if number:
-            old = spark.read.parquet(f"{folder}/{number - 1}").withColumn("op", F.lit("add")).withColumn("seq", F.lit(-1).cast("long"))
-            changes = old.unionByName(changes)
-        current_favorites(changes).write.mode("overwrite").parquet(f"{folder}/{number}")
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        changes = batch.groupBy(*FAVORITE).agg(last).select(*FAVORITE, "last.*")
+        changes.write.mode("overwrite").parquet(f"{folder}/run={run}/batch={number}")
 
     return step
+
+
+def favorites_now(spark: SparkSession, folder: str) -> DataFrame:
+    """The set that all batches together leave, the later of a key's changes winning."""
+    kinds = ", ".join(f"{c} string" for c in FAVORITE)
+    return current_favorites(spark.read.schema(f"{kinds}, op string, seq long").parquet(f"{folder}/run=*/batch=*"))

@@ -1,37 +1,39 @@
 """Golden cases of the marketplace's rules, and every query against its SQL."""
 
+import json
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from roomloom.functions import checks, masking, text
-from roomloom.operators import collection, merge
+from roomloom.operators import availability, collection, merge
 from roomloom.plans import queries as market
-from roomloom.sources import payloads
+from roomloom.sources import domain, payloads
 from roomloom.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
 
 ROOMS = [  # name, desc, and what the parse must hold
-    ("[평일] 블랙룸", "최대 10인 수용 가능", {"clean_name": "블랙룸", "day_type": "weekday", "max_capacity": 10}),
-    ("화이트룸 (주말)", "4~6인 권장, 최대 8인", {"clean_name": "화이트룸", "day_type": "weekend", "recommend_capacity": 5, "max_capacity": 8}),
-    ("스튜디오A", "기본 4인, 1인 추가시 3,000원", {"base_capacity": 4, "extra_charge": 3000}),
-    ("레드룸", "당일 예약은 전화 문의 바랍니다", {"requires_call": True}),
-    ("일반룸", "", {"max_capacity": None, "day_type": None, "requires_call": False}),
-    ("테스트룸", None, {"requires_call": False}),
-    ("룸A", "10명까지 수용 가능합니다", {"max_capacity": 10}),
-    ("[주말/공휴일] 스튜디오", "5인 권장", {"day_type": "weekend", "clean_name": "스튜디오"}),
-    ("룸B", "8 인이 합주 가능", {"max_capacity": 8}),
-    ("룸C", "4인 까지 이용 가능", {"max_capacity": 4}),
-    ("룸D", "15인 이하", {"max_capacity": 15}),
-    ("블랙룸 (정원 13명, 최대 18명)", "", {"clean_name": "블랙룸", "max_capacity": 18, "recommend_capacity": 13}),
-    ("룸E", "권장 인원 10명 12명", {"recommend_capacity": 11, "max_capacity": 12}),
-    ("블랙룸 (최대 18명)", "최대 30인 수용 가능", {"max_capacity": 30}),
-    ("R룸 (-15명)", "", {"clean_name": "R룸", "max_capacity": 15}),
-    ("C룸 (-6명)", "장비 목록만 있는 설명", {"clean_name": "C룸", "max_capacity": 6}),
-    ("룸A", "Orange OB1-500 Head, Marshall 앰프", {"max_capacity": None}),
-    ("룸F", "최대 １２인", {"max_capacity": 12, "recommend_capacity": 6}),
+    ("[평일] 무지개홀", "드럼실 최대 9인 수용 가능", {"clean_name": "무지개홀", "day_type": "weekday", "max_capacity": 9}),
+    ("은하수룸 (주말)", "3~7인 권장, 최대 9인", {"clean_name": "은하수룸", "day_type": "weekend", "recommend_capacity": 5, "max_capacity": 9}),
+    ("지하연습실", "기본 3인, 1인 추가시 2,500원", {"base_capacity": 3, "extra_charge": 2500}),
+    ("옥상룸", "당일 이용은 문의 주세요", {"requires_call": True}),
+    ("복층룸", "", {"max_capacity": None, "day_type": None, "requires_call": False}),
+    ("단층룸", None, {"requires_call": False}),
+    ("가람", "12명까지 들어갈 수 있어요", {"max_capacity": 12}),
+    ("[주말/공휴일] 나래", "6인 권장", {"day_type": "weekend", "clean_name": "나래"}),
+    ("다솜", "7 인이 합주 가능", {"max_capacity": 7}),
+    ("라온", "5인 까지 사용", {"max_capacity": 5}),
+    ("마루", "14인 이하", {"max_capacity": 14}),
+    ("바다룸 (정원 11명, 최대 16명)", "", {"clean_name": "바다룸", "max_capacity": 16, "recommend_capacity": 11}),
+    ("사랑", "권장 인원 8명 11명", {"recommend_capacity": 9, "max_capacity": 11}),
+    ("아라룸 (최대 17명)", "최대 25인 수용 가능", {"max_capacity": 25}),
+    ("자연룸 (-13명)", "", {"clean_name": "자연룸", "max_capacity": 13}),
+    ("차오름 (-7명)", "앰프와 마이크만 적힌 글", {"clean_name": "차오름", "max_capacity": 7}),
+    ("카누", "Amp AC30-2 Combo, JCM 900", {"max_capacity": None}),
+    ("타래", "최대 １４인", {"max_capacity": 14, "recommend_capacity": 7}),
 ]
 
 
@@ -51,14 +53,37 @@ def test_merge_truth_table(spark):
     assert got == {**{str(i): w for i, (_, _, w) in enumerate(cases)}, "stays": (3, 2, 1), "new": (1, 1, 15000)}
 
 
+def test_merge_of_all_columns(spark):
+    kinds = "business_id string, biz_item_id string, name string, max_capacity int, base_capacity int, extra_charge int, requires_call boolean, image_urls array<string>"
+    old = spark.createDataFrame([("b", "1", "old", 4, 2, 900, True, ["o"], False), ("b", "2", "stays", 3, 1, 5, True, ["s"], False)], f"{kinds}, can_reserve_one_hour boolean")
+    new = spark.createDataFrame([("b", "1", "[평일] raw", None, None, None, None, None), ("b", "3", "n", 6, 2, 1, True, ["x", "y"])], kinds)
+    got = {r.biz_item_id: tuple(r)[2:] for r in merge.merge_rooms(old, new).collect()}
+    assert got == {"1": ("[평일] raw", 4, None, None, False, [], False), "2": ("stays", 3, 1, 5, True, ["s"], False), "3": ("n", 6, 2, 1, True, ["x", "y"], True)}
+
+
 def test_masking(spark):
-    lines = ['password=secret123 token=abc-token-456 email=user@test.com', "token=abc12345&user_id=999&auth=xyz", "password=\"my secret value\" token='another secret'", "authorization: Bearer abc", "call 010-1234-5678", None]
-    df = spark.createDataFrame([(x,) for x in lines], "x string")
-    assert [r.m for r in df.select(masking.mask_text(F.col("x")).alias("m")).collect()] == [
-        "password=*** token=*** email=***@***.***", "token=***&user_id=999&auth=***", "password=\"***\" token='***'", "authorization: ***", "call ***-****-****", None,
-    ]
-    body = spark.createDataFrame([('{"password": null, "user": {"Token": "x", "n": [{"key": 1}]}}',), ("no json",), (None,)], "x string")
-    assert [r.m for r in body.select(masking.mask_json("x").alias("m")).collect()] == ['{"password": "***", "user": {"Token": "***", "n": [{"key": "***"}]}}', "no json", None]
+    cases = {
+        "pwd=hunter2 id_token=zz9 from kim@mail.example": "pwd=*** id_token=*** from ***@***.***",
+        "token=t1&user_id=42&page=3&cvc=123": "token=***&user_id=***&page=3&cvc=***",
+        "database_url: 'pg://u:p@h/db' \"x-api-key\": \"two words\"": "database_url: '***' \"x-api-key\": \"***\"",
+        "Set-Cookie: a=1, b=2; path=/": "Set-Cookie: ***; path=/",
+        "monkey=1 tel 02-123-4567 or 1010-1234-5678": "monkey=*** tel ***-****-**** or 1010-1234-5678",
+        "연락처kim@mail.example": "연락처kim@mail.example",  # letters before it belong to the same word
+        "no secret here": "no secret here",
+        "": "",
+        None: None,
+    }
+    df = spark.createDataFrame([(x,) for x in cases], "x string")
+    got = df.select("x", masking.mask_text(F.col("x")).alias("m"), masking.mask_body(F.col("x")).alias("b")).collect()
+    assert {r.x: r.m for r in got} == cases and all(r.b == r.m for r in got)
+    bodies = {
+        '{"pass": null, "who": {"Mobile": "x", "n": [{"key": 1}, "address=1"]}}': '{"pass": "***", "who": {"Mobile": "***", "n": [{"key": "***"}, "address=1"]}}',
+        '{"broken": key=1': '{"broken": key=***',
+        '[{"secret": 1}]': '[{"secret": ***',
+    }
+    df = spark.createDataFrame([(x,) for x in bodies], "x string")
+    assert {r.x: r.b for r in df.select("x", masking.mask_body(F.col("x")).alias("b")).collect()} == bodies
+    assert set(masking.SECRET_KEYS) >= {"pwd", "bearer", "resident_number", "connection_string"} and len(set(masking.SECRET_KEYS)) == 42
 
 
 def test_hours_and_ids(spark):
@@ -71,14 +96,82 @@ def test_hours_and_ids(spark):
 
 
 def test_html_slots(spark):
-    html = '<label title="2024-05-20 14시00분 (월)" class="time active"><b>x</label><label class="time" title="2024-05-20 15시00분">y<div id="reserve_time_13_20" class="reserve_time_off">'
+    html = '<label title="2031-01-02 14시00분 (목)" class="time active"><i>x</label><label class="time" title=\'2031-01-02 15시00분\'>y<div id="reserve_time_13_20" class="reserve_time_off">'
     row = spark.createDataFrame([(html,)], "h string").select(*(payloads.label_free(F.col("h"), F.lit(h)).alias(f"l{h}") for h in (14, 15, 16)), *(payloads.cell_free(F.col("h"), F.lit("13"), F.lit(h)).alias(f"c{h}") for h in (20, 21))).first()
     assert tuple(row) == (True, False, False, True, False)
 
 
+def test_escaped_label_pages(spark):
+    items = '&lt;label class=&quot;active&quot; title=&quot;8월 09시00분&quot;&gt;&lt;label class=&quot;time&quot; title=&quot;09시00분&quot;&gt;&amp;'
+    rows = [(json.dumps({"items": items}), True, False), (json.dumps({"items": None}), False, False), ("{}", False, False), ("<html>", False, True), (None, False, True)]
+    df = payloads.label_pages(spark.createDataFrame(rows, "payload string, free boolean, bad boolean"))
+    got = df.select("free", payloads.label_free(F.col("html"), F.lit(9)).alias("l"), "bad", "failed", "html").collect()
+    assert all(r.free == r.l and r.bad == r.failed for r in got) and got[0].html.endswith(">&")
+
+
 def test_model_answers(spark):
     df = spark.createDataFrame([("```json\n{\"a\": 1}\n```",), (" ```\n{}\n``` ",), ("{}",)], "x string")
     assert [r.m for r in df.select(text.unfenced(F.col("x")).alias("m")).collect()] == ['{"a": 1}', "{}", "{}"]
+    said = {
+        "named": ({"clean_name": None, "max_capacity": 3}, True), "unnamed": ({"max_capacity": 3}, False), "word": ({"clean_name": "a", "max_capacity": "3"}, False),
+        "large": ({"clean_name": "a", "recommend_capacity": 51}, False), "part": ({"clean_name": "a", "max_capacity": 2.5, "extra_charge": 0}, True),
+        "day": ({"clean_name": "a", "day_type": "monday"}, False), "flag": ({"clean_name": "a", "max_capacity": True, "day_type": None}, True), "list": ([1], False),
+    }
+    answer = spark.createDataFrame([(1, "```json\n" + json.dumps({k: v for k, (v, _) in said.items()}) + "\n```"), (2, "sorry")], "k int, response string")
+    assert {r.id: r.usable for r in collection.answers(answer, ["k"]).collect()} == {k: ok for k, (_, ok) in said.items()}
+
+
+def test_requests_fail_by_their_first_error(spark):
+    rows = [
+        ("12:00", "11:00", 91.0, "2030-01-01", 1, 0, "slot_order"), ("09:00", "10:00", 91.0, "bad", 0, 0, "lat_range"), ("09:00", "10:00", 37.0, "2030/01/01", 0, 0, "Date-001"),
+        ("09:00", "10:00", 37.0, "2029-12-31", 1, 0, "Date-002"), ("09:00", "15:00", 37.0, "2030-01-01", 1, 0, "Hour-002"), ("9:00", "10:00", 37.0, "2030-01-02", 0, 0, "Room-003"),
+        ("9:00", "10:00", 37.0, "2030-01-02", 3, 1, "Room-001"), ("13:00", "15:00", 37.0, "2030-01-01", 2, 0, None),
+    ]
+    df = spark.createDataFrame(rows, "a string, b string, lat double, date string, rooms int, bad int, want string")
+    error = checks.request_error(checks.time_slots(F.col("a"), F.col("b")), (F.col("lat"), F.lit(126.0), F.lit(38.0), F.lit(127.0)), F.col("date"), F.col("rooms"), F.col("bad"), "2030-01-01", "2030-01-01 12:00")
+    assert all(r.want == r.e for r in df.select("want", error.alias("e")).collect())
+
+
+def test_responses_hold_rooms_and_summaries(spark):
+    branches = spark.createDataFrame([("b", "house", 37.5, 127.0), ("c", None, None, 127.0)], "business_id string, name string, lat double, lng double")
+    rooms = spark.createDataFrame([("b", "1", 4, 900, None), ("b", "2", 8, 700, ["i"]), ("c", "3", 9, 1, None)], "business_id string, biz_item_id string, max_capacity int, price_per_hour int, image_urls array<string>")
+    slots = spark.createDataFrame([("b", i, 1, h, p, 1, int(p == 9)) for i in "12" for h in (9, 10) for p in (1, 2)] + [("b", "2", 1, 10, 9, 1, 1)], "business_id string, biz_item_id string, day int, hour int, pos int, unit_stock int, unit_booking_count int")
+    box = (37.5, 127.0, 37.6, 127.1)
+    requests = spark.createDataFrame([(i, 1, n, 9, e, *box) for i, n, e in ((1, 2, 9), (2, 2, 9), (3, 5, 10), (4, 2, 8))] + [(5, 1, 1, 9, 9, 38.0, 127.0, 37.0, 128.0)], "request_id int, day int, capacity int, start_hour int, end_hour int, sw_lat double, sw_lng double, ne_lat double, ne_lng double")
+    joined = availability.rooms_with_branch(rooms, branches)
+    assert {(r.biz_item_id, r.branch, tuple(r.image_urls)) for r in joined.collect()} == {("1", "house", ()), ("2", "house", ("i",)), ("3", "", ())}
+    got = {r.request_id: r for r in availability.responses(requests, joined, branches, slots).collect()}
+    assert got[1].available_biz_item_ids == got[2].available_biz_item_ids == ["1", "2"] and got[1].hour_slots == ["09:00"]
+    assert {k: tuple(v) for k, v in got[2].branch_summary.items()} == {"b": (700, 2, 37.5, 127.0)}
+    assert all((got[i].results, got[i].branch_summary) == ([], {}) for i in (3, 4, 5)) and got[3].hour_slots == ["09:00", "10:00"] and got[4].hour_slots == []
+
+
+def test_failures_of_single_rooms_and_reports(spark):
+    rooms = spark.createDataFrame([("sadang", 1), ("x", 2), ("x", 3)], "business_id string, pos int")
+    fail = F.when(F.col("pos") == 3, "Naver-001")
+    out = collection.platform_results(rooms, {"naver": lambda df: df.withColumn("status", F.lit("free")).withColumn("error_code", fail)})
+    assert {r.pos: (r.status, r.error_code) for r in out.collect()} == {1: (None, "COMMON-001"), 2: ("free", None), 3: (None, "Naver-001")}
+    report = collection.error_report(out.withColumn("status_code", F.lit(503))).collect()
+    assert {tuple(r) for r in report} == {("ERROR", 500, "COMMON-001", 1), ("WARNING", 503, "Naver-001", 1)}
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    texts = spark.createDataFrame([("b", 1, "[x] 가", "d", 5, 2), ("b", 2, "나", None, None, None)], "business_id string, room_id long, name string, desc_text string, min_price int, image_count int")
+    collection.save_samples(texts, str(tmp_path / "s"))
+    room = json.loads(spark.read.text(str(tmp_path / "s")).first()[0])["rooms"][1]
+    assert room == {"biz_item_id": 2, "raw_name": "나", "raw_desc": None, "min_price": None, "image_count": 0, "has_desc": False, "has_price": False, "name_has_tag": False}
+    branch = spark.createDataFrame([("b", "n", 37.123456789)], "business_id string, name string, lat double")
+    merge.write_snapshot(branch, str(tmp_path / "m" / "branch"))
+    assert [str(x) for x in domain.read_master(spark, "branch", str(tmp_path / "m")).first()] == ["b", "n", "37.1234568", "None"]
+    assert [tuple(r) for r in domain.search_queries(spark, 24, 26).collect()] == [(24, "중랑구 합주실"), (25, "부산 합주실")]
+    log = spark.createDataFrame([(1, "t", "ERROR", "/ping"), (2, "t", "INFO", None), (3, "u", "ERROR", "/a")], "pos int, trace_id string, level string, path string")
+    assert [r.pos for r in collection.log_search(log, level="ERROR").collect()] == [3] and [r.pos for r in collection.log_search(log, trace_id="t").collect()] == [2]
+
+
+def test_capacity_guesses(spark):
+    rows = [(1, 100, 4), (2, 150, None), (3, 200, 8), (4, 300, None), (5, None, None), (6, 200, None)]
+    df = spark.createDataFrame([("b", *r) for r in rows], "business_id string, room_id int, price int, max_capacity int")
+    assert {r.room_id: r.guess for r in collection.capacity_from_price(df).collect()} == {1: 4, 2: 6, 3: 8, 4: None, 5: None, 6: None}
 
 
 def test_streams_equal_batches(spark, tmp_path):
@@ -90,11 +183,28 @@ def test_streams_equal_batches(spark, tmp_path):
     q.awaitTermination()
     batch = jobs.rate_breaches(spark.read.parquet(str(tmp_path / "log")))
     assert sorted(map(tuple, spark.table("breaches").collect())) == sorted(map(tuple, batch.filter("ip <> 'z'").collect()))
-    changes = spark.createDataFrame([("d", "b", "i", "add", 1), ("d", "b", "i", "add", 2), ("d", "b", "j", "delete", 3)], "device_id string, business_id string, biz_item_id string, op string, seq long")
-    step = jobs.favorites_into(str(tmp_path / "fav"))
-    step(changes, 0)
-    step(changes.limit(0).unionByName(spark.createDataFrame([("d", "b", "i", "delete", 4), ("e", "b", "i", "add", 5)], changes.schema)), 1)
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "fav/1")).collect()] == [("e", "b", "i")]
+    (tmp_path / "text").mkdir()
+    lines = spark.createDataFrame([("token=abc",), ("plain",)], "body string")
+    lines.write.mode("append").parquet(str(tmp_path / "text"))
+    q = jobs.masked_log(spark.readStream.schema(lines.schema).parquet(str(tmp_path / "text"))).writeStream.format("memory").queryName("masked").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.body for r in spark.table("masked").collect()) == ["plain", "token=***"]
+
+
+def test_favorites_stream(spark, tmp_path):
+    kinds = "device_id string, business_id string, biz_item_id string, op string, seq long"
+    source, target = str(tmp_path / "changes"), str(tmp_path / "favorites")
+
+    def play(rows, checkpoint):
+        spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(kinds).parquet(source).writeStream.foreachBatch(jobs.favorites_into(target))
+        stream.option("checkpointLocation", str(tmp_path / checkpoint)).trigger(availableNow=True).start().awaitTermination()
+        return sorted(tuple(r) for r in jobs.favorites_now(spark, target).collect())
+
+    assert play([("d", "b", "i", "add", 1), ("d", "b", "i", "add", 2), ("d", "b", "j", "delete", 3)], "one") == [("d", "b", "i")]
+    assert play([("d", "b", "i", "delete", 4), ("e", "b", "i", "add", 5)], "one") == [("e", "b", "i")]
+    # A new checkpoint reads all changes again, and forgets nothing.
+    assert play([("f", "b", "i", "add", 6), ("e", "b", "i", "delete", 1)], "two") == [("e", "b", "i"), ("f", "b", "i")]
 
 
 def test_export_adds_once_a_day(spark, tmp_path):
