@@ -90,6 +90,21 @@ def word_hashes(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mixed(hashes), np.searchsorted(starts, bounds)
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Hashes of the byte strings at ascending ``starts``, whatever stands around them."""
+    out = np.empty(len(starts), _U)
+    i = 0
+    while i < len(starts):
+        base = int(starts[i])
+        k = int(np.searchsorted(starts, base + step))
+        stop = int((starts[i:k] + lengths[i:k]).max())
+        sums = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE[data[base:stop]] * _table("up", _BASE, stop - base))])
+        s = starts[i:k] - base
+        out[i:k] = (sums[s + lengths[i:k]] - sums[s]) * _table("down", _BACK, stop - base)[s]
+        i = k
+    return mixed(out + lengths.astype(_U) * _BYTE[255])
+
+
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of ``size`` words; a shorter sequence is one shingle, none if empty."""
     n = len(words)

@@ -2,20 +2,27 @@
 
 All strings of ``size`` bytes of a document with the same least hash of their
 ``gram``-byte substrings form runs of neighbours; equal strings have the same least
-hash, so only strings of equal hash need to be compared.
-
-1. Every task sends the hashes of its runs, once for each slice of texts; hashes
-   seen in two slices, or in two documents of one, are possible repeats.
-2. Possible repeats go into a bitmap of fixed size, and tasks send the bytes of the
-   runs that it lets through, each distinct one once a slice, with its documents.
-   The bitmap may let too much through, which costs time but changes nothing;
-   where it would be crowded, several bitmaps serve in turn.
+hash, so only strings of equal hash need to be compared.  Each document has a home, a
+partition that its id and text decide.
+
+1. Every task sends the hashes of its runs and their homes, once for each slice of
+   texts, to the partition of the hash; hashes seen in two slices, or in two documents
+   of one, are possible repeats, and are sent to the homes that have them.
+2. At home, the runs of these hashes are found again, and each distinct one of a slice
+   is sent to the partition of its hash, with the smallest and largest id that hold it:
+   not the documents, so a run that a third of all documents share is sent once a slice.
 3. Runs with equal hash meet in one task, which builds a suffix array of their
    distinct bytes in two stages: suffixes smaller than their successors are sorted
    directly, the others are induced by scanning the buckets in order.  Adjacent
    common prefixes of ``size`` or more bytes give the classes of equal strings, and
-   each class its smallest document.
-4. Documents get back the ranges covered by strings that start in a smaller one.
+   each class its smallest document.  Homes with a larger one are told, for each run,
+   the smallest documents of its strings.
+4. At home, each document finds its runs among these by a hash of their bytes, and
+   loses what strings cover that also start in a smaller document.
+
+No step needs the driver, and the number of steps is the same at every size.  What
+meets in one task are the different runs of one hash: contexts of one substring of
+``gram`` bytes, which are not split.
 
 Defined cases: a null text is empty; a null id is smaller than all others; rows
 with equal id do not count as smaller than each other, and each is judged by its own
@@ -26,7 +33,7 @@ not carried.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .hashing import joined_bytes, mixed
+from .hashing import joined_bytes, mixed, span_hashes
 from .tokens import slices
 
 _U = np.uint64
@@ -217,291 +223,292 @@ def _unpacked(data: bytes, *kinds: str) -> list:
     return out
 
 
-def _ranges(covered: np.ndarray, start: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal (document, from, to) of neighbouring covered starts."""
-    where = np.flatnonzero(covered)
-    if not len(where):
-        return where, where, where
-    s, d = start[where], doc[where]
-    new = np.concatenate([[True], (s[1:] != s[:-1] + 1) | (d[1:] != d[:-1])])
-    last = np.append(np.flatnonzero(new)[1:], len(s)) - 1
-    return d[new], s[new], s[last] + size
-
-
-def remove_repeats(
-    docs: DataFrame,
-    size: int = 50,
-    gram: int = 20,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    bitmap_bits: int = 27,
-    slice_bytes: int = 1_200_000,
-) -> DataFrame:
+def _split_by(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(key, where it lies) of sorted keys."""
+    if not len(keys):
+        return
+    edges = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1)).tolist()
+    for i, j in zip(edges, [*edges[1:], len(keys)], strict=True):
+        yield int(keys[i]), slice(i, j)
+
+
+def _spread(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places ``begin[k]`` to ``begin[k] + count[k]``, and the k of each."""
+    of = np.repeat(np.arange(len(count)), count)
+    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(len(of)), of
+
+
+def send_hashes(batches: Iterator[pa.RecordBatch], size: int, gram: int, fine: int, slice_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Step 1, of (key, home, text): rows (bucket, body) with hashes, homes and marks for hashes of several ids."""
+    for batch in batches:
+        for a, b in slices(batch.column(2), slice_bytes):
+            data, bounds = joined_bytes(batch.column(2)[a:b])
+            ids, homes = (batch.column(k)[a:b].to_numpy(zero_copy_only=False) for k in (0, 1))
+            doc, _, _, key = runs_of(data, bounds, size, gram)
+            if not len(key):
+                continue
+            key >>= _U(16)
+            order = np.lexsort((homes[doc], key))
+            key, own, home = key[order], ids[doc[order]], homes[doc[order]]
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            first = np.flatnonzero(new)
+            several = np.minimum.reduceat(own, first) < np.maximum.reduceat(own, first)
+            once = np.flatnonzero(new | np.concatenate([[True], home[1:] != home[:-1]]))
+            key, home, several = key[once], home[once], several[np.cumsum(new)[once] - 1]
+            for k, at in _split_by(_bucket(key, fine)):
+                body = _packed(key[at].astype("<u8"), home[at].astype("<u4"), several[at].astype("u1"))
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([body], pa.binary())], names=["bucket", "body"])
+
+
+def _bucket(short: np.ndarray, fine: int) -> np.ndarray:
+    """The partition of a hash of 48 bits."""
+    return ((short >> _U(16)) * _U(fine) >> _U(32)).astype(np.int64)
+
+
+def repeated_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 1, at the hash: rows (home, body) with the possible repeats of each home."""
+    found: list[tuple] = []
+    for batch in batches:
+        found += [_unpacked(body.as_py(), "<u8", "<u4", "u1") for body in batch.column(1)]
+    if not found:
+        return
+    key, home, several = (np.concatenate(c) for c in zip(*found, strict=True))
+    row = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+    order = np.argsort(key, kind="stable")
+    key, home, several, row = key[order], home[order], several[order], row[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    good = (np.minimum.reduceat(row, first) < np.maximum.reduceat(row, first)) | (np.maximum.reduceat(several, first) > 0)
+    keep = np.repeat(good, np.diff(np.append(first, len(key))))
+    key, home = key[keep], home[keep].astype(np.int64)
+    order = np.lexsort((key, home))
+    key, home = key[order], home[order]
+    for h, at in _split_by(home):
+        body = _packed(np.unique(key[at]).astype("<u8"))
+        yield pa.RecordBatch.from_arrays([pa.array([h], pa.int32()), pa.array([body], pa.binary())], names=["home", "body"])
+
+
+class _AtHome:
+    """What lies at a home: what it was told first, then its texts, in slices."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], slice_bytes: int):
+        self.batches, self.slice_bytes = batches, slice_bytes
+        self.told: list[bytes] = []
+        self.home: int | None = None
+
+    def slices(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+        """(bytes, bounds, keys, ids) of consecutive texts; all of ``told`` is there before the first."""
+        grow = zstandard.ZstdDecompressor()
+        texts, keys, ids, held = [], [], [], 0
+
+        def joined():
+            bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+            return np.frombuffer(b"".join(texts), np.uint8), bounds, np.array(keys, np.int64), pa.concat_arrays(ids)
+
+        for batch in self.batches:
+            homes, is_text, bodies, numbers = (batch.column(k).to_pylist() for k in range(4))
+            for i in range(len(homes)):
+                self.home = homes[i]
+                if not is_text[i]:
+                    self.told.append(bodies[i])
+                    continue
+                texts.append(grow.decompress(bodies[i]))
+                keys.append(numbers[i])
+                ids.append(batch.column(4)[i : i + 1])
+                held += len(texts[-1])
+                if held >= self.slice_bytes:
+                    yield joined()
+                    texts, keys, ids, held = [], [], [], 0
+        if texts:
+            yield joined()
+
+
+def send_runs(batches: Iterator[pa.RecordBatch], size: int, gram: int, fine: int, slice_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Step 2: rows (bucket, home, body) with the distinct bytes of runs, their hashes, and the least and largest key."""
+    at_home, wanted = _AtHome(batches, slice_bytes), None
+    for data, bounds, keys, _ in at_home.slices():
+        if wanted is None:
+            wanted = np.unique(np.concatenate([_unpacked(x, "<u8")[0] for x in at_home.told])) if at_home.told else np.empty(0, _U)
+            at_home.told = []
+        doc, start, count, key = runs_of(data, bounds, size, gram)
+        if not len(wanted) or not len(key):
+            continue
+        short = key >> _U(16)
+        keep = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, short), len(wanted) - 1)] == short)
+        if not len(keep):
+            continue
+        bucket = _bucket(short[keep], fine)
+        order = np.lexsort((key[keep], bucket))
+        keep, bucket, view = keep[order], bucket[order], data.tobytes()
+        for k, at in _split_by(bucket):
+            own = keep[at]
+            distinct: dict[bytes, int] = {}
+            which = np.array([distinct.setdefault(view[x : x + n + size - 1], len(distinct)) for x, n in zip(start[own].tolist(), count[own].tolist(), strict=True)])
+            low, least, most = np.empty(len(distinct), "<u4"), np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), np.iinfo(np.int64).min)
+            low[which] = key[own] & _U(0xFFFFFFFF)
+            np.minimum.at(least, which, keys[doc[own]])
+            np.maximum.at(most, which, keys[doc[own]])
+            pieces = list(distinct)
+            body = _packed(b"".join(pieces), np.array([len(p) for p in pieces], "<u4"), low, least.astype("<i8"), most.astype("<i8"))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at_home.home], pa.int32()), pa.array([body], pa.binary())], names=["bucket", "home", "body"])
+
+
+def compare_runs(batches: Iterator[pa.RecordBatch], size: int, block_bytes: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """Step 3: rows (home, body) with hashes of runs, their numbers of segments, and each segment's first string and smallest document."""
+    pieces, n_pieces = [], 0
+    which, lows, leasts, mosts, homes = [], [], [], [], []
+    for batch in batches:
+        for home, body in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            data, lengths, low, least, most = _unpacked(body.as_py(), "bytes", "<u4", "<u4", "<i8", "<i8")
+            ends = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))])
+            pieces.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(data)]))
+            which.append(np.arange(n_pieces, n_pieces + len(lengths)))
+            n_pieces += len(lengths)
+            lows.append(low)
+            leasts.append(least)
+            mosts.append(most)
+            homes.append(np.full(len(lengths), home))
+    if not pieces:
+        return
+    encoded = pa.concat_arrays(pieces).dictionary_encode()
+    distinct, piece = encoded.dictionary, encoded.indices.to_numpy().astype(np.int64)[np.concatenate(which)]
+    del pieces, encoded
+    low, home, most = np.empty(len(distinct), "<u4"), np.concatenate(homes), np.concatenate(mosts)
+    low[piece] = np.concatenate(lows)
+    least = np.full(len(distinct), np.iinfo(np.int64).max)
+    np.minimum.at(least, piece, np.concatenate(leasts))
+    # Each home asks for a run once, for its largest document.
+    order = np.lexsort((home, piece))
+    piece, home, most = piece[order], home[order], most[order]
+    first = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (home[1:] != home[:-1])]))
+    piece, home, most = piece[first], home[first], np.maximum.reduceat(most, first)
+    # Runs of equal hash are compared, some hundred thousand bytes of them at a time.
+    by_low = np.argsort(low, kind="stable")
+    lengths = np.diff(np.frombuffer(distinct.buffers()[1], np.int64, len(distinct) + 1, 8 * distinct.offset))
+    new = np.flatnonzero(np.concatenate([[True], low[by_low][1:] != low[by_low][:-1]]))
+    sums = np.concatenate([[0], np.cumsum(lengths[by_low])])
+    asked = np.searchsorted(piece, np.arange(len(distinct) + 1))  # where the homes of each distinct run lie
+    answers: list[tuple] = []
+    i = 0
+    while i < len(by_low):
+        k = np.searchsorted(sums, sums[i] + block_bytes)
+        k = int(new[np.searchsorted(new, k)]) if k <= new[-1] else len(by_low)
+        own = by_low[i:k]
+        i = k
+        data = distinct.take(pa.array(own)).to_pylist()
+        owners = least_owners(data, least[own], size)
+        n = np.array([len(o) for o in owners])
+        flat, begin = np.concatenate(owners), np.cumsum(n) - n
+        at, of = _spread(asked[own], asked[own + 1] - asked[own])
+        smallest = np.minimum.reduceat(flat, begin)
+        told = smallest[of] < most[at]
+        at, of = at[told], of[told]
+        if not len(at):
+            continue
+        starts = np.cumsum(lengths[own]) - lengths[own]
+        names = span_hashes(np.frombuffer(b"".join(data), np.uint8), starts, lengths[own])
+        opens = np.concatenate([[True], flat[1:] != flat[:-1]])
+        opens[begin] = True
+        segment = np.flatnonzero(opens)
+        seg_first = np.searchsorted(segment, begin)
+        seg_count = np.diff(np.append(seg_first, len(segment)))
+        places, row = _spread(seg_first[of], seg_count[of])
+        answers.append((home[at], names[of], seg_count[of], segment[places] - begin[of[row]], flat[segment[places]]))
+    if not answers:
+        return
+    home, name, n, start, owner = (np.concatenate(c) for c in zip(*answers, strict=True))
+    order = np.argsort(home, kind="stable")
+    seg_begin = np.cumsum(n) - n
+    for h, at in _split_by(home[order]):
+        own = order[at]
+        places, _ = _spread(seg_begin[own], n[own])
+        body = _packed(name[own].astype("<u8"), n[own].astype("<u2"), start[places].astype("<u2"), owner[places].astype("<i8"))
+        yield pa.RecordBatch.from_arrays([pa.array([h], pa.int32()), pa.array([body], pa.binary())], names=["home", "body"])
+
+
+def merged_ranges(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal (document, start, end) of ranges that touch or overlap."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    # Ends grow by document, so that a running maximum stays inside it.
+    reach = int(end.max()) + 1 if len(end) else 1
+    far = np.maximum.accumulate(end + doc * reach) - doc * reach
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > far[:-1])])[: len(doc)]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc)) - 1
+    return doc[first], start[first], far[last[: len(first)]]
+
+
+def cut_texts(batches: Iterator[pa.RecordBatch], size: int, gram: int, slice_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Step 4: (id, n_bytes, removed, kept) of every text."""
+    list_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    at_home, name = _AtHome(batches, slice_bytes), None
+    for data, bounds, keys, ids in at_home.slices():
+        if name is None:
+            told = [_unpacked(x, "<u8", "<u2", "<u2", "<i8") for x in at_home.told]
+            name, n, seg_start, owner = (np.concatenate(c) for c in zip(*told, strict=True)) if told else (np.empty(0, t) for t in ("u8", "u2", "u2", "i8"))
+            n, seg_start = n.astype(np.int64), seg_start.astype(np.int64)
+            order, seg_begin = np.argsort(name), np.cumsum(n) - n
+            name, n, seg_begin, at_home.told = name[order], n[order], seg_begin[order], []
+        doc, start, count, _ = runs_of(data, bounds, size, gram)
+        d = s = e = np.empty(0, np.int64)
+        if len(name) and len(start):
+            own = span_hashes(data, start, count + size - 1)
+            at = np.minimum(np.searchsorted(name, own), len(name) - 1)
+            hit = np.flatnonzero(name[at] == own)
+            places, row = _spread(seg_begin[at[hit]], n[at[hit]])
+            run = hit[row]
+            first = seg_start[places]
+            ends_run = np.concatenate([row[1:] != row[:-1], [True]])[: len(row)]
+            stop = np.where(ends_run, count[run], np.concatenate([first[1:], [0]])[: len(row)])
+            gone = owner[places] < keys[doc[run]]
+            run, first, stop = run[gone], first[gone], stop[gone]
+            offset = start[run] - bounds[doc[run]]
+            d, s, e = merged_ranges(doc[run], offset + first, offset + stop - 1 + size)
+        edges = np.searchsorted(d, np.arange(len(keys) + 1)).tolist()
+        starts, ends, view = s.tolist(), e.tolist(), data.tobytes()
+        removed, kept = [], []
+        for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            own = list(zip(starts[edges[i] : edges[i + 1]], ends[edges[i] : edges[i + 1]], strict=True))
+            cuts = [0, *(x for pair in own for x in pair), b - a]
+            removed.append([{"start": x, "end": y} for x, y in own])
+            kept.append(b"".join(view[a + x : a + y] for x, y in zip(cuts[::2], cuts[1::2], strict=True)))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(bounds)), pa.array(removed, list_type), pa.array(kept, pa.binary())], names=["id", "n_bytes", "removed", "kept"])
+
+
+def remove_repeats(docs: DataFrame, size: int = 50, gram: int = 20, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 1_200_000) -> DataFrame:
     """(id, n_bytes, removed: array of (start, end) in bytes, kept: binary) for every row.
 
     Each byte goes that a string of ``size`` bytes covers which also starts in a
     document with a smaller id.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fine = 2 * parts
-    lowest = -(1 << 63)
+    kind = dict(docs.dtypes)[id_col]
+    text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("key"), (F.pmod(F.xxhash64(text_col), F.lit(1 << 15))).cast("short").alias("mark"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+        F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("key"), text.alias("text"), F.pmod(F.xxhash64(id_col, text), F.lit(parts)).cast("int").alias("home")
     )
+    nothing = lambda t: F.lit(None).cast(t)
 
-    def bucket_of_id(ids: np.ndarray) -> np.ndarray:
-        return (mixed(ids.astype(np.int64).view(_U)) % _U(4 * parts)).astype(np.int64)
-
-    def deal(keys: np.ndarray) -> np.ndarray:
-        return ((keys >> _U(32)) * _U(fine) >> _U(32)).astype(np.int64)
-
-    def send_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(batch.column(1), slice_bytes):
-                data, bounds = joined_bytes(batch.column(1)[a:b])
-                ids = batch.column(0)[a:b].to_numpy(zero_copy_only=False)
-                doc, _, _, key = runs_of(data, bounds, size, gram)
-                key >>= _U(16)
-                order = np.argsort(key)
-                key, own = key[order], ids[doc[order]]
-                first = np.flatnonzero(np.diff(key, prepend=_U(1 << 63)))
-                if not len(first):
-                    continue
-                twice = np.minimum.reduceat(own, first) < np.maximum.reduceat(own, first)
-                key = key[first]
-                bucket = deal(key << _U(16))
-                packed = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-                for i, j in zip(edges, [*edges[1:], len(key)], strict=True):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(bucket[i])], pa.int32()), pa.array([packed[i:j].tobytes()], pa.binary()), pa.array([np.packbits(twice[i:j]).tobytes()], pa.binary())],
-                        names=["bucket", "keys", "twice"],
-                    )
-
-    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, flags = [], []
-        for batch in batches:
-            for k, t in zip(batch.column(1), batch.column(2), strict=True):
-                raw = np.frombuffer(k.as_buffer(), np.uint8).reshape(-1, 6)
-                wide = np.zeros((len(raw), 8), np.uint8)
-                wide[:, :6] = raw
-                keys.append(wide.view("<u8").ravel())
-                flags.append(np.unpackbits(np.frombuffer(t.as_buffer(), np.uint8), count=len(raw)))
-        if keys:
-            key, flag = np.concatenate(keys), np.concatenate(flags)
-            order = np.argsort(key)
-            key, flag = key[order], flag[order]
-            first = np.flatnonzero(np.diff(key, prepend=_U(1 << 63)))
-            seen = np.diff(np.append(first, len(key)))
-            good = key[first][(seen > 1) | (np.maximum.reduceat(flag, first) > 0)]
-            for i in range(0, len(good), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(good[i : i + 50_000].view(np.int64))], names=["key"])
-
-    hashes = rows.select("key", "text").mapInArrow(send_hashes, "bucket int, keys binary, twice binary")
-    found = written(hashes.repartition(fine, "bucket").mapInArrow(repeated, "key long"))
-    # A bitmap of 2 ** bitmap_bits bits serves an eighth as many hashes.
-    rounds = max(1, -(-found.count() >> (bitmap_bits - 3)))
-
-    def bitmap(round_: int):
-        """One bitmap of the round's hashes, from pieces of its parts: always of the same size."""
-        pieces = 256
-        shift = 48 - bitmap_bits
-
-        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.zeros(1 << bitmap_bits, bool)
-            for batch in batches:
-                bits[batch.column(0).to_numpy() >> shift] = True
-            whole = np.packbits(bits).reshape(pieces, -1)
-            for k in np.flatnonzero(whole.any(1)).tolist():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([whole[k].tobytes()], pa.binary())], names=["k", "bits"])
-
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for k, bits in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    new = np.frombuffer(bits.as_buffer(), np.uint8)
-                    held[k] = held[k] | new if k in held else new
-            for k, bits in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["k", "bits"])
-
-        own = found.filter(F.pmod("key", F.lit(rounds)) == round_)
-        out = np.zeros((pieces, (1 << bitmap_bits) // 8 // pieces), np.uint8)
-        near = own.repartitionByRange(parts, "key") if rounds > 1 else own
-        for r in near.mapInArrow(fill, "k int, bits binary").repartition(min(parts, pieces), "k").mapInArrow(merge, "k int, bits binary").toLocalIterator():
-            out[r.k] = np.frombuffer(r.bits, np.uint8)
-        return spark.sparkContext.broadcast(out.ravel())
-
-    def send_runs(shared, round_: int):
-        shift = _U(48 - bitmap_bits)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = shared.value
-            for batch in batches:
-                for a, b in slices(batch.column(2), slice_bytes):
-                    data, bounds = joined_bytes(batch.column(2)[a:b])
-                    doc, start, count, key = runs_of(data, bounds, size, gram)
-                    short = key >> _U(16)
-                    at = (short >> shift).astype(np.int64)
-                    keep = np.flatnonzero((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
-                    keep = keep[(short[keep] % _U(rounds)) == _U(round_)]
-                    if not len(keep):
-                        continue
-                    ids, marks = (batch.column(k)[a:b].to_numpy(zero_copy_only=False) for k in (0, 1))
-                    bucket = deal(key[keep])
-                    order = np.lexsort((key[keep], bucket))
-                    keep, bucket = keep[order], bucket[order]
-                    view = data.tobytes()
-                    edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-                    for i, j in zip(edges, [*edges[1:], len(keep)], strict=True):
-                        own = keep[i:j]
-                        s, n, d = start[own], count[own], doc[own]
-                        distinct: dict[bytes, int] = {}
-                        which = [distinct.setdefault(view[x : x + c + size - 1], len(distinct)) for x, c in zip(s.tolist(), n.tolist(), strict=True)]
-                        keys = np.empty(len(distinct), "<u4")
-                        keys[which] = key[own] & _U(0xFFFFFFFF)
-                        pieces = list(distinct)
-                        body = _packed(
-                            b"".join(pieces), np.array([len(p) for p in pieces], "<u4"), keys, np.array(which, "<u4"),
-                            ids[d].astype("<i8"), marks[d].astype("<i2"), (s - bounds[d]).astype("<u4"),
-                        )
-                        yield pa.RecordBatch.from_arrays([pa.array([int(bucket[i])], pa.int32()), pa.array([body], pa.binary())], names=["bucket", "body"])
-
-        return run
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: list[pa.Array] = []
-        n_pieces = 0
-        keys, which, ids, marks, starts = [], [], [], [], []
-        for batch in batches:
-            for body in batch.column(1):
-                data, lengths, key, own, doc, mark, start = _unpacked(body.as_py(), "bytes", "<u4", "<u4", "<u4", "<i8", "<i2", "<u4")
-                ends = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))])
-                which.append(own.astype(np.int64) + n_pieces)
-                pieces.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(data)]))
-                n_pieces += len(lengths)
-                keys.append(key)
-                ids.append(doc)
-                marks.append(mark)
-                starts.append(start.astype(np.int64))
-        if not pieces:
-            return
-        encoded = pa.concat_arrays(pieces).dictionary_encode()
-        distinct, code = encoded.dictionary, encoded.indices.to_numpy().astype(np.int64)
-        del pieces, encoded
-        piece_key = np.empty(len(distinct), "<u4")
-        piece_key[code] = np.concatenate(keys)
-        piece, doc, mark, start = code[np.concatenate(which)], np.concatenate(ids), np.concatenate(marks), np.concatenate(starts)
-        least = np.full(len(distinct), np.iinfo(np.int64).max)
-        np.minimum.at(least, piece, doc)
-        # Groups of pieces with equal hash are compared, some hundred thousand bytes at a time.
-        by_key = np.argsort(piece_key, kind="stable")
-        lengths = np.diff(np.frombuffer(distinct.buffers()[1], np.int64, len(distinct) + 1, 8 * distinct.offset))
-        new_key = np.flatnonzero(np.diff(piece_key[by_key], prepend=~piece_key[by_key[0]]))
-        sums = np.concatenate([[0], np.cumsum(lengths[by_key])])
-        place = np.empty(len(distinct), np.int64)
-        place[by_key] = np.arange(len(distinct))
-        order = np.argsort(place[piece], kind="stable")
-        piece, doc, mark, start = piece[order], doc[order], mark[order], start[order]
-        spot = place[piece]
-        i = 0
-        while i < len(by_key):
-            k = np.searchsorted(sums, sums[i] + 400_000)
-            k = new_key[np.searchsorted(new_key, k)] if k <= new_key[-1] else len(by_key)
-            own = by_key[i:k]
-            owners = least_owners(distinct.take(pa.array(own)).to_pylist(), least[own], size)
-            flat, n = np.concatenate(owners), np.array([len(o) for o in owners])
-            begin = np.cumsum(n) - n
-            lo, hi = np.searchsorted(spot, [i, k])
-            for x in range(lo, hi, 20_000):
-                at = slice(x, min(x + 20_000, hi))
-                which_piece = spot[at] - i
-                c = n[which_piece]
-                step = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
-                owner = flat[np.repeat(begin[which_piece], c) + step]
-                row = np.repeat(np.arange(len(c)), c)
-                covered = owner < doc[at][row]
-                r, s, e = _ranges(covered, start[at][row] + step, row, size)
-                if not len(r):
-                    continue
-                d, m = doc[at][r], mark[at][r]
-                home = bucket_of_id(d)
-                order = np.argsort(home, kind="stable")
-                d, m, s, e, home = d[order], m[order], s[order], e[order], home[order]
-                edges = np.flatnonzero(np.diff(home, prepend=-1))
-                for p, q in zip(edges, [*edges[1:], len(home)], strict=True):
-                    body = _packed(d[p:q], m[p:q], s[p:q].astype("<u4"), (e[p:q] - s[p:q]).astype("<u4"))
-                    yield pa.RecordBatch.from_arrays([pa.array([int(home[p])], pa.int32()), pa.array([body], pa.binary())], names=["home", "body"])
-            i = k
-
-    ranges = reduce(
-        DataFrame.unionByName,
-        [
-            rows.select("key", "mark", "text").mapInArrow(send_runs(bitmap(r), r), "bucket int, body binary").repartition(fine, "bucket").mapInArrow(compare, "home int, body binary")
-            for r in range(rounds)
-        ],
-    )
-    # Documents meet their ranges by a hash of the id; texts travel compressed.
-    kind = dict(docs.dtypes)[id_col]
-
-    def send_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            home = bucket_of_id(batch.column(1).to_numpy(zero_copy_only=False))
-            texts = [squeeze.compress(t) for t in batch.column(3).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(texts, pa.binary()), *batch.columns[:3]], names=["home", "body", "id", "key", "mark"])
-
-    texts = rows.select("id", "key", "mark", "text").mapInArrow(send_texts, f"home int, body binary, id {kind}, key long, mark short")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The ranges of a home come before its texts."""
-        now, held, found = None, [], {}
-        grow = zstandard.ZstdDecompressor()
-        list_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-        def by_document() -> dict:
-            """(id, mark) -> its merged ranges' starts and ends."""
-            if not held:
-                return {}
-            d, m, s, n = (np.concatenate(c) for c in zip(*(_unpacked(x, "<i8", "<i2", "<u4", "<u4") for x in held), strict=True))
-            order = np.lexsort((s, m, d))
-            d, m, s = d[order], m[order], s[order].astype(np.int64)
-            e = s + n[order]
-            edges = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (m[1:] != m[:-1])]))
-            out = {}
-            for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(d)], strict=True):
-                far = np.maximum.accumulate(e[i:j])
-                new = np.concatenate([[True], s[i + 1 : j] > far[:-1]])
-                last = np.append(np.flatnonzero(new)[1:], j - i) - 1
-                out[int(d[i]), int(m[i])] = (s[i:j][new].tolist(), far[last].tolist())
-            return out
-
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            ids, sizes, removed, kept = [], [], [], []
-            for i, (home, is_text, body, key, mark) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4, 5)), strict=True)):
-                if home != now:
-                    now, held, found = home, [], None
-                if not is_text:
-                    held.append(body)
-                    continue
-                if found is None:
-                    found, held = by_document(), []
-                text = grow.decompress(body)
-                starts, ends = found.get((key, mark), ((), ()))
-                edges = [0, *(x for pair in zip(starts, ends, strict=True) for x in pair), len(text)]
-                ids.append(i)
-                sizes.append(len(text))
-                removed.append([{"start": a, "end": b} for a, b in zip(starts, ends, strict=True)])
-                kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-            if ids:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(3).take(pa.array(ids)), pa.array(sizes, pa.int64()), pa.array(removed, list_type), pa.array(kept, pa.binary())],
-                    names=["id", "n_bytes", "removed", "kept"],
-                )
-
-    nothing = lambda t: F.lit(None).cast(t)
-    both = texts.select("home", F.lit(True).alias("is_text"), "body", "id", "key", "mark").unionByName(
-        ranges.select("home", F.lit(False).alias("is_text"), "body", nothing(kind).alias("id"), nothing("long").alias("key"), nothing("short").alias("mark"))
-    )
-    out = both.repartition(parts, "home").sortWithinPartitions("home", "is_text").mapInArrow(cut, f"id {kind}, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
+            texts = [packer.compress(t) for t in batch.column(3).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.binary())], names=["id", "key", "home", "body"])
+
+    def at_home(told: DataFrame, texts: DataFrame) -> DataFrame:
+        """What each home is told before its texts, which travel compressed."""
+        packed = texts.select("id", "key", "home", "text").mapInArrow(squeeze, f"id {kind}, key long, home int, body binary")
+        both = told.select("home", F.lit(False).alias("is_text"), "body", nothing("long").alias("key"), nothing(kind).alias("id")).unionByName(
+            packed.select("home", F.lit(True).alias("is_text"), "body", "key", "id")
+        )
+        return both.repartitionById(parts, "home").sortWithinPartitions("is_text")
+
+    own = {"size": size, "gram": gram, "slice_bytes": slice_bytes}
+    long_enough = rows.filter(F.octet_length("text") >= size)
+    hashes = long_enough.select("key", "home", "text").mapInArrow(partial(send_hashes, fine=fine, **own), "bucket int, body binary")
+    repeats = hashes.repartitionById(fine, "bucket").mapInArrow(repeated_hashes, "home int, body binary")
+    runs = at_home(repeats, long_enough).mapInArrow(partial(send_runs, fine=fine, **own), "bucket int, home int, body binary")
+    answers = runs.repartitionById(fine, "bucket").mapInArrow(partial(compare_runs, size=size), "home int, body binary")
+    out = at_home(answers, rows).mapInArrow(partial(cut_texts, **own), f"id {kind}, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
     return out.withColumnRenamed("id", id_col) if id_col != "id" else out

@@ -47,10 +47,25 @@ def test_removed_bytes_equal_brute_force(spark):
     rows += [(200 + i, rows[40][1]) for i in range(30)] + [(200, rows[40][1]), (201, passages[1] * 3)]
     rng.shuffle(rows)
     assert run(spark, rows) == brute(rows)
-    assert run(spark, rows, bitmap_bits=12, slice_bytes=2000) == brute(rows)
+    assert run(spark, rows, slice_bytes=2000) == brute(rows)
     assert run(spark, []) == []
 
 
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    a, b = "first passage " * 9, "other words of some length " * 5
+    rows = [(5, a), (5, b), (5, a + b), (3, b), (None, b[:60]), (7, a[:50]), (7, a[:50])]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_span_hashes_depend_on_the_bytes_alone():
+    data = np.frombuffer(b"abcabcdabcd" * 40, np.uint8)
+    starts, lengths = np.arange(len(data) - 8), np.tile([3, 5, 8], len(data))[: len(data) - 8]
+    for step in (1, 7, 1 << 20):
+        names = repeats.span_hashes(data, starts, lengths, step)
+        own = [data[s : s + n].tobytes() for s, n in zip(starts, lengths)]
+        assert len(set(names.tolist())) == len(set(own)) == len(set(zip(names.tolist(), own)))
+
+
 def test_suffix_array_equals_sorting():
     rng = np.random.default_rng(4)
     for k in range(60):
