@@ -5,7 +5,9 @@ confirm them (parts of an address at most 255, Luhn, mod 97, digit counts); a
 score starts from the kind's weight, rises with a checksum and with words that
 announce the kind shortly before the span, and falls with words that speak
 against it.  Spans that score ``threshold`` or more are returned.  The four base
-kinds start above the threshold, so that context never drops them.
+kinds start above the threshold, so that context never drops them; national phone
+numbers, cards of 13 to 15 digits and secrets start below it, so that they count only
+where a word announces them.
 
 Offsets count code points, the end exclusive.
 
@@ -49,6 +51,10 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.7, words="tel|phone|call|mobile|fax", against="score|odds"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}", 0.3, 0.5, words="iban|account|konto|cuenta|compte"),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]", 0.3, words="ssn|social security", against="serial|part"),
+    Kind("national", r"(?<![0-9+.-])\(?0[0-9]{2,4}\)?[\x20/.-][0-9]{3,4}[\x20.-]?[0-9]{3,5}(?![0-9])", r"0[0-9]{2,4}\)?[\x20/.-][0-9]", 0.3, words="tel|phone|call|mobile|fax", against="score|odds|order"),
+    Kind("short_card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9]){12}", 0.2, 0.2, words="card|visa|credit|karte|tarjeta|carte|amex", against="isbn|order"),
+    Kind("key_id", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])", "AKIA", 0.7),
+    Kind("secret", r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{16,64}(?![A-Za-z0-9])", r"(?i)passw|token|secret|api.?key", 0.3, words="passw|token|secret|api.?key|bearer", against="sha|commit|digest"),
 )
 
 _SPAN = "array<struct<kind:string,start:long,end:long,score:double>>"
@@ -85,6 +91,8 @@ def _valid(kind: str, match: Column) -> Column:
         return F.when(n.between(16, 19), luhn(_digits(match))).otherwise(False)
     if kind == "phone":
         return n.between(8, 15)
+    if kind == "short_card":
+        return F.when(n.between(13, 15), luhn(_digits(match))).otherwise(False)
     if kind == "iban":
         return mod_97(match)
     return F.lit(True)
