@@ -92,11 +92,11 @@ def judge_urls(
     default: str = "allow",
     id_col: str = "page_id",
     url_col: str = "url",
-    max_broadcast_rules: int = 500_000,
+    max_broadcast_rules: int = 50_000,
 ) -> DataFrame:
     """(id, host, path, rule, verdict) for every row of ``pages``.
 
-    Up to ``max_broadcast_rules`` rules (some 100 bytes each) the trie is
+    Up to ``max_broadcast_rules`` rules (about a kilobyte each in a worker) the trie is
     broadcast and no row is shuffled; beyond that the rules are joined as a
     table, see :func:`judge_urls_by_join`.
     """
