@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import checks, text
@@ -32,7 +34,12 @@ def tx1(spark, d):
     return domain(spark, d, "room_text").select("room_id", co.prompt_parts(F.col("name"), F.col("desc_text")).alias("p")).select("room_id", "p.*")
 
 
-@query("tx4_clean_names", "SELECT p_partkey AS room_id, CASE WHEN p_partkey % 6 = 5 THEN concat('대형 ', p_name) ELSE p_name END AS clean_name FROM part")
+_WITHOUT_DAY = """trim(CASE WHEN contains(name, '[평일]') OR contains(name, '(평일)') THEN regexp_replace(name, '\\[평일\\]|\\(평일\\)', '', 'g')
+  WHEN contains(name, '[주말]') OR contains(name, '(주말)') OR contains(name, '주말/공휴일') THEN regexp_replace(name, '\\[주말[^\\]]*\\]|\\(주말[^)]*\\)', '', 'g') ELSE name END)"""
+_CLEAN = reduce(lambda c, p: f"trim(regexp_replace({c}, '{p}', '', 'g'))", text.NAME_PARTS, _WITHOUT_DAY)
+
+
+@query("tx4_clean_names", f"{with_clause('room_text')} SELECT room_id, {_CLEAN} AS clean_name FROM room_text")
 def tx4(spark, d):
     return domain(spark, d, "room_text").select("room_id", text.clean_name(F.col("name")).alias("clean_name"))
 
@@ -63,11 +70,11 @@ def jn8(spark, d):
     return co.new_unresolved(domain(spark, d, "incoming_room"), exported, "2024-06-15").select("business_id", "biz_item_id", "failure_reason", "export_date")
 
 
-@query("src2_businesses", f"{with_clause('branch')} SELECT business_id, name, lat, lng FROM branch")
+@query("src2_businesses", f"{with_clause('branch')} SELECT business_id, name, lat, lng, concat('pl', business_id) AS place_id FROM branch")
 def src2(spark, d):
     """Branches read back from business payloads; one without coordinates has none there."""
     at = F.when(F.col("lat").isNotNull(), F.array("lng", "lat"))
-    b = F.struct(F.col("business_id").alias("businessId"), F.col("name").alias("businessDisplayName"), at.alias("coordinates"))
+    b = F.struct(F.col("business_id").alias("businessId"), F.col("name").alias("businessDisplayName"), at.alias("coordinates"), F.concat(F.lit("pl"), "business_id").alias("placeId"))
     return payloads.businesses(domain(spark, d, "branch").select(F.to_json(F.struct(F.struct(b.alias("business")).alias("data"))).alias("payload")))
 
 
@@ -118,31 +125,36 @@ def flt15(spark, d):
     return domain(spark, d, "room").filter(checks.suspicious(F.col("max_capacity"), F.col("price_per_hour"), large=15)).select("business_id", "biz_item_id")
 
 
-@query("flt16_needs_model", "SELECT p_partkey AS room_id, p_partkey % 7 NOT IN (0, 1) AS needs FROM part")
+@query("flt16_needs_model", f"{with_clause('room_text')} SELECT room_id, NOT regexp_matches(coalesce(desc_text, ''), '{text.CLEAR_CAPACITY}') AS needs FROM room_text")
 def flt16(spark, d):
     return domain(spark, d, "room_text").select("room_id", text.needs_model(F.col("desc_text")).alias("needs"))
 
 
-@query("flt17_device_errors", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'required' WHEN 1 THEN 'invalid format' END AS error FROM events")
+@query(
+    "flt17_device_errors",
+    f"""{with_clause('client')} SELECT event_id, CASE WHEN trim(coalesce(device, '')) = '' THEN 'required'
+    WHEN NOT regexp_matches(regexp_replace(regexp_replace(trim(device), '^(?i:urn:uuid:)', ''), '[{{}}-]', '', 'g'), '^[0-9a-fA-F]{{32}}$') THEN 'invalid format' END AS error FROM client""",
+)
 def flt17(spark, d):
-    number, kind = F.lpad(F.col("event_id").cast("string"), 12, "0"), F.col("event_id") % 4
-    whole = F.concat(F.lit("6f1c2e34-0000-4000-8000-"), number)
-    device = F.when(kind == 0, " ").when(kind == 1, F.substring(whole, 1, 30)).when(kind == 2, F.concat(F.lit("{"), whole, F.lit("}"))).otherwise(F.concat(F.lit("urn:uuid:"), whole))
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", checks.device_error(device).alias("error"))
+    return domain(spark, d, "client").select("event_id", checks.device_error(F.col("device")).alias("error"))
 
 
-@query("flt18_trace_ids", "SELECT event_id, event_id % 3 = 0 AS kept FROM events")
+@query(
+    "flt18_trace_ids",
+    f"""{with_clause('client')} SELECT event_id, CASE WHEN regexp_matches(lower(trace), '^[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}$') THEN trace END AS kept, 36 AS length FROM client""",
+)
 def flt18(spark, d):
-    whole = F.concat(F.lit("6F1c2e34-0000-4000-8000-"), F.lpad(F.col("event_id").cast("string"), 12, "0"))
-    given = F.when(F.col("event_id") % 3 == 0, whole).when(F.col("event_id") % 3 == 1, F.replace(whole, F.lit("-"), F.lit("")))
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.coalesce(checks.trace_id(given) == given, F.lit(False)).alias("kept"))
+    """Given ids that are kept; a new one takes the place of any other."""
+    found = checks.trace_id(F.col("trace"))
+    return domain(spark, d, "client").select("event_id", F.when(found == F.col("trace"), F.col("trace")).alias("kept"), F.length(found).alias("length"))
 
 
-@query("flt19_client_ips", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'c' WHEN 1 THEN 'f' WHEN 2 THEN 'r' WHEN 3 THEN 'h' ELSE 'unknown' END AS ip FROM events")
+@query(
+    "flt19_client_ips",
+    f"""{with_clause('client')} SELECT event_id, coalesce(nullif(trim(cloud), ''), nullif(trim(split_part(forwarded, ',', 1)), ''), nullif(trim(real_ip), ''), nullif(trim(host), ''), 'unknown') AS ip FROM client""",
+)
 def flt19(spark, d):
-    k = F.col("event_id") % 5
-    given = (F.when(k == 0, " c ").otherwise(""), F.when(k <= 1, " f, g"), F.when(k <= 2, "r").otherwise(" "), F.when(k <= 3, "h"))
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", checks.client_ip(*given).alias("ip"))
+    return domain(spark, d, "client").select("event_id", checks.client_ip(*map(F.col, ("cloud", "forwarded", "real_ip", "host"))).alias("ip"))
 
 
 @query(

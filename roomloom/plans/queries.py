@@ -285,11 +285,20 @@ def tx11(spark, d):
     return _parsed(spark, d).select("room_id", *(F.col(f"p.{c}").alias(c) for c in ("max_capacity", "recommend_capacity", "day_type", "base_capacity", "extra_charge", "requires_call")))
 
 
-@query("tx12_cascade", f"{_PARSED} SELECT room_id, cast(CASE WHEN contains(name, '대형') THEN 15 ELSE m END AS int) AS max_capacity FROM parsed")
+@query(
+    "tx12_cascade",
+    f"""{_PARSED} SELECT room_id, cast(CASE WHEN contains(name, '대형') THEN 15 WHEN coalesce(m, 0) <> 0 THEN m WHEN said_max BETWEEN 1 AND 50 THEN said_max ELSE m END AS int) AS max_capacity,
+    coalesce(NOT contains(name, '대형') AND coalesce(m, 0) = 0 AND said_max BETWEEN 1 AND 50, false) AS by_model FROM parsed""",
+)
 def tx12(spark, d):
-    none = F.lit(None).cast("struct<clean_name:string,day_type:string,max_capacity:int,recommend_capacity:int,base_capacity:int,extra_charge:int,requires_call:boolean>")
-    p = domain(spark, d, "room_text")
-    return p.select("room_id", text.cascade(F.col("name"), F.col("desc_text"), none)["max_capacity"].alias("max_capacity"))
+    """Three quarters of the rooms have a model's answer, some out of bounds."""
+    nothing = lambda kind: F.lit(None).cast(kind)
+    said = F.struct(
+        F.lit("model").alias("clean_name"), nothing("string").alias("day_type"), F.col("said_max").alias("max_capacity"), nothing("int").alias("recommend_capacity"),
+        nothing("int").alias("base_capacity"), nothing("int").alias("extra_charge"), F.lit(False).alias("requires_call"),
+    )
+    found = text.cascade(F.col("name"), F.col("desc_text"), F.when(F.col("said_max").isNotNull(), said))
+    return domain(spark, d, "room_text").select("room_id", found.alias("r")).select("room_id", "r.max_capacity", (F.col("r.clean_name") == "model").alias("by_model"))
 
 
 @query("flt14_unresolved", f"{_PARSED} SELECT room_id, 'no_capacity_info' AS reason FROM parsed WHERE m IS NULL")

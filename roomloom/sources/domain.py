@@ -59,8 +59,13 @@ TABLES: dict[str, tuple[str, str]] = {
              when 1 then concat(cast(p_size as varchar(50)), '~', cast(p_size + 2 as varchar(50)), '인 권장, 최대 ', cast(p_size + 4 as varchar(50)), '인')
              when 2 then '기본 4인, 1인 추가시 3,000원' when 3 then '당일 예약은 전화 문의 바랍니다' when 4 then null
              when 5 then concat(cast(p_size as varchar(50)), '인이 합주 가능') else concat('권장 인원 ', cast(p_size as varchar(50)), '명 ', cast(p_size + 3 as varchar(50)), '명') end as desc_text,
-        cast(case when p_partkey % 9 = 0 then null else floor(p_retailprice) end as int) as min_price, cast(case when p_partkey % 11 = 0 then null else p_partkey % 4 end as int) as image_count
-        from part"""),
+        cast(case when p_partkey % 9 = 0 then null else floor(p_retailprice) end as int) as min_price, cast(case when p_partkey % 11 = 0 then null else p_partkey % 4 end as int) as image_count,
+        cast(case when p_partkey % 4 = 0 then null else p_partkey % 70 end as int) as said_max from part"""),
+    "client": ("events", """select event_id, case event_id % 5 when 0 then ' ' when 1 then concat('6f1c2e34-0000-4000-8000-', cast(event_id % 1000 as varchar(50)))
+             when 2 then concat('{6F1c2e34-0000-4000-8000-', lpad(cast(event_id as varchar(50)), 12, '0'), '}') when 3 then concat('urn:uuid:6f1c2e34-0000-4000-8000-', lpad(cast(event_id as varchar(50)), 12, '0')) end as device,
+        case event_id % 3 when 0 then concat('6F1c2e34-0000-4000-8000-', lpad(cast(event_id as varchar(50)), 12, '0')) when 1 then concat('6f1c2e340000', cast(event_id as varchar(50))) end as trace,
+        case when event_id % 5 = 0 then concat(' c', cast(user_id as varchar(50)), ' ') else '' end as cloud, case when event_id % 2 = 0 then concat(' f', cast(user_id as varchar(50)), ', g') end as forwarded,
+        case when event_id % 3 = 0 then 'r' else ' ' end as real_ip, case when event_id % 7 <> 0 then concat('h', cast(user_id as varchar(50))) end as host from events"""),
     "room_image": ("lineitem", f"""select {_LINE} as business_id, {_ITEM} as biz_item_id, l_orderkey * 10 + l_linenumber as image_id,
         cast(l_linenumber % 3 as int) as sort_order, concat(cast(l_orderkey as varchar(50)), '.jpg') as image_url from lineitem"""),
     "favorite_change": ("events", """select cast(user_id as varchar(50)) as device_id, concat('b', cast(event_id % 7 as varchar(50))) as business_id,

@@ -30,7 +30,7 @@ def businesses(df: DataFrame, payload: str = "payload") -> DataFrame:
     at = F.col("b.coordinates")
     return df.withColumn("b", b).filter("b is not null").select(
         F.col("b.businessId").alias("business_id"), F.col("b.businessDisplayName").alias("name"),
-        F.when(F.size(at) >= 2, F.get(at, 1)).alias("lat"), F.when(F.size(at) >= 2, F.get(at, 0)).alias("lng"),
+        F.when(F.size(at) >= 2, F.get(at, 1)).alias("lat"), F.when(F.size(at) >= 2, F.get(at, 0)).alias("lng"), F.col("b.placeId").alias("place_id"),
     )
 
 
