@@ -21,7 +21,12 @@ def _batched(spark, d):
     return co.batched(domain(spark, d, "room_text"), "business_id", "room_id")
 
 
-@query("tx14_batch_prompts", f"{with_clause('room_text')}, {_WN4} SELECT business_id, batch, string_agg(concat('ID: ', room_id, chr(10), 'Name: ', name, chr(10), 'Desc: ', coalesce(desc_text, ''), chr(10), '---'), chr(10) ORDER BY room_id) AS rooms_text FROM b GROUP BY 1, 2")
+@query(
+    "tx14_batch_prompts",
+    f"""{with_clause('room_text')}, {_WN4}
+    SELECT business_id, batch, string_agg(concat('ID: ', room_id, chr(10), 'Name: ', name, chr(10), 'Desc: ', coalesce(desc_text, ''), chr(10), '---'), chr(10) ORDER BY room_id) AS rooms_text
+    FROM b GROUP BY 1, 2""",
+)
 def tx14(spark, d):
     return co.batch_prompts(_batched(spark, d), "business_id", "room_id")
 
@@ -44,7 +49,12 @@ def tx4(spark, d):
     return domain(spark, d, "room_text").select("room_id", text.clean_name(F.col("name")).alias("clean_name"))
 
 
-@query("tx13_batch_answers", f"{_PARSED} SELECT room_id, cast(CASE WHEN cast(business_id AS int) % 10 <> 0 AND room_id % 3 <> 0 AND room_id % 60 < 50 THEN 1 + room_id % 60 ELSE m END AS int) AS max_capacity FROM parsed")
+@query(
+    "tx13_batch_answers",
+    f"""{_PARSED}
+    SELECT room_id, cast(CASE WHEN cast(business_id AS int) % 10 <> 0 AND room_id % 3 <> 0 AND room_id % 60 < 50 THEN 1 + room_id % 60 ELSE m END AS int) AS max_capacity
+    FROM parsed""",
+)
 def tx13(spark, d):
     """Answers of a third of the rooms are missing, some out of range, some batches no JSON."""
     items = _batched(spark, d)
@@ -64,7 +74,12 @@ def st2(spark, d):
     return co.platform_results(domain(spark, d, "slot"), extractors).select("pos", "status", "error_code")
 
 
-@query("jn8_new_unresolved", f"{with_clause('room', 'incoming_room')} SELECT business_id, biz_item_id, 'no_capacity_info' AS failure_reason, '20240615' AS export_date FROM incoming_room WHERE max_capacity IS NULL AND biz_item_id NOT IN (SELECT biz_item_id FROM room WHERE max_capacity > 10)")
+@query(
+    "jn8_new_unresolved",
+    f"""{with_clause('room', 'incoming_room')}
+    SELECT business_id, biz_item_id, 'no_capacity_info' AS failure_reason, '20240615' AS export_date FROM incoming_room
+    WHERE max_capacity IS NULL AND biz_item_id NOT IN (SELECT biz_item_id FROM room WHERE max_capacity > 10)""",
+)
 def jn8(spark, d):
     exported = domain(spark, d, "room").filter("max_capacity > 10")
     return co.new_unresolved(domain(spark, d, "incoming_room"), exported, "2024-06-15").select("business_id", "biz_item_id", "failure_reason", "export_date")
@@ -78,7 +93,12 @@ def src2(spark, d):
     return payloads.businesses(domain(spark, d, "branch").select(F.to_json(F.struct(F.struct(b.alias("business")).alias("data"))).alias("payload")))
 
 
-@query("src3_rooms", f"{with_clause('room')} SELECT business_id, biz_item_id, CASE WHEN max_capacity > 3 THEN price_per_hour END AS price_per_hour, CASE WHEN max_capacity > 3 THEN 1 ELSE 0 END AS images FROM room")
+@query(
+    "src3_rooms",
+    f"""{with_clause('room')}
+    SELECT business_id, biz_item_id, CASE WHEN max_capacity > 3 THEN price_per_hour END AS price_per_hour, CASE WHEN max_capacity > 3 THEN 1 ELSE 0 END AS images
+    FROM room""",
+)
 def src3(spark, d):
     """Rooms read back from one payload a business; some have neither price nor images."""
     some = lambda c: F.when(F.col("max_capacity") > 3, c)
@@ -105,27 +125,47 @@ def html2(spark, d):
     return asked.select("l_orderkey", "l_partkey", "hour", payloads.cell_free(F.col("html"), F.col("l_partkey").cast("string"), F.col("hour")).alias("is_free"))
 
 
-@query("flt8_hour_errors", f"{with_clause('raw_request')} SELECT request_id, CASE WHEN length(start_hour) < 5 THEN 'Hour-001' WHEN date = '1998-06-15' AND start_hour <= '14:00' THEN 'Hour-002' END AS error FROM raw_request")
+@query(
+    "flt8_hour_errors",
+    f"""{with_clause('raw_request')}
+    SELECT request_id, CASE WHEN length(start_hour) < 5 THEN 'Hour-001' WHEN date = '1998-06-15' AND start_hour <= '14:00' THEN 'Hour-002' END AS error
+    FROM raw_request""",
+)
 def flt8(spark, d):
     return domain(spark, d, "raw_request").select("request_id", checks.hour_error(F.col("start_hour"), F.col("date"), "1998-06-15 14:00").alias("error"))
 
 
-@query("flt9_room_errors", f"{with_clause('room_text')} SELECT room_id, CASE WHEN coalesce(desc_text, '') = '' OR coalesce(name, '') = '' THEN 'Room-001' END AS error FROM room_text")
+@query(
+    "flt9_room_errors",
+    f"""{with_clause('room_text')}
+    SELECT room_id, CASE WHEN coalesce(desc_text, '') = '' OR coalesce(name, '') = '' THEN 'Room-001' END AS error FROM room_text""",
+)
 def flt9(spark, d):
     return domain(spark, d, "room_text").select("room_id", checks.room_error(F.col("name"), F.col("desc_text"), F.col("business_id")).alias("error"))
 
 
-@query("flt12_valid_results", f"{_PARSED} SELECT room_id, coalesce(m BETWEEN 1 AND 50, true) AND coalesce(r BETWEEN 1 AND 50, true) AS valid FROM parsed")
+@query(
+    "flt12_valid_results",
+    f"""{_PARSED} SELECT room_id, coalesce(m BETWEEN 1 AND 50, true) AND coalesce(r BETWEEN 1 AND 50, true) AS valid FROM parsed""",
+)
 def flt12(spark, d):
     return _parsed(spark, d).select("room_id", text.valid_result(F.col("p")).alias("valid"))
 
 
-@query("flt15_suspicious", f"{with_clause('room')} SELECT business_id, biz_item_id FROM room WHERE (max_capacity = 1 AND price_per_hour > 15000) OR (max_capacity >= 15 AND price_per_hour < 10000)")
+@query(
+    "flt15_suspicious",
+    f"""{with_clause('room')} SELECT business_id, biz_item_id FROM room
+    WHERE (max_capacity = 1 AND price_per_hour > 15000) OR (max_capacity >= 15 AND price_per_hour < 10000)""",
+)
 def flt15(spark, d):
     return domain(spark, d, "room").filter(checks.suspicious(F.col("max_capacity"), F.col("price_per_hour"), large=15)).select("business_id", "biz_item_id")
 
 
-@query("flt16_needs_model", f"{with_clause('room_text')} SELECT room_id, NOT regexp_matches(coalesce(desc_text, ''), '{text.CLEAR_CAPACITY}') AS needs FROM room_text")
+@query(
+    "flt16_needs_model",
+    f"""{with_clause('room_text')} SELECT room_id, NOT regexp_matches(coalesce(desc_text, ''), '{text.CLEAR_CAPACITY}') AS needs
+    FROM room_text""",
+)
 def flt16(spark, d):
     return domain(spark, d, "room_text").select("room_id", text.needs_model(F.col("desc_text")).alias("needs"))
 
@@ -169,7 +209,11 @@ def snk5(spark, d):
     return co.log_lines(log.withColumn("body", F.concat(F.lit("user "), "ip", F.lit(" token=t"), "ip")).withColumn("extras", extras), "body", "extras")
 
 
-@query("flt20_log_search", f"{with_clause('request_log')} SELECT pos FROM request_log WHERE coalesce(path, '') <> '/ping' AND trace_id = 't7' UNION ALL SELECT -pos FROM request_log WHERE coalesce(path, '') <> '/ping' AND level = 'error'")
+@query(
+    "flt20_log_search",
+    f"""{with_clause('request_log')} SELECT pos FROM request_log WHERE coalesce(path, '') <> '/ping' AND trace_id = 't7' UNION ALL
+    SELECT -pos FROM request_log WHERE coalesce(path, '') <> '/ping' AND level = 'error'""",
+)
 def flt20(spark, d):
     log = domain(spark, d, "request_log")
     return co.log_search(log, trace_id="t7").select("pos").unionByName(co.log_search(log, level="error").select((-F.col("pos")).alias("pos")))
@@ -178,7 +222,11 @@ def flt20(spark, d):
 _REGIONS = ", ".join(f"({i}, '{name} {SOUGHT}')" for i, name in enumerate((*DISTRICTS, *CITIES)))
 
 
-@query("src8_search_queries", f"{with_clause('place')}, q(region_order, query) AS (VALUES {_REGIONS}) SELECT q.region_order, q.query, count(p.pos) AS places FROM q LEFT JOIN place p USING (region_order) GROUP BY 1, 2")
+@query(
+    "src8_search_queries",
+    f"""{with_clause('place')}, q(region_order, query) AS (VALUES {_REGIONS}) SELECT q.region_order, q.query, count(p.pos) AS places FROM q
+    LEFT JOIN place p USING (region_order) GROUP BY 1, 2""",
+)
 def src8(spark, d):
     """The places that each of the searches found."""
     found = domain(spark, d, "place").groupBy("region_order").agg(F.count("*").alias("places"))
@@ -191,7 +239,11 @@ def so2(spark, d):
     return domain(spark, d, "place").join(F.broadcast(search_queries(spark, 5, 12)), "region_order").select("pos", "region_order")
 
 
-@query("dt4_day_bounds", """SELECT strftime(ts, '%Y-%m-%dT00:00:00') AS start, strftime(ts, '%Y-%m-%dT23:59:59') AS "end", count(*) AS n FROM events GROUP BY 1, 2""")
+@query(
+    "dt4_day_bounds",
+    """SELECT strftime(ts, '%Y-%m-%dT00:00:00') AS start, strftime(ts, '%Y-%m-%dT23:59:59') AS "end", count(*) AS n FROM events
+    GROUP BY 1, 2""",
+)
 def dt4(spark, d):
     """The records between the bounds of their day."""
     log = domain(spark, d, "request_log").withColumn("b", checks.day_bounds(F.col("ts")))
@@ -209,7 +261,11 @@ def mp1(spark, d):
     return av.slot_maps(domain(spark, d, "slot")).select("business_id", "biz_item_id", "day", look("10:00").alias("at_ten"), look("20:00").alias("at_twenty"))
 
 
-@query("st1_union_pages", f"{with_clause('place')} SELECT business_id, region_order, pos FROM (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY region_order, pos) AS k FROM place) WHERE k = 1")
+@query(
+    "st1_union_pages",
+    f"""{with_clause('place')} SELECT business_id, region_order, pos
+    FROM (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY region_order, pos) AS k FROM place) WHERE k = 1""",
+)
 def st1(spark, d):
     """The pages of all searches together, each business where it was first seen."""
     p = domain(spark, d, "place").select("business_id", "region_order", "pos")
@@ -223,14 +279,24 @@ def ag3(spark, d):
     return av.slot_maps(domain(spark, d, "slot")).select("biz_item_id", "day", F.to_json("slots").alias("slots"))
 
 
-@query("ag6_collection_report", f"{with_clause('branch', 'place')}, p AS (SELECT DISTINCT query, business_id FROM place) SELECT query, count(b.business_id) AS success, count(*) - count(b.business_id) AS failed FROM p LEFT JOIN branch b USING (business_id) GROUP BY 1")
+@query(
+    "ag6_collection_report",
+    f"""{with_clause('branch', 'place')}, p AS (SELECT DISTINCT query, business_id FROM place)
+    SELECT query, count(b.business_id) AS success, count(*) - count(b.business_id) AS failed FROM p LEFT
+    JOIN branch b USING (business_id) GROUP BY 1""",
+)
 def ag6(spark, d):
     tried = domain(spark, d, "place").select("query", "business_id").distinct()
     seen = tried.join(domain(spark, d, "branch").select("business_id", F.lit(1).alias("found")), "business_id", "left")
     return seen.groupBy("query").agg(F.count("found").alias("success"), F.count_if(F.col("found").isNull()).alias("failed"))
 
 
-@query("ag10_field_ranges", f"{with_clause('room')} SELECT min(max_capacity) AS least, max(max_capacity) AS most, min(price_per_hour) AS cheapest, max(price_per_hour) AS dearest, count(*) FILTER (WHERE max_capacity NOT BETWEEN 2 AND 15) AS outside FROM room")
+@query(
+    "ag10_field_ranges",
+    f"""{with_clause('room')}
+    SELECT min(max_capacity) AS least, max(max_capacity) AS most, min(price_per_hour) AS cheapest, max(price_per_hour) AS dearest, count(*) FILTER (WHERE max_capacity NOT BETWEEN 2 AND 15) AS outside
+    FROM room""",
+)
 def ag10(spark, d):
     most, price = F.col("max_capacity"), F.col("price_per_hour")
     return domain(spark, d, "room").agg(F.min(most).alias("least"), F.max(most).alias("most"), F.min(price).alias("cheapest"), F.max(price).alias("dearest"), F.count_if(~most.between(2, 15)).alias("outside"))
@@ -239,7 +305,11 @@ def ag10(spark, d):
 _FAVORITES = "f AS (SELECT device_id, business_id, biz_item_id FROM favorite_change GROUP BY 1, 2, 3 HAVING arg_max(op, seq) = 'add')"
 
 
-@query("ag13_favorite_exists", f"{with_clause('favorite_change')}, {_FAVORITES} SELECT c.seq, f.device_id IS NOT NULL AS found FROM favorite_change c LEFT JOIN f USING (device_id, business_id, biz_item_id)")
+@query(
+    "ag13_favorite_exists",
+    f"""{with_clause('favorite_change')}, {_FAVORITES} SELECT c.seq, f.device_id IS NOT NULL AS found FROM favorite_change c LEFT
+    JOIN f USING (device_id, business_id, biz_item_id)""",
+)
 def ag13(spark, d):
     keys = ["device_id", "business_id", "biz_item_id"]
     probes = domain(spark, d, "favorite_change").select("seq", *keys)
@@ -257,18 +327,29 @@ def jn10(spark, d):
     return favorites.join(rooms, ["business_id", "biz_item_id"]).select("device_id", "biz_item_id", "price_per_hour", "branch")
 
 
-@query("jn12_cascade_delete", f"{with_clause('branch', 'room')} SELECT business_id, biz_item_id FROM room WHERE business_id NOT IN (SELECT business_id FROM branch WHERE lat IS NULL)")
+@query(
+    "jn12_cascade_delete",
+    f"""{with_clause('branch', 'room')} SELECT business_id, biz_item_id FROM room WHERE business_id NOT IN (SELECT business_id FROM branch
+    WHERE lat IS NULL)""",
+)
 def jn12(spark, d):
     return co.without_deleted(domain(spark, d, "room"), domain(spark, d, "branch").filter("lat is null"), ["business_id"]).select("business_id", "biz_item_id")
 
 
-@query("st3_split", f"{with_clause('place')} SELECT query, count(*) AS n FROM place WHERE y IS NULL OR try_cast(y AS double) IS NULL GROUP BY 1")
+@query(
+    "st3_split",
+    f"""{with_clause('place')} SELECT query, count(*) AS n FROM place WHERE y IS NULL OR try_cast(y AS double) IS NULL GROUP BY 1""",
+)
 def st3(spark, d):
     p = domain(spark, d, "place").withColumn("reason", checks.coordinate_error(F.col("x"), F.col("y")))
     return p.filter("reason in ('missing', 'not_numeric')").groupBy("query").agg(F.count("*").alias("n"))
 
 
-@query("so3_first_pages", f"{with_clause('place')}, n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY pos) AS k FROM place) SELECT query, pos, cast(ceil(k / 70) AS BIGINT) AS page FROM n WHERE k <= 350")
+@query(
+    "so3_first_pages",
+    f"""{with_clause('place')}, n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY pos) AS k FROM place)
+    SELECT query, pos, cast(ceil(k / 70) AS BIGINT) AS page FROM n WHERE k <= 350""",
+)
 def so3(spark, d):
     """At most five pages of 70 hits a query."""
     pages = co.batched(domain(spark, d, "place"), "query", "pos", 70).withColumn("page", F.col("batch") + 1)

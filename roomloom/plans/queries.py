@@ -55,7 +55,10 @@ def _results(spark, d):
     return av.availability(_matches(spark, d), domain(spark, d, "slot"))
 
 
-@query("jn1_room_branch", f"{with_clause('branch', 'room')}, {_ROOMS} SELECT business_id, biz_item_id, branch, lat, lng, max_capacity FROM rooms")
+@query(
+    "jn1_room_branch",
+    f"""{with_clause('branch', 'room')}, {_ROOMS} SELECT business_id, biz_item_id, branch, lat, lng, max_capacity FROM rooms""",
+)
 def jn1(spark, d):
     return _rooms(spark, d).select("business_id", "biz_item_id", "branch", "lat", "lng", "max_capacity")
 
@@ -99,7 +102,12 @@ def ag5(spark, d):
     )
 
 
-@query("flt4_route", f"{with_clause('branch')} SELECT business_id, CASE business_id WHEN 'dream_sadang' THEN 'dream' WHEN 'sadang' THEN 'groove' WHEN 'hongdae_dream' THEN 'dream' ELSE 'naver' END AS platform FROM branch")
+@query(
+    "flt4_route",
+    f"""{with_clause('branch')}
+    SELECT business_id, CASE business_id WHEN 'dream_sadang' THEN 'dream' WHEN 'sadang' THEN 'groove' WHEN 'hongdae_dream' THEN 'dream' ELSE 'naver' END AS platform
+    FROM branch""",
+)
 def flt4(spark, d):
     return domain(spark, d, "branch").select("business_id", av.platform(F.col("business_id")).alias("platform"))
 
@@ -136,23 +144,40 @@ def flt10(spark, d):
     return r.join(rooms, "request_id", "left").select("request_id", error.alias("error"), F.size("slots").cast("long").alias("n_slots"))
 
 
-@query("wn1_first_seen", f"{with_clause('place')} SELECT business_id, name, query, pos FROM (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY query, pos) AS k FROM place) WHERE k = 1")
+@query(
+    "wn1_first_seen",
+    f"""{with_clause('place')} SELECT business_id, name, query, pos
+    FROM (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY query, pos) AS k FROM place) WHERE k = 1""",
+)
 def wn1(spark, d):
     return merge.first_wins(domain(spark, d, "place").select("business_id", "name", "query", "pos"), ["business_id"], ["query", "pos"])
 
 
-@query("wn2_last_wins", f"{with_clause('slot')} SELECT business_id, biz_item_id, day, hour, unit_stock, unit_booking_count FROM (SELECT *, row_number() OVER (PARTITION BY business_id, biz_item_id, day, hour ORDER BY pos DESC) AS k FROM slot) WHERE k = 1")
+@query(
+    "wn2_last_wins",
+    f"""{with_clause('slot')} SELECT business_id, biz_item_id, day, hour, unit_stock, unit_booking_count
+    FROM (SELECT *, row_number() OVER (PARTITION BY business_id, biz_item_id, day, hour ORDER BY pos DESC) AS k FROM slot) WHERE k = 1""",
+)
 def wn2(spark, d):
     return merge.last_wins(domain(spark, d, "slot"), ["business_id", "biz_item_id", "day", "hour"], ["pos"]).drop("pos")
 
 
-@query("wn4_batches", f"{with_clause('room_text')} SELECT room_id, business_id, cast(floor((row_number() OVER (PARTITION BY business_id ORDER BY room_id) - 1) / 5) AS BIGINT) AS batch FROM room_text")
+@query(
+    "wn4_batches",
+    f"""{with_clause('room_text')}
+    SELECT room_id, business_id, cast(floor((row_number() OVER (PARTITION BY business_id ORDER BY room_id) - 1) / 5) AS BIGINT) AS batch
+    FROM room_text""",
+)
 def wn4(spark, d):
     w = Window.partitionBy("business_id").orderBy("room_id")
     return domain(spark, d, "room_text").select("room_id", "business_id", F.floor((F.row_number().over(w) - 1) / 5).alias("batch"))
 
 
-@query("so1_first_n", f"{with_clause('place')} SELECT query, pos FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY pos) AS k FROM place) WHERE k <= 10")
+@query(
+    "so1_first_n",
+    f"""{with_clause('place')} SELECT query, pos FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY pos) AS k FROM place)
+    WHERE k <= 10""",
+)
 def so1(spark, d):
     w = Window.partitionBy("query").orderBy("pos")
     return domain(spark, d, "place").withColumn("k", F.row_number().over(w)).filter("k <= 10").select("query", "pos")
@@ -166,7 +191,12 @@ def flt11(spark, d):
     return domain(spark, d, "place").select("pos", checks.coordinate_error(F.col("x"), F.col("y")).alias("reason"))
 
 
-@query("ag7_sync_report", f"{with_clause('place')} SELECT query, count(*) FILTER (WHERE {_COORD} IS NULL) AS success, count(*) FILTER (WHERE {_COORD} IS NOT NULL) AS failure FROM place GROUP BY ROLLUP (query)")
+@query(
+    "ag7_sync_report",
+    f"""{with_clause('place')}
+    SELECT query, count(*) FILTER (WHERE {_COORD} IS NULL) AS success, count(*) FILTER (WHERE {_COORD} IS NOT NULL) AS failure
+    FROM place GROUP BY ROLLUP (query)""",
+)
 def ag7(spark, d):
     p = domain(spark, d, "place").withColumn("reason", checks.coordinate_error(F.col("x"), F.col("y")))
     return p.rollup("query").agg(F.count_if(F.col("reason").isNull()).alias("success"), F.count_if(F.col("reason").isNotNull()).alias("failure"))
@@ -196,12 +226,20 @@ def _merged(spark, d):
     return merge.merge_rooms(domain(spark, d, "room"), domain(spark, d, "incoming_room"))
 
 
-@query("mrg2_merge_rooms", f"{with_clause('room', 'incoming_room')}, {_MERGED} SELECT * REPLACE (array_to_string(image_urls, ',') AS image_urls) FROM merged")
+@query(
+    "mrg2_merge_rooms",
+    f"""{with_clause('room', 'incoming_room')}, {_MERGED} SELECT * REPLACE (array_to_string(image_urls, ',') AS image_urls) FROM merged""",
+)
 def mrg2(spark, d):
     return _merged(spark, d).withColumn("image_urls", F.array_join("image_urls", ","))
 
 
-@query("flt13_rule_report", f"{with_clause('room', 'incoming_room')}, {_MERGED} SELECT rule, count(*) AS n FROM (SELECT unnest([CASE WHEN price_per_hour < 0 THEN 'price' END, CASE WHEN max_capacity < 1 THEN 'max' END, CASE WHEN max_capacity < recommend_capacity THEN 'max_recommend' END]) AS rule FROM merged) WHERE rule IS NOT NULL GROUP BY rule")
+@query(
+    "flt13_rule_report",
+    f"""{with_clause('room', 'incoming_room')}, {_MERGED} SELECT rule, count(*) AS n
+    FROM (SELECT unnest([CASE WHEN price_per_hour < 0 THEN 'price' END, CASE WHEN max_capacity < 1 THEN 'max' END, CASE WHEN max_capacity < recommend_capacity THEN 'max_recommend' END]) AS rule
+    FROM merged) WHERE rule IS NOT NULL GROUP BY rule""",
+)
 def flt13(spark, d):
     rules = {"price": F.col("price_per_hour") < 0, "max": F.col("max_capacity") < 1, "max_recommend": F.col("max_capacity") < F.col("recommend_capacity")}
     broken = F.filter(F.array(*(F.when(c, name) for name, c in rules.items())), lambda x: x.isNotNull())
@@ -216,12 +254,21 @@ def mrg1(spark, d):
     return merge.upsert(b, news, ["business_id"])
 
 
-@query("mrg4_favorites", f"{with_clause('favorite_change')} SELECT device_id, business_id, biz_item_id FROM favorite_change GROUP BY 1, 2, 3 HAVING arg_max(op, seq) = 'add'")
+@query(
+    "mrg4_favorites",
+    f"""{with_clause('favorite_change')} SELECT device_id, business_id, biz_item_id FROM favorite_change GROUP BY 1, 2, 3
+    HAVING arg_max(op, seq) = 'add'""",
+)
 def mrg4(spark, d):
     return merge.current_favorites(domain(spark, d, "favorite_change"))
 
 
-@query("ag12_favorite_lists", f"{with_clause('favorite_change')}, f AS (SELECT device_id, business_id, biz_item_id FROM favorite_change GROUP BY 1, 2, 3 HAVING arg_max(op, seq) = 'add') SELECT device_id, array_to_string(list_sort(list(concat(business_id, '/', biz_item_id))), ',') AS ids FROM f GROUP BY 1")
+@query(
+    "ag12_favorite_lists",
+    f"""{with_clause('favorite_change')}, f AS (SELECT device_id, business_id, biz_item_id FROM favorite_change GROUP BY 1, 2, 3
+    HAVING arg_max(op, seq) = 'add')
+    SELECT device_id, array_to_string(list_sort(list(concat(business_id, '/', biz_item_id))), ',') AS ids FROM f GROUP BY 1""",
+)
 def ag12(spark, d):
     return mrg4(spark, d).groupBy("device_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("/", "business_id", "biz_item_id"))), ",").alias("ids"))
 
@@ -249,7 +296,11 @@ def ag11(spark, d):
     return collection.error_report(failed)
 
 
-@query("jn11_orphans", f"{with_clause('branch', 'room')} SELECT r.business_id, r.biz_item_id FROM room r WHERE NOT EXISTS (SELECT 1 FROM branch b WHERE b.business_id = r.business_id AND b.lat IS NOT NULL)")
+@query(
+    "jn11_orphans",
+    f"""{with_clause('branch', 'room')} SELECT r.business_id, r.biz_item_id FROM room r WHERE NOT EXISTS (SELECT 1 FROM branch b
+    WHERE b.business_id = r.business_id AND b.lat IS NOT NULL)""",
+)
 def jn11(spark, d):
     return domain(spark, d, "room").join(domain(spark, d, "branch").filter("lat is not null"), "business_id", "left_anti").select("business_id", "biz_item_id")
 
@@ -306,7 +357,12 @@ def flt14(spark, d):
     return _parsed(spark, d).select("room_id", merge.unresolved_reason(F.col("p.max_capacity")).alias("reason")).filter("reason is not null")
 
 
-@query("ag9_parse_rate", f"{_PARSED} SELECT business_id, count(*) AS rooms, count(m) AS parsed, round(100.0e0 * count(m) / count(*), 1) AS rate, min(m) AS least, max(m) AS most FROM parsed GROUP BY 1")
+@query(
+    "ag9_parse_rate",
+    f"""{_PARSED}
+    SELECT business_id, count(*) AS rooms, count(m) AS parsed, round(100.0e0 * count(m) / count(*), 1) AS rate, min(m) AS least, max(m) AS most
+    FROM parsed GROUP BY 1""",
+)
 def ag9(spark, d):
     most = F.col("p.max_capacity")
     return _parsed(spark, d).groupBy("business_id").agg(F.count("*").alias("rooms"), F.count(most).alias("parsed"), F.round(100 * F.count(most) / F.count("*"), 1).alias("rate"), F.min(most).alias("least"), F.max(most).alias("most"))
@@ -327,7 +383,10 @@ def ag8(spark, d):
     return collection.sample_profile(domain(spark, d, "room_text"))
 
 
-@query("flt23_profile_flags", f"{with_clause('room_text')}, {_FLAGS} SELECT room_id, has_desc, has_price, images AS image_count, name_has_tag FROM f")
+@query(
+    "flt23_profile_flags",
+    f"""{with_clause('room_text')}, {_FLAGS} SELECT room_id, has_desc, has_price, images AS image_count, name_has_tag FROM f""",
+)
 def flt23(spark, d):
     return collection.profile_flags(domain(spark, d, "room_text")).select("room_id", "has_desc", "has_price", "image_count", "name_has_tag")
 
@@ -344,7 +403,11 @@ def snk4(spark, d):
     return found.select("business_id", F.size("rooms").cast("long").alias("rooms"), F.array_join(F.transform("rooms", text_of), ",").alias("listed"))
 
 
-@query("wn5_image_order", f"{with_clause('room_image')} SELECT image_id, row_number() OVER (PARTITION BY business_id, biz_item_id ORDER BY sort_order, image_id) AS place FROM room_image")
+@query(
+    "wn5_image_order",
+    f"""{with_clause('room_image')}
+    SELECT image_id, row_number() OVER (PARTITION BY business_id, biz_item_id ORDER BY sort_order, image_id) AS place FROM room_image""",
+)
 def wn5(spark, d):
     return collection.image_order(domain(spark, d, "room_image")).select("image_id", "place")
 
@@ -363,7 +426,12 @@ def wn6(spark, d):
     return collection.capacity_from_price(rooms).select("room_id", "guess")
 
 
-@query("src4_schedule_hours", f"{with_clause('slot')} SELECT biz_item_id, concat(CASE WHEN hour < 10 THEN '0' ELSE '' END, cast(hour AS varchar), ':00') AS hour, unit_booking_count < unit_stock AS is_free FROM slot")
+@query(
+    "src4_schedule_hours",
+    f"""{with_clause('slot')}
+    SELECT biz_item_id, concat(CASE WHEN hour < 10 THEN '0' ELSE '' END, cast(hour AS varchar), ':00') AS hour, unit_booking_count < unit_stock AS is_free
+    FROM slot""",
+)
 def src4(spark, d):
     """Hours read back from schedule payloads, one payload a room and day."""
     entry = F.struct(F.format_string("2024-01-01 %02d:00:00", "hour").alias("unitStartTime"), F.col("unit_stock").alias("unitStock"), F.col("unit_booking_count").alias("unitBookingCount"))
@@ -438,7 +506,12 @@ def mk7(spark, d):
     return e.select("event_id", masking.mask_body(F.when(F.col("event_id") % 2 == 0, body).otherwise(line)).alias("body"))
 
 
-@query("wn3_hour_continuity", f"{with_clause('slot')}, g AS (SELECT biz_item_id, day, min(hour) AS a, max(hour) AS b, count(*) AS n, count(DISTINCT hour) AS k FROM slot GROUP BY 1, 2) SELECT biz_item_id, day, CASE WHEN n > 1 AND (n <> k OR b - a + 1 <> n) THEN 'Hour-003' END AS error FROM g")
+@query(
+    "wn3_hour_continuity",
+    f"""{with_clause('slot')}, g AS (SELECT biz_item_id, day, min(hour) AS a, max(hour) AS b, count(*) AS n, count(DISTINCT hour) AS k
+    FROM slot GROUP BY 1, 2) SELECT biz_item_id, day, CASE WHEN n > 1 AND (n <> k OR b - a + 1 <> n) THEN 'Hour-003' END AS error
+    FROM g""",
+)
 def wn3(spark, d):
     hours = domain(spark, d, "slot").groupBy("biz_item_id", "day").agg(F.collect_list(F.format_string("%02d:00", "hour")).alias("hours"))
     return hours.select("biz_item_id", "day", checks.continuity_error(F.col("hours")).alias("error"))
