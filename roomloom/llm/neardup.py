@@ -12,8 +12,8 @@ from those of 0.75; for sets of many thousands it fills up and drops nothing.
 Survivors are confirmed on their full sets.
 
 Equal sets are one node.  Every node first meets one other only: of the smallest
-nodes of its buckets (documents with an equal band) the one that most of them
-name.  Only buckets that still hold several components are then searched for links
+nodes by id of its buckets (documents with an equal band) the one that most of
+them name.  Only buckets that still hold several components are then searched for links
 between those: the members of each component but the bucket's largest one are dealt
 to all cells of the bucket, of about ``block`` nodes each, and meet there what
 belongs to other components.  So the largest component never meets itself, and no
@@ -225,15 +225,17 @@ def near_duplicates(
     witness = F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("w")
     grouped = prints.filter("n > 0").groupBy("digest").agg(witness, *(F.first(c).alias(c) for c in ("n", "bands", "sketch", "whole")))
     nodes = written(grouped.select(F.monotonically_increasing_id().alias("node"), "w.id", "w.h", "digest", "n", "bands", "sketch", "whole"))
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("members")).filter("members > 1")
-    members = written(banded.join(shared, "band"))
+    banded = nodes.select("node", "id", F.explode("bands").alias("band"))
+    # Of a bucket the node with the smallest id: copies are more like their original than like each other.
+    least = F.coalesce(F.min_by("node", "id"), F.min("node")).alias("least")
+    shared = banded.groupBy("band").agg(least, F.min("id").alias("least_id"), F.count("*").alias("members")).filter("members > 1")
+    members = written(banded.drop("id").join(shared, "band"))
 
     sketches = flat(nodes)
-    # One star a node: the least node that it meets in most buckets.
+    # One star a node: the least node that it meets in most buckets, of several the one with the smallest id.
     stars = (
-        members.filter("node <> least").groupBy(F.col("node").alias("a"), F.col("least").alias("b")).agg(F.count("*").alias("bands"))
-        .groupBy("a").agg(F.max_by("b", F.struct("bands", -F.col("b"))).alias("b"))
+        members.filter("node <> least").groupBy(F.col("node").alias("a"), F.col("least").alias("b")).agg(F.count("*").alias("bands"), F.first("least_id").alias("least_id"))
+        .groupBy("a").agg(F.max_by("b", F.struct("bands", F.col("least_id").isNotNull(), -F.col("least_id"))).alias("b"))
     )
     x, y = sketches.alias("x"), sketches.alias("y")
     first = written(
