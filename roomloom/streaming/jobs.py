@@ -6,6 +6,7 @@ our own choice.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,13 @@ def favorites_into(folder: str):
 
 
 def favorites_now(spark: SparkSession, folder: str) -> DataFrame:
-    """The set that all batches together leave, the later of a key's changes winning."""
-    kinds = ", ".join(f"{c} string" for c in FAVORITE)
-    return current_favorites(spark.read.schema(f"{kinds}, op string, seq long").parquet(f"{folder}/run=*/batch=*"))
+    """The set that all batches together leave, the later of a key's changes winning; before
+    the first batch it is empty."""
+    kinds = ", ".join(f"{c} string" for c in FAVORITE) + ", op string, seq long"
+    try:
+        changes = spark.read.schema(kinds).parquet(f"{folder}/run=*/batch=*")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        changes = spark.createDataFrame([], kinds)
+    return current_favorites(changes)

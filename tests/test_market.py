@@ -201,6 +201,7 @@ def test_favorites_stream(spark, tmp_path):
         stream.option("checkpointLocation", str(tmp_path / checkpoint)).trigger(availableNow=True).start().awaitTermination()
         return sorted(tuple(r) for r in jobs.favorites_now(spark, target).collect())
 
+    assert jobs.favorites_now(spark, target).count() == 0
     assert play([("d", "b", "i", "add", 1), ("d", "b", "i", "add", 2), ("d", "b", "j", "delete", 3)], "one") == [("d", "b", "i")]
     assert play([("d", "b", "i", "delete", 4), ("e", "b", "i", "add", 5)], "one") == [("e", "b", "i")]
     # A new checkpoint reads all changes again, and forgets nothing.
