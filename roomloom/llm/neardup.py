@@ -13,11 +13,12 @@ Survivors are confirmed on their full sets.
 
 Equal sets are one node.  Every node first meets one other only: of the smallest
 nodes by id of its buckets (documents with an equal band) the one that most of
-them name.  Only buckets that still hold several components are then searched for links
-between those: the members of each component but the bucket's largest one are dealt
-to all cells of the bucket, of about ``block`` nodes each, and meet there what
-belongs to other components.  So the largest component never meets itself, and no
-links are lost.
+them name.  Where much is left apart, more stars follow: who is not of a bucket's
+largest component meets one member of it.  Buckets that still hold several components
+are then searched for links between those: the members of each component but the
+bucket's largest one are dealt to all cells of the bucket, of about ``block`` nodes
+each, and meet there what belongs to other components.  So the largest component never
+meets itself, and no links are lost.
 
 Defined cases: a text without words has an empty set and is linked with nothing;
 rows that share an id are one document for links (what either links is linked), and
@@ -202,6 +203,16 @@ def same_documents(prints: DataFrame, nodes: DataFrame) -> DataFrame | None:
     return own.select(F.col("digest_node").alias("a"), F.col("least_node").alias("b")).distinct()
 
 
+def apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, members, node, label, travels) of the buckets that hold several components;
+    who is not of the largest one travels."""
+    known = labels.select("node", "label")
+    labelled = members.select("band", "members", "node").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    by_label = labelled.groupBy("band", "label").agg(F.count("*").alias("size"))
+    largest = by_label.groupBy("band").agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.count("*").alias("labels")).filter("labels > 1").select("band", "largest")
+    return written(labelled.join(largest, "band").select("band", "members", "node", "label", (F.col("label") != F.col("largest")).alias("travels")))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -210,6 +221,8 @@ def near_duplicates(
     threshold: int = 75,
     sketch_floor: float = 0.5,
     block: int = 1024,
+    more_stars: int = 4,
+    star_above: int = 32,
     max_broadcast_bytes: int = 64 << 20,
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row.
@@ -217,7 +230,9 @@ def near_duplicates(
     Two documents are linked when 100 * intersection >= ``threshold`` * union of
     their sets; ``component_id`` is the smallest id reachable.  ``sketch_floor``
     is the estimated similarity below which a candidate is not confirmed, some
-    six standard deviations under the default threshold.
+    six standard deviations under the default threshold.  Up to ``more_stars`` further
+    stars go before the search of whole buckets while that would meet more than
+    ``star_above`` pairs a node; they change its work and not its result.
     """
     limit = most_bits(sketch_floor)
     prints = written(fingerprints(docs, shingle, id_col, text_col))
@@ -248,11 +263,23 @@ def near_duplicates(
     labels = components(links)
 
     # What the stars left apart: buckets with several components.
-    known = labels.select("node", "label")
-    labelled = members.select("band", "members", "node").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    by_label = labelled.groupBy("band", "label").agg(F.count("*").alias("size"))
-    largest = by_label.groupBy("band").agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.count("*").alias("labels")).filter("labels > 1").select("band", "largest")
-    pending = written(labelled.join(largest, "band").select("band", "members", "node", "label", (F.col("label") != F.col("largest")).alias("travels")))
+    tested, before = first, None
+    pending = apart(members, labels)
+    for number in range(more_stars):
+        work = pending.groupBy("band").agg((F.count_if("travels") * F.first("members")).alias("pairs"), F.first("members").alias("members")).agg(F.sum("pairs"), F.sum("members")).first()
+        if (work[0] or 0) <= star_above * (work[1] or 0) or before and work[0] > before / 2:
+            break  # little is left, or the last star joined little
+        before = work[0]
+        # Another star: who is not of a bucket's largest component meets one member of it.
+        hubs = pending.filter("not travels").groupBy("band").agg(F.min_by("node", F.xxhash64("node", F.lit(number))).alias("hub"))
+        tries = pending.filter("travels").join(hubs, "band").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        x, y = sketches.alias("x"), sketches.alias("y")
+        met = tries.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & alike("x", "y", limit, threshold)).select("a", "b")
+        met = written(met)
+        tested = tested.unionByName(met)
+        links = written(links.unionByName(check(met)))
+        labels = components(links)
+        pending = apart(members, labels)
     cells = F.ceil(F.col("members") / block).cast("int")
     seen = pending.join(sketches, "node")
     y = seen.withColumn("cell", F.pmod(F.xxhash64("node"), cells).cast("int")).alias("y")
@@ -262,7 +289,7 @@ def near_duplicates(
         (F.col("x.band") == F.col("y.band")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.label") != F.col("y.label"))
         & (~F.col("y.travels") | (F.col("x.node") > F.col("y.node"))) & alike("x", "y", limit, threshold),
     ).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
-    rest = written(met.distinct().join(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    rest = written(met.distinct().join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if rest.limit(1).count():
         labels = components(links.unionByName(check(rest)))
 

@@ -55,7 +55,7 @@ def test_components_equal_brute_force(spark):
     texts += ["same copy of a longer text with more words"] * 20
     rng.shuffle(texts)
     assert run(spark, texts) == brute(texts)
-    assert run(spark, texts, block=4, max_broadcast_bytes=0) == brute(texts)
+    assert run(spark, texts, block=4, max_broadcast_bytes=0, star_above=0) == brute(texts)
 
 
 def test_rows_without_ids_and_repeated_ids(spark):
