@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leaks, neardup, packing, pii, quality, repeats, sharding, tokenfile, urlrules, warc
+from . import centroids, leaks, neardup, packing, pii, quality, repeats, sharding, tokenfile, toxicity, urlrules, warc, whitening
 from .common import shared_folder, small_arrow_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,26 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+    return white.select(
+        F.col("id").alias("vec_id"), "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error"
+    )
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(toxicity.fold_of("id") == 0, F.lit(False))
+    return scored.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", "predicted", "matches")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = centroids.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3)
+    digest = centroids.centroid_digest(F.col("centroid")).alias("centroid_sha256")
+    return placed.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", digest)
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_decontamination": op2_decontamination,
@@ -105,6 +125,9 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_url_filter": op9_url_filter,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_toxicity": op12_toxicity,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -188,3 +211,24 @@ m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
 FROM documents d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+
+def _centroid_sql(k: int = 8, rounds: int = 10) -> str:
+    """Every round as two tables: the nearest centroid of each vector, then the centroids' means."""
+    steps = [f"""x AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: cast(floor(1024 * cast(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256(concat('3:', vec_id)), x) - 1 AS j, x AS c FROM x
+  WHERE vec_id IS NOT NULL ORDER BY sha256(concat('3:', vec_id)), x LIMIT {k})"""]
+    for t in range(rounds + 1):
+        steps.append(f"""a{t} AS MATERIALIZED (SELECT vec_id, x, arg_min(j, (d, j)) AS j, min(d) AS d FROM (
+  SELECT vec_id, x, j, cast(list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM x, c{t}) GROUP BY vec_id, x)""")
+        steps.append(f"""m{t} AS MATERIALIZED (SELECT j, list(cast((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (
+  SELECT j, i, cast(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM a{t}, range(1, 65) r(i) GROUP BY j, i) GROUP BY j),
+c{t + 1} AS MATERIALIZED (SELECT j, coalesce(m{t}.c, c{t}.c) AS c FROM c{t} LEFT JOIN m{t} USING (j))""")
+    return f"""WITH {', '.join(steps[:-1])}
+SELECT vec_id, cast(j AS INT) AS cluster, d AS distance, cast(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia,
+       cast(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (j)"""
+
+
+ORACLE_SQL["op13_centroids"] = _centroid_sql()
