@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .text import BLANKS, S
+
 #: Keys whose values are secret.
 SECRET_KEYS = (
     "password", "passwd", "pwd", "pass", "secret", "secret_key", "client_secret",
@@ -28,6 +30,7 @@ SECRET_KEYS = (
 SECRET_HEADERS = ("authorization", "cookie", "x-auth-token", "set-cookie")
 #: What stays of a masked value, address or number.
 MASK, MASKED_EMAIL, MASKED_PHONE = "***", "***@***.***", "***-****-****"
+#: Patterns of addresses and numbers.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 PHONE = r"\b\d{2,3}-\d{3,4}-\d{4}\b"
 
@@ -37,9 +40,9 @@ HEADERS = "|".join(sorted(SECRET_HEADERS, key=lambda k: (-len(k), k)))
 
 #: (what a text must have for the rule, pattern, what takes its place), in order.
 RULES = (
-    (":", rf"(?i)({HEADERS})\s*:\s*[^;\n]+", f"$1: {MASK}"),
-    (r"[:=]\s*[\"']", rf"(?id)(([\"']?)({KEYS})\2\s*[:=]\s*)([\"'])(.*?)\4", f"$1$4{MASK}$4"),
-    (r"[A-Za-z][\"']?\s*[:=]", rf"(?i)(([\"']?)({KEYS})\2\s*[:=]\s*)([^\"',\s;&]+)", f"$1{MASK}"),
+    (":", rf"(?i)({HEADERS}){S}*:{S}*[^;\n]+", f"$1: {MASK}"),
+    (rf"[:=]{S}*[\"']", rf"(?id)(([\"']?)({KEYS})\2{S}*[:=]{S}*)([\"'])(.*?)\4", f"$1$4{MASK}$4"),
+    (rf"[A-Za-z][\"']?{S}*[:=]", rf"(?i)(([\"']?)({KEYS})\2{S}*[:=]{S}*)([^\"',{BLANKS};&]+)", f"$1{MASK}"),
     ("@", f"(?U){EMAIL}", MASKED_EMAIL),
     (r"\d-\d{3,4}-\d", f"(?U){PHONE}", MASKED_PHONE),
 )
@@ -73,7 +76,11 @@ def _mask(value, depth: int = 0):
 
 @F.pandas_udf(StringType())
 def mask_json(body: pd.Series) -> pd.Series:
-    """JSON objects with the values of secret keys replaced; other text is left alone."""
+    """JSON objects with the values of secret keys replaced; other text is left alone.
+
+    The object is read and written anew: numbers may be written otherwise, and of a
+    repeated key the last stays.
+    """
 
     def one(text):
         try:

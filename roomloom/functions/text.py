@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
@@ -10,44 +11,56 @@ from pyspark.sql import functions as F
 
 #: Words that name a room's size, in order of precedence.
 SIZE_WORDS = (("대형", 15), ("중형", 8), ("소형", 4), ("대합주실", 15), ("소합주실", 4))
+#: White space and digits as the patterns mean them, wherever a text comes from.
+BLANKS = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+S, D = f"[{BLANKS}]", "[0-9\uff10-\uff19]"
 #: Patterns of the capacity rules.
-BOTH = r"\(\s*정원\s*(\d+)\s*(?:인|명)\s*,\s*최대\s*(\d+)\s*(?:인|명)\s*\)"
-QUOTA = r"정원\s*(\d+)\s*(?:인|명)"
-MOST = r"(?i)(?:최대|max)\s*(\d+)"
-UP_TO = r"(\d+)\s*(?:인|명)\s*(?:까지|이하|수용)"
-POSSIBLE = r"(\d+)\s*(?:인|명)(?:이|이서)?\s*(?:합주|이용|수용)?\s*가능"
-MINUS = r"\(\s*-\s*(\d+)\s*(?:인|명)\s*\)"
-RANGE = r"(\d+)\s*[~\-]\s*(\d+)\s*(?:인|명)"
-ADVISED = r"권장\s*인원\s*(\d+)\s*(?:인|명)\s*(\d+)\s*(?:인|명)"
-BASE = r"기본\s*(\d+)"
-EXTRA = r"(?d)(?:1인|인당)\s*(?:추가)?.*?(\d+(?:,\d+)?)\s*원"
+BOTH = rf"\({S}*정원{S}*({D}+){S}*(?:인|명){S}*,{S}*최대{S}*({D}+){S}*(?:인|명){S}*\)"
+QUOTA = rf"정원{S}*({D}+){S}*(?:인|명)"
+MOST = rf"(?i)(?:최대|max){S}*({D}+)"
+UP_TO = rf"({D}+){S}*(?:인|명){S}*(?:까지|이하|수용)"
+POSSIBLE = rf"({D}+){S}*(?:인|명)(?:이|이서)?{S}*(?:합주|이용|수용)?{S}*가능"
+MINUS = rf"\({S}*-{S}*({D}+){S}*(?:인|명){S}*\)"
+RANGE = rf"({D}+){S}*[~\-]{S}*({D}+){S}*(?:인|명)"
+ADVISED = rf"권장{S}*인원{S}*({D}+){S}*(?:인|명){S}*({D}+){S}*(?:인|명)"
+BASE = rf"기본{S}*({D}+)"
+EXTRA = rf"(?d)(?:1인|인당){S}*(?:추가)?.*?({D}+(?:,{D}+)?){S}*원"
 NAME_PARTS = (
-    r"\s*\(?\s*정원\s*\d+\s*(?:인|명)\s*,?\s*(?:최대\s*\d+\s*(?:인|명))?\s*\)?",
-    r"\s*\(?\s*최대\s*\d+\s*(?:인|명)\s*\)?",
-    r"\s*\(\s*-\s*\d+\s*(?:인|명)\s*\)",
+    rf"{S}*\(?{S}*정원{S}*{D}+{S}*(?:인|명){S}*,?{S}*(?:최대{S}*{D}+{S}*(?:인|명))?{S}*\)?",
+    rf"{S}*\(?{S}*최대{S}*{D}+{S}*(?:인|명){S}*\)?",
+    rf"{S}*\({S}*-{S}*{D}+{S}*(?:인|명){S}*\)",
 )
-#: Full-width digits, marks of the kinds of days, and what asks for a call on the day itself.
+#: What a text must hold for a pattern to find anything in it: one of these strings.
+NEEDS = {
+    BOTH: ("정원",), QUOTA: ("정원",), MOST: ("최대", "max", "Max", "MAX"), UP_TO: ("까지", "이하", "수용"), POSSIBLE: ("가능",),
+    MINUS: ("-",), RANGE: ("~", "-"), ADVISED: ("권장",), BASE: ("기본",), EXTRA: ("원",),
+    NAME_PARTS[0]: ("정원",), NAME_PARTS[1]: ("최대",), NAME_PARTS[2]: ("-",),
+}
+#: Full-width digits in order, marks of the kinds of days, and what asks for a call on the day itself.
 _WIDE = "０１２３４５６７８９"
 WEEKDAY_MARKS = ("[평일]", "(평일)")
 WEEKEND_MARKS = ("[주말]", "(주말)", "주말/공휴일")
 WEEKEND_PARTS = r"\[주말[^\]]*\]|\(주말[^)]*\)|\[주말/공휴일\]"
 SAME_DAY, CALL_WORDS = "당일", ("전화", "문의")
 #: What shows that the patterns will find a capacity, and the bounds of a valid result.
-CLEAR_CAPACITY = r"최대\s*\d+|\d+[~\-]\d+인"
+CLEAR_CAPACITY = rf"최대{S}*{D}+|{D}+[~\-]{D}+인"
 CAPACITY_BOUNDS, CHARGE_BOUNDS = (1, 50), (0, 50000)
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^{S}+|{S}+$", "")
 
 
-def number(c: Column, pattern: str, group: int = 1) -> Column:
-    """The group as a whole number; null where nothing matches."""
-    return F.regexp_extract(c, pattern, group).try_cast("int")
+def may_match(c: Column, pattern: str) -> Column:
+    """Whether the text has what the pattern needs; "max" in mixed case is looked for as well."""
+    some = reduce(or_, map(c.contains, NEEDS[pattern]))
+    return some | c.rlike("(?i)max") if pattern == MOST else some
 
 
-def plain_digits(c: Column) -> Column:
-    return F.translate(F.coalesce(c, F.lit("")), _WIDE, "0123456789")
+def number(c: Column, pattern: str, group: int = 1) -> Column:
+    """The group as a whole number; null where nothing matches."""
+    found = F.translate(F.regexp_extract(c, pattern, group), _WIDE, "0123456789").try_cast("int")
+    return F.when(may_match(c, pattern), found)
 
 
 def clean_for_prompt(c: Column) -> Column:
@@ -71,14 +84,20 @@ def day_type(name: Column) -> Column:
 
 def clean_name(name: Column) -> Column:
     day = day_type(name)
+    weekday = "|".join(re.escape(m) for m in WEEKDAY_MARKS)
     out = (
-        F.when(day == "weekday", strip(F.regexp_replace(name, r"\[평일\]|\(평일\)", "")))
+        F.when(day == "weekday", strip(F.regexp_replace(name, weekday, "")))
         .when(day == "weekend", strip(F.regexp_replace(name, WEEKEND_PARTS, "")))
         .otherwise(name)
     )
-    for pattern in NAME_PARTS:
-        out = strip(F.regexp_replace(out, pattern, ""))
-    return out
+
+    def without(rest: tuple[str, ...]):
+        if not rest:
+            return lambda c: c
+        step = lambda c: strip(F.when(may_match(c, rest[0]), F.regexp_replace(c, rest[0], "")).otherwise(c))
+        return lambda c: _once(step(c), without(rest[1:]))
+
+    return _once(out, without(NAME_PARTS))
 
 
 def _once(value: Column, body) -> Column:
@@ -103,33 +122,34 @@ def capacity(text: Column) -> Column:
         both = n["both2"].isNotNull()
         return F.struct(F.when(both, n["both2"]).otherwise(most).alias("max"), F.when(both, n["both1"]).otherwise(rec).alias("rec"))
 
-    return _once(F.struct(*numbers), rules)
+    nothing = F.struct(F.lit(None).cast("int").alias("max"), F.lit(None).cast("int").alias("rec"))
+    return F.when(text.rlike(D), _once(F.struct(*numbers), rules)).otherwise(nothing)
 
 
 def parse_room(name: Column, desc: Column) -> Column:
     """Struct of clean_name, day_type, max_capacity, recommend_capacity, base_capacity,
     extra_charge and requires_call."""
-    name, desc = plain_digits(name), plain_digits(desc)
+    name, desc = F.coalesce(name, F.lit("")), F.coalesce(desc, F.lit(""))
     set_ = lambda c: F.coalesce(c, F.lit(0)) != 0
 
     def chosen(c: Column) -> Column:
         """The description's capacity, or the name's where that has neither number."""
-        return F.when(set_(c["desc"]["max"]) | set_(c["desc"]["rec"]), c["desc"]).otherwise(c["name"])
+        return F.when(set_(c["max"]) | set_(c["rec"]), c).otherwise(capacity(name))
 
     def whole(c: Column) -> Column:
         default = F.when(c["max"] > 4, F.floor(c["max"] / 2).cast("int")).otherwise(c["max"])
+        charge = F.translate(F.regexp_extract(desc, EXTRA, 1), _WIDE + ",", "0123456789").try_cast("int")
         return F.struct(
             clean_name(name).alias("clean_name"),
             day_type(name).alias("day_type"),
             c["max"].alias("max_capacity"),
             F.when(set_(c["max"]) & ~set_(c["rec"]), default).otherwise(c["rec"]).alias("recommend_capacity"),
             number(desc, BASE).alias("base_capacity"),
-            F.replace(F.regexp_extract(desc, EXTRA, 1), F.lit(","), F.lit("")).try_cast("int").alias("extra_charge"),
+            F.when(may_match(desc, EXTRA), charge).alias("extra_charge"),
             (desc.contains(SAME_DAY) & reduce(or_, map(desc.contains, CALL_WORDS))).alias("requires_call"),
         )
 
-    both = F.struct(capacity(desc).alias("desc"), capacity(name).alias("name"))
-    return _once(_once(both, chosen), whole)
+    return _once(_once(capacity(desc), chosen), whole)
 
 
 def valid_result(r: Column) -> Column:

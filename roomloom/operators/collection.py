@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import masking, text
 from .availability import PLATFORMS, platform
 from .merge import unresolved_reason
+from .ranking import first_rows, numbered
 
 #: Fixed value: what a prompt says of a room without a description.
 NO_CONTENT = "내용 없음"
@@ -28,8 +29,13 @@ def union_pages(pages: list[DataFrame]) -> DataFrame:
 
 def batched(items: DataFrame, key: str, order: str, size: int = 5) -> DataFrame:
     """``items`` with ``batch``, counted from 0 within a key."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
-    return items.withColumn("batch", F.floor(place / size))
+    placed = numbered(items, [key], [order], "_place")
+    return placed.withColumn("batch", F.floor((F.col("_place") - 1) / size)).drop("_place")
+
+
+def first_pages(items: DataFrame, key: str, order: str, pages: int = 5, size: int = 70) -> DataFrame:
+    """The rows of a key's first pages, with ``page`` from 1; no task keeps more than these of a key."""
+    return first_rows(items, [key], [order], "_place", pages * size).withColumn("page", F.ceil(F.col("_place") / size)).drop("_place")
 
 
 def prompt_parts(name: Column, desc: Column) -> Column:
@@ -99,6 +105,41 @@ def platform_results(rooms: DataFrame, extractors: dict[str, Extractor]) -> Data
     return reduce(DataFrame.unionByName, map(own, sorted({*PLATFORMS.values(), "naver"})))
 
 
+class ExtractionError(Exception):
+    """A failure of one room that an extractor knows, with its code."""
+
+    def __init__(self, code: str, message: str = ""):
+        super().__init__(message or code)
+        self.code = code
+
+
+def isolated(read: Callable[[str | None], Iterable[tuple[str, bool]]], payload: str = "payload") -> Extractor:
+    """An extractor from a function that reads one payload into (hour, whether it is free).
+
+    The rooms' rows are joined laterally with a table function.  Whatever ``read`` raises
+    becomes one row of that room, with the error's code (or ``UNCODED``) and its message, and no
+    status; the hours it gave before are dropped, so that a room has hours or an error.  A payload
+    without hours keeps its room's row, with neither.  Other rooms never notice.
+    """
+
+    class Hours:
+        def eval(self, text: str | None):
+            try:
+                found = [(str(hour), "free" if free else "taken", None, None) for hour, free in read(text)]
+            except ExtractionError as e:
+                found = [(None, None, e.code, str(e))]
+            except Exception as e:  # one room's failure, whatever it is, is its row
+                found = [(None, None, UNCODED, f"{type(e).__name__}: {e}")]
+            yield from found or [(None, None, None, None)]
+
+    hours = F.udtf(Hours, returnType="hour string, status string, error_code string, message string")
+
+    def extract(rooms: DataFrame) -> DataFrame:
+        return rooms.lateralJoin(hours(F.col(payload).outer()))
+
+    return extract
+
+
 def error_report(results: DataFrame) -> DataFrame:
     """(level, status, error_code, n) of the failed rows: coded errors with their own
     status are warnings, all others errors of status 500."""
@@ -127,8 +168,8 @@ def export_unresolved(rooms: DataFrame, folder: str, as_of: str) -> None:
     new_unresolved(rooms, exported, as_of).write.mode("append").partitionBy("export_date").json(folder)
 
 
-def log_lines(log: DataFrame, body: str, extras: str | None = None) -> DataFrame:
-    """One JSON text a row, nulls kept and secrets masked: (pos, line).
+def log_lines(log: DataFrame, body: str, extras: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One JSON text a row, nulls kept and secrets masked: (pos, line), and the columns ``keep``.
 
     ``extras`` is a column with a JSON object: its fields follow the others, the values of
     secret keys masked.
@@ -138,7 +179,7 @@ def log_lines(log: DataFrame, body: str, extras: str | None = None) -> DataFrame
     if extras:
         more = F.regexp_extract(masking.mask_json(F.col(extras)), r"(?s)^\s*\{(.*\S.*)\}\s*$", 1)
         line = F.when(F.coalesce(more, F.lit("")) == "", line).otherwise(F.concat(F.rtrim(line, F.lit("}")), F.lit(","), more, F.lit("}")))
-    return log.select("pos", line.alias("line"))
+    return log.select("pos", line.alias("line"), *keep)
 
 
 def log_search(log: DataFrame, trace_id: str | None = None, level: str | None = None, skip_paths: tuple[str, ...] = ("/ping",)) -> DataFrame:
@@ -189,16 +230,12 @@ def capacity_from_price(rooms: DataFrame) -> DataFrame:
     """``rooms`` (business_id, room_id, price, max_capacity) with ``guess``: between the next
     cheaper and the next dearer room of known capacity in the business, in proportion to
     the price; known capacities stay, and rooms without both neighbours get none."""
-    order = Window.partitionBy("business_id").orderBy("price", "room_id")
     known = F.when(F.col("max_capacity").isNotNull() & F.col("price").isNotNull(), F.struct("price", "max_capacity"))
-    below = F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    above = F.first(known, ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    business = Window.partitionBy("business_id")
+    so_far = lambda *order: F.last(known, ignorenulls=True).over(business.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # Both frames grow from their start, so that a business is read once in each direction.
+    below, above = so_far("price", "room_id"), so_far(F.desc("price"), F.desc("room_id"))
     part = (F.col("price") - F.col("lo.price")) / F.nullif(F.col("hi.price") - F.col("lo.price"), F.lit(0))
     between = F.col("lo.max_capacity") + part * (F.col("hi.max_capacity") - F.col("lo.max_capacity"))
     guess = F.coalesce(F.col("max_capacity"), F.floor(F.coalesce(between, F.col("lo.max_capacity") + 0 * F.col("hi.price"))).cast("int"))
     return rooms.withColumn("lo", below).withColumn("hi", above).withColumn("guess", guess).drop("lo", "hi")
-
-
-def without_deleted(children: DataFrame, deleted: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows that a cascading delete of their parents leaves."""
-    return children.join(deleted.select(*keys), keys, "left_anti")

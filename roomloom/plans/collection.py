@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import checks, text
 from ..operators import availability as av
 from ..operators import collection as co
-from ..operators import merge
+from ..operators import merge, references
 from ..sources import payloads
 from ..sources.domain import CITIES, DISTRICTS, SOUGHT, domain, search_queries, with_clause
 from .queries import _PARSED, _parsed, mrg4, query
@@ -31,7 +31,7 @@ def tx14(spark, d):
     return co.batch_prompts(_batched(spark, d), "business_id", "room_id")
 
 
-_SQUEEZED = lambda c: f"trim(regexp_replace(regexp_replace(regexp_replace({c}, '<[^>]+>', '', 'g'), '[^\\w\\s가-힣~\\-,]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_SQUEEZED = lambda c: f"trim(regexp_replace(regexp_replace(regexp_replace({c}, '<[^>]+>', '', 'g'), '[^\\p{{L}}\\p{{N}}_{text.BLANKS}가-힣~\\-,]', ' ', 'g'), '{text.S}+', ' ', 'g'))"
 
 
 @query("tx1_prompt_texts", f"{with_clause('room_text')} SELECT room_id, {_SQUEEZED('name')} AS name, coalesce(nullif({_SQUEEZED('''coalesce(desc_text, '')''')}, ''), '내용 없음') AS \"desc\" FROM room_text")
@@ -39,9 +39,10 @@ def tx1(spark, d):
     return domain(spark, d, "room_text").select("room_id", co.prompt_parts(F.col("name"), F.col("desc_text")).alias("p")).select("room_id", "p.*")
 
 
-_WITHOUT_DAY = """trim(CASE WHEN contains(name, '[평일]') OR contains(name, '(평일)') THEN regexp_replace(name, '\\[평일\\]|\\(평일\\)', '', 'g')
-  WHEN contains(name, '[주말]') OR contains(name, '(주말)') OR contains(name, '주말/공휴일') THEN regexp_replace(name, '\\[주말[^\\]]*\\]|\\(주말[^)]*\\)', '', 'g') ELSE name END)"""
-_CLEAN = reduce(lambda c, p: f"trim(regexp_replace({c}, '{p}', '', 'g'))", text.NAME_PARTS, _WITHOUT_DAY)
+_TRIM = lambda c: f"regexp_replace({c}, '^{text.S}+|{text.S}+$', '', 'g')"
+_WITHOUT_DAY = f"""CASE WHEN contains(name, '[평일]') OR contains(name, '(평일)') THEN {_TRIM("regexp_replace(name, '\\[평일\\]|\\(평일\\)', '', 'g')")}
+  WHEN contains(name, '[주말]') OR contains(name, '(주말)') OR contains(name, '주말/공휴일') THEN {_TRIM("regexp_replace(name, '\\[주말[^\\]]*\\]|\\(주말[^)]*\\)', '', 'g')")} ELSE name END"""
+_CLEAN = reduce(lambda c, p: _TRIM(f"regexp_replace({c}, '{p}', '', 'g')"), text.NAME_PARTS, _WITHOUT_DAY)
 
 
 @query("tx4_clean_names", f"{with_clause('room_text')} SELECT room_id, {_CLEAN} AS clean_name FROM room_text")
@@ -111,18 +112,19 @@ def src3(spark, d):
 @query(
     "html2_cells",
     """WITH p AS (SELECT l_orderkey, string_agg(concat('<div id="reserve_time_', l_partkey, '_', 9 + l_linenumber, '" class="cell', CASE WHEN l_quantity > 25 THEN ' reserve_time_off' ELSE '' END, '">x</div>'), '' ORDER BY l_linenumber, l_partkey, l_quantity) AS html FROM lineitem GROUP BY 1)
-    SELECT l_orderkey, l_partkey, h AS hour, coalesce(contains(regexp_extract(html, concat('<div id="reserve_time_', l_partkey, '_', h, '"[^>]*>')), 'reserve_time_off'), false) AS is_free
+    SELECT l_orderkey, l_partkey, h AS hour, regexp_matches(html, concat('<div id="reserve_time_', l_partkey, '_', h, '" class="[^">]*reserve_time_off')) AS is_free
     FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) JOIN p USING (l_orderkey), (SELECT unnest([10, 11, 12, 20]) AS h)""",
 )
 def html2(spark, d):
-    """The page of an order has a cell for each line; each of its items is asked for at four hours."""
+    """The page of an order, parsed once, has a cell for each line; each of its items is asked for at four hours."""
     line = spark.read.parquet(f"{d}/lineitem.parquet")
     off = F.when(F.col("l_quantity") > 25, " reserve_time_off").otherwise("")
     cell = F.concat(F.lit('<div id="reserve_time_'), "l_partkey", F.lit("_"), 9 + F.col("l_linenumber"), F.lit('" class="cell'), off, F.lit('">x</div>'))
     page = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", cell.alias("c")))), lambda x: x["c"]), "")
     pages = line.groupBy("l_orderkey").agg(page.alias("html"), F.collect_set("l_partkey").alias("items"))
-    asked = pages.select("l_orderkey", "html", F.explode("items").alias("l_partkey")).withColumn("hour", F.explode(F.array(*map(F.lit, (10, 11, 12, 20)))))
-    return asked.select("l_orderkey", "l_partkey", "hour", payloads.cell_free(F.col("html"), F.col("l_partkey").cast("string"), F.col("hour")).alias("is_free"))
+    parsed = pages.select("l_orderkey", payloads.open_cells(F.col("html")).alias("cells"), "items")
+    asked = parsed.select("l_orderkey", "cells", F.explode("items").alias("l_partkey")).withColumn("hour", F.explode(F.array(*map(F.lit, (10, 11, 12, 20)))))
+    return asked.select("l_orderkey", "l_partkey", "hour", payloads.cell_open(F.col("cells"), F.col("l_partkey").cast("string"), F.col("hour")).alias("is_free"))
 
 
 @query(
@@ -329,11 +331,17 @@ def jn10(spark, d):
 
 @query(
     "jn12_cascade_delete",
-    f"""{with_clause('branch', 'room')} SELECT business_id, biz_item_id FROM room WHERE business_id NOT IN (SELECT business_id FROM branch
-    WHERE lat IS NULL)""",
+    f"""{with_clause('branch', 'room', 'room_image')}, gone AS (SELECT business_id FROM branch WHERE lat IS NULL), shut AS (SELECT business_id, biz_item_id FROM room WHERE max_capacity > 14),
+    r AS (SELECT business_id, biz_item_id FROM room WHERE business_id NOT IN (SELECT business_id FROM gone) AND (business_id, biz_item_id) NOT IN (SELECT business_id, biz_item_id FROM shut))
+    SELECT business_id, biz_item_id, CAST(NULL AS BIGINT) AS image_id FROM r UNION ALL SELECT i.business_id, i.biz_item_id, i.image_id FROM room_image i JOIN r USING (business_id, biz_item_id)""",
 )
 def jn12(spark, d):
-    return co.without_deleted(domain(spark, d, "room"), domain(spark, d, "branch").filter("lat is null"), ["business_id"]).select("business_id", "biz_item_id")
+    """Branches without coordinates go with their rooms, the largest rooms by themselves, images with both."""
+    tables = {name: domain(spark, d, name) for name in ("branch", "room", "room_image")}
+    gone = {"branch": tables["branch"].filter("lat is null"), "room": tables["room"].filter("max_capacity > 14").select("business_id", "biz_item_id")}
+    stays, _ = references.cascade(tables, gone)
+    rooms = stays["room"].select("business_id", "biz_item_id", F.lit(None).cast("long").alias("image_id"))
+    return rooms.unionByName(stays["room_image"].select("business_id", "biz_item_id", "image_id"))
 
 
 @query(
@@ -352,5 +360,4 @@ def st3(spark, d):
 )
 def so3(spark, d):
     """At most five pages of 70 hits a query."""
-    pages = co.batched(domain(spark, d, "place"), "query", "pos", 70).withColumn("page", F.col("batch") + 1)
-    return pages.filter("page <= 5").select("query", "pos", "page")
+    return co.first_pages(domain(spark, d, "place"), "query", "pos").select("query", "pos", "page")

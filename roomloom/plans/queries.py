@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, masking, text
 from ..operators import availability as av
-from ..operators import collection, merge
+from ..operators import collection, merge, references
 from ..sources.domain import domain, with_clause
 from ..sources import payloads
 from ..streaming.jobs import rate_breaches
@@ -169,8 +169,7 @@ def wn2(spark, d):
     FROM room_text""",
 )
 def wn4(spark, d):
-    w = Window.partitionBy("business_id").orderBy("room_id")
-    return domain(spark, d, "room_text").select("room_id", "business_id", F.floor((F.row_number().over(w) - 1) / 5).alias("batch"))
+    return collection.batched(domain(spark, d, "room_text"), "business_id", "room_id").select("room_id", "business_id", "batch")
 
 
 @query(
@@ -296,13 +295,22 @@ def ag11(spark, d):
     return collection.error_report(failed)
 
 
+def _kept_tables(spark, d):
+    """Branches with coordinates, two thirds of the rooms, all images."""
+    rooms = domain(spark, d, "room").filter("max_capacity % 3 <> 0")
+    return {"branch": domain(spark, d, "branch").filter("lat is not null"), "room": rooms, "room_image": domain(spark, d, "room_image")}
+
+
 @query(
     "jn11_orphans",
-    f"""{with_clause('branch', 'room')} SELECT r.business_id, r.biz_item_id FROM room r WHERE NOT EXISTS (SELECT 1 FROM branch b
-    WHERE b.business_id = r.business_id AND b.lat IS NOT NULL)""",
+    f"""{with_clause('branch', 'room', 'room_image')}, b AS (SELECT * FROM branch WHERE lat IS NOT NULL), r AS (SELECT * FROM room WHERE max_capacity % 3 <> 0)
+    SELECT 'room' AS child, business_id, biz_item_id, CAST(NULL AS BIGINT) AS image_id FROM r WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.business_id = r.business_id)
+    UNION ALL SELECT 'room_image', business_id, biz_item_id, image_id FROM room_image i WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.business_id = i.business_id AND r.biz_item_id = i.biz_item_id)""",
 )
 def jn11(spark, d):
-    return domain(spark, d, "room").join(domain(spark, d, "branch").filter("lat is not null"), "business_id", "left_anti").select("business_id", "biz_item_id")
+    found = references.orphans(_kept_tables(spark, d))
+    one = lambda name, image: found[name].select(F.lit(name).alias("child"), "business_id", "biz_item_id", image.cast("long").alias("image_id"))
+    return one("room", F.lit(None)).unionByName(one("room_image", F.col("image_id")))
 
 
 @query("jn13_answer_mismatch", f"""{with_clause('room', 'incoming_room')} SELECT coalesce(a.biz_item_id, b.biz_item_id) AS biz_item_id, CASE WHEN b.biz_item_id IS NULL THEN 'unanswered' ELSE 'unasked' END AS side
@@ -318,7 +326,7 @@ def _parsed(spark, d):
     return domain(spark, d, "room_text").select("room_id", "business_id", "name", "desc_text", text.parse_room(F.col("name"), F.col("desc_text")).alias("p"))
 
 
-_NUM = lambda c, p, g=1: f"try_cast(regexp_extract({c}, '{p}', {g}) AS int)"
+_NUM = lambda c, p, g=1: f"try_cast(translate(regexp_extract({c}, '{p}', {g}), '０１２３４５６７８９,', '0123456789') AS int)"
 _CAP = lambda c: f"""CASE WHEN {_NUM(c, text.BOTH, 2)} IS NOT NULL THEN {{{{'m': {_NUM(c, text.BOTH, 2)}, 'r': {_NUM(c, text.BOTH, 1)}}}}}
  WHEN {_NUM(c, text.RANGE)} IS NOT NULL THEN {{{{'m': coalesce(nullif({_NUM(c, text.MOST)}, 0), nullif({_NUM(c, text.UP_TO)}, 0), nullif({_NUM(c, text.POSSIBLE)}, 0), nullif({_NUM(c, text.MINUS)}, 0), {_NUM(c, text.RANGE, 2)}), 'r': ({_NUM(c, text.RANGE)} + {_NUM(c, text.RANGE, 2)}) // 2}}}}
  WHEN {_NUM(c, text.ADVISED)} IS NOT NULL AND {_NUM(c, text.QUOTA)} IS NULL THEN {{{{'m': coalesce(nullif({_NUM(c, text.MOST)}, 0), {_NUM(c, text.ADVISED, 2)}), 'r': ({_NUM(c, text.ADVISED)} + {_NUM(c, text.ADVISED, 2)}) // 2}}}}
@@ -331,7 +339,7 @@ parsed AS (SELECT *, CASE WHEN m IS NOT NULL AND r0 IS NULL THEN CASE WHEN m > 4
 
 @query("tx11_parse_rooms", f"""{_PARSED} SELECT room_id, cast(m AS int) AS max_capacity, cast(r AS int) AS recommend_capacity,
  CASE WHEN contains(name, '[평일]') OR contains(name, '(평일)') THEN 'weekday' WHEN contains(name, '[주말]') OR contains(name, '(주말)') OR contains(name, '주말/공휴일') THEN 'weekend' END AS day_type,
- {_NUM('de', text.BASE)} AS base_capacity, CASE WHEN contains(de, '3,000원') THEN 3000 END AS extra_charge, contains(de, '당일') AS requires_call FROM parsed""")
+ {_NUM('de', text.BASE)} AS base_capacity, {_NUM('de', text.EXTRA.removeprefix('(?d)'))} AS extra_charge, contains(de, '당일') AND (contains(de, '전화') OR contains(de, '문의')) AS requires_call FROM parsed""")
 def tx11(spark, d):
     return _parsed(spark, d).select("room_id", *(F.col(f"p.{c}").alias(c) for c in ("max_capacity", "recommend_capacity", "day_type", "base_capacity", "extra_charge", "requires_call")))
 
@@ -453,34 +461,46 @@ def src1(spark, d):
     return payloads.places(states).select("query", "id", "name", "x", "y")
 
 
-_PAGES = """lab AS (SELECT l_orderkey, l_linenumber, 9 + l_linenumber % 4 AS hour, l_quantity AS q, l_quantity > 25 AS is_active FROM lineitem),
-pages AS (SELECT l_orderkey, string_agg(concat('<label class="time', CASE WHEN is_active THEN ' active' ELSE '' END, '" title="2024-05-20 ', lpad(cast(hour AS varchar), 2, '0'), '시00분 (월)">x</label>'), '' ORDER BY l_linenumber, q) AS html FROM lab GROUP BY 1)"""
+_PAGES = """lab AS (SELECT l_orderkey, l_linenumber, lpad(cast(9 + l_linenumber % 4 AS varchar), 2, '0') AS hour, l_quantity AS q, CASE WHEN l_quantity > 25 THEN ' active' ELSE '' END AS mark, l_partkey % 5 AS form FROM lineitem),
+pages AS (SELECT l_orderkey, string_agg(CASE form WHEN 0 THEN concat('<!-- <label class="active" title="', hour, '시00분"> -->') WHEN 1 THEN concat('<label class="time', mark, '" title="a > ', hour, '시00분">x</label>')
+  WHEN 2 THEN concat('<LABEL title=', hour, '시00분 class=', CASE WHEN q > 25 THEN 'active' ELSE 'x' END, '>') WHEN 3 THEN concat('<script>s = "<label class=active title=', hour, '시00분>"</script>')
+  ELSE concat('<label data-title="', hour, '시00분" class="time', mark, '" title=''2024-05-20 ', hour, '시00분 (월)''>x') END, '' ORDER BY l_linenumber, q, form) AS html FROM lab GROUP BY 1)"""
 
 
 @query(
     "html1_labels",
-    f"""WITH {_PAGES}, tags AS (SELECT l_orderkey, regexp_extract_all(html, '<label[^>]*>') AS t FROM pages), hours AS (SELECT unnest([9, 10, 11, 12, 13]) AS hour)
-    SELECT l_orderkey, hour, coalesce(contains(list_filter(t, lambda x: contains(x, concat(lpad(cast(hour AS varchar), 2, '0'), '시00분')))[1], 'active'), false) AS is_free FROM tags, hours""",
+    f"""WITH {_PAGES}, t AS (SELECT l_orderkey, list_filter(regexp_extract_all(html, '<!--.*?-->|<script>.*?</script>|<(?i:label)(?:[^>"'']|"[^"]*"|''[^'']*'')*>'), lambda x: lower(x[:6]) = '<label') AS t FROM pages),
+    m AS (SELECT l_orderkey, list_transform(t, lambda x: {{'title': regexp_extract(x, ' title=("[^"]*"|''[^'']*''|[^ >]*)', 1), 'class': regexp_extract(x, ' class=("[^"]*"|''[^'']*''|[^ >]*)', 1)}}) AS m FROM t), hours AS (SELECT unnest([9, 10, 11, 12, 13]) AS hour)
+    SELECT l_orderkey, hour, coalesce(regexp_matches(list_filter(m, lambda x: contains(x.title, concat(lpad(cast(hour AS varchar), 2, '0'), '시00분')))[1].class, '(^|[" ])active($|[" ])'), false) AS is_free FROM m, hours""",
 )
 def html1(spark, d):
-    """The escaped page of an order has a label for each line, several of one hour among
-    them; the first counts.  Every page is asked for five hours."""
+    """The escaped page of an order has a label for each line, several of one hour among them; the
+    first counts.  Some stand in comments or scripts, some have bare values, or ">" in quotes.
+    Every page is parsed once and asked for five hours."""
     active = F.when(F.col("l_quantity") > 25, " active").otherwise("")
-    hour = F.lpad((9 + F.col("l_linenumber") % 4).cast("string"), 2, "0")
-    label = F.concat(F.lit('<label class="time'), active, F.lit('" title="2024-05-20 '), hour, F.lit('시00분 (월)">x</label>'))
-    line = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", F.struct("l_linenumber", "l_quantity", label.alias("label")).alias("l"))
+    mark = F.concat(F.lpad((9 + F.col("l_linenumber") % 4).cast("string"), 2, "0"), F.lit("시00분"))
+    form, join = F.col("l_partkey") % 5, lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    label = (
+        F.when(form == 0, join('<!-- <label class="active" title="', mark, '"> -->'))
+        .when(form == 1, join('<label class="time', active, '" title="a > ', mark, '">x</label>'))
+        .when(form == 2, join("<LABEL title=", mark, " class=", F.when(F.col("l_quantity") > 25, "active").otherwise("x"), ">"))
+        .when(form == 3, join('<script>s = "<label class=active title=', mark, '>"</script>'))
+        .otherwise(join('<label data-title="', mark, '" class="time', active, "\" title='2024-05-20 ", mark, " (월)'>x"))
+    )
+    line = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", F.struct("l_linenumber", "l_quantity", form.alias("form"), label.alias("label")).alias("l"))
     page = F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda x: x["label"]), "")
     escaped = F.replace(F.replace(F.replace(page, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
     answers = line.groupBy("l_orderkey").agg(F.to_json(F.struct(escaped.alias("items"))).alias("payload"))
-    pages = payloads.label_pages(answers).withColumn("hour", F.explode(F.sequence(F.lit(9), F.lit(13))))
-    return pages.select("l_orderkey", "hour", payloads.label_free(F.col("html"), F.col("hour")).alias("is_free"))
+    pages = payloads.label_pages(answers).select("l_orderkey", payloads.label_marks(F.col("html")).alias("marks"))
+    asked = pages.withColumn("hour", F.explode(F.sequence(F.lit(9), F.lit(13))))
+    return asked.select("l_orderkey", "hour", payloads.marked_free(F.col("marks"), F.col("hour")).alias("is_free"))
 
 
 #: The same rules without back-references, which DuckDB's patterns lack.
 _KEY = f"(?:\"(?:{masking.KEYS})\"|''(?:{masking.KEYS})''|(?:{masking.KEYS}))"
 _MASKED = lambda c: (
-    rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '({masking.HEADERS})\s*:\s*[^;\n]+', '\1: ***', 'gi'),
-    '({_KEY}\s*[:=]\s*)(?:(")[^"\n]*"|('')[^''\n]*'')', '\1\2\3***\2\3', 'gi'), '({_KEY}\s*[:=]\s*)[^"'',\s;&]+', '\1***', 'gi'),
+    rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '({masking.HEADERS}){masking.S}*:{masking.S}*[^;\n]+', '\1: ***', 'gi'),
+    '({_KEY}{masking.S}*[:=]{masking.S}*)(?:(")[^"\n]*"|('')[^''\n]*'')', '\1\2\3***\2\3', 'gi'), '({_KEY}{masking.S}*[:=]{masking.S}*)[^"'',{masking.BLANKS};&]+', '\1***', 'gi'),
     '{masking.EMAIL}', '***@***.***', 'g'), '{masking.PHONE}', '***-****-****', 'g')"""
 )
 
@@ -493,7 +513,7 @@ def mk6(spark, d):
 
 @query(
     "mk7_masked_bodies",
-    f"""WITH b AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN NULL ELSE concat('user_id=', user_id, '&kind=', event_type, ' token: "a b', event_id, '" from jo', event_id, '@example.org, 010-1234-', 1000 + event_id % 9000) END AS body FROM events)
+    f"""WITH b AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN NULL ELSE concat('user_id=', user_id, '&kind=', event_type, ' token :　"a b', event_id, '" from jo', event_id, '@example.org, 010-1234-', 1000 + event_id % 9000) END AS body FROM events)
     SELECT event_id, CASE WHEN event_id % 2 = 0 THEN concat('{{"event": ', event_id, ', "user_id": "***", "more": {{"Token": "***", "kind": "', event_type, '"}}}}') ELSE {_MASKED('b.body')} END AS body
     FROM events JOIN b USING (event_id)""",
 )
@@ -502,7 +522,7 @@ def mk7(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     more = F.struct(F.concat(F.lit("t"), "event_id").alias("Token"), F.col("event_type").alias("kind"))
     body = F.to_json(F.struct(F.col("event_id").alias("event"), "user_id", more.alias("more")))
-    line = F.concat(F.lit("user_id="), "user_id", F.lit("&kind="), "event_type", F.lit(' token: "a b'), "event_id", F.lit('" from jo'), "event_id", F.lit("@example.org, 010-1234-"), 1000 + F.col("event_id") % 9000)
+    line = F.concat(F.lit("user_id="), "user_id", F.lit("&kind="), "event_type", F.lit(' token :　"a b'), "event_id", F.lit('" from jo'), "event_id", F.lit("@example.org, 010-1234-"), 1000 + F.col("event_id") % 9000)
     return e.select("event_id", masking.mask_body(F.when(F.col("event_id") % 2 == 0, body).otherwise(line)).alias("body"))
 
 

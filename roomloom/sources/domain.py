@@ -51,16 +51,19 @@ TABLES: dict[str, tuple[str, str]] = {
     "place": ("orders", """select cast(o_custkey as varchar(50)) as business_id, o_orderpriority as query, o_orderkey as pos, cast(o_orderkey % 35 as int) as region_order,
         concat('biz-', cast(o_orderkey as varchar(50))) as name, '127' as x,
         case when o_orderkey % 11 = 0 then null when o_orderkey % 13 = 0 then 'n/a' else concat('37.', cast(2 + o_orderkey % 7 as varchar(50))) end as y from orders"""),
-    "room_text": ("part", """select p_partkey as room_id, cast(p_partkey % 97 as varchar(50)) as business_id,
+    "room_text": ("part", """select room_id, business_id, case when room_id % 11 = 3 then replace(name, ' ', ' ') when room_id % 11 = 5 then translate(name, '0123456789', '０１２３４５６７８９') else name end as name,
+        case when room_id % 13 = 5 then replace(desc_text, ' ', '　') when room_id % 13 = 7 then translate(desc_text, '0123456789', '０１２３４５６７８９') else desc_text end as desc_text, min_price, image_count, said_max
+        from (select p_partkey as room_id, cast(p_partkey % 97 as varchar(50)) as business_id,
         case p_partkey % 6 when 0 then concat('[평일] ', p_name) when 1 then concat(p_name, ' (주말)') when 2 then concat('[주말/공휴일] ', p_name)
              when 3 then concat(p_name, ' (정원 ', cast(p_size as varchar(50)), '명, 최대 ', cast(p_size + 5 as varchar(50)), '명)')
              when 4 then concat(p_name, ' (-', cast(p_size as varchar(50)), '명)') else concat('대형 ', p_name) end as name,
         case p_partkey % 7 when 0 then concat('최대 ', cast(p_size as varchar(50)), '인 수용 가능')
-             when 1 then concat(cast(p_size as varchar(50)), '~', cast(p_size + 2 as varchar(50)), '인 권장, 최대 ', cast(p_size + 4 as varchar(50)), '인')
-             when 2 then '기본 4인, 1인 추가시 3,000원' when 3 then '당일 예약은 전화 문의 바랍니다' when 4 then null
+             when 1 then concat(cast(p_size as varchar(50)), '~', cast(p_size + 2 as varchar(50)), '인 권장, Max ', cast(p_size + 4 as varchar(50)), '인')
+             when 2 then concat('기본 ', cast(1 + p_size % 6 as varchar(50)), '인, ', case p_partkey % 3 when 0 then '1인 추가시 3,000 원' when 1 then concat('인당 ', cast(500 * (p_size % 9) as varchar(50)), '원') else '추가 요금 2000원' end)
+             when 3 then case p_partkey % 4 when 0 then '당일 예약은 전화 바랍니다' when 1 then '당일 예약 불가' when 2 then '전화 예약' else '문의: 당일도 가능' end when 4 then null
              when 5 then concat(cast(p_size as varchar(50)), '인이 합주 가능') else concat('권장 인원 ', cast(p_size as varchar(50)), '명 ', cast(p_size + 3 as varchar(50)), '명') end as desc_text,
         cast(case when p_partkey % 9 = 0 then null else floor(p_retailprice) end as int) as min_price, cast(case when p_partkey % 11 = 0 then null else p_partkey % 4 end as int) as image_count,
-        cast(case when p_partkey % 4 = 0 then null else p_partkey % 70 end as int) as said_max from part"""),
+        cast(case when p_partkey % 4 = 0 then null else p_partkey % 70 end as int) as said_max from part) as given_rooms"""),
     "client": ("events", """select event_id, case event_id % 5 when 0 then ' ' when 1 then concat('6f1c2e34-0000-4000-8000-', cast(event_id % 1000 as varchar(50)))
              when 2 then concat('{6F1c2e34-0000-4000-8000-', lpad(cast(event_id as varchar(50)), 12, '0'), '}') when 3 then concat('urn:uuid:6f1c2e34-0000-4000-8000-', lpad(cast(event_id as varchar(50)), 12, '0')) end as device,
         case event_id % 3 when 0 then concat('6F1c2e34-0000-4000-8000-', lpad(cast(event_id as varchar(50)), 12, '0')) when 1 then concat('6f1c2e340000', cast(event_id as varchar(50))) end as trace,
@@ -78,8 +81,9 @@ TABLES: dict[str, tuple[str, str]] = {
 
 def domain(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source, select = TABLES[name]
-    spark.read.parquet(f"{sf_dir}/{source}.parquet").createOrReplaceTempView(source)
-    return spark.sql(select)
+    given = spark.read.parquet(f"{sf_dir}/{source}.parquet")
+    plain = select.replace("{", "{{").replace("}", "}}")
+    return spark.sql(re.sub(rf"\bfrom {source}\b", "from {given}", plain), given=given)
 
 
 def with_clause(*names: str) -> str:
@@ -110,9 +114,63 @@ MASTER = {
 }
 
 
-def read_master(spark: SparkSession, name: str, folder: str | None = None, jdbc: dict[str, str] | None = None) -> DataFrame:
+#: The column by which a master table is cut into ranges for reading.
+RANGE_KEY = {"branch": "business_id", "room": "business_id", "room_image": "image_id", "favorites": "device_id"}
+
+
+def _query(spark: SparkSession, jdbc: dict[str, str], sql: str) -> DataFrame:
+    return spark.read.format("jdbc").options(**jdbc).option("query", sql).load()
+
+
+def key_ranges(spark: SparkSession, table: str, key: str, jdbc: dict[str, str], parts: int) -> list[str]:
+    """Conditions that cut a table into about ``parts`` ranges of equal size, nulls in the first.
+
+    The database numbers its keys in its own order and returns every n-th, so that ranges are
+    even whatever the keys look like, and cover every row once.
+    """
+    key = f'"{key}"'
+    n = _query(spark, jdbc, f"SELECT COUNT({key}) AS n FROM {table}").first()[0]
+    step = max(1, -(-n // parts))
+    ordered = f"SELECT k, ROW_NUMBER() OVER () AS r FROM (SELECT {key} AS k FROM {table} WHERE {key} IS NOT NULL ORDER BY {key}) AS o"
+    picked = f"SELECT DISTINCT k FROM ({ordered}) AS p WHERE MOD(r, {step}) = 0 AND r < {n}"
+    cuts = [r[0] for r in _query(spark, jdbc, picked).collect()] if n > step else []
+    texts = [(c, c if isinstance(c, (int, float)) else "'" + str(c).replace("'", "''") + "'") for c in cuts]
+    if texts and not isinstance(texts[0][0], (int, float)):
+        # The database's order of texts is not known here: it says how many cuts lie before each.
+        listed = " UNION ALL ".join(f"SELECT COUNT(*) AS n, {i} AS i FROM ({picked}) AS q{i} WHERE k < {t}" for i, (_, t) in enumerate(texts))
+        place = {r[1]: r[0] for r in _query(spark, jdbc, listed).collect()}
+        texts = [texts[i] for i in sorted(place, key=place.get)]
+    else:
+        texts.sort()
+    bounds = [t for _, t in texts]
+    if not bounds:
+        return ["1 = 1"]
+    inner = [f"{key} > {a} AND {key} <= {b}" for a, b in zip(bounds, bounds[1:])]
+    return [f"{key} <= {bounds[0]} OR {key} IS NULL", *inner, f"{key} > {bounds[-1]}"]
+
+
+def read_master(
+    spark: SparkSession, name: str, folder: str | None = None, jdbc: dict[str, str] | None = None, parts: int = 1,
+    box: tuple[float, float, float, float] | None = None, capacity: int | None = None,
+) -> DataFrame:
     """A master table from Parquet under ``folder``, or over JDBC with these options; of
-    columns it lacks all values are null."""
-    found = spark.read.parquet(f"{folder}/{name}") if jdbc is None else spark.read.format("jdbc").options(dbtable=name, **jdbc).load()
+    columns it lacks all values are null.
+
+    Over JDBC the table is read in ``parts`` ranges of its key, each over its own connection.
+    ``box`` (sw_lat, sw_lng, ne_lat, ne_lng) and ``capacity`` limit the rows by the table's own
+    columns, so that the database or the Parquet reader applies them.
+    """
+    if jdbc is None:
+        found = spark.read.parquet(f"{folder}/{name}")
+    elif parts > 1:
+        url, rest = jdbc["url"], {k: v for k, v in jdbc.items() if k != "url"}
+        found = spark.read.jdbc(url, name, predicates=key_ranges(spark, name, RANGE_KEY[name], jdbc, parts), properties=rest)
+    else:
+        found = spark.read.format("jdbc").options(dbtable=name, **jdbc).load()
+    if box is not None:
+        found = found.filter((F.col("lat") >= box[0]) & (F.col("lng") >= box[1]) & (F.col("lat") <= box[2]) & (F.col("lng") <= box[3]))
+    if capacity is not None:
+        found = found.filter(F.col("max_capacity") >= capacity)
     kinds = [c.strip().split(" ") for c in re.split(r",(?![^(<]*[)>])", MASTER[name])]
-    return found.select(*((F.col(c) if c in found.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds))
+    present = {c.lower() for c in found.columns}
+    return found.select(*((F.col(c) if c in present else F.lit(None)).cast(kind).alias(c) for c, kind in kinds))

@@ -63,23 +63,61 @@ def label_pages(df: DataFrame, payload: str = "payload") -> DataFrame:
     return df.withColumn("failed", ~is_object).withColumn("html", plain)
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    """A tag's attribute in either kind of quotes; '' if it has none."""
-    pattern = rf"""\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-    return F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2))
+#: An attribute: a name, and behind "=" a value in either kind of quotes or in none.
+_ATTRIBUTE = r"""[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?)?"""
+#: A start tag; a ">" within quotes does not end it.
+_TAG = rf"<[A-Za-z][^\s/>]*+(?:[\s/]++|{_ATTRIBUTE})*+>"
+#: Pieces of markup from left to right: comments and the content of scripts and styles are
+#: pieces of their own, so that no tag is found in them; all that is not closed goes to the end.
+_PIECE = rf"(?is)<!--(?:-?>|.*?(?:--!?>|\z))|<(script|style)(?=[\s/>])(?:[\s/]++|{_ATTRIBUTE})*+>.*?(?:</\1(?=[\s/>])|\z)|{_TAG}"
 
 
-def label_free(html: Column, hour: Column) -> Column:
-    """Site A: whether the first label of an hour is active; no label is not."""
+def start_tags(markup: Column, name: str | None = None) -> Column:
+    """The start tags of an element (by default of all), in order."""
+    pieces = F.regexp_extract_all(markup, F.lit(_PIECE), 0)
+    own = F.filter(pieces, lambda x: x.rlike(rf"(?i)^<{name}(?=[\s/>])" if name else "^<[A-Za-z]"))
+    return F.transform(own, lambda x: F.when(x.rlike("(?i)^<(?:script|style)"), F.regexp_extract(x, _TAG, 0)).otherwise(x))
+
+
+def attribute(tag: Column, name: str, last: bool = False) -> Column:
+    """A tag's attribute, of repeated ones the first (or the last); '' if it has none."""
+    pairs = F.regexp_extract_all(F.regexp_replace(tag, r"^<[A-Za-z][^\s/>]*+", ""), F.lit(_ATTRIBUTE), 0)
+    own = F.filter(pairs, lambda a: a.rlike(rf"(?i)^{name}\s*(?:=|$)"))
+    value = F.coalesce(F.element_at(F.when(F.size(own) > 0, own), -1 if last else 1), F.lit(""))
+    bare = F.regexp_replace(value, r"(?s)^[^=]*+=?\s*+", "")
+    return F.when(bare.rlike(r"""(?s)^(["']).*\1$"""), F.substring(bare, F.lit(2), F.length(bare) - 2)).otherwise(bare)
+
+
+def _has_class(tag: Column, name: str, last: bool = False) -> Column:
+    return F.array_contains(F.split(attribute(tag, "class", last), r"\s+"), name)
+
+
+def label_marks(markup: Column) -> Column:
+    """Site A, a page parsed once: array of (title, active) of its labels, in order."""
+    return F.transform(start_tags(markup, "label"), lambda x: F.struct(attribute(x, "title").alias("title"), _has_class(x, "active").alias("active")))
+
+
+def marked_free(marks: Column, hour: Column) -> Column:
+    """Whether the first label of an hour is active; no label is not."""
     title = F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(HOUR_MARK))
-    tags = F.regexp_extract_all(html, F.lit(r"<label\b[^>]*>"), 0)
-    labels = F.filter(tags, lambda x: _attribute(x, "title").contains(title))
-    return F.coalesce(F.array_contains(F.split(_attribute(F.get(labels, 0), "class"), r"\s+"), "active"), F.lit(False))
+    return F.coalesce(F.get(F.filter(marks, lambda m: m["title"].contains(title)), 0)["active"], F.lit(False))
+
+
+def label_free(markup: Column, hour: Column) -> Column:
+    """Site A: whether the first label of an hour is active, of a page that is asked once."""
+    return marked_free(label_marks(markup), hour)
+
+
+def open_cells(markup: Column) -> Column:
+    """Site B, a page parsed once: the ids of the elements that are marked as open."""
+    open_ = F.filter(start_tags(markup), lambda x: _has_class(x, "reserve_time_off", last=True))
+    return F.transform(open_, lambda x: attribute(x, "id", last=True))
+
+
+def cell_open(cells: Column, item: Column, hour: Column) -> Column:
+    return F.coalesce(F.array_contains(cells, F.concat(F.lit("reserve_time_"), item, F.lit("_"), hour.cast("string"))), F.lit(False))
 
 
-def cell_free(html: Column, item: Column, hour: Column) -> Column:
-    """Site B: whether the element of an item and hour is marked as open."""
-    tags = F.regexp_extract_all(html, F.lit(r"<[^>]*\bid\s*=[^>]*>"), 0)
-    wanted = F.concat(F.lit("reserve_time_"), item, F.lit("_"), hour.cast("string"))
-    own = F.filter(tags, lambda x: _attribute(x, "id") == wanted)
-    return F.coalesce(F.array_contains(F.split(_attribute(F.get(own, 0), "class"), r"\s+"), "reserve_time_off"), F.lit(False))
+def cell_free(markup: Column, item: Column, hour: Column) -> Column:
+    """Site B: whether an element of an item and hour is marked as open, of a page that is asked once."""
+    return cell_open(open_cells(markup), item, hour)
