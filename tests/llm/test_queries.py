@@ -6,7 +6,7 @@ import pytest
 from roomloom.llm import queries
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "pages", "benchmark")
+TABLES = ("documents", "pages", "benchmark", "embeddings")
 
 
 def plain(v):
@@ -33,6 +33,8 @@ CONTRACTS = {
     "op6_token_file": ("doc_id start n_tokens ids_crc32", "documents"),
     "op7_sharding": ("doc_id size text_crc32 law shard slot grown_shard", "documents"),
     "op8_pii": ("doc_id n_email n_ip n_card n_phone base_sha256 spans", "documents"),
+    "op11_whitening": ("vec_id component n deviation whitened explained identity_error", None),
+    "op12_toxicity": ("doc_id held_out score predicted matches", "documents"),
     "op10_suffix_dedup": ("doc_id n_bytes n_removed n_spans kept_sha256", "documents"),
 }
 
