@@ -98,28 +98,48 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def running(values: Column, step, zero: int = 0, block: int = 256) -> Column:
+    """For each of an array of longs ``step`` over all values before it.
+
+    Whole arrays are never copied once a value: blocks are scanned by themselves, then
+    shifted by what the blocks before them give.  ``step`` is associative, such as a sum.
+    """
+    none = F.array().cast("array<bigint>")
+    start = F.struct(F.lit(zero).cast("long").alias("at"), none.alias("out"))
+
+    def scan(items: Column) -> Column:
+        grow = lambda acc, v: F.struct(step(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(items, start, grow)
+
+    count = F.ceil(F.size(values) / F.lit(block)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(1), count), lambda b: scan(F.slice(values, (b - 1) * block + 1, F.lit(block))))
+
+    def joined(scanned: Column) -> Column:
+        return let(scan(F.transform(scanned, lambda s: s["at"]))["out"], lambda before: F.flatten(F.transform(scanned, lambda s, i: F.transform(s["out"], lambda v: step(F.get(before, i), v)))))
+
+    return F.when(F.size(values) > 0, let(blocks, joined)).otherwise(none)
+
+
 def spans_of(kind: Kind, text: Column, threshold: float, reach: int = 40) -> Column:
     """Array of (kind, start, end, score) of one kind; ``text`` is not null.
 
     The text is split at the matches: a match starts behind all parts and
     matches before it.  Context is the ``reach`` characters before the span.
     """
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long,match:string,before:string>>").alias("found"))
+    def placed(pairs: Column) -> Column:
+        lengths = F.transform(pairs, lambda x: (F.length(x["part"]) + F.length(x["match"])).cast("long"))
 
-    def placed(pair: Column) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + F.length(x["part"])
-            end = start + F.length(x["match"])
-            span = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), x["match"].alias("match"), F.lower(F.right(x["part"], F.lit(reach))).alias("before"))
-            return F.struct(end.cast("long").alias("at"), F.concat(acc["found"], F.array(span)).alias("found"))
+        def span(x: Column, at: Column) -> Column:
+            start = at + F.length(x["part"])
+            return F.struct(start.alias("start"), (start + F.length(x["match"])).alias("end"), x["match"].alias("match"), F.lower(F.right(x["part"], F.lit(reach))).alias("before"))
 
-        return F.aggregate(pair, zero, step)["found"]
+        return let(running(lengths, lambda a, b: a + b), lambda at: F.transform(pairs, lambda x, i: span(x, F.get(at, i))))
 
     pairs = let(F.split(text, kind.pattern, -1), lambda parts: F.zip_with(F.slice(parts, 1, F.size(parts) - 1), F.regexp_extract_all(text, F.lit(kind.pattern), 0), lambda p, m: F.struct(p.alias("part"), m.alias("match"))))
     near = lambda before, w, gain: F.when(before.rlike(rf"\b(?:{w})"), F.lit(gain)).otherwise(F.lit(0.0)) if w else F.lit(0.0)
     score = lambda s: F.round(F.lit(kind.weight + kind.checksum) + near(s["before"], kind.words, 0.3) + near(s["before"], kind.against, -0.2), 3)
     scored = F.transform(
-        F.filter(placed(pairs), lambda s: _valid(kind.name, s["match"])),
+        F.filter(let(pairs, placed), lambda s: _valid(kind.name, s["match"])),
         lambda s: F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score(s).alias("score")),
     )
     if kind.name not in BASE_KINDS:
@@ -134,19 +154,35 @@ def find_pii(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, ki
     return docs.withColumn("pii", F.concat(*found))
 
 
+def _cutter(text: Column, body, piece: int = 1024) -> Column:
+    """``body(cut)`` with ``cut(start, end)`` taken from pieces of the text, as a position in a long
+    text costs a walk from its start."""
+    def within(pieces: Column):
+        def cut(start: Column, end: Column) -> Column:
+            first, last = F.floor(start / piece), F.floor(end / piece)
+            some = F.array_join(F.slice(pieces, (first + 1).cast("int"), (last - first + 1).cast("int")), "")
+            return F.when(start < end, F.substring(some, (start - first * piece + 1).cast("int"), (end - start).cast("int"))).otherwise(F.lit(""))
+
+        return body(cut)
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{piece}}}"), F.lit(0)), within)
+
+
 def masked(text: Column, spans: Column) -> Column:
     """``text`` with every span replaced by its kind in brackets; of overlapping spans the first one's."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    def pieces(s: Column) -> Column:
+        # A span is replaced where all before it have ended.
+        ended = running(F.transform(s, lambda x: x["end"]), F.greatest)
+
+        def joined(cut, at: Column) -> Column:
+            one = lambda x, i: F.when(x["start"] >= F.get(at, i), F.concat(cut(F.get(at, i), x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(F.lit(""))
+            rest = cut(F.array_max(F.transform(s, lambda x: x["end"])), F.length(text).cast("long"))
+            return F.concat(F.array_join(F.transform(s, one), ""), rest)
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        cut = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        out = F.when(fresh, F.concat(acc["out"], cut, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+        return let(ended, lambda at: _cutter(text, lambda cut: joined(cut, at)))
 
     in_order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    whole = lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(let(F.aggregate(in_order, start, step), whole))
+    return F.when(F.size(spans) == 0, text).otherwise(let(in_order, pieces))
 
 
 def span_list(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:

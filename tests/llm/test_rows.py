@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -91,6 +92,26 @@ def test_pii_masks(spark):
     assert pii.find_pii(df.limit(0)).count() == 0
 
 
+def test_pii_of_a_text_full_of_addresses(spark):
+    """Linear in the matches; spans over many blocks and pieces, overlapping kinds, long gaps."""
+    rng = random.Random(6)
+    words = [f"u{i}.é@mail{i % 10}.org" for i in range(20_000)]
+    words[5_000] = "😀" * 3_000
+    mixed = " ".join(rng.choice(("a@b.co", "1.2.3.4", "+49 30 1234567", "x" * 700, "+4930 1.2.3.4@b.co", "4111111111111111")) for _ in range(2_000))
+    texts, began = [" ".join(words), mixed, "x" * 5_000 + " a@b.co " + "é" * 5_000], time.time()
+    df = pii.find_pii(frame(spark, texts))
+    rows = df.select("text", pii.span_list(F.col("pii"), pii.BASE_KINDS).alias("s"), pii.masked(F.col("text"), F.col("pii")).alias("m"), "pii").collect()
+    assert time.time() - began < 60
+    for r in rows:
+        assert r.s == ",".join(brute_spans(r.text))
+        out, at = "", 0
+        for start, end, kind in sorted((s.start, s.end, s.kind) for s in r.pii):
+            if start >= at:
+                out += r.text[at:start] + f"[{kind.upper()}]"
+            at = max(at, end)
+        assert r.m == out + r.text[at:]
+
+
 # ---------------------------------------------------------------- quality
 def brute_base(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
