@@ -3,13 +3,15 @@
 The ids of the documents, in the order of the input, form one stream in each
 partition.  Windows are cut from it at document ends (free), sentence ends (a
 small penalty) or, where a sentence outgrows a window, anywhere (a large one), so
-that padding plus penalties is least:
+that padding plus penalties plus a price for each window is least:
 
-    f(j) = penalty(j) + min( min over j - L <= i < j of f(i) + L - (j - i),
-                             min over powers of two p <= L of f(j - p) )
+    f(j) = price + penalty(j) + min( min over j - L <= i < j of f(i) + L - (j - i),
+                                     min over powers of two p <= L of f(j - p) )
 
-as a window is padded to L, but not when its length is a power of two.  The
-first minimum is over f(i) + i, so a monotone queue gives it in constant time.
+as a window is padded to L, but not when its length is a power of two.  The price keeps
+short windows of that kind a last resort: without it they cost nothing, and a stream falls
+into many more sequences than it fills.  The first minimum is over f(i) + i, so a
+monotone queue gives it in constant time.
 
 The programme runs over stretches of about ``stretch`` ids that end with a
 document; the windows of a stretch are optimal for it.
@@ -35,11 +37,11 @@ from .tokens import encoder, slices
 SENTENCE_ENDS = (".", "!", "?", "\n")
 
 
-def best_cuts(points: list[int], penalties: list[float], length: int) -> list[int]:
+def best_cuts(points: list[int], penalties: list[float], length: int, window_price: float = 0.0) -> list[int]:
     """The cheapest subset of ``points`` (ascending, from 0 to the end) as window cuts.
 
-    ``penalties[k]`` is the price of cutting at ``points[k]``; neighbouring points
-    are at most ``length`` apart.
+    ``penalties[k]`` is the price of cutting at ``points[k]``, ``window_price`` that of each
+    window; neighbouring points are at most ``length`` apart.
     """
     n = len(points)
     cost = [0.0] * n
@@ -64,7 +66,7 @@ def best_cuts(points: list[int], penalties: list[float], length: int) -> list[in
         for i in earlier[bounds[k] : bounds[k + 1]]:
             if cost[i] < best:
                 best, source = cost[i], i
-        best += penalties[k]
+        best += penalties[k] + window_price
         cost[k], back[k] = best, source
         value = best + j
         while queue and queue[-1][0] >= value:
@@ -98,6 +100,7 @@ def pack(
     length: int = 2048,
     sentence_penalty: float = 2.0,
     other_penalty: float = 32.0,
+    window_price: float | None = None,
     stretch: int = 500_000,
     max_pieces: int = 800_000,
     slice_bytes: int = 8_000_000,
@@ -107,12 +110,14 @@ def pack(
     """One row a piece: (id, start, length, ids, doc_tokens, sequence_id, offset).
 
     ``ids`` are little-endian unsigned 32-bit; the pieces of a ``sequence_id`` in
-    order of ``offset`` are the sequence.  No row is shuffled.  ``max_pieces`` (the
+    order of ``offset`` are the sequence.  ``window_price`` is a thirty-second of the length
+    unless given.  No row is shuffled.  ``max_pieces`` (the
     encoder's cache) and ``slice_bytes`` (texts encoded at once) set a worker's
     memory against its time; the first changes no row, the second only where a
     stretch ends.
     """
     kind = dict(docs.dtypes)[id_col]
+    each = length / 32 if window_price is None else window_price
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(tokenizer_path, max_pieces)
@@ -128,7 +133,7 @@ def pack(
             nonlocal number
             sizes = np.array([len(x) for x in ids])
             flat, ends = np.concatenate(ids), np.cumsum(sizes)
-            cuts = np.array(best_cuts(*cut_points(flat, ends, sentence, length, sentence_penalty, other_penalty), length))
+            cuts = np.array(best_cuts(*cut_points(flat, ends, sentence, length, sentence_penalty, other_penalty), length, each))
             edges = np.union1d(cuts, np.concatenate([[0], ends]))
             start, size = edges[:-1], np.diff(edges)
             doc = np.searchsorted(ends, start, "right")

@@ -93,14 +93,23 @@ def test_cuts_are_optimal():
         while len(points) < rng.randrange(2, 40):
             points.append(points[-1] + rng.randrange(1, length + 1))
         penalties = [0.0] + [rng.choice([0.0, 2.0, 5.5]) for _ in points[1:]]
+        each = rng.choice([0.0, 0.0, 3.0])
         best = [0.0] + [float("inf")] * (len(points) - 1)
         for j in range(1, len(points)):
             for i in range(j):
                 n = points[j] - points[i]
                 if n <= length:
-                    best[j] = min(best[j], best[i] + (0 if n & (n - 1) == 0 else length - n) + penalties[j])
-        cuts = packing.best_cuts(points, penalties, length)
-        assert abs(price(points, penalties, cuts, length) - best[-1]) < 1e-9
+                    best[j] = min(best[j], best[i] + (0 if n & (n - 1) == 0 else length - n) + penalties[j] + each)
+        cuts = packing.best_cuts(points, penalties, length, each)
+        assert abs(price(points, penalties, cuts, length) + each * (len(cuts) - 1) - best[-1]) < 1e-9
+
+
+def test_short_windows_are_a_last_resort():
+    rng = random.Random(9)
+    points = np.cumsum([0] + [rng.randrange(1, 40) for _ in range(4_000)]).tolist()
+    penalties = [0.0] + [2.0] * 4_000
+    count = lambda price: len(packing.best_cuts(points, penalties, 2048, price)) - 1
+    assert count(64.0) <= 1.1 * points[-1] / 2048 < count(0.0)
 
 
 def test_pieces_hold_each_id_once_in_order(spark):
