@@ -13,7 +13,8 @@ def components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
     its component, that smallest node.
 
     Each step hangs neighbours on the smallest one they see; a node's neighbours
-    are only ever reduced to a minimum, never gathered.
+    are only ever reduced to a minimum, never gathered.  Labels that do not settle in
+    ``max_steps`` steps raise: unfinished ones would split components.
     """
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
@@ -28,4 +29,6 @@ def components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
         if seen == mark or not seen.n:
             break
         mark = seen
+    else:
+        raise ArithmeticError(f"components did not settle in {max_steps} steps")
     return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
