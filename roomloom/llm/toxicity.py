@@ -5,7 +5,7 @@ among as many words, form the lexicon; a word's weight is its log odds.  The lex
 trie, and a word of a text walks all Levenshtein automata of its terms at once: a state
 is the set of (trie node, edits so far), built when it is first met and kept, so that
 most words end after a few letters.  A term of under 5 letters allows no edit, of under
-9 one, of more two.  A word near a term that clean documents use as it is (``known``) is
+12 one, of more two.  A word near a term that clean documents use as it is (``known``) is
 no misspelling.
 
 A match counts its term's weight, halved an edit, and less where the words around it show a
@@ -45,13 +45,24 @@ FOLDS = 5
 
 
 def edits_allowed(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    return 0 if len(term) < 5 else 1 if len(term) < 12 else 2
+
+
+class _State(dict):
+    """Letter -> next state, worked out when first asked for; None where no term can follow."""
+
+    def __init__(self, automaton: Automaton, at: dict[int, int]):
+        self.automaton, self.at = automaton, at
+
+    def __missing__(self, letter: str) -> _State | None:
+        self[letter] = after = self.automaton.after(self.at, letter)
+        return after
 
 
 class Automaton:
     """The Levenshtein automata of all terms, met with their trie, as one automaton built on demand."""
 
-    def __init__(self, terms: Iterable[str], max_states: int = 100_000):
+    def __init__(self, terms: Iterable[str], max_states: int = 40_000):
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.reach = [0]  # most edits that any term below a node allows
@@ -71,10 +82,8 @@ class Automaton:
         self._reset()
 
     def _reset(self) -> None:
-        self.numbers: dict[frozenset, int] = {}
-        self.positions: list[dict[int, int]] = []
-        self.steps: list[dict[str, int]] = []
-        self.start = self._number(self._closed({0: 0}))
+        self.states: dict[frozenset, _State] = {}
+        self.start = self._state(self._closed({0: 0}))
 
     def _closed(self, at: dict[int, int]) -> dict[int, int]:
         """With the nodes that are reached by leaving letters of a term out."""
@@ -87,47 +96,48 @@ class Automaton:
                     todo.append((child, edits + 1))
         return at
 
-    def _number(self, at: dict[int, int]) -> int:
-        """The state's number; -1 if nothing can follow."""
+    def _state(self, at: dict[int, int]) -> _State | None:
         if not at:
-            return -1
+            return None
         key = frozenset(at.items())
-        if key not in self.numbers:
-            self.numbers[key] = len(self.positions)
-            self.positions.append(at)
-            self.steps.append({})
-        return self.numbers[key]
+        if key not in self.states:
+            self.states[key] = _State(self, at)
+        return self.states[key]
 
-    def _step(self, state: int, c: str) -> int:
-        after: dict[int, int] = {}
+    def after(self, at: dict[int, int], letter: str) -> _State | None:
+        out: dict[int, int] = {}
 
         def reach(node: int, edits: int) -> None:
-            if edits <= self.reach[node] and after.get(node, 99) > edits:
-                after[node] = edits
+            if edits <= self.reach[node] and out.get(node, 99) > edits:
+                out[node] = edits
 
-        for node, edits in self.positions[state].items():
+        for node, edits in at.items():
             reach(node, edits + 1)  # a letter too many
-            for letter, child in self.children[node].items():
-                reach(child, edits if letter == c else edits + 1)
-        return self._number(self._closed(after))
+            for own, child in self.children[node].items():
+                reach(child, edits if own == letter else edits + 1)
+        return self._state(self._closed(out))
 
     def near(self, word: str) -> list[tuple[str, int]]:
         """(term, edits) of every term within its allowed edits of the word."""
-        if len(self.positions) > self.max_states:
+        if len(self.states) > self.max_states:
             self._reset()
         state = self.start
         for c in word:
-            step = self.steps[state]
-            state = step[c] if c in step else step.setdefault(c, self._step(state, c))
-            if state < 0:
+            state = state[c]
+            if state is None:
                 return []
-        found = ((self.term[node], edits) for node, edits in self.positions[state].items() if self.term[node] is not None)
+        found = ((self.term[node], edits) for node, edits in state.at.items() if self.term[node] is not None)
         return [(t, e) for t, e in found if e <= edits_allowed(t)]
 
 
+#: Signs that often stand at a word's ends; others are found one by one.
+_SIGNS = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))) + "“”„«»‟‘’…–—"
+
+
 def core(token: str) -> str:
     """The token without what is neither letter nor digit at its ends."""
-    if token.isalnum():
+    token = token.strip(_SIGNS)
+    if not token or token[0].isalnum() and token[-1].isalnum():
         return token
     i, j = 0, len(token)
     while i < j and not token[i].isalnum():
@@ -139,6 +149,8 @@ def core(token: str) -> str:
 
 def cores(token: str) -> list[str]:
     """A token's core and, where other signs part it, its pieces; none longer than 64."""
+    if token.isalnum():
+        return [token] if len(token) <= 64 else []
     whole = core(token)
     out = [whole] if whole and len(whole) <= 64 else []
     if whole and not whole.isalnum():
@@ -159,7 +171,7 @@ class Model:
 class Scorer:
     """Matches of whole texts; what a distinct token gives is worked out once and kept."""
 
-    def __init__(self, model: Model, window: int = 5, quoted: float = 0.3, direct: float = 1.2, keep: int = 200_000):
+    def __init__(self, model: Model, window: int = 5, quoted: float = 0.3, direct: float = 1.2, keep: int = 400_000):
         self.model, self.window, self.quoted, self.direct, self.keep = model, window, quoted, direct, keep
         self.automaton = Automaton(model.weights)
         self.hits: dict[str, float] = {}
@@ -170,8 +182,8 @@ class Scorer:
         for word in cores(token):
             if word in self.model.weights:
                 best = max(best, self.model.weights[word])
-            elif word not in self.model.known:
-                best = max([best, *(self.model.weights[t] * 0.5**e for t, e in self.automaton.near(word))])
+            elif (near := self.automaton.near(word)) and word not in self.model.known:
+                best = max(best, max(self.model.weights[t] * 0.5**e for t, e in near))
         return best
 
     def matches(self, text: str | None) -> list[float]:
@@ -309,7 +321,7 @@ def _features(train: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labels: int = 60_000, max_terms: int = 2_000) -> Model:
     """A lexicon from all training folds; its curve from the last, with the lexicon of the others."""
-    train = labelled(docs, labels, id_col, text_col, label_col, max_labels)
+    train = written(labelled(docs, labels, id_col, text_col, label_col, max_labels))  # read four times, bounded by max_labels
     n = {(r.toxic, r.fold): r["count"] for r in train.groupBy("toxic", "fold").count().collect()}
     total = [sum(v for (t, _), v in n.items() if t == side) for side in (1, 0)]
     seen = [sum(v for (t, f), v in n.items() if t == side and f != FOLDS - 1) for side in (1, 0)]
