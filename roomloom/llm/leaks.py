@@ -5,8 +5,10 @@ postings; an item of one or two words is one run of its own length.  The index k
 for each term its postings in item order, cut into blocks of ``block`` items, with
 the largest weight of every block and of the whole list.  Weights are divided by the
 item's own score, so that one threshold serves all items.  Every passage of every
-document is a query: windows of ``passage`` words, at least twice the longest item,
-each starting half a window after the last, so that any item lies whole in one.
+document is a query: windows of ``passage`` words, each starting half a window after the
+last, so that any item of up to half of them lies whole in one.  Longer items are searched
+by themselves, in windows of the power of two that is at least twice their length, so
+that a long item changes nothing for the others.
 
 Passages whose terms' upper bounds do not add up to the threshold are done.  In the
 others a pivot is found, the first item at which the upper bounds of the lists so far
@@ -15,8 +17,8 @@ behind the block, else they move to the pivot and it is scored.  All items at or
 the threshold are verified: the question is the item without its last sentence, the
 answer is that sentence, and both are sought in the passage as runs of five words.
 
-Up to ``index_items`` items the index is broadcast.  More are dealt into parts of that
-size by hash: the documents are read once, their passages that may hold a term (a
+Up to ``index_items`` items of up to ``index_bytes`` bytes the index is broadcast.  More are dealt
+into parts of that size by hash: the documents are read once, their passages that may hold a term (a
 bitmap of fixed size tells) are joined by term with the parts that have it, and each
 part's index is built by the tasks that search it.  Weights come from counts over all
 items, so that scores do not depend on the number of parts.
@@ -286,14 +288,13 @@ def _found(ids: pa.Array, index: Index, best: dict[tuple[int, int], tuple[float,
     return pa.RecordBatch.from_arrays([*keys, *columns], names=["id", "item", "score", "question_overlap", "answer_overlap"])
 
 
-def by_broadcast(texts: DataFrame, items: DataFrame, schema: str, threshold: float, overlap: float, passage: int) -> DataFrame:
-    """All found pairs of ``texts`` (id, text), with one index that every worker holds."""
+def by_broadcast(texts: DataFrame, rows: list[tuple], width: int, schema: str, threshold: float, overlap: float, overall: Counts | None) -> DataFrame:
+    """All pairs of ``texts`` (id, text) and ``rows`` (item, text), with one index that every worker holds."""
     spark = texts.sparkSession
-    index = build_index([tuple(r) for r in items.select("item", "text").collect()])  # index_items rows at most
+    index = build_index(rows, overall=overall)
     if index is None:
         return spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast(index)
-    width = max(passage, 2 * index.longest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -307,6 +308,13 @@ def by_broadcast(texts: DataFrame, items: DataFrame, schema: str, threshold: flo
     return texts.mapInArrow(run, schema)
 
 
+def counts_over(rows: list[tuple]) -> Counts | None:
+    """Counts of all items of a benchmark that is small enough to be broadcast."""
+    index = build_index(rows)
+    n_terms = [len(_terms(w)) for _, t in rows if t and len(w := _words(t))]
+    return index and Counts(len(index.item_ids), float(np.mean(n_terms)), index.terms, np.diff(index.starts))
+
+
 def term_bitmap(terms: DataFrame, bits: int = 27) -> np.ndarray:
     """One bit for each value of the terms' first ``bits``: of fixed size, and put together in pieces of 4,096."""
     slot = F.shiftrightunsigned("term", 64 - bits)
@@ -317,18 +325,16 @@ def term_bitmap(terms: DataFrame, bits: int = 27) -> np.ndarray:
     return known
 
 
-def by_parts(texts: DataFrame, items: DataFrame, n_parts: int, schema: str, threshold: float, overlap: float, passage: int, salts: int = 16) -> DataFrame:
-    """The same with the items in ``n_parts`` indexes; one reading of ``texts``."""
+def by_parts(texts: DataFrame, items: DataFrame, everything: DataFrame, n_parts: int, width: int, schema: str, threshold: float, overlap: float, salts: int = 16) -> DataFrame:
+    """The same with the items, some of ``everything``, in ``n_parts`` indexes; one reading of ``texts``."""
     spark = texts.sparkSession
     part = F.pmod(F.xxhash64("item", "text"), F.lit(n_parts)).cast("int")
-    items = written(item_terms(items.withColumn("part", part)))
-    total = items.agg(F.count("*").alias("n"), F.avg("n_terms").alias("mean"), F.max("n_words").alias("longest")).first()
-    if not total.n:
-        return spark.createDataFrame([], schema)
+    items = written(items.withColumn("part", part))
+    total = everything.agg(F.count("*").alias("n"), F.avg("n_terms").alias("mean")).first()
     each = items.select("part", "item", "text", F.explode("terms").alias("term"))
-    df = written(each.groupBy("term").agg(F.count("*").alias("df")))
+    own_terms = each.select("term").distinct()
+    df = written(everything.select(F.explode("terms").alias("term")).join(own_terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")))
     shared = spark.sparkContext.broadcast(np.packbits(term_bitmap(df)))
-    width = max(passage, 2 * total.longest)
     sizes = sorted(r[0] for r in items.select(F.least("n_words", F.lit(_TERM))).distinct().collect())  # 1 to 3
     kind = dict(texts.dtypes)["id"]
 
@@ -400,22 +406,30 @@ def find_leaks(
     passage: int = 128,
     min_words: int = 1,
     index_items: int = 20_000,
+    index_bytes: int = 32 << 20,
 ) -> DataFrame:
     """(id, item id, score, question_overlap, answer_overlap): the items a document holds.
 
     A scored item is verified when ``overlap`` of the question's runs of five
     words are in the passage, and as many of the answer's or of the whole item's.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
-    if min_words > 1:
-        long_enough = written(item_terms(items.withColumn("part", F.lit(0)))).filter(F.col("n_words") >= min_words)
-        items = long_enough.select("item", "text")
-    n_parts = max(1, -(-items.count() // index_items))
+    asked = benchmark.select(F.lit(0).alias("part"), F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
+    twice = F.pow(F.lit(2), F.ceil(F.log2(F.col("n_words") * 2))).cast("long")
+    width = F.when(F.col("n_words") * 2 <= passage, F.lit(passage)).otherwise(twice)
+    items = written(item_terms(asked).filter(F.col("n_words") >= min_words).withColumn("width", width))
+    sizes = items.groupBy("width").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).orderBy("width").collect()  # a row for each power of two
     schema = f"id {dict(docs.dtypes)[id_col]}, item long, score double, question_overlap double, answer_overlap double"
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if n_parts == 1:
-        pairs = by_broadcast(texts, items, schema, threshold, overlap, passage)
+    parts = lambda n, size: max(1, -(-n // index_items), -(-size // index_bytes))
+    pairs = docs.sparkSession.createDataFrame([], schema)
+    if sizes and parts(sum(r.n for r in sizes), sum(r.bytes for r in sizes)) == 1:
+        rows = [tuple(r) for r in items.select("width", "item", "text").collect()]  # index_items rows and index_bytes bytes at most
+        overall = counts_over([r[1:] for r in rows]) if len(sizes) > 1 else None
+        for r in sizes:
+            pairs = pairs.unionByName(by_broadcast(texts, [x[1:] for x in rows if x[0] == r.width], r.width, schema, threshold, overlap, overall))
     else:
-        pairs = by_parts(texts, items, n_parts, schema, threshold, overlap, passage)
+        for r in sizes:
+            own = items.filter(F.col("width") == r.width).drop("width")
+            pairs = pairs.unionByName(by_parts(texts, own, items, parts(r.n, r.bytes), r.width, schema, threshold, overlap))
     best = pairs.groupBy("id", "item").agg(*(F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")))
     return best.withColumnsRenamed({"id": id_col, "item": item_col})

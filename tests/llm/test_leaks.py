@@ -79,3 +79,18 @@ def test_scores_do_not_depend_on_the_number_of_indexes(spark):
     docs = spark.createDataFrame([(i, f"before {item(i).rsplit(' ', 1)[0]} after") for i in range(40)], "doc_id long, text string")
     found = [sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in leaks.find_leaks(docs, items, index_items=n).collect()) for n in (100, 7)]
     assert len(found[0]) >= 40 and found[0] == found[1]
+
+
+def test_a_very_long_item_changes_nothing_for_the_others(spark):
+    item = lambda i: f"What is the long river number {i} called in the {i % 3} old land of the far north. It is called the blue river {i * 7}."
+    long_one = " ".join(f"w{i} x{i % 7}" for i in range(700)) + ". It ends here and now at last."
+    filler = " ".join(f"f{i}" for i in range(300))
+    texts = [f"{filler} {item(i)} {filler}" for i in range(12)] + [f"{filler} {long_one} {item(3)} {filler}", filler, long_one[:2000]]
+    docs = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in enumerate(texts)], "id long, text string, item int, term int, words string")
+    short = [(i, item(i), 1, "t", 5) for i in range(12)]
+    frame = lambda rows: spark.createDataFrame(rows, "item_id long, text string, id int, term string, width int")
+    pairs = lambda rows, **k: {(r["id"], r.item_id) for r in leaks.find_leaks(docs, frame(rows), id_col="id", **k).collect()}
+    alone = pairs(short)
+    assert {(i, i) for i in range(12)} | {(12, 3)} <= alone
+    for how in ({}, {"index_items": 5}, {"index_bytes": 600}):
+        assert pairs([*short, (99, long_one, 1, "t", 5)], **how) == alone | {(12, 99)}
