@@ -90,7 +90,8 @@ def upsert_into(spark: SparkSession, folder: str, incoming: DataFrame, merge: Me
     """Merge ``incoming``, one row a key, by ``merge(existing, incoming)``, such as
     ``merge_rooms``; returns the new version's number, or the old one's if nothing came.
 
-    Only the touched buckets are read, joined and written.
+    Only the touched buckets are read, joined and written.  ``incoming`` is read twice: write
+    it first where it is dear to work out.
     """
     return _rewrite(spark, folder, incoming, merge)
 

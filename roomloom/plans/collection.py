@@ -24,7 +24,8 @@ def _batched(spark, d):
 @query(
     "tx14_batch_prompts",
     f"""{with_clause('room_text')}, {_WN4}
-    SELECT business_id, batch, string_agg(concat('ID: ', room_id, chr(10), 'Name: ', name, chr(10), 'Desc: ', coalesce(desc_text, ''), chr(10), '---'), chr(10) ORDER BY room_id) AS rooms_text
+    SELECT business_id, batch, string_agg(concat('ID: ', room_id, chr(10), 'Name: ', name, chr(10), 'Desc: ', coalesce(desc_text, ''), chr(10),
+      '---'), chr(10) ORDER BY room_id) AS rooms_text
     FROM b GROUP BY 1, 2""",
 )
 def tx14(spark, d):
@@ -41,7 +42,8 @@ def tx1(spark, d):
 
 _TRIM = lambda c: f"regexp_replace({c}, '^{text.S}+|{text.S}+$', '', 'g')"
 _WITHOUT_DAY = f"""CASE WHEN contains(name, '[평일]') OR contains(name, '(평일)') THEN {_TRIM("regexp_replace(name, '\\[평일\\]|\\(평일\\)', '', 'g')")}
-  WHEN contains(name, '[주말]') OR contains(name, '(주말)') OR contains(name, '주말/공휴일') THEN {_TRIM("regexp_replace(name, '\\[주말[^\\]]*\\]|\\(주말[^)]*\\)', '', 'g')")} ELSE name END"""
+  WHEN contains(name, '[주말]') OR contains(name, '(주말)') OR contains(name,
+      '주말/공휴일') THEN {_TRIM("regexp_replace(name, '\\[주말[^\\]]*\\]|\\(주말[^)]*\\)', '', 'g')")} ELSE name END"""
 _CLEAN = reduce(lambda c, p: _TRIM(f"regexp_replace({c}, '{p}', '', 'g')"), text.NAME_PARTS, _WITHOUT_DAY)
 
 
@@ -53,7 +55,8 @@ def tx4(spark, d):
 @query(
     "tx13_batch_answers",
     f"""{_PARSED}
-    SELECT room_id, cast(CASE WHEN cast(business_id AS int) % 10 <> 0 AND room_id % 3 <> 0 AND room_id % 60 < 50 THEN 1 + room_id % 60 ELSE m END AS int) AS max_capacity
+    SELECT room_id, cast(CASE WHEN cast(business_id AS int) % 10 <> 0 AND room_id % 3 <> 0 AND room_id % 60 < 50 THEN 1 + room_id % 60
+      ELSE m END AS int) AS max_capacity
     FROM parsed""",
 )
 def tx13(spark, d):
@@ -66,7 +69,8 @@ def tx13(spark, d):
     return co.parsed_batches(items, found, ["business_id", "batch"], "room_id").select("room_id", F.col("parsed.max_capacity").alias("max_capacity"))
 
 
-@query("st2_platform_results", f"""{with_clause('slot')} SELECT pos, CASE WHEN business_id = 'sadang' THEN NULL WHEN business_id IN ('dream_sadang', 'hongdae_dream') AND day >= 1996 THEN 'unknown'
+@query("st2_platform_results", f"""{with_clause('slot')} SELECT pos, CASE WHEN business_id = 'sadang' THEN NULL WHEN business_id IN ('dream_sadang',
+      'hongdae_dream') AND day >= 1996 THEN 'unknown'
  WHEN unit_booking_count < unit_stock THEN 'free' ELSE 'taken' END AS status, CASE WHEN business_id = 'sadang' THEN 'COMMON-001' END AS error_code FROM slot""")
 def st2(spark, d):
     status = F.when(F.col("unit_booking_count") < F.col("unit_stock"), "free").otherwise("taken")
@@ -97,7 +101,8 @@ def src2(spark, d):
 @query(
     "src3_rooms",
     f"""{with_clause('room')}
-    SELECT business_id, biz_item_id, CASE WHEN max_capacity > 3 THEN price_per_hour END AS price_per_hour, CASE WHEN max_capacity > 3 THEN 1 ELSE 0 END AS images
+    SELECT business_id, biz_item_id, CASE WHEN max_capacity > 3 THEN price_per_hour END AS price_per_hour, CASE WHEN max_capacity > 3 THEN 1
+      ELSE 0 END AS images
     FROM room""",
 )
 def src3(spark, d):
@@ -111,8 +116,11 @@ def src3(spark, d):
 
 @query(
     "html2_cells",
-    """WITH p AS (SELECT l_orderkey, string_agg(concat('<div id="reserve_time_', l_partkey, '_', 9 + l_linenumber, '" class="cell', CASE WHEN l_quantity > 25 THEN ' reserve_time_off' ELSE '' END, '">x</div>'), '' ORDER BY l_linenumber, l_partkey, l_quantity) AS html FROM lineitem GROUP BY 1)
-    SELECT l_orderkey, l_partkey, h AS hour, regexp_matches(html, concat('<div id="reserve_time_', l_partkey, '_', h, '" class="[^">]*reserve_time_off')) AS is_free
+    """WITH p AS (SELECT l_orderkey, string_agg(concat('<div id="reserve_time_', l_partkey, '_', 9 + l_linenumber, '" class="cell', CASE
+      WHEN l_quantity > 25 THEN ' reserve_time_off' ELSE '' END, '">x</div>'), '' ORDER BY l_linenumber, l_partkey, l_quantity) AS html FROM lineitem
+      GROUP BY 1)
+    SELECT l_orderkey, l_partkey, h AS hour, regexp_matches(html, concat('<div id="reserve_time_', l_partkey, '_', h,
+      '" class="[^">]*reserve_time_off')) AS is_free
     FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) JOIN p USING (l_orderkey), (SELECT unnest([10, 11, 12, 20]) AS h)""",
 )
 def html2(spark, d):
@@ -175,7 +183,8 @@ def flt16(spark, d):
 @query(
     "flt17_device_errors",
     f"""{with_clause('client')} SELECT event_id, CASE WHEN trim(coalesce(device, '')) = '' THEN 'required'
-    WHEN NOT regexp_matches(regexp_replace(regexp_replace(trim(device), '^(?i:urn:uuid:)', ''), '[{{}}-]', '', 'g'), '^[0-9a-fA-F]{{32}}$') THEN 'invalid format' END AS error FROM client""",
+    WHEN NOT regexp_matches(regexp_replace(regexp_replace(trim(device), '^(?i:urn:uuid:)', ''), '[{{}}-]', '', 'g'),
+      '^[0-9a-fA-F]{{32}}$') THEN 'invalid format' END AS error FROM client""",
 )
 def flt17(spark, d):
     return domain(spark, d, "client").select("event_id", checks.device_error(F.col("device")).alias("error"))
@@ -183,7 +192,8 @@ def flt17(spark, d):
 
 @query(
     "flt18_trace_ids",
-    f"""{with_clause('client')} SELECT event_id, CASE WHEN regexp_matches(lower(trace), '^[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}$') THEN trace END AS kept, 36 AS length FROM client""",
+    f"""{with_clause('client')} SELECT event_id, CASE WHEN regexp_matches(lower(trace),
+      '^[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}$') THEN trace END AS kept, 36 AS length FROM client""",
 )
 def flt18(spark, d):
     """Given ids that are kept; a new one takes the place of any other."""
@@ -193,7 +203,8 @@ def flt18(spark, d):
 
 @query(
     "flt19_client_ips",
-    f"""{with_clause('client')} SELECT event_id, coalesce(nullif(trim(cloud), ''), nullif(trim(split_part(forwarded, ',', 1)), ''), nullif(trim(real_ip), ''), nullif(trim(host), ''), 'unknown') AS ip FROM client""",
+    f"""{with_clause('client')} SELECT event_id, coalesce(nullif(trim(cloud), ''), nullif(trim(split_part(forwarded, ',', 1)), ''),
+      nullif(trim(real_ip), ''), nullif(trim(host), ''), 'unknown') AS ip FROM client""",
 )
 def flt19(spark, d):
     return domain(spark, d, "client").select("event_id", checks.client_ip(*map(F.col, ("cloud", "forwarded", "real_ip", "host"))).alias("ip"))
@@ -202,7 +213,8 @@ def flt19(spark, d):
 @query(
     "snk5_log_lines",
     """SELECT event_id AS pos, concat('{"timestamp":"', strftime(ts, '%Y-%m-%dT%H:%M:%S'), '","level":"', event_type, '","logger":"app.search","trace_id":', CASE WHEN event_id % 3 = 0 THEN 'null' ELSE concat('"t', event_id % 50, '"') END,
-    ',"message":"user ', user_id, ' token=***"', CASE WHEN event_id % 4 = 0 THEN ',"phone": "***", "pos": ' || event_id ELSE '' END, '}') AS line FROM events""",
+    ',"message":"user ', user_id, ' token=***"', CASE WHEN event_id % 4 = 0 THEN ',"phone": "***", "pos": ' || event_id ELSE '' END, '}') AS line
+      FROM events""",
 )
 def snk5(spark, d):
     """A quarter of the records have extra fields, a secret one among them."""
@@ -256,7 +268,8 @@ def dt4(spark, d):
 @query(
     "mp1_slot_lookup",
     f"""{with_clause('slot')}, l AS (SELECT *, row_number() OVER (PARTITION BY business_id, biz_item_id, day, hour ORDER BY pos DESC) AS k FROM slot)
-    SELECT business_id, biz_item_id, day, bool_or(hour = 10 AND unit_booking_count < unit_stock) AS at_ten, bool_or(hour = 20 AND unit_booking_count < unit_stock) AS at_twenty FROM l WHERE k = 1 GROUP BY 1, 2, 3""",
+    SELECT business_id, biz_item_id, day, bool_or(hour = 10 AND unit_booking_count < unit_stock) AS at_ten, bool_or(hour = 20
+      AND unit_booking_count < unit_stock) AS at_twenty FROM l WHERE k = 1 GROUP BY 1, 2, 3""",
 )
 def mp1(spark, d):
     look = lambda h: av.slot_status(F.col("slots"), F.lit(h))
@@ -275,8 +288,11 @@ def st1(spark, d):
     return merge.first_wins(co.union_pages(pages), ["business_id"], ["region_order", "pos"])
 
 
-@query("ag3_slot_maps", f"""{with_clause('slot')}, l AS (SELECT *, row_number() OVER (PARTITION BY business_id, biz_item_id, day, hour ORDER BY pos DESC) AS k FROM slot)
-SELECT biz_item_id, day, concat('{{{{', string_agg(concat('"', lpad(cast(hour AS varchar), 2, '0'), ':00":', CASE WHEN unit_booking_count < unit_stock THEN 'true' ELSE 'false' END), ',' ORDER BY hour), '}}}}') AS slots FROM l WHERE k = 1 GROUP BY business_id, biz_item_id, day""".replace("{{", "{").replace("}}", "}"))
+@query("ag3_slot_maps", f"""{with_clause('slot')}, l AS (SELECT *, row_number() OVER (PARTITION BY business_id, biz_item_id, day,
+      hour ORDER BY pos DESC) AS k FROM slot)
+SELECT biz_item_id, day, concat('{{{{', string_agg(concat('"', lpad(cast(hour AS varchar), 2, '0'), ':00":', CASE
+      WHEN unit_booking_count < unit_stock THEN 'true' ELSE 'false' END), ',' ORDER BY hour), '}}}}') AS slots FROM l WHERE k = 1
+      GROUP BY business_id, biz_item_id, day""".replace("{{", "{").replace("}}", "}"))
 def ag3(spark, d):
     return av.slot_maps(domain(spark, d, "slot")).select("biz_item_id", "day", F.to_json("slots").alias("slots"))
 
@@ -296,7 +312,8 @@ def ag6(spark, d):
 @query(
     "ag10_field_ranges",
     f"""{with_clause('room')}
-    SELECT min(max_capacity) AS least, max(max_capacity) AS most, min(price_per_hour) AS cheapest, max(price_per_hour) AS dearest, count(*) FILTER (WHERE max_capacity NOT BETWEEN 2 AND 15) AS outside
+    SELECT min(max_capacity) AS least, max(max_capacity) AS most, min(price_per_hour) AS cheapest, max(price_per_hour) AS dearest,
+      count(*) FILTER (WHERE max_capacity NOT BETWEEN 2 AND 15) AS outside
     FROM room""",
 )
 def ag10(spark, d):
@@ -321,8 +338,10 @@ def ag13(spark, d):
 _KEYS = ("substr(business_id, 2)", "concat(substr(business_id, 2), '-', cast(cast(substr(biz_item_id, 2) as int) % 5 as varchar(50)))")
 
 
-@query("jn10_favorite_rooms", f"""{with_clause('branch', 'room', 'favorite_change')}, {_FAVORITES}, k AS (SELECT DISTINCT device_id, {_KEYS[0]} AS business_id, {_KEYS[1]} AS biz_item_id FROM f)
-SELECT device_id, biz_item_id, price_per_hour, coalesce(b.name, '') AS branch FROM k JOIN room r USING (business_id, biz_item_id) JOIN branch b USING (business_id)""")
+@query("jn10_favorite_rooms", f"""{with_clause('branch', 'room', 'favorite_change')}, {_FAVORITES}, k AS (SELECT DISTINCT device_id,
+      {_KEYS[0]} AS business_id, {_KEYS[1]} AS biz_item_id FROM f)
+SELECT device_id, biz_item_id, price_per_hour, coalesce(b.name, '') AS branch FROM k JOIN room r USING (business_id, biz_item_id)
+      JOIN branch b USING (business_id)""")
 def jn10(spark, d):
     favorites = mrg4(spark, d).selectExpr("device_id", f"{_KEYS[0]} as business_id", f"{_KEYS[1]} as biz_item_id").distinct()
     rooms = av.rooms_with_branch(domain(spark, d, "room"), domain(spark, d, "branch"))
@@ -331,9 +350,12 @@ def jn10(spark, d):
 
 @query(
     "jn12_cascade_delete",
-    f"""{with_clause('branch', 'room', 'room_image')}, gone AS (SELECT business_id FROM branch WHERE lat IS NULL), shut AS (SELECT business_id, biz_item_id FROM room WHERE max_capacity > 14),
-    r AS (SELECT business_id, biz_item_id FROM room WHERE business_id NOT IN (SELECT business_id FROM gone) AND (business_id, biz_item_id) NOT IN (SELECT business_id, biz_item_id FROM shut))
-    SELECT business_id, biz_item_id, CAST(NULL AS BIGINT) AS image_id FROM r UNION ALL SELECT i.business_id, i.biz_item_id, i.image_id FROM room_image i JOIN r USING (business_id, biz_item_id)""",
+    f"""{with_clause('branch', 'room', 'room_image')}, gone AS (SELECT business_id FROM branch WHERE lat IS NULL), shut AS (SELECT business_id,
+      biz_item_id FROM room WHERE max_capacity > 14),
+    r AS (SELECT business_id, biz_item_id FROM room WHERE business_id NOT IN (SELECT business_id FROM gone) AND (business_id,
+      biz_item_id) NOT IN (SELECT business_id, biz_item_id FROM shut))
+    SELECT business_id, biz_item_id, CAST(NULL AS BIGINT) AS image_id FROM r UNION ALL SELECT i.business_id, i.biz_item_id, i.image_id
+      FROM room_image i JOIN r USING (business_id, biz_item_id)""",
 )
 def jn12(spark, d):
     """Branches without coordinates go with their rooms, the largest rooms by themselves, images with both."""

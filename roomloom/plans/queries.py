@@ -35,7 +35,8 @@ def _rooms(spark, d):
 _ROOMS = "rooms AS (SELECT r.*, coalesce(b.name, '') AS branch, b.lat, b.lng FROM room r JOIN branch b USING (business_id))"
 _MATCHES = """matches AS (SELECT q.*, r.business_id, r.biz_item_id, r.price_per_hour, r.lat, r.lng FROM request q JOIN rooms r
   ON r.lat >= sw_lat AND r.lat <= ne_lat AND r.lng >= sw_lng AND r.lng <= ne_lng AND r.max_capacity >= q.capacity)"""
-_RESULTS = """free AS (SELECT DISTINCT business_id, biz_item_id, day, hour FROM (SELECT *, row_number() OVER (PARTITION BY business_id, biz_item_id, day, hour ORDER BY pos DESC) AS k FROM slot)
+_RESULTS = """free AS (SELECT DISTINCT business_id, biz_item_id, day, hour FROM (SELECT *, row_number() OVER (PARTITION BY business_id, biz_item_id,
+      day, hour ORDER BY pos DESC) AS k FROM slot)
   WHERE k = 1 AND unit_booking_count < unit_stock),
 results AS (SELECT m.*, (SELECT count(*) FROM free f WHERE f.business_id = m.business_id AND f.biz_item_id = m.biz_item_id AND f.day = m.day
   AND f.hour BETWEEN m.start_hour AND m.end_hour) = m.end_hour - m.start_hour + 1 AS available FROM matches m)"""
@@ -88,8 +89,10 @@ def ag4(spark, d):
     own AS (SELECT m.request_id, string_agg(m.biz_item_id, ',' ORDER BY m.business_id, m.biz_item_id) AS ids,
       string_agg(concat(m.biz_item_id, ':', r.branch, ':', m.price_per_hour), ',' ORDER BY m.business_id, m.biz_item_id) AS rooms
       FROM results m JOIN rooms r USING (business_id, biz_item_id) WHERE available GROUP BY 1),
-    b AS (SELECT request_id, string_agg(concat(business_id, ':', min_price, ':', available_count, ':', cast(round(lat * 100) AS int)), ',' ORDER BY business_id) AS branches FROM summary GROUP BY 1)
-    SELECT q.request_id, (SELECT string_agg(concat(lpad(cast(h AS varchar), 2, '0'), ':00'), ',' ORDER BY h) FROM unnest(range(start_hour, end_hour + 1)) t(h)) AS hour_slots,
+    b AS (SELECT request_id, string_agg(concat(business_id, ':', min_price, ':', available_count, ':', cast(round(lat * 100) AS int)),
+      ',' ORDER BY business_id) AS branches FROM summary GROUP BY 1)
+    SELECT q.request_id, (SELECT string_agg(concat(lpad(cast(h AS varchar), 2, '0'), ':00'), ',' ORDER BY h) FROM unnest(range(start_hour,
+      end_hour + 1)) t(h)) AS hour_slots,
       coalesce(ids, '') AS ids, coalesce(rooms, '') AS rooms, coalesce(branches, '') AS branches
     FROM request q LEFT JOIN own USING (request_id) LEFT JOIN b USING (request_id)""",
 )
@@ -105,14 +108,16 @@ def ag5(spark, d):
 @query(
     "flt4_route",
     f"""{with_clause('branch')}
-    SELECT business_id, CASE business_id WHEN 'dream_sadang' THEN 'dream' WHEN 'sadang' THEN 'groove' WHEN 'hongdae_dream' THEN 'dream' ELSE 'naver' END AS platform
+    SELECT business_id, CASE business_id WHEN 'dream_sadang' THEN 'dream' WHEN 'sadang' THEN 'groove' WHEN 'hongdae_dream' THEN 'dream'
+      ELSE 'naver' END AS platform
     FROM branch""",
 )
 def flt4(spark, d):
     return domain(spark, d, "branch").select("business_id", av.platform(F.col("business_id")).alias("platform"))
 
 
-@query("flt24_horizon", f"""{with_clause('branch')} SELECT business_id, days, CASE business_id WHEN 'dream_sadang' THEN days >= 121 WHEN 'sadang' THEN days >= 84 WHEN 'hongdae_dream' THEN days >= 121 ELSE false END AS beyond
+@query("flt24_horizon", f"""{with_clause('branch')} SELECT business_id, days, CASE business_id WHEN 'dream_sadang' THEN days >= 121
+      WHEN 'sadang' THEN days >= 84 WHEN 'hongdae_dream' THEN days >= 121 ELSE false END AS beyond
 FROM branch, (VALUES (83), (84), (120), (121)) t(days)""")
 def flt24(spark, d):
     days = domain(spark, d, "branch").withColumn("days", F.explode(F.array(*map(F.lit, (83, 84, 120, 121)))))
@@ -201,20 +206,24 @@ def ag7(spark, d):
     return p.rollup("query").agg(F.count_if(F.col("reason").isNull()).alias("success"), F.count_if(F.col("reason").isNotNull()).alias("failure"))
 
 
-@query("mrg3_sync_coordinates", f"""{with_clause('branch', 'place')}, good AS (SELECT *, cast(y AS double) AS lat, cast(x AS double) AS lng FROM place WHERE {_COORD} IS NULL),
+@query("mrg3_sync_coordinates", f"""{with_clause('branch', 'place')}, good AS (SELECT *, cast(y AS double) AS lat, cast(x AS double) AS lng
+      FROM place WHERE {_COORD} IS NULL),
 h AS (SELECT business_id, arg_min(name, pos) AS name, arg_max(lat, pos) AS lat, arg_max(lng, pos) AS lng FROM good GROUP BY 1)
-SELECT coalesce(b.business_id, h.business_id) AS business_id, coalesce(b.name, h.name) AS name, CASE WHEN h.business_id IS NULL THEN b.lat ELSE h.lat END AS lat, CASE WHEN h.business_id IS NULL THEN b.lng ELSE h.lng END AS lng
+SELECT coalesce(b.business_id, h.business_id) AS business_id, coalesce(b.name, h.name) AS name, CASE WHEN h.business_id IS NULL THEN b.lat
+      ELSE h.lat END AS lat, CASE WHEN h.business_id IS NULL THEN b.lng ELSE h.lng END AS lng
 FROM branch b FULL JOIN h ON b.business_id = h.business_id""")
 def mrg3(spark, d):
     good = domain(spark, d, "place").filter(checks.coordinate_error(F.col("x"), F.col("y")).isNull())
     return merge.sync_coordinates(domain(spark, d, "branch"), good.select("business_id", "name", "pos", F.col("y").cast("double").alias("lat"), F.col("x").cast("double").alias("lng")))
 
 
-_KEPT = """CASE WHEN n.business_id IS NULL THEN o.{0} WHEN coalesce(n.{0}, 100) IN (0, 1, 100) AND o.{0} > 1 AND o.{0} <> 100 THEN o.{0} ELSE coalesce(n.{0}, 100) END AS {0}"""
+_KEPT = """CASE WHEN n.business_id IS NULL THEN o.{0} WHEN coalesce(n.{0}, 100) IN (0, 1, 100) AND o.{0} > 1 AND o.{0} <> 100 THEN o.{0}
+      ELSE coalesce(n.{0}, 100) END AS {0}"""
 _NEWEST = "CASE WHEN n.business_id IS NULL THEN o.{0} ELSE {1} END AS {0}"
 _MERGED = f"""merged AS (SELECT coalesce(o.business_id, n.business_id) AS business_id, coalesce(o.biz_item_id, n.biz_item_id) AS biz_item_id,
   {_KEPT.format('max_capacity')}, {_KEPT.format('recommend_capacity')},
-  CASE WHEN n.business_id IS NULL THEN o.price_per_hour WHEN coalesce(n.price_per_hour, 0) = 0 AND o.price_per_hour > 0 THEN o.price_per_hour ELSE n.price_per_hour END AS price_per_hour,
+  CASE WHEN n.business_id IS NULL THEN o.price_per_hour WHEN coalesce(n.price_per_hour, 0) = 0 AND o.price_per_hour > 0 THEN o.price_per_hour
+      ELSE n.price_per_hour END AS price_per_hour,
   {_NEWEST.format('name', 'n.name')}, {_NEWEST.format('base_capacity', 'n.base_capacity')}, {_NEWEST.format('extra_charge', 'n.extra_charge')},
   {_NEWEST.format('requires_call', 'coalesce(n.requires_call, false)')}, {_NEWEST.format('image_urls', 'coalesce(n.image_urls, [])')},
   coalesce(o.can_reserve_one_hour, true) AS can_reserve_one_hour
@@ -236,7 +245,8 @@ def mrg2(spark, d):
 @query(
     "flt13_rule_report",
     f"""{with_clause('room', 'incoming_room')}, {_MERGED} SELECT rule, count(*) AS n
-    FROM (SELECT unnest([CASE WHEN price_per_hour < 0 THEN 'price' END, CASE WHEN max_capacity < 1 THEN 'max' END, CASE WHEN max_capacity < recommend_capacity THEN 'max_recommend' END]) AS rule
+    FROM (SELECT unnest([CASE WHEN price_per_hour < 0 THEN 'price' END, CASE WHEN max_capacity < 1 THEN 'max' END, CASE
+      WHEN max_capacity < recommend_capacity THEN 'max_recommend' END]) AS rule
     FROM merged) WHERE rule IS NOT NULL GROUP BY rule""",
 )
 def flt13(spark, d):
@@ -245,8 +255,10 @@ def flt13(spark, d):
     return _merged(spark, d).select(F.explode(broken).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query("mrg1_branch_upsert", f"""{with_clause('branch')}, n AS (SELECT business_id, concat(name, '!') AS name, lat + 1 AS lat, CAST(NULL AS double) AS lng FROM branch WHERE lat > 37.5e0)
-SELECT b.business_id, coalesce(n.name, b.name) AS name, CASE WHEN n.business_id IS NULL THEN b.lat ELSE n.lat END AS lat, CASE WHEN n.business_id IS NULL THEN b.lng ELSE n.lng END AS lng FROM branch b LEFT JOIN n USING (business_id)""")
+@query("mrg1_branch_upsert", f"""{with_clause('branch')}, n AS (SELECT business_id, concat(name, '!') AS name, lat + 1 AS lat,
+      CAST(NULL AS double) AS lng FROM branch WHERE lat > 37.5e0)
+SELECT b.business_id, coalesce(n.name, b.name) AS name, CASE WHEN n.business_id IS NULL THEN b.lat ELSE n.lat END AS lat, CASE
+      WHEN n.business_id IS NULL THEN b.lng ELSE n.lng END AS lng FROM branch b LEFT JOIN n USING (business_id)""")
 def mrg1(spark, d):
     b = domain(spark, d, "branch")
     news = b.filter("lat > 37.5e0").select("business_id", F.concat("name", F.lit("!")).alias("name"), (F.col("lat") + 1).alias("lat"), F.lit(None).cast("double").alias("lng"))
@@ -274,7 +286,8 @@ def ag12(spark, d):
 
 @query(
     "ag14_rate_breaches",
-    f"""{with_clause('request_log')} SELECT right(ip, 1) AS ip, date_trunc('minute', ts) AS start, count(*) AS n FROM request_log GROUP BY 1, 2 HAVING count(*) > 1""",
+    f"""{with_clause('request_log')} SELECT right(ip, 1) AS ip, date_trunc('minute', ts) AS start, count(*) AS n FROM request_log GROUP BY 1,
+      2 HAVING count(*) > 1""",
 )
 def ag14(spark, d):
     """Breaches of a gateway, which many users share, in windows of a minute; the log is thin, so the limit is one."""
@@ -284,7 +297,8 @@ def ag14(spark, d):
 @query(
     "ag11_error_report",
     f"""{with_clause('request_log')} SELECT CASE level WHEN 'error' THEN 'ERROR' ELSE 'WARNING' END AS level,
-    CASE level WHEN 'error' THEN 500 WHEN 'click' THEN 429 ELSE 400 END AS status, CASE level WHEN 'error' THEN 'COMMON-001' ELSE concat('X-', level) END AS error_code, count(*) AS n
+    CASE level WHEN 'error' THEN 500 WHEN 'click' THEN 429 ELSE 400 END AS status, CASE level WHEN 'error' THEN 'COMMON-001' ELSE concat('X-',
+      level) END AS error_code, count(*) AS n
     FROM request_log WHERE level <> 'view' GROUP BY 1, 2, 3""",
 )
 def ag11(spark, d):
@@ -304,8 +318,10 @@ def _kept_tables(spark, d):
 @query(
     "jn11_orphans",
     f"""{with_clause('branch', 'room', 'room_image')}, b AS (SELECT * FROM branch WHERE lat IS NOT NULL), r AS (SELECT * FROM room WHERE max_capacity % 3 <> 0)
-    SELECT 'room' AS child, business_id, biz_item_id, CAST(NULL AS BIGINT) AS image_id FROM r WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.business_id = r.business_id)
-    UNION ALL SELECT 'room_image', business_id, biz_item_id, image_id FROM room_image i WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.business_id = i.business_id AND r.biz_item_id = i.biz_item_id)""",
+    SELECT 'room' AS child, business_id, biz_item_id, CAST(NULL AS BIGINT) AS image_id FROM r WHERE NOT EXISTS (SELECT 1 FROM b
+      WHERE b.business_id = r.business_id)
+    UNION ALL SELECT 'room_image', business_id, biz_item_id, image_id FROM room_image i WHERE NOT EXISTS (SELECT 1 FROM r
+      WHERE r.business_id = i.business_id AND r.biz_item_id = i.biz_item_id)""",
 )
 def jn11(spark, d):
     found = references.orphans(_kept_tables(spark, d))
@@ -313,8 +329,10 @@ def jn11(spark, d):
     return one("room", F.lit(None)).unionByName(one("room_image", F.col("image_id")))
 
 
-@query("jn13_answer_mismatch", f"""{with_clause('room', 'incoming_room')} SELECT coalesce(a.biz_item_id, b.biz_item_id) AS biz_item_id, CASE WHEN b.biz_item_id IS NULL THEN 'unanswered' ELSE 'unasked' END AS side
-FROM (SELECT * FROM room WHERE max_capacity > 5) a FULL JOIN incoming_room b ON a.biz_item_id = b.biz_item_id WHERE a.biz_item_id IS NULL OR b.biz_item_id IS NULL""")
+@query("jn13_answer_mismatch", f"""{with_clause('room', 'incoming_room')} SELECT coalesce(a.biz_item_id, b.biz_item_id) AS biz_item_id, CASE
+      WHEN b.biz_item_id IS NULL THEN 'unanswered' ELSE 'unasked' END AS side
+FROM (SELECT * FROM room WHERE max_capacity > 5) a FULL JOIN incoming_room b ON a.biz_item_id = b.biz_item_id
+      WHERE a.biz_item_id IS NULL OR b.biz_item_id IS NULL""")
 def jn13(spark, d):
     a = domain(spark, d, "room").filter("max_capacity > 5").select(F.col("biz_item_id").alias("a"))
     b = domain(spark, d, "incoming_room").select(F.col("biz_item_id").alias("b"))
@@ -328,25 +346,33 @@ def _parsed(spark, d):
 
 _NUM = lambda c, p, g=1: f"try_cast(translate(regexp_extract({c}, '{p}', {g}), '０１２３４５６７８９,', '0123456789') AS int)"
 _CAP = lambda c: f"""CASE WHEN {_NUM(c, text.BOTH, 2)} IS NOT NULL THEN {{{{'m': {_NUM(c, text.BOTH, 2)}, 'r': {_NUM(c, text.BOTH, 1)}}}}}
- WHEN {_NUM(c, text.RANGE)} IS NOT NULL THEN {{{{'m': coalesce(nullif({_NUM(c, text.MOST)}, 0), nullif({_NUM(c, text.UP_TO)}, 0), nullif({_NUM(c, text.POSSIBLE)}, 0), nullif({_NUM(c, text.MINUS)}, 0), {_NUM(c, text.RANGE, 2)}), 'r': ({_NUM(c, text.RANGE)} + {_NUM(c, text.RANGE, 2)}) // 2}}}}
- WHEN {_NUM(c, text.ADVISED)} IS NOT NULL AND {_NUM(c, text.QUOTA)} IS NULL THEN {{{{'m': coalesce(nullif({_NUM(c, text.MOST)}, 0), {_NUM(c, text.ADVISED, 2)}), 'r': ({_NUM(c, text.ADVISED)} + {_NUM(c, text.ADVISED, 2)}) // 2}}}}
- ELSE {{{{'m': coalesce(nullif({_NUM(c, text.MOST)}, 0), nullif({_NUM(c, text.UP_TO)}, 0), nullif({_NUM(c, text.POSSIBLE)}, 0), {_NUM(c, text.MINUS)}), 'r': {_NUM(c, text.QUOTA)}}}}} END"""
+ WHEN {_NUM(c, text.RANGE)} IS NOT NULL THEN {{{{'m': coalesce(nullif({_NUM(c, text.MOST)}, 0), nullif({_NUM(c, text.UP_TO)}, 0),
+      nullif({_NUM(c, text.POSSIBLE)}, 0), nullif({_NUM(c, text.MINUS)}, 0), {_NUM(c, text.RANGE, 2)}),
+      'r': ({_NUM(c, text.RANGE)} + {_NUM(c, text.RANGE, 2)}) // 2}}}}
+ WHEN {_NUM(c, text.ADVISED)} IS NOT NULL AND {_NUM(c, text.QUOTA)} IS NULL THEN {{{{'m': coalesce(nullif({_NUM(c, text.MOST)}, 0),
+      {_NUM(c, text.ADVISED, 2)}), 'r': ({_NUM(c, text.ADVISED)} + {_NUM(c, text.ADVISED, 2)}) // 2}}}}
+ ELSE {{{{'m': coalesce(nullif({_NUM(c, text.MOST)}, 0), nullif({_NUM(c, text.UP_TO)}, 0), nullif({_NUM(c, text.POSSIBLE)}, 0),
+      {_NUM(c, text.MINUS)}), 'r': {_NUM(c, text.QUOTA)}}}}} END"""
 _PARSED = f"""{with_clause('room_text')}, t AS (SELECT *, coalesce(desc_text, '') AS de FROM room_text),
 c AS (SELECT *, {_CAP('de')} AS x, {_CAP('name')} AS y FROM t),
 p AS (SELECT *, CASE WHEN x.m IS NULL AND x.r IS NULL THEN y.m ELSE x.m END AS m, CASE WHEN x.m IS NULL AND x.r IS NULL THEN y.r ELSE x.r END AS r0 FROM c),
-parsed AS (SELECT *, CASE WHEN m IS NOT NULL AND r0 IS NULL THEN CASE WHEN m > 4 THEN m // 2 ELSE m END ELSE r0 END AS r FROM p)""".replace("{{", "{").replace("}}", "}")
+parsed AS (SELECT *, CASE WHEN m IS NOT NULL AND r0 IS NULL THEN CASE WHEN m > 4 THEN m // 2 ELSE m END ELSE r0 END AS r
+      FROM p)""".replace("{{", "{").replace("}}", "}")
 
 
 @query("tx11_parse_rooms", f"""{_PARSED} SELECT room_id, cast(m AS int) AS max_capacity, cast(r AS int) AS recommend_capacity,
- CASE WHEN contains(name, '[평일]') OR contains(name, '(평일)') THEN 'weekday' WHEN contains(name, '[주말]') OR contains(name, '(주말)') OR contains(name, '주말/공휴일') THEN 'weekend' END AS day_type,
- {_NUM('de', text.BASE)} AS base_capacity, {_NUM('de', text.EXTRA.removeprefix('(?d)'))} AS extra_charge, contains(de, '당일') AND (contains(de, '전화') OR contains(de, '문의')) AS requires_call FROM parsed""")
+ CASE WHEN contains(name, '[평일]') OR contains(name, '(평일)') THEN 'weekday' WHEN contains(name, '[주말]') OR contains(name, '(주말)') OR contains(name,
+      '주말/공휴일') THEN 'weekend' END AS day_type,
+ {_NUM('de', text.BASE)} AS base_capacity, {_NUM('de', text.EXTRA.removeprefix('(?d)'))} AS extra_charge, contains(de, '당일') AND (contains(de,
+      '전화') OR contains(de, '문의')) AS requires_call FROM parsed""")
 def tx11(spark, d):
     return _parsed(spark, d).select("room_id", *(F.col(f"p.{c}").alias(c) for c in ("max_capacity", "recommend_capacity", "day_type", "base_capacity", "extra_charge", "requires_call")))
 
 
 @query(
     "tx12_cascade",
-    f"""{_PARSED} SELECT room_id, cast(CASE WHEN contains(name, '대형') THEN 15 WHEN coalesce(m, 0) <> 0 THEN m WHEN said_max BETWEEN 1 AND 50 THEN said_max ELSE m END AS int) AS max_capacity,
+    f"""{_PARSED} SELECT room_id, cast(CASE WHEN contains(name, '대형') THEN 15 WHEN coalesce(m, 0) <> 0 THEN m WHEN said_max BETWEEN 1
+      AND 50 THEN said_max ELSE m END AS int) AS max_capacity,
     coalesce(NOT contains(name, '대형') AND coalesce(m, 0) = 0 AND said_max BETWEEN 1 AND 50, false) AS by_model FROM parsed""",
 )
 def tx12(spark, d):
@@ -402,7 +428,8 @@ def flt23(spark, d):
 @query(
     "snk4_samples",
     f"""{with_clause('room_text')}, {_FLAGS} SELECT business_id, count(*) AS rooms,
-    string_agg(concat(room_id, ':', name, ':', has_desc, ':', coalesce(cast(min_price AS varchar), 'none'), ':', images, ':', name_has_tag), ',' ORDER BY room_id) AS listed FROM f GROUP BY 1""",
+    string_agg(concat(room_id, ':', name, ':', has_desc, ':', coalesce(cast(min_price AS varchar), 'none'), ':', images, ':', name_has_tag),
+      ',' ORDER BY room_id) AS listed FROM f GROUP BY 1""",
 )
 def snk4(spark, d):
     """What a business's line of the sample file holds."""
@@ -424,8 +451,10 @@ def wn5(spark, d):
     "wn6_capacity_guess",
     f"""{_PARSED}, k AS (SELECT room_id, business_id, min_price AS price, cast(m AS int) AS m FROM parsed),
     w AS (SELECT *, CASE WHEN m IS NOT NULL AND price IS NOT NULL THEN {{'p': price, 'm': m}} END AS known FROM k),
-    x AS (SELECT *, last_value(known IGNORE NULLS) OVER (PARTITION BY business_id ORDER BY price NULLS FIRST, room_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lo,
-      first_value(known IGNORE NULLS) OVER (PARTITION BY business_id ORDER BY price NULLS FIRST, room_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM w)
+    x AS (SELECT *, last_value(known IGNORE NULLS) OVER (PARTITION BY business_id ORDER BY price NULLS FIRST,
+      room_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lo,
+      first_value(known IGNORE NULLS) OVER (PARTITION BY business_id ORDER BY price NULLS FIRST, room_id ROWS BETWEEN CURRENT ROW
+      AND UNBOUNDED FOLLOWING) AS hi FROM w)
     SELECT room_id, coalesce(m, CASE WHEN lo IS NOT NULL AND hi IS NOT NULL AND price IS NOT NULL THEN
       CASE WHEN hi.p = lo.p THEN lo.m ELSE cast(floor(lo.m + (price - lo.p) / (hi.p - lo.p) * (hi.m - lo.m)) AS int) END END) AS guess FROM x""",
 )
@@ -461,17 +490,24 @@ def src1(spark, d):
     return payloads.places(states).select("query", "id", "name", "x", "y")
 
 
-_PAGES = """lab AS (SELECT l_orderkey, l_linenumber, lpad(cast(9 + l_linenumber % 4 AS varchar), 2, '0') AS hour, l_quantity AS q, CASE WHEN l_quantity > 25 THEN ' active' ELSE '' END AS mark, l_partkey % 5 AS form FROM lineitem),
-pages AS (SELECT l_orderkey, string_agg(CASE form WHEN 0 THEN concat('<!-- <label class="active" title="', hour, '시00분"> -->') WHEN 1 THEN concat('<label class="time', mark, '" title="a > ', hour, '시00분">x</label>')
-  WHEN 2 THEN concat('<LABEL title=', hour, '시00분 class=', CASE WHEN q > 25 THEN 'active' ELSE 'x' END, '>') WHEN 3 THEN concat('<script>s = "<label class=active title=', hour, '시00분>"</script>')
-  ELSE concat('<label data-title="', hour, '시00분" class="time', mark, '" title=''2024-05-20 ', hour, '시00분 (월)''>x') END, '' ORDER BY l_linenumber, q, form) AS html FROM lab GROUP BY 1)"""
+_PAGES = """lab AS (SELECT l_orderkey, l_linenumber, lpad(cast(9 + l_linenumber % 4 AS varchar), 2, '0') AS hour, l_quantity AS q, CASE
+      WHEN l_quantity > 25 THEN ' active' ELSE '' END AS mark, l_partkey % 5 AS form FROM lineitem),
+pages AS (SELECT l_orderkey, string_agg(CASE form WHEN 0 THEN concat('<!-- <label class="active" title="', hour, '시00분"> -->')
+      WHEN 1 THEN concat('<label class="time', mark, '" title="a > ', hour, '시00분">x</label>')
+  WHEN 2 THEN concat('<LABEL title=', hour, '시00분 class=', CASE WHEN q > 25 THEN 'active' ELSE 'x' END, '>')
+      WHEN 3 THEN concat('<script>s = "<label class=active title=', hour, '시00분>"</script>')
+  ELSE concat('<label data-title="', hour, '시00분" class="time', mark, '" title=''2024-05-20 ', hour, '시00분 (월)''>x') END, '' ORDER BY l_linenumber, q,
+      form) AS html FROM lab GROUP BY 1)"""
 
 
 @query(
     "html1_labels",
-    f"""WITH {_PAGES}, t AS (SELECT l_orderkey, list_filter(regexp_extract_all(html, '<!--.*?-->|<script>.*?</script>|<(?i:label)(?:[^>"'']|"[^"]*"|''[^'']*'')*>'), lambda x: lower(x[:6]) = '<label') AS t FROM pages),
-    m AS (SELECT l_orderkey, list_transform(t, lambda x: {{'title': regexp_extract(x, ' title=("[^"]*"|''[^'']*''|[^ >]*)', 1), 'class': regexp_extract(x, ' class=("[^"]*"|''[^'']*''|[^ >]*)', 1)}}) AS m FROM t), hours AS (SELECT unnest([9, 10, 11, 12, 13]) AS hour)
-    SELECT l_orderkey, hour, coalesce(regexp_matches(list_filter(m, lambda x: contains(x.title, concat(lpad(cast(hour AS varchar), 2, '0'), '시00분')))[1].class, '(^|[" ])active($|[" ])'), false) AS is_free FROM m, hours""",
+    f"""WITH {_PAGES}, t AS (SELECT l_orderkey, list_filter(regexp_extract_all(html,
+      '<!--.*?-->|<script>.*?</script>|<(?i:label)(?:[^>"'']|"[^"]*"|''[^'']*'')*>'), lambda x: lower(x[:6]) = '<label') AS t FROM pages),
+    m AS (SELECT l_orderkey, list_transform(t, lambda x: {{'title': regexp_extract(x, ' title=("[^"]*"|''[^'']*''|[^ >]*)', 1),
+      'class': regexp_extract(x, ' class=("[^"]*"|''[^'']*''|[^ >]*)', 1)}}) AS m FROM t), hours AS (SELECT unnest([9, 10, 11, 12, 13]) AS hour)
+    SELECT l_orderkey, hour, coalesce(regexp_matches(list_filter(m, lambda x: contains(x.title, concat(lpad(cast(hour AS varchar), 2, '0'),
+      '시00분')))[1].class, '(^|[" ])active($|[" ])'), false) AS is_free FROM m, hours""",
 )
 def html1(spark, d):
     """The escaped page of an order has a label for each line, several of one hour among them; the
@@ -499,8 +535,10 @@ def html1(spark, d):
 #: The same rules without back-references, which DuckDB's patterns lack.
 _KEY = f"(?:\"(?:{masking.KEYS})\"|''(?:{masking.KEYS})''|(?:{masking.KEYS}))"
 _MASKED = lambda c: (
-    rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '({masking.HEADERS}){masking.S}*:{masking.S}*[^;\n]+', '\1: ***', 'gi'),
-    '({_KEY}{masking.S}*[:=]{masking.S}*)(?:(")[^"\n]*"|('')[^''\n]*'')', '\1\2\3***\2\3', 'gi'), '({_KEY}{masking.S}*[:=]{masking.S}*)[^"'',{masking.BLANKS};&]+', '\1***', 'gi'),
+    rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '({masking.HEADERS}){masking.S}*:{masking.S}*[^;\n]+',
+      '\1: ***', 'gi'),
+    '({_KEY}{masking.S}*[:=]{masking.S}*)(?:(")[^"\n]*"|('')[^''\n]*'')', '\1\2\3***\2\3', 'gi'),
+      '({_KEY}{masking.S}*[:=]{masking.S}*)[^"'',{masking.BLANKS};&]+', '\1***', 'gi'),
     '{masking.EMAIL}', '***@***.***', 'g'), '{masking.PHONE}', '***-****-****', 'g')"""
 )
 
@@ -513,8 +551,10 @@ def mk6(spark, d):
 
 @query(
     "mk7_masked_bodies",
-    f"""WITH b AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN NULL ELSE concat('user_id=', user_id, '&kind=', event_type, ' token :　"a b', event_id, '" from jo', event_id, '@example.org, 010-1234-', 1000 + event_id % 9000) END AS body FROM events)
-    SELECT event_id, CASE WHEN event_id % 2 = 0 THEN concat('{{"event": ', event_id, ', "user_id": "***", "more": {{"Token": "***", "kind": "', event_type, '"}}}}') ELSE {_MASKED('b.body')} END AS body
+    f"""WITH b AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN NULL ELSE concat('user_id=', user_id, '&kind=', event_type, ' token :　"a b',
+      event_id, '" from jo', event_id, '@example.org, 010-1234-', 1000 + event_id % 9000) END AS body FROM events)
+    SELECT event_id, CASE WHEN event_id % 2 = 0 THEN concat('{{"event": ', event_id, ', "user_id": "***", "more": {{"Token": "***", "kind": "',
+      event_type, '"}}}}') ELSE {_MASKED('b.body')} END AS body
     FROM events JOIN b USING (event_id)""",
 )
 def mk7(spark, d):

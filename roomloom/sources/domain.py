@@ -32,7 +32,8 @@ TABLES: dict[str, tuple[str, str]] = {
         cast(case when l_suppkey % 5 = 0 then null when l_suppkey % 5 = 1 then 100 else 2 + l_suppkey % 4 end as int) as recommend_capacity,
         cast(case when l_suppkey % 3 = 0 then null when l_suppkey % 3 = 1 then 0 else floor(max(l_extendedprice)) end as int) as price_per_hour,
         concat('[new] room ', cast(l_partkey % 5 as varchar(50))) as name, cast(case when l_suppkey % 2 = 0 then null else 3 end as int) as base_capacity,
-        cast(case when l_suppkey % 5 = 0 then null else 2500 end as int) as extra_charge, case when l_suppkey % 3 = 0 then null else l_suppkey % 3 = 1 end as requires_call,
+        cast(case when l_suppkey % 5 = 0 then null else 2500 end as int) as extra_charge, case when l_suppkey % 3 = 0 then null
+      else l_suppkey % 3 = 1 end as requires_call,
         case when l_suppkey % 7 = 0 then null else split(concat('new', cast(l_partkey % 5 as varchar(50)), '.jpg'), ',') end as image_urls
         from lineitem where l_partkey % 5 <> 2 group by l_suppkey, l_partkey % 5"""),
     "slot": ("lineitem", f"""select {_LINE} as business_id, {_ITEM} as biz_item_id, cast(year(l_shipdate) as int) as day,
@@ -43,38 +44,53 @@ TABLES: dict[str, tuple[str, str]] = {
         37.35e0 + (o_custkey % 30) * 0.01e0 as sw_lat, 126.70e0 + (o_orderkey % 20) * 0.02e0 as sw_lng,
         37.35e0 + (o_custkey % 30) * 0.01e0 + 0.05e0 as ne_lat, 126.70e0 + (o_orderkey % 20) * 0.02e0 + 0.08e0 as ne_lng from orders"""),
     "raw_request": ("orders", """select o_orderkey as request_id,
-        case when o_orderkey % 7 = 0 then '2024/01/02' when o_orderkey % 7 = 1 then '2024-02-30' else concat(cast(1995 + o_orderkey % 60 as varchar(50)), '-06-15') end as date,
+        case when o_orderkey % 7 = 0 then '2024/01/02' when o_orderkey % 7 = 1 then '2024-02-30'
+      else concat(cast(1995 + o_orderkey % 60 as varchar(50)), '-06-15') end as date,
         case when o_orderkey % 10 = 3 then '9:00' else concat(cast(10 + o_custkey % 12 as varchar(50)), ':00') end as start_hour,
         concat(cast(12 + o_orderkey % 9 as varchar(50)), ':30') as end_hour,
-        case when o_custkey % 13 = 0 then 91e0 else 37e0 + o_custkey % 3 end as sw_lat, case when o_custkey % 17 = 0 then 181e0 else 126e0 + o_orderkey % 3 end as sw_lng,
+        case when o_custkey % 13 = 0 then 91e0 else 37e0 + o_custkey % 3 end as sw_lat, case when o_custkey % 17 = 0 then 181e0
+      else 126e0 + o_orderkey % 3 end as sw_lng,
         38e0 + o_custkey % 2 as ne_lat, 127e0 + o_orderkey % 2 as ne_lng, cast(2 + o_custkey % 18 as int) as capacity from orders"""),
-    "place": ("orders", """select cast(o_custkey as varchar(50)) as business_id, o_orderpriority as query, o_orderkey as pos, cast(o_orderkey % 35 as int) as region_order,
+    "place": ("orders", """select cast(o_custkey as varchar(50)) as business_id, o_orderpriority as query, o_orderkey as pos,
+      cast(o_orderkey % 35 as int) as region_order,
         concat('biz-', cast(o_orderkey as varchar(50))) as name, '127' as x,
-        case when o_orderkey % 11 = 0 then null when o_orderkey % 13 = 0 then 'n/a' else concat('37.', cast(2 + o_orderkey % 7 as varchar(50))) end as y from orders"""),
-    "room_text": ("part", """select room_id, business_id, case when room_id % 11 = 3 then replace(name, ' ', ' ') when room_id % 11 = 5 then translate(name, '0123456789', '０１２３４５６７８９') else name end as name,
-        case when room_id % 13 = 5 then replace(desc_text, ' ', '　') when room_id % 13 = 7 then translate(desc_text, '0123456789', '０１２３４５６７８９') else desc_text end as desc_text, min_price, image_count, said_max
+        case when o_orderkey % 11 = 0 then null when o_orderkey % 13 = 0 then 'n/a' else concat('37.',
+      cast(2 + o_orderkey % 7 as varchar(50))) end as y from orders"""),
+    "room_text": ("part", """select room_id, business_id, case when room_id % 11 = 3 then replace(name, ' ', ' ')
+      when room_id % 11 = 5 then translate(name, '0123456789', '０１２３４５６７８９') else name end as name,
+        case when room_id % 13 = 5 then replace(desc_text, ' ', '　') when room_id % 13 = 7 then translate(desc_text, '0123456789', '０１２３４５６７８９')
+      else desc_text end as desc_text, min_price, image_count, said_max
         from (select p_partkey as room_id, cast(p_partkey % 97 as varchar(50)) as business_id,
         case p_partkey % 6 when 0 then concat('[평일] ', p_name) when 1 then concat(p_name, ' (주말)') when 2 then concat('[주말/공휴일] ', p_name)
              when 3 then concat(p_name, ' (정원 ', cast(p_size as varchar(50)), '명, 최대 ', cast(p_size + 5 as varchar(50)), '명)')
              when 4 then concat(p_name, ' (-', cast(p_size as varchar(50)), '명)') else concat('대형 ', p_name) end as name,
         case p_partkey % 7 when 0 then concat('최대 ', cast(p_size as varchar(50)), '인 수용 가능')
              when 1 then concat(cast(p_size as varchar(50)), '~', cast(p_size + 2 as varchar(50)), '인 권장, Max ', cast(p_size + 4 as varchar(50)), '인')
-             when 2 then concat('기본 ', cast(1 + p_size % 6 as varchar(50)), '인, ', case p_partkey % 3 when 0 then '1인 추가시 3,000 원' when 1 then concat('인당 ', cast(500 * (p_size % 9) as varchar(50)), '원') else '추가 요금 2000원' end)
+             when 2 then concat('기본 ', cast(1 + p_size % 6 as varchar(50)), '인, ', case p_partkey % 3 when 0 then '1인 추가시 3,000 원'
+      when 1 then concat('인당 ', cast(500 * (p_size % 9) as varchar(50)), '원') else '추가 요금 2000원' end)
              when 3 then case p_partkey % 4 when 0 then '당일 예약은 전화 바랍니다' when 1 then '당일 예약 불가' when 2 then '전화 예약' else '문의: 당일도 가능' end when 4 then null
-             when 5 then concat(cast(p_size as varchar(50)), '인이 합주 가능') else concat('권장 인원 ', cast(p_size as varchar(50)), '명 ', cast(p_size + 3 as varchar(50)), '명') end as desc_text,
-        cast(case when p_partkey % 9 = 0 then null else floor(p_retailprice) end as int) as min_price, cast(case when p_partkey % 11 = 0 then null else p_partkey % 4 end as int) as image_count,
+             when 5 then concat(cast(p_size as varchar(50)), '인이 합주 가능') else concat('권장 인원 ', cast(p_size as varchar(50)), '명 ',
+      cast(p_size + 3 as varchar(50)), '명') end as desc_text,
+        cast(case when p_partkey % 9 = 0 then null else floor(p_retailprice) end as int) as min_price, cast(case when p_partkey % 11 = 0 then null
+      else p_partkey % 4 end as int) as image_count,
         cast(case when p_partkey % 4 = 0 then null else p_partkey % 70 end as int) as said_max from part) as given_rooms"""),
-    "client": ("events", """select event_id, case event_id % 5 when 0 then ' ' when 1 then concat('6f1c2e34-0000-4000-8000-', cast(event_id % 1000 as varchar(50)))
-             when 2 then concat('{6F1c2e34-0000-4000-8000-', lpad(cast(event_id as varchar(50)), 12, '0'), '}') when 3 then concat('urn:uuid:6f1c2e34-0000-4000-8000-', lpad(cast(event_id as varchar(50)), 12, '0')) end as device,
-        case event_id % 3 when 0 then concat('6F1c2e34-0000-4000-8000-', lpad(cast(event_id as varchar(50)), 12, '0')) when 1 then concat('6f1c2e340000', cast(event_id as varchar(50))) end as trace,
-        case when event_id % 5 = 0 then concat(' c', cast(user_id as varchar(50)), ' ') else '' end as cloud, case when event_id % 2 = 0 then concat(' f', cast(user_id as varchar(50)), ', g') end as forwarded,
-        case when event_id % 3 = 0 then 'r' else ' ' end as real_ip, case when event_id % 7 <> 0 then concat('h', cast(user_id as varchar(50))) end as host from events"""),
+    "client": ("events", """select event_id, case event_id % 5 when 0 then ' ' when 1 then concat('6f1c2e34-0000-4000-8000-',
+      cast(event_id % 1000 as varchar(50)))
+             when 2 then concat('{6F1c2e34-0000-4000-8000-', lpad(cast(event_id as varchar(50)), 12, '0'), '}')
+      when 3 then concat('urn:uuid:6f1c2e34-0000-4000-8000-', lpad(cast(event_id as varchar(50)), 12, '0')) end as device,
+        case event_id % 3 when 0 then concat('6F1c2e34-0000-4000-8000-', lpad(cast(event_id as varchar(50)), 12, '0'))
+      when 1 then concat('6f1c2e340000', cast(event_id as varchar(50))) end as trace,
+        case when event_id % 5 = 0 then concat(' c', cast(user_id as varchar(50)), ' ') else '' end as cloud, case
+      when event_id % 2 = 0 then concat(' f', cast(user_id as varchar(50)), ', g') end as forwarded,
+        case when event_id % 3 = 0 then 'r' else ' ' end as real_ip, case when event_id % 7 <> 0 then concat('h',
+      cast(user_id as varchar(50))) end as host from events"""),
     "room_image": ("lineitem", f"""select {_LINE} as business_id, {_ITEM} as biz_item_id, l_orderkey * 10 + l_linenumber as image_id,
         cast(l_linenumber % 3 as int) as sort_order, concat(cast(l_orderkey as varchar(50)), '.jpg') as image_url from lineitem"""),
     "favorite_change": ("events", """select cast(user_id as varchar(50)) as device_id, concat('b', cast(event_id % 7 as varchar(50))) as business_id,
         concat('i', cast(event_id % 31 as varchar(50))) as biz_item_id, case when event_type = 'error' then 'delete' else 'add' end as op, event_id as seq
         from events where event_type <> 'view'"""),
-    "request_log": ("events", """select cast(user_id as varchar(50)) as ip, ts, event_type as level, event_id as pos, concat('t', cast(event_id % 50 as varchar(50))) as trace_id,
+    "request_log": ("events", """select cast(user_id as varchar(50)) as ip, ts, event_type as level, event_id as pos, concat('t',
+      cast(event_id % 50 as varchar(50))) as trace_id,
         'app.search' as logger, case when event_id % 5 = 0 then '/ping' when event_id % 5 = 1 then null else '/rooms' end as path from events"""),
 }
 

@@ -94,7 +94,7 @@ def _has_class(tag: Column, name: str, last: bool = False) -> Column:
 
 def label_marks(markup: Column) -> Column:
     """Site A, a page parsed once: array of (title, active) of its labels, in order."""
-    return F.transform(start_tags(markup, "label"), lambda x: F.struct(attribute(x, "title").alias("title"), _has_class(x, "active").alias("active")))
+    return F.transform(start_tags(markup, "label"), lambda x: F.named_struct(F.lit("title"), attribute(x, "title"), F.lit("active"), _has_class(x, "active")))
 
 
 def marked_free(marks: Column, hour: Column) -> Column:

@@ -1,5 +1,6 @@
 """Master versions, streams with restarts, searches over crowded places, ranks and other work on whole tables."""
 
+import json
 import random
 import re
 import time
@@ -10,7 +11,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from roomloom.functions import masking, text
-from roomloom.operators import collection, master, merge, metrics, quadtree, ranking, references
+from roomloom.operators import collection, extractors, master, merge, metrics, quadtree, ranking, references, run
 from roomloom.sources import domain, folders, payloads
 from roomloom.streaming import jobs
 
@@ -87,6 +88,34 @@ def test_two_writers_do_not_both_publish(spark, tmp_path):
         folders.latest(spark, folder)
 
 
+# ---------------------------------------------------------------- a collection run
+def payload_of(business, rooms):
+    at = None if business == "b" else {"coordinates": [127.0, 37.5]}
+    about = {"data": {"business": {"businessId": business, "businessDisplayName": f"name {business}", **(at or {})}}}
+    items = [{"bizItemId": i, "name": n, "desc": d, **({"minMaxPrice": {"minPrice": p}} if p else {})} for i, n, d, p in rooms]
+    return json.dumps(about), json.dumps({"data": {"bizItems": items}})
+
+
+def test_a_collection_run_saves_exports_and_reports(spark, tmp_path):
+    folder = str(tmp_path)
+    kinds = "business_id string, pos int, business string, rooms string"
+    found = spark.createDataFrame([("q", b) for b in "abcde"] + [("r", "a"), ("q", "a")], "query string, business_id string")
+    first = [("a", 1, *payload_of("a", [("1", "방", "최대 8인", 100)])), ("a", 2, *payload_of("a", [("1", "방", "최대 9인", 100), ("2", "넓은 방", None, None)])),
+             ("b", 1, *payload_of("b", [("3", "방 (-5명)", None, 7)])), ("c", 1, "not json", "{}"), ("d", 1, *payload_of("d", [])), ("z", 1, *payload_of("z", [("9", "x", None, 1)]))]
+    report = run.collect(found, spark.createDataFrame(first, kinds), folder, "2024-06-15", buckets=4)
+    assert {(r["query"], r.success, r.failed) for r in report.collect()} == {("q", 3, 2), ("r", 1, 0)}  # e was not captured
+    read = lambda name: master.read_version(spark, f"{folder}/{name}")
+    assert {(r.business_id, r.lat) for r in read("branch").collect()} == {("a", 37.5), ("b", None)}  # d has no rooms, z was not found
+    assert {(r.biz_item_id, r.max_capacity, r.price_per_hour) for r in read("room").collect()} == {("1", 9, 100), ("2", 100, None), ("3", 5, 7)}
+    said = spark.createDataFrame([("a", "2", ("n", None, 30, 20, None, None, None), True), ("a", "1", ("n", None, 40, 20, None, None, None), False)],
+                                 "business_id string, biz_item_id string, answer struct<clean_name:string,day_type:string,max_capacity:int,recommend_capacity:int,base_capacity:int,extra_charge:int,requires_call:boolean>, usable boolean")
+    second = [("a", 5, *payload_of("a", [("1", "방", None, None), ("2", "넓은 방", None, None)]))]
+    run.collect(found, spark.createDataFrame(second, kinds), folder, "2024-06-16", said, buckets=4)
+    assert {(r.biz_item_id, r.max_capacity, r.price_per_hour) for r in read("room").collect()} == {("1", 9, 100), ("2", 30, None), ("3", 5, 7)}
+    listed = spark.read.schema("biz_item_id string, failure_reason string, export_date string").json(f"{folder}/unresolved")
+    assert values(listed) == [("1", "no_capacity_info", "20240616"), ("2", "no_capacity_info", "20240615")]
+
+
 # ---------------------------------------------------------------- favorites
 def favorites(rows):
     left = {}
@@ -355,6 +384,36 @@ def test_one_failing_room_leaves_the_others(spark):
     assert {r.error_code for r in out.collect()} == {"COMMON-001"}
 
 
+def test_extractors_of_the_platforms(spark):
+    def schedule(*entries):
+        return json.dumps({"data": {"schedule": {"bizItemSchedule": {"hourly": [dict(zip(("unitStartTime", "unitStock", "unitBookingCount"), e)) for e in entries]}}}})
+
+    label = lambda h, mark: f"&lt;label title=&quot;{h}시00분&quot; class=&quot;{mark}&quot;&gt;"
+    page = json.dumps({"items": label("09", "active") + label("10", "x") + label("10", "active")})
+    cells = '<i id="reserve_time_7_9" class="reserve_time_off"><i id="reserve_time_8_10" class="reserve_time_off">'
+    both = ["09:00", "10:00"]
+    rows = [
+        ("n", "1", "2030-01-01", both, schedule(("2030-01-01 09:00:00", 1, 1), ("2030-01-01T09:00:00", 2, 1)), {("09:00", "free", None), ("10:00", "taken", None)}),
+        ("n", "2", "2030-01-01", both, schedule(("x 11:00:00", None, 1), (None, 1, 1)), {(None, None, "CRAWLER-002")}),
+        ("n", "3", "2030-01-01", both, schedule(("x 11:00:00", None, 1)), {("09:00", "taken", None), ("10:00", "taken", None)}),
+        ("n", "4", "2030-01-01", both, schedule(("x 10:00:00", None, 1)), {(None, None, "CRAWLER-002")}),
+        ("n", "5", "2030-01-01", both, "[]", {(None, None, "CRAWLER-002")}),
+        ("n", "6", "2030-01-01", both, "{}", {("09:00", "taken", None), ("10:00", "taken", None)}),
+        ("n", "7", "2030-01-01", [], "{}", {(None, None, None)}),
+        ("dream_sadang", "1", "2030-01-01", both, page, {("09:00", "free", None), ("10:00", "taken", None)}),
+        ("hongdae_dream", "1", "2030-06-01", both, None, {("09:00", "unknown", None), ("10:00", "unknown", None)}),
+        ("hongdae_dream", "2", "2030-01-01", both, None, {(None, None, "CRAWLER-002")}),
+        ("sadang", "7", "2030-01-01", both, cells, {("09:00", "free", None), ("10:00", "taken", None)}),
+        ("sadang", "8", "2030-01-01", both, None, {(None, None, "CRAWLER-003")}),
+    ]
+    df = spark.createDataFrame([r[:5] for r in rows], "business_id string, biz_item_id string, day string, hour_slots array<string>, payload string").withColumn("day", F.col("day").cast("date"))
+    found = {}
+    for r in collection.platform_results(df, extractors.registry("2030-01-01")).collect():
+        found.setdefault((r.business_id, r.biz_item_id), set()).add((r.hour, r.status, r.error_code))
+    for business, item, *_, want in rows:
+        assert found[business, item] == want, (business, item)
+
+
 def test_cascade_reaches_images(spark):
     branch = spark.createDataFrame([("a",), ("b",)], "business_id string")
     room = spark.createDataFrame([("a", "1"), ("b", "1"), ("b", "2"), ("c", "1"), (None, "9")], "business_id string, biz_item_id string")
