@@ -26,7 +26,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = _own_folder.setdefault("base", tempfile.mkdtemp(prefix="spark-"))
+        if "base" not in _own_folder:
+            _own_folder["base"] = tempfile.mkdtemp(prefix="spark-")
+        base = _own_folder["base"]
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

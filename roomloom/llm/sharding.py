@@ -21,6 +21,7 @@ columns are not carried.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,7 +96,7 @@ def _counts(rows: DataFrame, keys: list[int]) -> dict[int, tuple[int, int, int,
 
 def find_cuts(rows: DataFrame, parts: int, tolerance: float, probes: int = 24, rounds: int = 60) -> tuple[list[int], list[int]]:
     """Sorted cut keys that deal ``rows`` (hash, key_id, size) into ``parts`` even
-    ranges, and the number of rows before each range."""
+    ranges, and the number of rows before each range; raises if ``rounds`` do not find them."""
     total = _counts(rows, [])
     if not total:
         return [], [0]
@@ -152,21 +153,17 @@ def find_cuts(rows: DataFrame, parts: int, tolerance: float, probes: int = 24, r
                 after = min((high // _SPAN + 1) * _SPAN, _LAST)
                 edges.append((min(keys[b], after) if b < len(keys) else after, below, rows_below))
         edges.sort()
+        bytes_below = [e[1] for e in edges]  # ascending, as the keys are
         for i, cut in enumerate(cuts):
             if cut is None:
-                goal, span = goals[i], spans[i]
-                for key, bytes_below, n_below in edges:
-                    if span[0] < key < span[3]:
-                        if bytes_below <= goal:
-                            span[:3] = key, bytes_below, n_below
-                        else:
-                            span[3:] = key, bytes_below, n_below
-                            break
+                span, k = spans[i], bisect_right(bytes_below, goals[i])
+                if k and span[0] < edges[k - 1][0] < span[3]:
+                    span[:3] = edges[k - 1]
+                if k < len(edges) and span[0] < edges[k][0] < span[3]:
+                    span[3:] = edges[k]
                 settle(i)
-    for i, cut in enumerate(cuts):
-        if cut is None:
-            lo, a, n, hi, b, m = spans[i]
-            cuts[i] = min((abs(a - goals[i]), lo, n), (abs(b - goals[i]), hi, m))[1:]
+    if None in cuts:
+        raise ArithmeticError(f"no cuts within the tolerance after {rounds} rounds")
     ordered = sorted(cuts)
     return [k for k, _ in ordered], [0, *(n for _, n in ordered)]
 
