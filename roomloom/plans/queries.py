@@ -551,19 +551,25 @@ def mk6(spark, d):
 
 @query(
     "mk7_masked_bodies",
-    f"""WITH b AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN NULL ELSE concat('user_id=', user_id, '&kind=', event_type, ' token :　"a b',
-      event_id, '" from jo', event_id, '@example.org, 010-1234-', 1000 + event_id % 9000) END AS body FROM events)
-    SELECT event_id, CASE WHEN event_id % 2 = 0 THEN concat('{{"event": ', event_id, ', "user_id": "***", "more": {{"Token": "***", "kind": "',
-      event_type, '"}}}}') ELSE {_MASKED('b.body')} END AS body
-    FROM events JOIN b USING (event_id)""",
+    f"""WITH b AS (SELECT event_id, CASE event_id % 4
+      WHEN 0 THEN concat('{{"event": ', event_id, ', "user_id": ', user_id, ', "more": {{"Token": "t', event_id, '", "kind": "', event_type, '"}}}}')
+      WHEN 2 THEN concat('{{"list": [{{"EMAIL": "a@b.org", "pos": ', event_id, '}}, {{"note": "pwd=', user_id, '", "Cookie": {{"id": ', user_id, '}}}}], "tokens": 1}}')
+      ELSE concat('user_id=', user_id, '&kind=', event_type, ' token :　"a b', event_id, '" from jo', event_id, '@example.org, 010-1234-', 1000 + event_id % 9000) END AS body FROM events)
+    SELECT event_id, CASE WHEN event_id % 2 = 0 THEN regexp_replace(body, '"((?i:{masking.KEYS}|{masking.HEADERS}))": ("[^"]*"|[0-9]+|\\{{[^}}]*\\}})', '"\\1": "***"', 'g')
+      ELSE {_MASKED('b.body')} END AS body FROM b""",
 )
 def mk7(spark, d):
-    """Bodies of records: half are objects, masked by their keys, half are texts, masked by patterns."""
+    """Bodies of records: half are objects of two forms, masked by their keys, half are texts, masked by patterns."""
     e = spark.read.parquet(f"{d}/events.parquet")
     more = F.struct(F.concat(F.lit("t"), "event_id").alias("Token"), F.col("event_type").alias("kind"))
-    body = F.to_json(F.struct(F.col("event_id").alias("event"), "user_id", more.alias("more")))
-    line = F.concat(F.lit("user_id="), "user_id", F.lit("&kind="), "event_type", F.lit(' token :　"a b'), "event_id", F.lit('" from jo'), "event_id", F.lit("@example.org, 010-1234-"), 1000 + F.col("event_id") % 9000)
-    return e.select("event_id", masking.mask_body(F.when(F.col("event_id") % 2 == 0, body).otherwise(line)).alias("body"))
+    one = F.to_json(F.struct(F.col("event_id").alias("event"), "user_id", more.alias("more")))
+    mail = F.to_json(F.struct(F.lit("a@b.org").alias("EMAIL"), F.col("event_id").alias("pos")))
+    note = F.to_json(F.struct(F.concat(F.lit("pwd="), "user_id").alias("note"), F.struct(F.col("user_id").alias("id")).alias("Cookie")))
+    other = F.concat(F.lit('{"list": ['), mail, F.lit(","), note, F.lit('], "tokens": 1}'))
+    mark = F.lit(' token :　"a b')
+    line = F.concat(F.lit("user_id="), "user_id", F.lit("&kind="), "event_type", mark, "event_id", F.lit('" from jo'), "event_id", F.lit("@example.org, 010-1234-"), 1000 + F.col("event_id") % 9000)
+    form = F.col("event_id") % 4
+    return e.select("event_id", masking.mask_body(F.when(form == 0, one).when(form == 2, other).otherwise(line)).alias("body"))
 
 
 @query(
