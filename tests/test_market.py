@@ -146,6 +146,43 @@ def test_responses_hold_rooms_and_summaries(spark):
     assert all((got[i].results, got[i].branch_summary) == ([], {}) for i in (3, 4, 5)) and got[3].hour_slots == ["09:00", "10:00"] and got[4].hour_slots == []
 
 
+@pytest.mark.parametrize("name", ["jn2_box_search", "ag1_availability", "ag4_branch_summary"])
+def test_pairs_of_requests_and_rooms_are_not_shuffled(spark, name):
+    plan = market.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    after = plan[: plan.index("Exchange")]  # what comes behind the last shuffle
+    assert "explode(ids" in after and "inline(rows" in after
+
+
+def test_request_errors_meet_no_rooms(spark):
+    plan = market.QUERIES["flt10_request_errors"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("request_id" in line and "biz_item_id" in line for line in plan.splitlines())
+
+
+def test_dealt_searches_equal_all_pairs(spark, monkeypatch):
+    for limit, n in (("CHUNK", 2), ("IDS", 3), ("DEAL", 1)):
+        monkeypatch.setattr(availability, limit, n)
+    branches = [(f"b{i}", "n", 37.0 + i % 5 * 0.01, 127.0) for i in range(11)]
+    rooms = [(b, f"{b}-{k}", k * 2, 10 - k) for b, *_ in branches for k in (1, 2, 3)]
+    slots = [(b, i, 1, 9 + k % 2, k, 1, int(i.endswith("2"))) for b, i, *_ in rooms for k in range(3)]
+    requests = [(i, 1, i % 5, 9, 9 + i % 3, 37.0, 127.0, 37.0 + i % 2 * 0.03, 127.0) for i in range(40)]
+    tables = [
+        spark.createDataFrame(requests, "request_id int, day int, capacity int, start_hour int, end_hour int, sw_lat double, sw_lng double, ne_lat double, ne_lng double"),
+        availability.rooms_with_branch(spark.createDataFrame(rooms, "business_id string, biz_item_id string, max_capacity int, price_per_hour int"), spark.createDataFrame(branches, "business_id string, name string, lat double, lng double")),
+        spark.createDataFrame(branches, "business_id string, name string, lat double, lng double"),
+        spark.createDataFrame(slots, "business_id string, biz_item_id string, day int, hour int, pos int, unit_stock int, unit_booking_count int"),
+    ]
+    want = {
+        (q[0], i): q[4] < 11 and not i.endswith("2")
+        for q in requests for b, _, lat, _ in branches if lat <= q[7] for c, i, n, _ in rooms if c == b and n >= q[2]
+    }
+    assert sorted(tuple(r)[::2] for r in availability.matches(*tables[:3]).collect()) == sorted(want)
+    got = availability.availability(*tables).collect()
+    assert len(got) == len(want) and {(r.request_id, r.biz_item_id): r.available for r in got} == want
+    summary = {(r.request_id, r.business_id): (r.min_price, r.available_count) for r in availability.request_summary(*tables).collect()}
+    prices = {i: p for _, i, _, p in rooms}
+    assert summary == {(q, b): (min(ps), len(ps)) for q in range(40) for b, *_ in branches if (ps := [prices[i] for (r, i), ok in want.items() if ok and r == q and i.startswith(f"{b}-")])}
+
+
 def test_failures_of_single_rooms_and_reports(spark):
     rooms = spark.createDataFrame([("sadang", 1), ("x", 2), ("x", 3)], "business_id string, pos int")
     fail = F.when(F.col("pos") == 3, "Naver-001")
