@@ -183,6 +183,42 @@ def test_dealt_searches_equal_all_pairs(spark, monkeypatch):
     assert summary == {(q, b): (min(ps), len(ps)) for q in range(40) for b, *_ in branches if (ps := [prices[i] for (r, i), ok in want.items() if ok and r == q and i.startswith(f"{b}-")])}
 
 
+def test_rows_that_tie_have_one_result(spark):
+    rows = [("b", "1", 1, 9, 5, s, c) for s, c in ((3, 2), (1, 1), (2, 0))] + [("b", "1", 1, 9, 4, 9, 9)]
+    kinds = "business_id string, biz_item_id string, day int, hour int, pos int, unit_stock int, unit_booking_count int"
+    keys = ["business_id", "biz_item_id", "day", "hour"]
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        df = spark.createDataFrame(order, kinds).coalesce(1)
+        assert [tuple(r)[4:] for r in merge.last_wins(df, keys, ["pos"]).collect()] == [(5, 3, 2)]
+        assert [tuple(r)[4:] for r in merge.first_wins(df.filter("pos = 5"), keys, ["pos"]).collect()] == [(5, 1, 1)]
+        assert [r.slots for r in availability.slot_maps(df).collect()] == [{"09:00": True}]
+
+
+def test_attributes_and_common_entities(spark):
+    tag = """<a x='1' class="b c" CLASS='d' id=>"""
+    row = spark.range(1).select(*(payloads.attribute(F.lit(tag), n, last).alias(f"{n}{last}") for n in ("class", "id", "z", "x") for last in (False, True))).first()
+    assert list(row) == ["b c", "d", "", "", "", "", "1", "1"]
+    parts = payloads.attribute(F.lit(tag), "class")._jc.toString()
+    assert parts.count("regexp_extract_all") == 1  # the pairs are cut once
+    texts = ["&amp;lt; &lt;b&gt; &quot;&apos;&#39;", "&nbsp;&lt", "a & b", "&eacute;&amp;"]
+    df = spark.createDataFrame([(json.dumps({"items": t}),) for t in texts], "payload string")
+    assert [r.html for r in payloads.label_pages(df).collect()] == [__import__("html").unescape(t) for t in texts]
+
+
+def test_payloads_are_parsed_before_rows_are_multiplied(spark):
+    plan = market.QUERIES["ud1_platform_slots"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    above = [line for i, line in enumerate(plan) if i < min(k for k, x in enumerate(plan) if "Generate explode" in x)]
+    assert not any("from_json" in line for line in above)
+
+
+def test_capacity_alone_equals_the_parsed_one(spark):
+    df = spark.createDataFrame([(n, d) for n, d, _ in ROOMS], "name string, d string")
+    both = df.select(text.max_capacity(F.col("name"), F.col("d")).alias("a"), text.parse_room(F.col("name"), F.col("d"))["max_capacity"].alias("b")).collect()
+    assert all(r.a == r.b for r in both)
+    plan = market.QUERIES["flt14_unresolved"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "clean_name" not in plan
+
+
 def test_failures_of_single_rooms_and_reports(spark):
     rooms = spark.createDataFrame([("sadang", 1), ("x", 2), ("x", 3)], "business_id string, pos int")
     fail = F.when(F.col("pos") == 3, "Naver-001")
