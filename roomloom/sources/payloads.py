@@ -53,14 +53,25 @@ def unescaped(markup: pd.Series) -> pd.Series:
     return markup.map(html.unescape, na_action="ignore")
 
 
+#: The entities that are resolved natively, the ampersand last, so that what it makes stays; and any other.
+_COMMON = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "amp": "&"}
+_RARE = f"&(?!(?:{'|'.join(_COMMON)});)"
+
+
+def _plain(markup: Column) -> Column:
+    for name, sign in _COMMON.items():
+        markup = F.replace(markup, F.lit(f"&{name};"), F.lit(sign))
+    return markup
+
+
 def label_pages(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Site A: ``df`` with ``html``, the unescaped ``items`` of a JSON answer; '' if it has none.
     ``failed`` marks what is no JSON object."""
     body = F.from_json(payload, "items string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     is_object = F.coalesce(F.ltrim(payload).startswith("{") & F.get_json_object(payload, "$").isNotNull(), F.lit(False))
     items = F.coalesce(body["items"], F.lit(""))
-    plain = F.coalesce(unescaped(F.when(items.contains("&"), items)), items)  # only what has entities goes to Python
-    return df.withColumn("failed", ~is_object).withColumn("html", plain)
+    html_ = F.coalesce(unescaped(F.when(items.rlike(_RARE), items)), _plain(items))  # only what has other entities goes to Python
+    return df.withColumn("failed", ~is_object).withColumn("html", html_)
 
 
 #: An attribute: a name, and behind "=" a value in either kind of quotes or in none.
@@ -76,6 +87,8 @@ def start_tags(markup: Column, name: str | None = None) -> Column:
     """The start tags of an element (by default of all), in order."""
     pieces = F.regexp_extract_all(markup, F.lit(_PIECE), 0)
     own = F.filter(pieces, lambda x: x.rlike(rf"(?i)^<{name}(?=[\s/>])" if name else "^<[A-Za-z]"))
+    if name and name.lower() not in ("script", "style"):
+        return own
     return F.transform(own, lambda x: F.when(x.rlike("(?i)^<(?:script|style)"), F.regexp_extract(x, _TAG, 0)).otherwise(x))
 
 
@@ -83,9 +96,9 @@ def attribute(tag: Column, name: str, last: bool = False) -> Column:
     """A tag's attribute, of repeated ones the first (or the last); '' if it has none."""
     pairs = F.regexp_extract_all(F.regexp_replace(tag, r"^<[A-Za-z][^\s/>]*+", ""), F.lit(_ATTRIBUTE), 0)
     own = F.filter(pairs, lambda a: a.rlike(rf"(?i)^{name}\s*(?:=|$)"))
-    value = F.coalesce(F.element_at(F.when(F.size(own) > 0, own), -1 if last else 1), F.lit(""))
+    value = F.coalesce(F.try_element_at(own, F.lit(-1 if last else 1)), F.lit(""))
     bare = F.regexp_replace(value, r"(?s)^[^=]*+=?\s*+", "")
-    return F.when(bare.rlike(r"""(?s)^(["']).*\1$"""), F.substring(bare, F.lit(2), F.length(bare) - 2)).otherwise(bare)
+    return F.regexp_replace(bare, r"""(?s)^(["'])(.*)\1$""", "$2")  # each step stands once: a lambda computes again what it names again
 
 
 def _has_class(tag: Column, name: str, last: bool = False) -> Column:
