@@ -25,8 +25,9 @@ def _asked(df: DataFrame, error: Column, parsed: Column, free: Callable[[Column,
     """A row an hour by ``free(parsed, hour)``, or one with the error; ``unknown`` days need no payload."""
     code = F.when(~unknown, error)
     keys = [c for c in df.columns if c not in ("hour_slots", "payload")]
-    hours = F.when(code.isNull(), F.col("hour_slots")).otherwise(F.array(F.lit(None).cast("string")))
-    each = df.select(*keys, code.alias("error_code"), unknown.alias("_unknown"), F.when(~unknown, parsed).alias("_parsed"), F.explode_outer(hours).alias("hour"))
+    read = df.select(*keys, code.alias("error_code"), unknown.alias("_unknown"), F.when(~unknown, parsed).alias("_parsed"), "hour_slots")  # before rows are multiplied
+    hours = F.when(F.col("error_code").isNull(), F.col("hour_slots")).otherwise(F.array(F.lit(None).cast("string")))
+    each = read.select(*keys, "error_code", "_unknown", "_parsed", F.explode_outer(hours).alias("hour"))
     status = F.when(F.col("hour").isNull(), F.lit(None)).when(F.col("_unknown"), "unknown").when(F.col("error_code").isNull(), F.when(F.coalesce(free(F.col("_parsed"), F.col("hour")), F.lit(False)), "free").otherwise("taken"))
     return each.select(*keys, "hour", status.alias("status"), "error_code")
 
