@@ -17,6 +17,8 @@ from ..streaming import jobs
 from .queries import _MERGED, _NUM, _PARSED, ORACLE_SQL, query
 
 _KEYS = ["business_id", "biz_item_id"]
+#: Rows of a stream's file, above which a batch has several.
+_FILE_ROWS = 250_000
 
 
 @query("mrg5_master_upserts", ORACLE_SQL["mrg2_merge_rooms"])
@@ -49,11 +51,14 @@ def mrg6(spark, d):
 
 
 def _stream(spark, df: DataFrame, files: int, order: str) -> DataFrame:
-    """``df`` as a stream of files in ascending order, one a batch."""
-    folder = new_folder(spark)
+    """``df`` as a stream of that many batches, each of one file or, where there are many rows, of as many as
+    are needed for some ``_FILE_ROWS`` in each."""
+    folder, shares = new_folder(spark), -(-df.count() // (files * _FILE_ROWS))
+    shares = max(shares, 1)
     for part in range(files):
-        df.filter(F.pmod(F.xxhash64(order), F.lit(files)) == part).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        own = df.filter(F.pmod(F.xxhash64(order), F.lit(files)) == part)
+        (own.repartition(shares) if shares > 1 else own.coalesce(1)).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", shares).parquet(folder)
 
 
 @query("ss3_favorites_stream", ORACLE_SQL["mrg4_favorites"])

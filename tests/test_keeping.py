@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from roomloom.functions import masking, text
 from roomloom.operators import collection, extractors, master, merge, metrics, quadtree, ranking, references, run
+from roomloom.plans import keeping
 from roomloom.sources import domain, folders, payloads
 from roomloom.streaming import jobs
 
@@ -460,3 +461,12 @@ def test_master_over_jdbc_in_ranges_with_pushed_filters(spark, tmp_path):
     assert some.count() == 101
     branch.write.parquet(str(tmp_path / "files" / "branch"))
     assert domain.read_master(spark, "branch", str(tmp_path / "files"), box=(37.1, 126.0, 37.2, 128.0)).count() == 101
+
+
+def test_large_streams_have_several_files_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(keeping, "_FILE_ROWS", 20)
+    stream = keeping._stream(spark, spark.range(300), 3, "id")
+    out = folders.new_folder(spark)
+    sizes = []
+    stream.writeStream.foreachBatch(lambda b, _: sizes.append((b.count(), b.select(F.input_file_name()).distinct().count()))).option("checkpointLocation", out).trigger(availableNow=True).start().awaitTermination()
+    assert sum(n for n, _ in sizes) == 300 and [k for _, k in sizes] == [5, 5, 5]
