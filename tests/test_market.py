@@ -183,6 +183,31 @@ def test_dealt_searches_equal_all_pairs(spark, monkeypatch):
     assert summary == {(q, b): (min(ps), len(ps)) for q in range(40) for b, *_ in branches if (ps := [prices[i] for (r, i), ok in want.items() if ok and r == q and i.startswith(f"{b}-")])}
 
 
+def test_results_of_searches_are_not_shuffled(spark):
+    plan = market.QUERIES["ag5_responses"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    after = plan[: plan.index("Exchange")]
+    assert "explode(ids" in after and "collect_list(open" in after
+
+
+def test_responses_in_slices_equal_a_plain_search(spark, monkeypatch):
+    for limit, n in (("IDS", 5), ("CHUNK", 2), ("DEAL", 1), ("PAIRS", 8)):
+        monkeypatch.setattr(availability, limit, n)
+    branches = [(f"b{i}", f"n{i}", 37.0 + i % 5 * 0.01, 127.0) for i in range(11)]
+    rooms = [(b, f"{b}-{k}", k * 2, 10 - k) for b, *_ in branches for k in (1, 2, 3)]
+    slots = [(b, i, 1, 9, k, 1, int(i.endswith("2"))) for b, i, *_ in rooms for k in range(3)]
+    box = lambda i: ((37.0, 127.0, 37.0 + i % 2 * 0.03, 127.0), (0.0, 0.0, 1.0, 1.0), (None, 127.0, 38.0, 128.0))[0 if i < 40 else i % 2 + 1]
+    requests = [(i, None if i == 7 else 1, 3, 9, 9 + i % 2, *box(i)) for i in range(46)]
+    branch = spark.createDataFrame(branches, "business_id string, name string, lat double, lng double")
+    got = availability.responses(
+        spark.createDataFrame(requests, "request_id int, day int, capacity int, start_hour int, end_hour int, sw_lat double, sw_lng double, ne_lat double, ne_lng double"),
+        availability.rooms_with_branch(spark.createDataFrame(rooms, "business_id string, biz_item_id string, max_capacity int, price_per_hour int"), branch), branch,
+        spark.createDataFrame(slots, "business_id string, biz_item_id string, day int, hour int, pos int, unit_stock int, unit_booking_count int"),
+    ).collect()
+    want = {q[0]: sorted(i for b, _, lat, _ in branches if q[0] < 40 and lat <= q[7] for c, i, n, _ in rooms if c == b and n >= 3 and i.endswith("3") and q[1] and q[4] == 9) for q in requests}
+    assert len(got) == len(want) and {r.request_id: sorted(r.available_biz_item_ids) for r in got} == want
+    assert all(r.results == sorted(r.results) and {x.business_id for x in r.results} == set(r.branch_summary) for r in got) and any(want.values())
+
+
 def test_rows_that_tie_have_one_result(spark):
     rows = [("b", "1", 1, 9, 5, s, c) for s, c in ((3, 2), (1, 1), (2, 0))] + [("b", "1", 1, 9, 4, 9, 9)]
     kinds = "business_id string, biz_item_id string, day int, hour int, pos int, unit_stock int, unit_booking_count int"
