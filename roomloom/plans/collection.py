@@ -274,7 +274,7 @@ def dt4(spark, d):
 )
 def mp1(spark, d):
     look = lambda h: av.slot_status(F.col("slots"), F.lit(h))
-    return av.slot_maps(domain(spark, d, "slot")).select("business_id", "biz_item_id", "day", look("10:00").alias("at_ten"), look("20:00").alias("at_twenty"))
+    return av.slot_maps(domain(spark, d, "slot", placed=True)).select("business_id", "biz_item_id", "day", look("10:00").alias("at_ten"), look("20:00").alias("at_twenty"))
 
 
 @query(
@@ -295,7 +295,7 @@ SELECT biz_item_id, day, concat('{{{{', string_agg(concat('"', lpad(cast(hour AS
       WHEN unit_booking_count < unit_stock THEN 'true' ELSE 'false' END), ',' ORDER BY hour), '}}}}') AS slots FROM l WHERE k = 1
       GROUP BY business_id, biz_item_id, day""".replace("{{", "{").replace("}}", "}"))
 def ag3(spark, d):
-    return av.slot_maps(domain(spark, d, "slot")).select("biz_item_id", "day", F.to_json("slots").alias("slots"))
+    return av.slot_maps(domain(spark, d, "slot", placed=True)).select("biz_item_id", "day", F.to_json("slots").alias("slots"))
 
 
 @query(

@@ -219,6 +219,23 @@ def test_rows_that_tie_have_one_result(spark):
         assert [r.slots for r in availability.slot_maps(df).collect()] == [{"09:00": True}]
 
 
+@pytest.mark.parametrize("files", [1, 3])
+@pytest.mark.parametrize("name", ["ag3_slot_maps"])
+def test_rows_that_tie_equal_a_stable_sort(spark, tmp_path, name, files):
+    """DuckDB's sort is stable with one thread; with several its choice among ties varies."""
+    (tmp_path / "lineitem.parquet").mkdir()
+    con = duckdb.connect(config={"threads": 1})
+    rows = """SELECT i % 40 // 2 AS l_orderkey, i % 3 AS l_suppkey, 5 AS l_partkey, 1 AS l_linenumber, 12.0 * (i % 2) AS l_quantity,
+      (i * 7 // 11 % 9) / 100.0 AS l_tax, (i * 5 // 13 % 11) / 100.0 AS l_discount, TIMESTAMP '2024-01-01' AS l_shipdate FROM range(600) t(i)"""
+    for k in range(files):
+        con.execute(f"COPY (SELECT * FROM ({rows}) WHERE {k} = l_orderkey % {files}) TO '{tmp_path}/lineitem.parquet/{k}.parquet'")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    cursor = con.execute(market.ORACLE_SQL[name])
+    columns = [c[0] for c in cursor.description]
+    want = sorted(map(repr, cursor.fetchall()))
+    assert sorted(repr(tuple(r[c] for c in columns)) for r in market.QUERIES[name](spark, str(tmp_path)).collect()) == want
+
+
 def test_attributes_and_common_entities(spark):
     tag = """<a x='1' class="b c" CLASS='d' id=>"""
     row = spark.range(1).select(*(payloads.attribute(F.lit(tag), n, last).alias(f"{n}{last}") for n in ("class", "id", "z", "x") for last in (False, True))).first()
