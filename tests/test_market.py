@@ -220,7 +220,7 @@ def test_rows_that_tie_have_one_result(spark):
 
 
 @pytest.mark.parametrize("files", [1, 3])
-@pytest.mark.parametrize("name", ["ag3_slot_maps"])
+@pytest.mark.parametrize("name", ["wn2_last_wins", "ag3_slot_maps"])
 def test_rows_that_tie_equal_a_stable_sort(spark, tmp_path, name, files):
     """DuckDB's sort is stable with one thread; with several its choice among ties varies."""
     (tmp_path / "lineitem.parquet").mkdir()
