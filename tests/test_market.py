@@ -183,6 +183,12 @@ def test_dealt_searches_equal_all_pairs(spark, monkeypatch):
     assert summary == {(q, b): (min(ps), len(ps)) for q in range(40) for b, *_ in branches if (ps := [prices[i] for (r, i), ok in want.items() if ok and r == q and i.startswith(f"{b}-")])}
 
 
+@pytest.mark.parametrize("name", ["jn2_box_search", "ag1_availability", "ag4_branch_summary"])
+def test_ids_are_the_inner_loop_of_pairs(spark, name):
+    plan = market.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("explode(ids") < plan.index("inline(rows")  # the upper step comes later
+
+
 def test_results_of_searches_are_not_shuffled(spark):
     plan = market.QUERIES["ag5_responses"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     after = plan[: plan.index("Exchange")]
